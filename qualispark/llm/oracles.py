@@ -99,4 +99,36 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM o GROUP BY conv_id"""
 
 
-SQL = {"op8_quality_rules": _quality(), "op9_chat_format": _chat()}
+_DECONTAMINATION = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id,
+         regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w
+  FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), pos AS (
+  SELECT rid, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)
+), occ AS (
+  SELECT rid, i, n, item_id FROM pos JOIN win USING (n, gram)
+), hit AS (
+  SELECT rid, count(DISTINCT p) AS n_hit
+  FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM occ) GROUP BY rid
+), items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM occ WHERE item_id IS NOT NULL) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)"""
+
+
+SQL = {"op6_decontamination": _DECONTAMINATION, "op8_quality_rules": _quality(), "op9_chat_format": _chat()}

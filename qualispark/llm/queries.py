@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualispark.llm import chat_format, oracles, quality_rules
+from qualispark.llm import chat_format, decontaminate, oracles, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(_table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_rules.score(_table(spark, sf_dir, "documents"))
     return scored.select(
@@ -31,5 +40,5 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op6_decontamination, op8_quality_rules, op9_chat_format)}
 ORACLES = {k: v for k, v in oracles.SQL.items() if k in QUERIES}

@@ -75,8 +75,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def segment_counts(x: Column) -> Column:
     """The 32 two-bit counts packed in a long: the embedding itself."""
-    low = F.lit(_ODD)
-    return x.bitwiseAND(low) + F.shiftrightunsigned(x, 1).bitwiseAND(low)
+    low, high = x.bitwiseAND(F.lit(_ODD)), F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(_ODD))
+    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
 def manhattan(a: Column, b: Column) -> Column:

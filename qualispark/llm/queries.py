@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualispark.llm import chat_format, decontaminate, oracles, quality_rules, simhash
+from qualispark.llm import (
+    chat_format,
+    decontaminate,
+    html_text,
+    line_dedup,
+    oracles,
+    packing,
+    quality_rules,
+    simhash,
+    site_quality,
+    sstable,
+    suffix_tree,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +29,34 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(_table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), path))
+
+
+def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    folder, manifest = sstable.write_shards(_table(spark, sf_dir, "documents"), path)
+    return sstable.digest(spark, folder, manifest)
+
+
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_rules.score(_table(spark, sf_dir, "documents"))
     return scored.select(
@@ -40,5 +76,21 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op6_decontamination, op8_quality_rules, op9_chat_format)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+_ALL = (
+    op1_simhash,
+    op2_packing,
+    op3_sstable,
+    op4_site_quality,
+    op5_suffix_tree,
+    op6_decontamination,
+    op7_line_dedup,
+    op8_quality_rules,
+    op9_chat_format,
+    op10_html_text,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {k: v for k, v in oracles.SQL.items() if k in QUERIES}

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qualispark.llm.common import arrow_map, written
@@ -37,9 +37,13 @@ SHINGLE = 5
 SIMILARITY = (4, 5)
 SKETCH_BITS = 16
 BLOCK = 512
+#: Bytes of text that are tokenised at a time.
+CHUNK = 1 << 20
 
-_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_HASH_BITS = np.uint64((1 << 52) - 1)
+_BASE = 0x9E3779B97F4A7C15
 _POSITION = "struct<known:boolean,doc_id:bigint,dhash:bigint,line_no:int>"
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def needed(a: int, b: int) -> int:
@@ -48,7 +52,7 @@ def needed(a: int, b: int) -> int:
     return -(-n * (a + b) // (n + d))
 
 
-def prefix(size: int) -> int:
+def prefix(size):
     n, d = SIMILARITY
     return size - -(-n * size // d) + 1
 
@@ -58,58 +62,98 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class Lines:
-    """The non-blank lines of some texts, tokenised together."""
-
-    def __init__(self, texts: list[bytes]):
-        numbers: dict[bytes, int] = {}
-        words: list[int] = []
-        self.doc, self.line_no, self.length, self.raw, self.cls = [], [], [], [], []
-        for d, text in enumerate(texts):
-            for n, line in enumerate(text.lower().split(b"\n")):
-                w = line.split()
-                if w:
-                    words.extend([numbers.setdefault(x, len(numbers)) for x in w])
-                    joined = b" ".join(w)
-                    self.doc.append(d)
-                    self.line_no.append(n)
-                    self.length.append(len(w))
-                    self.raw.append(joined)
-                    self.cls.append(xxhash.xxh64_intdigest(joined) - (1 << 63))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
-        self._tokenise(hashes[np.array(words, np.int64)] if words else np.zeros(0, np.uint64))
-
-    def _tokenise(self, h: np.ndarray) -> None:
-        """``tokens`` of line i are those with ``owner`` i, distinct."""
-        length = np.array(self.length, np.int64)
-        begin = np.concatenate(([0], np.cumsum(length)))[:-1]
-        count = np.maximum(length - SHINGLE + 1, 1)
-        owner = np.repeat(np.arange(len(length)), count)
-        first = np.concatenate(([0], np.cumsum(count)))[:-1]
-        at = begin[owner] + np.arange(len(owner)) - first[owner]
-        left = (begin + length)[owner] - at
-        padded = np.concatenate((h, np.zeros(SHINGLE, np.uint64)))
-        out = np.zeros(len(owner), np.uint64)
-        for k in range(SHINGLE):
-            part = _mixed(padded[at + k] * np.uint64(_ODD[k]) + np.uint64(k + 1))
-            out += np.where(k < left, part, np.uint64(0))
-        token = _mixed(out)
-        order = np.lexsort((token, owner))
-        token, owner = token[order], owner[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-        self.tokens, self.owner = token[new].view(np.int64), owner[new]
-        self.size = np.bincount(self.owner, minlength=len(length))
-
-    def by_rarity(self, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sketch count, token) of all tokens, each line's in global order."""
-        count = sketch[_bucket(self.tokens)]
-        order = np.lexsort((self.tokens, count, self.owner))
-        return count[order], self.tokens[order]
+def _powers_upto(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64."""
+    size = 1 << max(16, (n - 1).bit_length())
+    if size not in _powers:
+        out = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            table, step = np.ones(1, np.uint64), base
+            while len(table) < size:
+                table, step = np.concatenate((table, table * np.uint64(step))), step * step % (1 << 64)
+            out.append(table)
+        if size <= 1 << 22:
+            _powers[size] = tuple(out)
+        return tuple(out)
+    return _powers[size]
+
+
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def line_words(texts: list[bytes]) -> tuple[list[int], list[int], list[bytes]]:
+    """Text number, line number and words (A-Z lower-cased, joined by a space) of non-blank lines."""
+    doc, number, raw = [], [], []
+    for d, text in enumerate(texts):
+        for n, line in enumerate(text.lower().split(b"\n")):
+            w = b" ".join(line.split())
+            if w:
+                doc.append(d)
+                number.append(n)
+                raw.append(w)
+    return doc, number, raw
+
+
+def classes(raw: list[bytes]) -> np.ndarray:
+    """A signed 64-bit name for the words of each line."""
+    found = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
+    return (found ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def shingles(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of the lines, and the number of them in each line.
+
+    One rolling hash over the joined bytes: a shingle's hash is the difference
+    of two prefix sums, moved to the origin.
+    """
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    power, inverse = _powers_upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * power[: len(data)], out=sums[1:])
+    ends = np.flatnonzero((data == 32) | (data == 10))
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    last = np.flatnonzero(data[ends] == 10)
+    words = np.diff(np.concatenate(([-1], last)))
+    count = np.maximum(words - SHINGLE + 1, 1)
+    begin = np.repeat(np.cumsum(words) - words - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    final = begin + np.repeat(np.minimum(words, SHINGLE), count) - 1
+    at = starts[begin]
+    return _mixed((sums[ends[final]] - sums[at]) * inverse[at]), count
+
+
+def ordered(raw: list[bytes], sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens of each line, rarest first, and how many each line has.
+
+    A token is named by its rarity class and 52 bits of its hash, so that plain
+    order is rarity order.
+    """
+    token, count = shingles(raw)
+    token = (sketch[_bucket(token)].astype(np.uint64) << np.uint64(52)) | (token & _HASH_BITS)
+    token = token.view(np.int64)
+    first = np.cumsum(count) - count
+    width = 1 << np.ceil(np.log2(np.maximum(count, 2))).astype(int)
+    distinct = count.copy()
+    for w in np.unique(width):  # rows of like lengths are sorted together
+        rows = np.flatnonzero(width == w)
+        for part in np.array_split(rows, max(1, len(rows) * int(w) // (1 << 18))):
+            at = first[part][:, None] + np.arange(w)
+            inside = np.arange(w) < count[part][:, None]
+            table = np.where(inside, token[np.minimum(at, len(token) - 1)], np.iinfo(np.int64).max)
+            table.sort(axis=1)
+            twice = (table[:, 1:] == table[:, :-1]) & inside[:, 1:]
+            if twice.any():
+                table[:, 1:][twice] = np.iinfo(np.int64).max
+                table.sort(axis=1)
+                distinct[part] -= twice.sum(axis=1)
+            token[at[inside]] = table[inside]
+    if (distinct != count).any():
+        place = np.arange(len(token)) - np.repeat(first, count)
+        token = token[place < np.repeat(distinct, count)]
+    return token, distinct
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
-    return (tokens.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -117,7 +161,7 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("dhash"), text.alias("text"))
 
 
-def _batches(batches, chars: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _batches(batches, chars: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Slices of bounded text (one row at least)."""
     for b in batches:
         sizes = np.cumsum([len(x) if x is not None else 0 for x in b.column("text").cast(pa.binary()).to_pylist()])
@@ -134,14 +178,16 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def rarity_sketch(own: DataFrame):
-    """Broadcast of the token counts in ``2 ** SKETCH_BITS`` buckets."""
+    """Broadcast of rarity classes: logarithms of the counts in ``2 ** SKETCH_BITS`` buckets."""
     spark, parts = own.sparkSession, 16
     width = (1 << SKETCH_BITS) // parts
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in _batches(batches):
-            total += np.bincount(_bucket(Lines(_texts(b)).tokens), minlength=len(total))
+            raw = line_words(_texts(b))[2]
+            if raw:
+                total += np.bincount(_bucket(shingles(raw)[0]), minlength=len(total))
         yield {"range": list(range(parts)), "counts": [total[i * width : (i + 1) * width].tobytes() for i in range(parts)]}
 
     def add(batches):
@@ -156,7 +202,7 @@ def rarity_sketch(own: DataFrame):
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for row in found:
         sketch[row["range"] * width : (row["range"] + 1) * width] = np.frombuffer(row["counts"], np.int64)
-    return spark.sparkContext.broadcast(sketch)
+    return spark.sparkContext.broadcast(np.minimum(2047, 48 * np.log2(1 + sketch)).astype(np.int64))
 
 
 def _lines(own: DataFrame, text: bool) -> DataFrame:
@@ -167,15 +213,14 @@ def _lines(own: DataFrame, text: bool) -> DataFrame:
 
     def rows(batches):
         for b in _batches(batches):
-            lines = Lines(_texts(b))
-            doc = np.array(lines.doc, np.int64)
-            no, cls = lines.line_no, lines.cls
+            doc, no, raw = line_words(_texts(b))
+            cls = pa.array(classes(raw))
             if not text:
-                doc = np.concatenate((doc, np.arange(b.num_rows)))
-                no, cls = no + [-1] * b.num_rows, cls + [None] * b.num_rows
-            take = pa.array(doc)
+                doc, no = doc + list(range(b.num_rows)), no + [-1] * b.num_rows
+                cls = pa.concat_arrays([cls, pa.nulls(b.num_rows, pa.int64())])
+            take = pa.array(doc, pa.int64())
             out = {"doc_id": b.column("doc_id").take(take), "dhash": b.column("dhash").take(take), "line_no": no, "cls": cls}
-            yield out | ({"words": pa.array(lines.raw, pa.binary())} if text else {})
+            yield out | ({"words": pa.array(raw, pa.binary())} if text else {})
 
     return arrow_map(own, rows, "doc_id long, dhash long, line_no int, cls long" + ", words binary" * text)
 
@@ -185,152 +230,173 @@ def _position() -> Column:
 
 
 def _postings(own: DataFrame, sketch) -> DataFrame:
-    """token, count (its rarity), cls, place, size: each line's prefix."""
+    """token, cls: the prefix of each line, of a class once a batch."""
 
     def rows(batches):
-        counts = sketch.value
+        rarity = sketch.value
         for b in _batches(batches):
-            lines = Lines(_texts(b))
-            count, token = lines.by_rarity(counts)
-            size = lines.size
-            begin = np.concatenate(([0], np.cumsum(size)))[:-1]
-            place = np.arange(len(token)) - begin[lines.owner]
-            n, d = SIMILARITY
-            own_size = size[lines.owner]
-            keep = place < own_size - -(-n * own_size // d) + 1
-            cls = np.array(lines.cls, np.int64)
-            fresh = np.zeros(len(cls), bool)  # a class once a batch
-            fresh[np.unique(cls, return_index=True)[1]] = True
-            keep &= fresh[lines.owner]
-            yield {
-                "token": pa.array(token[keep]),
-                "count": pa.array(count[keep]),
-                "cls": pa.array(cls[lines.owner[keep]]),
-            }
-
-    return arrow_map(own, rows, "token long, count long, cls long")
-
-
-def _runs(batches, keys: tuple[str, ...], values: tuple[str, ...]):
-    """(key, rows) of consecutive rows with equal keys, over batch borders."""
-    last, held = None, []
-    for b in batches:
-        columns = [b.column(k).to_pylist() for k in keys]
-        rows = list(zip(*(b.column(v).to_pylist() for v in values), strict=True))
-        for i, key in enumerate(zip(*columns, strict=True)):
-            if key != last:
-                if held:
-                    yield last, held
-                last, held = key, []
-            held.append(rows[i])
-    if held:
-        yield last, held
+            raw = list(dict.fromkeys(line_words(_texts(b))[2]))
+            if raw:
+                token, size = ordered(raw, rarity)
+                place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+                keep = place < np.repeat(prefix(size), size)
+                yield {"token": pa.array(token[keep]), "cls": pa.array(np.repeat(classes(raw), size)[keep])}
+
+    return arrow_map(own, rows, "token long, cls long")
+
+
+class _Runs:
+    """Classes under each token of two or more, from a stream sorted by token and class."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.token, self.held, self.block = None, np.zeros(0, np.int64), 0
+
+    def _emit(self, gid, block, held: np.ndarray) -> None:
+        self.rows.append((gid, block, held, self.token))
+
+    def _extend(self, new: np.ndarray) -> None:
+        if len(self.held) and len(new) and self.held[-1] == new[0]:
+            new = new[1:]
+        self.held = np.concatenate((self.held, new))
+        while len(self.held) > BLOCK:  # a longer run is named by its token and leaves block by block
+            self._emit(None, self.block, self.held[:BLOCK])
+            self.held, self.block = self.held[BLOCK:], self.block + 1
+
+    def close(self) -> None:
+        if self.block:
+            self._emit(None, self.block, self.held)
+        elif len(self.held) > 1:
+            self._emit(xxhash.xxh64_intdigest(self.held.tobytes()) >> 1, 0, self.held)
+        self.held, self.block = np.zeros(0, np.int64), 0
+
+    def add(self, token: np.ndarray, cls: np.ndarray) -> None:
+        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        ends = np.concatenate((starts[1:], [len(token)]))
+        fresh = np.concatenate(([True], (cls[1:] != cls[:-1]) | (token[1:] != token[:-1])))
+        several = np.add.reduceat(fresh.astype(np.int64), starts) > 1
+        several[0] = several[-1] = True  # these may go on in another batch
+        for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+            if token[a] != self.token:
+                self.close()
+                self.token = int(token[a])
+            self._extend(cls[a:b][fresh[a:b]])
+
+    def take(self) -> dict:
+        rows, self.rows = self.rows, []
+        n = [len(r[2]) for r in rows]
+        return {
+            "gid": [g for (g, *_), k in zip(rows, n, strict=True) for _ in range(k)],
+            "block": np.repeat([r[1] for r in rows], n),
+            "cls": np.concatenate([r[2] for r in rows]),
+            "token": np.repeat([r[3] for r in rows], n),
+        }
 
 
 def _members(postings: DataFrame) -> DataFrame:
-    """gid, block, cls, count, token: the classes under each token of two or more.
+    """gid, one, two, block, cls, token: the classes under each token of two or more.
 
     Tokens with the same members have the same gid and leave one row a member,
     with the first of the tokens; a token of more than ``BLOCK`` classes is a
-    group of its own, in blocks.
+    group of its own, in pairs of blocks.
     """
 
     def rows(batches):
-        out: list = []
-
-        def columns():
-            return dict(zip(("gid", "block", "cls", "count", "token"), map(list, zip(*out, strict=True)), strict=True))
-
-        def close(key, held, block):
-            if len(held) + block > 1:
-                gid = xxhash.xxh64_intdigest(np.array(held, np.int64).tobytes()) >> 1 if not block else None
-                out.extend((gid, block, c, key[1], key[0]) for c in held)
-
-        last, held, block = None, [], 0
+        runs = _Runs()
         for b in batches:
-            for t, n, c in zip(*(b.column(k).to_pylist() for k in ("token", "count", "cls")), strict=True):
-                if (t, n) != last:
-                    close(last, held, block)
-                    last, held, block = (t, n), [], 0
-                if held and held[-1] == c:
-                    continue
-                if len(held) == BLOCK:
-                    # the run is longer than a block: its group is named by its token
-                    out.extend((None, block, x, n, t) for x in held)
-                    held, block = [], block + 1
-                held.append(c)
-            if len(out) > 5000:
-                yield columns()
-                out = []
-        close(last, held, block)
-        if out:
-            yield columns()
-
-    ranged = postings.repartition("token").sortWithinPartitions("token", "count", "cls")
-    found = arrow_map(ranged, rows, "gid long, block int, cls long, count long, token long")
-    small = (
-        found.filter("gid is not null")
-        .groupBy("gid", "cls")
-        .agg(F.min(F.struct("count", "token")).alias("t"))
-        .select("gid", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("block"), "cls", "t.count", "t.token")
-    )
-    large = found.filter("gid is null").select((-F.abs(F.xxhash64("token", "count") / 2).cast("long") - 1).alias("gid"), "block", "cls", "count", "token")
+            if b.num_rows:
+                runs.add(b.column(0).to_numpy(), b.column(1).to_numpy())
+            if len(runs.rows) > 2000:
+                yield runs.take()
+        runs.close()
+        if runs.rows:
+            yield runs.take()
+
+    sorted_ = postings.repartition("token").sortWithinPartitions("token", "cls")
+    found = arrow_map(sorted_, rows, "gid long, block int, cls long, token long")
+    found = written(found, "runs")
+    zero = F.lit(0)
+    small = found.filter("gid is not null").groupBy("gid", "cls").agg(F.min("token").alias("token"))
+    small = small.select("gid", zero.alias("one"), zero.alias("two"), zero.alias("block"), "cls", "token")
+    large = found.filter("gid is null").select((-F.col("token") - 1).alias("gid"), "block", "cls", "token")
     blocks = large.groupBy("gid").agg((F.max("block") + 1).alias("n"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    paired = large.join(blocks, "gid").select("*", other.alias("other"))
+    paired = large.join(blocks, "gid").select("*", F.explode(F.sequence(zero, F.col("n") - 1)).alias("other"))
     paired = paired.select(
-        "gid", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "cls", "count", "token"
+        "gid", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "cls", "token"
     )
     return small.unionByName(paired)
 
 
-def _verified(groups: DataFrame, sketch) -> DataFrame:
-    """cls, n_links, linked: links of each line that its group owns, the earliest linked line.
+def _groups(batches) -> Iterator[list[list[tuple]]]:
+    """Lists of whole groups, some thousand members at a time; a group is consecutive rows."""
+    ready, size, last, held = [], 0, None, []
+    for b in batches:
+        keys = zip(*(b.column(k).to_pylist() for k in ("gid", "one", "two")), strict=True)
+        rows = zip(*(b.column(k).to_pylist() for k in ("one", "two", "block", "cls", "token", "words", "first")), strict=True)
+        for key, row in zip(keys, rows, strict=True):
+            if key != last:
+                if len(held) > 1:
+                    ready.append(held)
+                    size += len(held)
+                if size > 2000:
+                    yield ready
+                    ready, size = [], 0
+                last, held = key, []
+            held.append(row)
+    if len(held) > 1:
+        ready.append(held)
+    if ready:
+        yield ready
 
-    A pair is owned by the group of its first common token; in a pair of
-    blocks, lines of the same block are left to the block's group with itself.
-    """
+
+def _linked(members: list[tuple], sets: list[frozenset], heads: list[frozenset]) -> Iterator[tuple[int, int]]:
+    """Pairs that the group owns: similar, and with its token as the first in common."""
+    one, two, _, _, here, _, _ = members[0]
+    n, d = SIMILARITY
+    order = sorted(range(len(members)), key=lambda i: len(sets[i]))
+    for x, i in enumerate(order):
+        a = sets[i]
+        longest = len(a) * d // n
+        for j in order[x + 1 :]:
+            b = sets[j]
+            if len(b) > longest:
+                break
+            if one != two and members[i][2] == members[j][2]:
+                continue  # left to the block's group with itself
+            least = needed(len(a), len(b))
+            if len(a & b) >= least and min(heads[i] & heads[j], default=None) == here:
+                v, w = _words(members[i][5]), _words(members[j][5])
+                if len(v & w) >= needed(len(v), len(w)):
+                    yield i, j
+
+
+def _verified(groups: DataFrame, sketch) -> DataFrame:
+    """cls, n_links, linked: links of each line that its group owns, the earliest linked line."""
 
     def rows(batches):
-        counts = sketch.value
-        for (_, one, two), members in _runs(batches, ("gid", "one", "two"), ("block", "cls", "count", "token", "words", "first")):
-            if len(members) < 2:
-                continue
-            lines = Lines([m[4] for m in members])
-            count, token = lines.by_rarity(counts)
-            ends = np.cumsum(lines.size)[:-1]
-            orders = [list(zip(c.tolist(), t.tolist(), strict=True)) for c, t in zip(np.split(count, ends), np.split(token, ends), strict=True)]
-            sets = [frozenset(o) for o in orders]
-            heads = [frozenset(o[: prefix(len(o))]) for o in orders]
-            grams = [_words(m[4]) for m in members]
-            here = members[0][2:4]
-            links, earliest = [0] * len(members), [None] * len(members)
-            by_size = sorted(range(len(members)), key=lambda i: len(sets[i]))
-            places = [tuple(m[5].values()) for m in members]
-            places = [(p[0], p[1] or 0, p[2], p[3]) for p in places]
-            for x, i in enumerate(by_size):
-                a = sets[i]
-                for j in by_size[x + 1 :]:
-                    b = sets[j]
-                    if len(a) * SIMILARITY[1] < len(b) * SIMILARITY[0]:
-                        break
-                    if one != two and members[i][0] == members[j][0]:
-                        continue
-                    if len(a & b) < needed(len(a), len(b)) or min(heads[i] & heads[j], default=None) != here:
-                        continue
-                    if len(grams[i] & grams[j]) < needed(len(grams[i]), len(grams[j])):
-                        continue
+        rarity = sketch.value
+        for ready in _groups(batches):
+            raw = list(dict.fromkeys(m[5] for g in ready for m in g))
+            token, size = ordered(raw, rarity)
+            tokens, ends = token.tolist(), np.cumsum(size).tolist()
+            sets, heads = {}, {}
+            for w, n, end in zip(raw, size.tolist(), ends, strict=True):
+                sets[w] = frozenset(tokens[end - n : end])
+                heads[w] = frozenset(tokens[end - n : end - n + prefix(n)])
+            out: dict[str, list] = {"cls": [], "n_links": [], "linked": []}
+            for g in ready:
+                links, earliest = [0] * len(g), [None] * len(g)
+                places = [tuple(v or 0 for v in m[6].values()) for m in g]
+                for i, j in _linked(g, [sets[m[5]] for m in g], [heads[m[5]] for m in g]):
                     for u, v in ((i, j), (j, i)):
                         links[u] += 1
                         if earliest[u] is None or places[v] < places[earliest[u]]:
                             earliest[u] = v
-            found = [i for i, n in enumerate(links) if n]
-            if found:
-                yield {
-                    "cls": [members[i][1] for i in found],
-                    "n_links": [links[i] for i in found],
-                    "linked": [members[earliest[i]][5] for i in found],
-                }
+                for i, n in enumerate(links):
+                    if n:
+                        for column, value in zip(out.values(), (g[i][3], n, g[earliest[i]][6]), strict=True):
+                            column.append(value)
+            yield out
 
     return arrow_map(groups, rows, f"cls long, n_links long, linked {_POSITION}")
 
@@ -344,11 +410,11 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """cls, first (place of its first line), n_links, linked (earliest similar line)."""
     own = _own(docs, id_col, text_col)
     sketch = rarity_sketch(own)
-    members = written(_members(_postings(own, sketch)), "members")
+    members = _members(_postings(own, sketch))
     texts = _lines(own, True).groupBy("cls").agg(F.min(F.struct(_position().alias("first"), "words")).alias("x"))
     texts = texts.select("cls", "x.first", "x.words")
     with_text = members.join(texts, "cls").repartition("gid", "one", "two").sortWithinPartitions("gid", "one", "two")
-    found = _verified(with_text.select("gid", "one", "two", "block", "cls", "count", "token", "words", "first"), sketch)
+    found = _verified(with_text.select("gid", "one", "two", "block", "cls", "token", "words", "first"), sketch)
     return found.groupBy("cls").agg(F.sum("n_links").alias("n_links"), F.min("linked").alias("linked"))
 
 
@@ -360,7 +426,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     own = _own(docs, id_col, text_col)
     similar = written(links(docs, id_col, text_col), "links")
-    lines = _lines(own, False)
+    lines = written(_lines(own, False), "lines")
     firsts = lines.filter("cls is not null").groupBy("cls").agg(F.min(_position()).alias("first"))
     known = firsts.join(similar, "cls", "left").select("cls", F.least("first", "linked").alias("first"), "n_links")
     removed = F.coalesce(_position() > F.col("first"), F.lit(False))

@@ -1,6 +1,689 @@
-"""The registered queries of the library and the SQL they are checked against."""
+"""The registered queries of the library and the SQL they are checked against.
+
+Each query applies one operator to a whole table. Doubles are rounded so that
+the order of summation doesn't matter.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from qualispark.operators import capability as cap
+from qualispark.operators import charts, control, models, wrangle
+from qualispark.operators import hypothesis as hyp
+from qualispark.operators.ordered import numbered
+from qualispark.sources.tables import profile
+from qualispark.streaming.monitor import windowed_signals
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+#: Order of the events.
+TIME = ["ts", "event_id"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").filter("event_type = 'purchase'")
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 5) -> DataFrame:
+    """The columns asked for, doubles rounded."""
+    kinds = dict(df.dtypes)
+    names = columns or tuple(df.columns)
+    return df.select(*((F.round(c, digits) + 0.0).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in names))
+
+
+def query(sql: str | None = None):
+    """Register a query, with its SQL where SQL can express it."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def R(expr: str, name: str, digits: int = 5) -> str:
+    return f"round(({expr})::DOUBLE, {digits}) + 0.0 AS {name}"
+
+
+P = """p AS (SELECT event_id, ts, user_id, value AS x, row_number() OVER (ORDER BY ts, event_id) AS i
+  FROM events WHERE event_type = 'purchase' AND value IS NOT NULL)"""
+MR = P + """, m AS (SELECT *, abs(x - lag(x) OVER (ORDER BY i)) AS mr FROM p),
+ l AS (SELECT avg(x) AS c, avg(mr) AS b, avg(mr) / 1.128 AS s, stddev_samp(x) AS sd, count(*) AS n FROM m)"""
+
+# ------------------------------------------------------------ control charts
+
+
+@query(f"WITH {MR} SELECT n, {R('c', 'center')}, {R('s', 'sigma')}, {R('c + 3 * s', 'ucl')}, {R('c - 3 * s', 'lcl')}, {R('3.267 * b', 'mr_ucl')} FROM l")
+def imr_limits(spark, sf):
+    return rounded(control.imr_limits(purchases(spark, sf), "value", TIME), "n", "center", "sigma", "ucl", "lcl", "mr_ucl")
+
+
+@query(f"WITH {MR} SELECT event_id, {R('x', 'x')}, {R('mr', 'mr')}, (x > c + 3 * s OR x < c - 3 * s) AS out, coalesce(mr > 3.267 * b, false) AS mr_out FROM m, l")
+def imr_flags(spark, sf):
+    return rounded(control.imr_flags(purchases(spark, sf), "value", TIME), "event_id", "x", "mr", "out", "mr_out")
+
+
+def _frame(n: int, test: str) -> str:
+    return f"(count(*) OVER w{n} = {n} AND {test})"
+
+
+_RULES = f"""WITH {MR}, d AS (SELECT event_id, i, x - c AS d, s FROM m, l),
+ t AS (SELECT *, d - lag(d) OVER (ORDER BY i) AS g FROM d),
+ u AS (SELECT *, sign(g) * sign(lag(g) OVER (ORDER BY i)) AS a FROM t)
+SELECT event_id, abs(d) > 3 * s AS r1,
+ (count(*) OVER w9 = 9 AND (min(sign(d)) OVER w9 = 1 OR max(sign(d)) OVER w9 = -1)) AS r2,
+ (count(g) OVER w5 = 5 AND (min(sign(g)) OVER w5 = 1 OR max(sign(g)) OVER w5 = -1)) AS r3,
+ (count(a) OVER w12 = 12 AND max(a) OVER w12 < 0) AS r4,
+ (count(*) OVER w3 = 3 AND (sum((d > 2 * s)::INT) OVER w3 >= 2 OR sum((d < -2 * s)::INT) OVER w3 >= 2)) AS r5,
+ (count(*) OVER w5 = 5 AND (sum((d > s)::INT) OVER w5 >= 4 OR sum((d < -s)::INT) OVER w5 >= 4)) AS r6,
+ (count(*) OVER w15 = 15 AND max(abs(d)) OVER w15 < min(s) OVER w15) AS r7,
+ (count(*) OVER w8 = 8 AND min(abs(d)) OVER w8 > min(s) OVER w8) AS r8
+FROM u WINDOW {', '.join(f'w{n} AS (ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)' for n in (3, 5, 8, 9, 12, 15))}"""
+
+
+@query(_RULES)
+def run_rules(spark, sf):
+    return control.run_rules(purchases(spark, sf), "value", TIME).select("event_id", *(f"r{i}" for i in range(1, 9)))
+
+
+@query(
+    f"""WITH {P}, q AS (SELECT *, month(ts) AS ph FROM p), z AS (SELECT *, coalesce((lag(ph) OVER (ORDER BY i) <> ph)::INT, 1) AS nw FROM q),
+ r AS (SELECT *, sum(nw) OVER (ORDER BY i) AS run FROM z), k AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY run ORDER BY i)) AS mr FROM r)
+ SELECT run::BIGINT AS run, ph AS month, count(*) AS n, {R('avg(x)', 'center')}, {R('avg(mr) / 1.128', 'sigma')} FROM k GROUP BY run, ph"""
+)
+def phased_imr(spark, sf):
+    df = purchases(spark, sf).withColumn("month", F.month("ts").cast("long"))
+    return rounded(control.phased_imr(df, "value", "month", TIME))
+
+
+_SUB = """g AS (SELECT l_orderkey % 500 AS k, l_quantity AS x, row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem),
+ s AS (SELECT k, avg(x) AS m, max(x) - min(x) AS r, stddev_samp(x) AS d FROM g WHERE i <= 5 GROUP BY k HAVING count(*) = 5)"""
+
+
+def _subgroups(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("k").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    g = table(spark, sf, "lineitem").withColumn("k", F.col("l_orderkey") % 500)
+    return g.withColumn("i", F.row_number().over(w)).filter("i <= 5").withColumn("c", F.count("*").over(Window.partitionBy("k"))).filter("c = 5")
+
+
+@query(f"WITH {_SUB} SELECT count(*) AS k, {R('avg(m)', 'center')}, {R('avg(r)', 'r_bar')}, {R('avg(m) + 0.577 * avg(r)', 'ucl')}, {R('avg(m) - 0.577 * avg(r)', 'lcl')}, {R('2.114 * avg(r)', 'r_ucl')}, 0.0::DOUBLE AS r_lcl FROM s")
+def xbar_r(spark, sf):
+    return rounded(control.xbar_r(_subgroups(spark, sf), "l_quantity", "k"), "k", "center", "r_bar", "ucl", "lcl", "r_ucl", "r_lcl")
+
+
+@query(f"WITH {_SUB} SELECT count(*) AS k, {R('avg(m)', 'center')}, {R('avg(d)', 's_bar')}, {R('avg(m) + 1.427 * avg(d)', 'ucl')}, {R('avg(m) - 1.427 * avg(d)', 'lcl')}, {R('2.089 * avg(d)', 's_ucl')} FROM s")
+def xbar_s(spark, sf):
+    return rounded(control.xbar_s(_subgroups(spark, sf), "l_quantity", "k"), "k", "center", "s_bar", "ucl", "lcl", "s_ucl")
+
+
+_DAYS = """d AS (SELECT ts::DATE::VARCHAR AS day, count(*) AS n, sum((event_type = 'error')::INT)::BIGINT AS bad FROM events GROUP BY 1)"""
+
+
+def _days(spark, sf):
+    return table(spark, sf, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("bad"))
+
+
+@query(f"""WITH {_DAYS}, c AS (SELECT sum(bad)::DOUBLE / sum(n) AS c FROM d), l AS (SELECT *, bad / n::DOUBLE AS p, 3 * sqrt(c * (1 - c) / n) AS h FROM d, c)
+ SELECT day, {R('p', 'p')}, {R('least(1, c + h)', 'ucl')}, {R('greatest(0, c - h)', 'lcl')}, (p > least(1, c + h) OR p < greatest(0, c - h)) AS out FROM l""")
+def p_chart(spark, sf):
+    return rounded(control.p_chart(_days(spark, sf), "bad", "n"), "day", "p", "ucl", "lcl", "out")
+
+
+@query(f"""WITH {_DAYS}, c AS (SELECT sum(bad)::DOUBLE / sum(n) AS c FROM d), l AS (SELECT *, bad / n::DOUBLE AS u, 3 * sqrt(c / n) AS h FROM d, c)
+ SELECT day, {R('u', 'u')}, {R('c + h', 'ucl')}, {R('greatest(0, c - h)', 'lcl')}, (u > c + h OR u < greatest(0, c - h)) AS out FROM l""")
+def u_chart(spark, sf):
+    return rounded(control.u_chart(_days(spark, sf), "bad", "n"), "day", "u", "ucl", "lcl", "out")
+
+
+@query(f"WITH {_DAYS} SELECT {R('avg(bad)', 'center')}, {R('avg(bad) + 3 * sqrt(avg(bad))', 'ucl')}, {R('greatest(0, avg(bad) - 3 * sqrt(avg(bad)))', 'lcl')} FROM d")
+def c_chart(spark, sf):
+    return rounded(control.c_chart(_days(spark, sf), "bad"))
+
+
+@query(f"WITH {_DAYS} SELECT {R('avg(bad)', 'center')}, {R('least(1000, avg(bad) + 3 * sqrt(avg(bad) * (1 - avg(bad) / 1000)))', 'ucl')}, {R('greatest(0, avg(bad) - 3 * sqrt(avg(bad) * (1 - avg(bad) / 1000)))', 'lcl')} FROM d")
+def np_chart(spark, sf):
+    return rounded(control.np_chart(_days(spark, sf), "bad", 1000))
+
+
+@query(f"""WITH {_DAYS}, c AS (SELECT sum(bad)::DOUBLE / sum(n) AS c FROM d), z AS (SELECT day, c, (bad / n::DOUBLE - c) / sqrt(c * (1 - c) / n) AS z FROM d, c),
+ m AS (SELECT c, abs(z - lag(z) OVER (ORDER BY day)) AS mr FROM z), o AS (SELECT count(*) AS k, any_value(c) AS center, avg(mr) / 1.128 AS s FROM m)
+ SELECT k, {R('center', 'center')}, {R('s', 'sigma_z')}, CASE WHEN s > 1.2 THEN 'over' WHEN s < 0.8 THEN 'under' ELSE 'none' END AS dispersion FROM o""")
+def laney(spark, sf):
+    return rounded(control.laney(_days(spark, sf), "bad", "n", ["day"]))
+
+
+@query(f"""WITH {MR}, u AS (SELECT event_id, i, sd, sum(x - c - 0.5 * sd) OVER w AS pp, sum(c - 0.5 * sd - x) OVER w AS q FROM m, l WINDOW w AS (ORDER BY i)),
+ v AS (SELECT *, pp - least(0, min(pp) OVER w) AS a, q - least(0, min(q) OVER w) AS b FROM u WINDOW w AS (ORDER BY i))
+ SELECT event_id, {R('a', 'c_plus', 3)}, {R('b', 'c_minus', 3)}, (a > 4 * sd OR b > 4 * sd) AS out FROM v""")
+def cusum(spark, sf):
+    return rounded(control.cusum(purchases(spark, sf), "value", TIME), "event_id", "c_plus", "c_minus", "out", digits=3)
+
+
+@query(f"""WITH RECURSIVE {MR}, z AS (SELECT i, event_id, c AS z FROM m, l WHERE i = 1 UNION ALL SELECT m.i, m.event_id, 0.2 * m.x + 0.8 * z.z FROM z JOIN m ON m.i = z.i + 1),
+ k AS (SELECT event_id, z, c, 3 * sd * sqrt(0.2 / 1.8 * (1 - power(0.8, 2 * i))) AS h FROM z, l)
+ SELECT event_id, {R('z', 'z')}, {R('c + h', 'ucl')}, {R('c - h', 'lcl')}, (z > c + h OR z < c - h) AS out FROM k""")
+def ewma(spark, sf):
+    return rounded(control.ewma(purchases(spark, sf), "value", TIME), "event_id", "z", "ucl", "lcl", "out")
+
+
+@query(f"""WITH {MR}, a AS (SELECT event_id, CASE WHEN count(*) OVER w = 5 THEN avg(x) OVER w END AS ma, c, sd FROM m, l WINDOW w AS (ORDER BY i ROWS 4 PRECEDING))
+ SELECT event_id, {R('ma', 'ma')}, coalesce(abs(ma - c) > 3 * sd / sqrt(5), false) AS out FROM a""")
+def moving_average(spark, sf):
+    return rounded(control.moving_average(purchases(spark, sf), "value", TIME), "event_id", "ma", "out")
+
+
+@query(f"""WITH {P}, q AS (SELECT i, power(x, 1 / 3.6) AS x FROM p WHERE x > 0), m AS (SELECT x, abs(x - lag(x) OVER (ORDER BY i)) AS mr FROM q),
+ l AS (SELECT count(*) AS n, avg(x) AS c, avg(mr) / 1.128 AS s FROM m)
+ SELECT n, {R('power(c, 3.6)', 'center', 3)}, {R('power(c + 3 * s, 3.6)', 'ucl', 3)}, {R('power(greatest(0, c - 3 * s), 3.6)', 'lcl', 3)} FROM l""")
+def t_chart(spark, sf):
+    return rounded(control.t_chart(purchases(spark, sf), "value", TIME), digits=3)
+
+
+@query(f"""WITH g AS (SELECT avg(l_linenumber) AS mean, 1 / (avg(l_linenumber) + 1) AS p FROM lineitem)
+ SELECT {R('mean', 'mean')}, {R('p', 'p')}, {R('greatest(0, ceil(ln(0.00135) / ln(1 - p)) - 1)', 'ucl')}, {R('greatest(0, ceil(ln(1 - 0.00135) / ln(1 - p)) - 1)', 'lcl')} FROM g""")
+def g_chart(spark, sf):
+    return rounded(control.g_chart(table(spark, sf, "lineitem"), "l_linenumber"))
+
+
+@query(f"""WITH m AS (SELECT event_id, event_type, value AS x, abs(value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS mr FROM events WHERE value IS NOT NULL),
+ s AS (SELECT event_type, avg(x) AS a, avg(mr) / 1.128 AS s FROM m GROUP BY 1 HAVING count(*) >= 2)
+ SELECT event_id, event_type, {R('(x - a) / nullif(s, 0)', 'z')}, abs((x - a) / nullif(s, 0)) > 3 AS out FROM m JOIN s USING (event_type)""")
+def z_mr(spark, sf):
+    return rounded(control.z_mr(table(spark, sf, "events"), "value", "event_type", TIME), "event_id", "event_type", "z", "out")
+
+
+@query(f"""WITH m AS (SELECT value - avg(value) OVER (PARTITION BY event_type) AS dev, abs(value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS mr FROM events WHERE value IS NOT NULL)
+ SELECT count(dev) AS n, {R('avg(mr) / 1.128', 'sigma')}, {R('3 * avg(mr) / 1.128', 'ucl')}, {R('-3 * avg(mr) / 1.128', 'lcl')} FROM m""")
+def short_run(spark, sf):
+    return rounded(control.short_run(table(spark, sf, "events"), "value", "event_type", TIME))
+
+
+# ------------------------------------------------- capability, Pareto, flow
+
+
+@query(f"""WITH {MR} SELECT n, {R('c', 'mean')}, {R('100 / (6 * s)', 'cp')}, {R('least(100 - c, c) / (3 * s)', 'cpk')}, {R('100 / (6 * sd)', 'pp')}, {R('least(100 - c, c) / (3 * sd)', 'ppk')},
+ {R('100 / (6 * sqrt(sd * sd + (c - 50) * (c - 50)))', 'cpm')} FROM l""")
+def capability(spark, sf):
+    return rounded(cap.capability(purchases(spark, sf), "value", TIME, 0.0, 100.0), "n", "mean", "cp", "cpk", "pp", "ppk", "cpm")
+
+
+@query(f"""WITH q AS (SELECT quantile_cont(l_quantity, 0.00135) AS a, quantile_cont(l_quantity, 0.5) AS b, quantile_cont(l_quantity, 0.99865) AS c FROM lineitem)
+ SELECT {R('b', 'median')}, {R('60 / (c - a)', 'pp')}, {R('least((60 - b) / (c - b), b / (b - a))', 'ppk')} FROM q""")
+def clements(spark, sf):
+    return rounded(cap.clements(table(spark, sf, "lineitem"), "l_quantity", 0.0, 60.0))
+
+
+@query(f"""WITH {P}, r AS (SELECT event_id, count(*) OVER w AS n, avg(x) OVER w AS m, stddev_samp(x) OVER w AS s FROM p WINDOW w AS (ORDER BY i ROWS 29 PRECEDING))
+ SELECT event_id, {R('m', 'm', 4)}, {R('least(100 - m, m) / (3 * s)', 'cpk', 4)} FROM r WHERE n = 30""")
+def rolling_cpk(spark, sf):
+    return rounded(cap.rolling_cpk(purchases(spark, sf), "value", TIME, 0.0, 100.0), "event_id", "m", "cpk", digits=4)
+
+
+@query(f"""WITH s AS (SELECT avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineitem)
+ SELECT f AS factor, {R('least(60 - m, m) / (3 * s * f)', 'cpk')} FROM s, (VALUES (1.0::DOUBLE), (0.9), (0.8), (0.7), (0.5)) AS v(f)""")
+def predictive_cpk(spark, sf):
+    return rounded(cap.predictive_cpk(table(spark, sf, "lineitem"), "l_quantity", 0.0, 60.0))
+
+
+_PARETO = """g AS (SELECT {c} AS category, {v} AS total FROM {t} GROUP BY 1), h AS (SELECT *, 100 * total / sum(total) OVER () AS share FROM g),
+ k AS (SELECT *, sum(share) OVER w AS cum FROM h WINDOW w AS (ORDER BY total DESC, category ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(f"WITH {_PARETO.format(c='p_type', v='count(*)::DOUBLE', t='part')} SELECT category, {R('total', 'total')}, {R('share', 'share')}, {R('cum', 'cum')}, coalesce(lag(cum) OVER (ORDER BY total DESC, category), 0) < 80 AS vital FROM k")
+def pareto(spark, sf):
+    return rounded(cap.pareto(table(spark, sf, "part"), "p_type"), "category", "total", "share", "cum", "vital")
+
+
+@query(f"""WITH g AS (SELECT p_brand AS category, count(*)::DOUBLE AS n, sum(p_retailprice) AS cost FROM part GROUP BY 1),
+ r AS (SELECT *, row_number() OVER (ORDER BY n DESC, category) AS n_rank, row_number() OVER (ORDER BY cost DESC, category) AS cost_rank FROM g)
+ SELECT category, {R('n', 'n')}, {R('cost', 'cost', 3)}, n_rank::INT AS n_rank, cost_rank::INT AS cost_rank, n_rank <> cost_rank AS disagrees FROM r""")
+def cost_pareto(spark, sf):
+    out = cap.cost_pareto(table(spark, sf, "part"), "p_brand", "p_retailprice")
+    return rounded(out.withColumn("cost", F.round("cost", 3)), "category", "n", "cost", "n_rank", "cost_rank", "disagrees")
+
+
+_STOP = ", ".join(f"'{w}'" for w in sorted(cap.STOP))
+_STEM = "CASE WHEN regexp_full_match(w, '.{3,}ies') THEN substr(w, 1, length(w) - 3) || 'y' " + " ".join(
+    f"WHEN regexp_full_match(w, '.{{3,}}{e}') THEN substr(w, 1, length(w) - {len(e)})" for e in ("ing", "ied", "es", "ed", "s")
+) + " ELSE w END"
+
+
+@query(f"""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]+')) AS w FROM documents), s AS (SELECT {_STEM} AS term FROM t WHERE length(w) > 2 AND w NOT IN ({_STOP})),
+ g AS (SELECT term, count(*) AS n FROM s GROUP BY 1) SELECT term, n, {R('100.0 * n / (SELECT sum(n) FROM g)', 'share')} FROM g ORDER BY n DESC, term LIMIT 25""")
+def text_pareto(spark, sf):
+    return rounded(cap.text_pareto(table(spark, sf, "documents"), "text", 25))
+
+
+@query(f"""WITH {_DAYS}, s AS (SELECT sum(n)::DOUBLE AS n, sum(bad)::DOUBLE / sum(n) AS p FROM d), z AS (SELECT *, 1.959963984540054 AS z FROM s)
+ SELECT {R('n', 'n')}, {R('p', 'rate')}, {R('p * 1e6', 'dpmo', 3)}, {R('(p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)', 'low')},
+ {R('(p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)', 'high')} FROM z""")
+def attribute_capability(spark, sf):
+    out = cap.attribute_capability(_days(spark, sf), "bad", "n")
+    return rounded(out.withColumn("dpmo", F.round("dpmo", 3)))
+
+
+@query(f"""WITH d AS (SELECT (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400e6 AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+ SELECT count(*) AS n, {R('avg(d)', 'mean')}, {R('quantile_cont(d, 0.5)', 'p50')}, {R('quantile_cont(d, 0.7)', 'p70')}, {R('quantile_cont(d, 0.85)', 'p85')}, {R('quantile_cont(d, 0.95)', 'p95')} FROM d WHERE d >= 0""")
+def cycle_time(spark, sf):
+    j = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rounded(cap.cycle_time(j, "o_orderdate", "l_shipdate"))
+
+
+# --------------------------------------------------------- hypothesis tests
+
+_TWO = """g AS (SELECT l_linestatus AS g, count(*)::DOUBLE AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem GROUP BY 1),
+ t AS (SELECT arg_min(n, g) AS n1, arg_max(n, g) AS n2, arg_min(m, g) AS m1, arg_max(m, g) AS m2, arg_min(v, g) AS v1, arg_max(v, g) AS v2 FROM g)"""
+
+
+@query(f"WITH {_TWO} SELECT {R('m1 - m2', 'diff')}, {R('(m1 - m2) / sqrt(v1 / n1 + v2 / n2)', 't')}, {R('power(v1 / n1 + v2 / n2, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v2 / n2, 2) / (n2 - 1))', 'df', 3)}, {R('(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))', 'd')} FROM t")
+def welch_t(spark, sf):
+    out = hyp.two_sample_t(table(spark, sf, "lineitem"), "l_quantity", "l_linestatus")
+    return rounded(out.withColumn("df", F.round("df", 3)), "diff", "t", "df", "d")
+
+
+@query(f"WITH {_TWO} SELECT {R('(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2))', 't')}, {R('n1 + n2 - 2', 'df')} FROM t")
+def pooled_t(spark, sf):
+    return rounded(hyp.two_sample_t(table(spark, sf, "lineitem"), "l_quantity", "l_linestatus", True), "t", "df")
+
+
+@query(f"WITH {_TWO} SELECT {R('v1 / v2', 'f')} FROM t")
+def f_test(spark, sf):
+    return rounded(hyp.f_test(table(spark, sf, "lineitem"), "l_quantity", "l_linestatus"), "f")
+
+
+@query(f"SELECT count(*) AS n, {R('avg(l_quantity)', 'mean')}, {R('(avg(l_quantity) - 25) / (stddev_samp(l_quantity) / sqrt(count(*)))', 't')}, {R('(avg(l_quantity) - 25) / stddev_samp(l_quantity)', 'd')} FROM lineitem")
+def one_sample_t(spark, sf):
+    return rounded(hyp.one_sample_t(table(spark, sf, "lineitem"), "l_quantity", 25.0), "n", "mean", "t", "d")
+
+
+@query(f"WITH d AS (SELECT l_discount - l_tax AS d FROM lineitem) SELECT count(*) AS n, {R('avg(d) / (stddev_samp(d) / sqrt(count(*)))', 't')} FROM d")
+def paired_t(spark, sf):
+    return rounded(hyp.paired_t(table(spark, sf, "lineitem"), "l_discount", "l_tax"), "n", "t")
+
+
+_GROUPS = "g AS (SELECT l_returnflag AS g, count(*)::DOUBLE AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem GROUP BY 1)"
+
+
+@query(f"""WITH {_GROUPS}, a AS (SELECT sum(n * m) / sum(n) AS gm FROM g), s AS (SELECT count(*) AS k, sum(n) AS n, sum(n * (m - gm) * (m - gm)) AS b, sum((n - 1) * v) AS w FROM g, a)
+ SELECT k, {R('b / (k - 1) / (w / (n - k))', 'f')}, {R('b / (b + w)', 'eta_sq', 7)}, {R('(b - (k - 1) * w / (n - k)) / (b + w + w / (n - k))', 'omega_sq', 7)} FROM s""")
+def anova(spark, sf):
+    out = hyp.one_way_anova(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag")
+    return out.select("k", (F.round("f", 5) + 0.0).alias("f"), (F.round("eta_sq", 7) + 0.0).alias("eta_sq"), (F.round("omega_sq", 7) + 0.0).alias("omega_sq"))
+
+
+@query(f"""WITH {_GROUPS}, w AS (SELECT *, n / v AS w FROM g), s AS (SELECT sum(w) AS sw, sum(w * m) / sum(w) AS mw, count(*)::DOUBLE AS k FROM w),
+ h AS (SELECT any_value(k) AS k, sum(w * (m - mw) * (m - mw)) AS a, sum((1 - w / sw) * (1 - w / sw) / (n - 1)) AS h FROM w, s)
+ SELECT {R('(a / (k - 1)) / (1 + 2 * (k - 2) / (k * k - 1) * h)', 'f')}, {R('(k * k - 1) / (3 * h)', 'df2', 3)} FROM h""")
+def welch_anova(spark, sf):
+    out = hyp.welch_anova(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag")
+    return rounded(out.withColumn("df2", F.round("df2", 3)), "f", "df2")
+
+
+@query(f"""WITH {_GROUPS}, s AS (SELECT sum(n) AS t, sum(n * m) / sum(n) AS gm FROM g) SELECT {R('sum(n * (m - gm) * (m - gm)) / sum((1 - n / t) * v)', 'f')} FROM g, s""")
+def brown_forsythe(spark, sf):
+    return rounded(hyp.brown_forsythe_anova(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag"), "f")
+
+
+@query(f"""WITH m AS (SELECT l_returnflag AS g, median(l_quantity) AS md FROM lineitem GROUP BY 1), d AS (SELECT l_returnflag AS g, abs(l_quantity - md) AS x FROM lineitem JOIN m ON l_returnflag = g),
+ g AS (SELECT g, count(*)::DOUBLE AS n, avg(x) AS m, var_samp(x) AS v FROM d GROUP BY 1), a AS (SELECT sum(n * m) / sum(n) AS gm FROM g)
+ SELECT {R('sum(n * (m - gm) * (m - gm)) / (count(*) - 1) / (sum((n - 1) * v) / (sum(n) - count(*)))', 'f')} FROM g, a""")
+def levene(spark, sf):
+    return rounded(hyp.levene(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag"), "f")
+
+
+@query(f"""WITH {_GROUPS}, s AS (SELECT count(*) AS k, sum(n - 1) AS d, sum((n - 1) * v) AS s, sum((n - 1) * ln(v)) AS l, sum(1 / (n - 1)) AS r FROM g)
+ SELECT {R('(d * ln(s / d) - l) / (1 + (r - 1 / d) / (3 * (k - 1)))', 't')} FROM s""")
+def bartlett(spark, sf):
+    return rounded(hyp.bartlett(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag"), "t")
+
+
+_RANKED = "c AS (SELECT value AS x, event_type AS g, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY value)::DOUBLE AS t FROM events WHERE value IS NOT NULL{w})"
+
+
+@query(f"""WITH {_RANKED.format(w="")}, g AS (SELECT g, count(*)::DOUBLE AS n, sum(r) AS s, sum(t * t - 1) AS t FROM c GROUP BY g), o AS (SELECT count(*) AS k, sum(n) AS n, sum(s * s / n) AS q, sum(t) AS t FROM g),
+ h AS (SELECT *, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS h FROM o) SELECT k, {R('h', 'h', 4)}, {R('h / (n - 1)', 'epsilon_sq')} FROM h""")
+def kruskal(spark, sf):
+    out = hyp.kruskal(table(spark, sf, "events"), "value", "event_type")
+    return rounded(out.withColumn("h", F.round("h", 4)), "k", "h", "epsilon_sq")
+
+
+@query(f"""WITH {_RANKED.format(w=" AND event_type IN ('purchase', 'click')")}, g AS (SELECT g, count(*)::DOUBLE AS n, sum(r) AS s FROM c GROUP BY g), o AS (SELECT arg_min(n, g) AS n1, arg_max(n, g) AS n2, arg_min(s, g) AS s1 FROM g)
+ SELECT {R('s1 - n1 * (n1 + 1) / 2', 'u')}, {R('1 - 2 * (s1 - n1 * (n1 + 1) / 2) / (n1 * n2)', 'r')} FROM o""")
+def mann_whitney(spark, sf):
+    df = table(spark, sf, "events").filter("event_type in ('purchase', 'click')")
+    return rounded(hyp.mann_whitney(df, "value", "event_type"), "u", "r")
+
+
+@query(f"""WITH d AS (SELECT l_discount - l_tax AS d FROM lineitem WHERE l_discount - l_tax <> 0), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d)
+ SELECT {R('count(*)', 'n')}, {R('least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END))', 'w', 1)} FROM r""")
+def wilcoxon(spark, sf):
+    out = hyp.wilcoxon(table(spark, sf, "lineitem"), "l_discount", "l_tax")
+    return rounded(out.withColumn("w", F.round("w", 1)), "n", "w")
+
+
+_CHI = """n AS (SELECT {a} AS a, {b} AS b, count(*)::DOUBLE AS n FROM {t} GROUP BY 1, 2), r AS (SELECT a, sum(n) AS ra FROM n GROUP BY 1), k AS (SELECT b, sum(n) AS cb FROM n GROUP BY 1),
+ e AS (SELECT coalesce(n, 0) AS o, ra * cb / (SELECT sum(n) FROM n) AS e FROM r CROSS JOIN k LEFT JOIN n USING (a, b)), s AS (SELECT sum((o - e) * (o - e) / e) AS x FROM e)"""
+
+
+@query(f"""WITH {_CHI.format(a='l_returnflag', b='l_linenumber', t='lineitem')} SELECT {R('x', 'chi2')}, (SELECT (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) FROM n) AS df, {R('sqrt(x / ((SELECT sum(n) FROM n) * ((SELECT least(count(DISTINCT a), count(DISTINCT b)) FROM n) - 1)))', 'cramers_v')} FROM s""")
+def chi_square(spark, sf):
+    return rounded(hyp.chi_square(table(spark, sf, "lineitem"), "l_returnflag", "l_linenumber"), "chi2", "df", "cramers_v")
+
+
+@query(f"WITH m AS (SELECT median(l_quantity) AS md FROM lineitem), q AS (SELECT l_returnflag, l_quantity > md AS above FROM lineitem, m), {_CHI.format(a='l_returnflag', b='above', t='q')} SELECT {R('x', 'chi2')} FROM s")
+def mood_median(spark, sf):
+    return rounded(hyp.mood_median(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag"), "chi2")
+
+
+@query("SELECT sum((l_discount - 0.05 > 0)::INT)::BIGINT AS above, sum((l_discount - 0.05 < 0)::INT)::BIGINT AS below FROM lineitem")
+def sign_test(spark, sf):
+    return hyp.sign_test(table(spark, sf, "lineitem"), "l_discount", 0.05).select("above", "below")
+
+
+@query(f"SELECT {R('avg((l_returnflag = $$R$$)::INT)', 'share')}, {R('2 * asin(sqrt(avg((l_returnflag = $$R$$)::INT))) - 2 * asin(sqrt(0.5))', 'h')} FROM lineitem")
+def one_proportion(spark, sf):
+    return rounded(hyp.one_proportion(table(spark, sf, "lineitem"), F.col("l_returnflag") == "R"), "share", "h")
+
+
+@query(f"""WITH g AS (SELECT l_linestatus AS g, count(*)::DOUBLE AS n, sum((l_returnflag = 'R')::INT)::DOUBLE AS k FROM lineitem GROUP BY 1), t AS (SELECT arg_min(n, g) AS n1, arg_max(n, g) AS n2, arg_min(k, g) AS k1, arg_max(k, g) AS k2 FROM g),
+ p AS (SELECT *, (k1 + k2) / (n1 + n2) AS p FROM t) SELECT {R('k1 / n1', 'p1')}, {R('k2 / n2', 'p2')}, {R('(k1 / n1 - k2 / n2) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2))', 'z')} FROM p""")
+def two_proportions(spark, sf):
+    return rounded(hyp.two_proportions(table(spark, sf, "lineitem"), F.col("l_returnflag") == "R", "l_linestatus"), "p1", "p2", "z")
+
+
+@query(f"""WITH {_GROUPS}, s AS (SELECT sum((n - 1) * v) / sum(n - 1) AS mse FROM g) SELECT a.g AS g1, b.g AS g2, {R('a.m - b.m', 'diff')}, {R('sqrt(mse * (1 / a.n + 1 / b.n))', 'se')}, {R('(a.m - b.m) / sqrt(mse * (1 / a.n + 1 / b.n))', 't')} FROM g a JOIN g b ON a.g < b.g, s""")
+def fisher_lsd(spark, sf):
+    return rounded(hyp.tukey_pairs(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag"), "g1", "g2", "diff", "se", "t")
+
+
+@query(f"""WITH {_GROUPS} SELECT a.g AS g1, b.g AS g2, {R('sqrt(a.v / a.n + b.v / b.n)', 'se')}, {R('(a.m - b.m) / sqrt(a.v / a.n + b.v / b.n)', 't')} FROM g a JOIN g b ON a.g < b.g""")
+def games_howell(spark, sf):
+    return rounded(hyp.games_howell_pairs(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag"), "g1", "g2", "se", "t")
+
+
+@query(f"WITH s AS (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s, count(*) AS n FROM orders) SELECT any_value(n) AS n, {R('max(abs(o_totalprice - m)) / any_value(s)', 'g')} FROM orders, s")
+def grubbs(spark, sf):
+    return rounded(hyp.grubbs(table(spark, sf, "orders"), "o_totalprice"))
+
+
+@query(f"""WITH b AS (SELECT (l_quantity > 25)::INT AS a, (l_discount > 0.05)::INT AS b, (l_tax > 0.04)::INT AS c FROM lineitem), s AS (SELECT sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b, sum(c)::DOUBLE AS c, sum((a + b + c) * (a + b + c))::DOUBLE AS rr FROM b)
+ SELECT {R('2 * (3 * (a * a + b * b + c * c) - (a + b + c) * (a + b + c)) / (3 * (a + b + c) - rr)', 'q', 4)} FROM s""")
+def cochrans_q(spark, sf):
+    df = table(spark, sf, "lineitem").select(*((F.col(c) > v).cast("int").alias(c) for c, v in (("l_quantity", 25), ("l_discount", 0.05), ("l_tax", 0.04))))
+    return rounded(hyp.cochrans_q(df, ["l_quantity", "l_discount", "l_tax"]), "q", digits=4)
+
+
+@query(f"""WITH s AS (SELECT sum((l_quantity > 25 AND NOT l_discount > 0.05)::INT)::BIGINT AS only_a, sum((NOT l_quantity > 25 AND l_discount > 0.05)::INT)::BIGINT AS only_b FROM lineitem)
+ SELECT only_a, only_b, {R('power(greatest(abs(only_a - only_b) - 1, 0), 2) / (only_a + only_b)', 'chi2')} FROM s""")
+def mcnemar(spark, sf):
+    return rounded(hyp.mcnemar(table(spark, sf, "lineitem"), F.col("l_quantity") > 25, F.col("l_discount") > 0.05), "only_a", "only_b", "chi2")
+
+
+@query(f"SELECT {R('(avg(l_quantity) - 20) / (stddev_samp(l_quantity) / sqrt(count(*)))', 't_low')}, {R('(avg(l_quantity) - 30) / (stddev_samp(l_quantity) / sqrt(count(*)))', 't_high')} FROM lineitem")
+def tost(spark, sf):
+    return rounded(hyp.tost_one_sample(table(spark, sf, "lineitem"), "l_quantity", 20.0, 30.0), "t_low", "t_high")
+
+
+# ----------------------------------------------------- models and reliability
+
+
+@query(f"SELECT regr_count(l_extendedprice, l_quantity)::BIGINT AS n, {R('regr_slope(l_extendedprice, l_quantity)', 'slope', 3)}, {R('regr_intercept(l_extendedprice, l_quantity)', 'intercept', 3)}, {R('regr_r2(l_extendedprice, l_quantity)', 'r2')} FROM lineitem")
+def ols_simple(spark, sf):
+    out = models.simple_line(table(spark, sf, "lineitem"), "l_extendedprice", "l_quantity")
+    return rounded(out.withColumn("slope", F.round("slope", 3)).withColumn("intercept", F.round("intercept", 3)))
+
+
+@query(f"""WITH s AS (SELECT avg(l_extendedprice) AS my, avg(l_quantity) AS m1, avg(l_discount) AS m2, covar_samp(l_quantity, l_quantity) AS a, covar_samp(l_discount, l_discount) AS c, covar_samp(l_quantity, l_discount) AS b,
+ covar_samp(l_extendedprice, l_quantity) AS y1, covar_samp(l_extendedprice, l_discount) AS y2 FROM lineitem), b AS (SELECT *, (c * y1 - b * y2) / (a * c - b * b) AS b1, (a * y2 - b * y1) / (a * c - b * b) AS b2 FROM s)
+ SELECT term, {R('coef', 'coef', 2)} FROM (SELECT 'l_quantity' AS term, b1 AS coef FROM b UNION ALL SELECT 'l_discount', b2 FROM b UNION ALL SELECT 'intercept', my - b1 * m1 - b2 * m2 FROM b)""")
+def ols_multi(spark, sf):
+    return rounded(models.ols(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"]), "term", "coef", digits=2)
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, {R(f'corr({a}, {b})', 'r', 6)} FROM lineitem"
+        for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount"))
+    )
+)
+def correlation(spark, sf):
+    return rounded(models.correlation(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]), digits=6)
+
+
+@query(f"""WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS b FROM lineitem)
+ SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, count(*) AS n, {R('corr(a, b)', 'r', 6)} FROM r""")
+def spearman(spark, sf):
+    return rounded(models.correlation(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], "spearman"), digits=6)
+
+
+_KM = """t AS (SELECT (l_shipdate::DATE - DATE '1992-01-01')::DOUBLE AS t, (l_returnflag = 'R')::INT AS e FROM lineitem), q AS (SELECT t, sum(e)::BIGINT AS d, count(*) AS c FROM t GROUP BY 1),
+ n AS (SELECT *, sum(c) OVER (ORDER BY t DESC)::BIGINT AS n FROM q), k AS (SELECT * FROM n WHERE d > 0)"""
+
+
+def _lives(spark, sf):
+    return table(spark, sf, "lineitem").withColumn("life", F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")))
+
+
+@query(f"""WITH {_KM} SELECT {R('t', 't')}, n, d, {R('CASE WHEN max((d = n)::INT) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN d < n THEN ln(1 - d::DOUBLE / n) ELSE 0 END) OVER w) END', 's')} FROM k WINDOW w AS (ORDER BY t)""")
+def kaplan_meier(spark, sf):
+    return rounded(models.kaplan_meier(_lives(spark, sf), "life", F.col("l_returnflag") == "R"), "t", "n", "d", "s")
+
+
+@query(f"""WITH t AS (SELECT (l_shipdate::DATE - DATE '1992-01-01')::DOUBLE AS t, (l_returnflag = 'R')::INT AS e, (l_linestatus = (SELECT min(l_linestatus) FROM lineitem))::INT AS g FROM lineitem),
+ q AS (SELECT t, sum(e)::DOUBLE AS d, count(*) AS c, sum(e * g)::DOUBLE AS d1, sum(g) AS c1 FROM t GROUP BY 1), n AS (SELECT *, (sum(c) OVER (ORDER BY t DESC))::DOUBLE AS n, (sum(c1) OVER (ORDER BY t DESC))::DOUBLE AS n1 FROM q),
+ v AS (SELECT d1, d * n1 / n AS e, d * n1 / n * (n - d) * (n - n1) / (n * (n - 1)) AS v FROM n WHERE d > 0 AND n > 1) SELECT {R('sum(d1)', 'observed', 3)}, {R('sum(e)', 'expected', 3)}, {R('power(sum(d1) - sum(e), 2) / sum(v)', 'chi2', 3)} FROM v""")
+def log_rank(spark, sf):
+    out = models.log_rank(_lives(spark, sf), "life", F.col("l_returnflag") == "R", "l_linestatus")
+    return rounded(out.withColumn("observed", F.col("observed").cast("double")), "observed", "expected", "chi2", digits=3)
+
+
+@query(f"""WITH t AS (SELECT value AS t FROM events WHERE event_type = 'purchase' AND value > 0), e AS (SELECT max(t) AS e FROM t), s AS (SELECT count(*) AS n, any_value(e) AS e, sum(ln(e / t)) AS s FROM t, e)
+ SELECT n, {R('n / s', 'beta')}, {R('n / power(e, n / s)', 'scale')} FROM s""")
+def crow_amsaa(spark, sf):
+    return rounded(models.crow_amsaa(purchases(spark, sf), "value"), "n", "beta", "scale")
+
+
+@query(f"SELECT sum((l_returnflag = 'R')::INT)::BIGINT AS failures, {R('sum((l_returnflag = $$R$$)::INT) / sum(l_quantity)', 'rate')}, {R('sum(l_quantity) / sum((l_returnflag = $$R$$)::INT)', 'mtbf')} FROM lineitem")
+def exponential_life(spark, sf):
+    return rounded(models.exponential_life(table(spark, sf, "lineitem"), "l_quantity", F.col("l_returnflag") == "R"), "failures", "rate", "mtbf")
+
+
+_ITEMS = ("l_quantity", "l_discount", "l_tax")
+
+
+@query(f"WITH s AS (SELECT var_samp(l_quantity) + var_samp(l_discount) + var_samp(l_tax) AS a, var_samp(l_quantity + l_discount + l_tax) AS b FROM lineitem) SELECT i AS item, {R('1.5 * (1 - a / b)', 'alpha')} FROM s, (VALUES ('l_quantity'), ('l_discount'), ('l_tax')) AS v(i)")
+def survey_alpha(spark, sf):
+    return rounded(models.survey_alpha(table(spark, sf, "lineitem"), list(_ITEMS)), "item", "alpha")
+
+
+@query(f"""WITH {P}, c AS (SELECT avg(x) AS m FROM p), d AS (SELECT i, x - m AS d FROM p, c), k AS (SELECT unnest(range(0, 11))::INT AS lag), z AS (SELECT sum(d * d) AS z FROM d)
+ SELECT lag, {R('sum(a.d * b.d) / any_value(z)', 'r')} FROM k, d a JOIN d b ON a.i = b.i + lag, z GROUP BY lag""")
+def acf(spark, sf):
+    return rounded(models.acf(purchases(spark, sf), "value", TIME, 10))
+
+
+@query(f"""WITH p AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS i, value AS y, user_id::DOUBLE AS x FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL), k AS (SELECT unnest(range(0, 4))::INT AS lag)
+ SELECT lag, {R('corr(a.y, b.x)', 'r')} FROM k, p a JOIN p b ON a.i = b.i + lag GROUP BY lag""")
+def cross_correlation(spark, sf):
+    return rounded(models.cross_correlation(table(spark, sf, "events"), "user_id", "value", TIME, 3))
+
+
+@query(f"""WITH {P}, t AS (SELECT i - 1 AS i, x, CASE WHEN count(*) OVER (ORDER BY i ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13 THEN (sum(x) OVER (ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + (lag(x, 6) OVER (ORDER BY i) + lead(x, 6) OVER (ORDER BY i)) / 2) / 12 END AS t FROM p),
+ f AS (SELECT i % 12 AS phase, avg(x - t) AS s FROM t WHERE t IS NOT NULL GROUP BY 1) SELECT phase, {R('s - avg(s) OVER ()', 'seasonal')} FROM f""")
+def decompose(spark, sf):
+    return rounded(models.decompose(purchases(spark, sf), "value", TIME, 12))
+
+
+@query(f"""WITH c AS (SELECT l_returnflag, l_linenumber, count(*) AS n, avg(l_quantity) AS mean FROM lineitem GROUP BY 1, 2), e AS (SELECT *, avg(mean) OVER () AS g, avg(mean) OVER (PARTITION BY l_returnflag) AS a, avg(mean) OVER (PARTITION BY l_linenumber) AS b FROM c)
+ SELECT l_returnflag, l_linenumber, n, {R('mean', 'mean')}, {R('a - g', 'a_effect')}, {R('b - g', 'b_effect')}, {R('mean - a - b + g', 'interaction')} FROM e""")
+def two_way_cells(spark, sf):
+    out = models.two_way_cells(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag", "l_linenumber")
+    return rounded(out, "l_returnflag", "l_linenumber", "n", "mean", "a_effect", "b_effect", "interaction")
+
+
+# ------------------------------------------------------------------- charts
+
+
+@query(f"SELECT l_returnflag, count(l_quantity) AS n, {R('min(l_extendedprice)', 'low')}, {R('quantile_cont(l_extendedprice, 0.25)', 'q1')}, {R('median(l_extendedprice)', 'median')}, {R('quantile_cont(l_extendedprice, 0.75)', 'q3')}, {R('max(l_extendedprice)', 'high')} FROM lineitem GROUP BY 1")
+def boxplot(spark, sf):
+    return rounded(charts.boxplot(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag"))
+
+
+@query(f"""WITH s AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders), k AS (SELECT least(19, floor((o_totalprice - a) / ((b - a) / 20)))::INT AS bin, a, (b - a) / 20 AS w FROM orders, s)
+ SELECT bin, {R('any_value(a + bin * w)', 'low', 3)}, {R('any_value(a + (bin + 1) * w)', 'high', 3)}, count(*) AS n FROM k GROUP BY bin""")
+def histogram(spark, sf):
+    return rounded(charts.histogram(table(spark, sf, "orders"), "o_totalprice"), digits=3)
+
+
+@query(f"WITH c AS (SELECT l_quantity AS x, count(*) AS n FROM lineitem GROUP BY 1) SELECT {R('x', 'x')}, n, {R('sum(n) OVER (ORDER BY x) / sum(n) OVER ()', 'share')} FROM c")
+def ecdf(spark, sf):
+    return rounded(charts.ecdf(table(spark, sf, "lineitem"), "l_quantity"))
+
+
+@query(f"SELECT o_orderstatus, o_orderpriority, {R('avg(o_totalprice)', 'v', 3)} FROM orders GROUP BY 1, 2")
+def heatmap(spark, sf):
+    return rounded(charts.heatmap(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority", "o_totalprice"), digits=3)
+
+
+@query("""SELECT 0 AS step, l_returnflag AS source, l_linestatus AS target, count(*)::DOUBLE AS weight FROM lineitem GROUP BY 2, 3
+ UNION ALL SELECT 1, l_linestatus, l_linenumber::VARCHAR, count(*)::DOUBLE FROM lineitem GROUP BY 2, 3""")
+def sankey(spark, sf):
+    return charts.sankey(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"])
+
+
+@query("""WITH m AS (SELECT DISTINCT o_custkey AS u, date_trunc('month', o_orderdate)::DATE AS m FROM orders), f AS (SELECT u, min(m) AS cohort FROM m GROUP BY 1)
+ SELECT cohort::VARCHAR AS cohort, ((year(m) - year(cohort)) * 12 + month(m) - month(cohort))::INT AS age, count(DISTINCT u) AS users FROM m JOIN f USING (u) GROUP BY 1, 2""")
+def cohorts(spark, sf):
+    return charts.cohorts(table(spark, sf, "orders"), "o_custkey", "o_orderdate").withColumn("cohort", F.col("cohort").cast("string"))
+
+
+@query(f"SELECT ts::DATE::VARCHAR AS day, count(*) AS n, {R('avg(value)', 'mean')} FROM events GROUP BY 1")
+def calendar(spark, sf):
+    return rounded(charts.calendar(table(spark, sf, "events"), "ts", "value").withColumn("day", F.col("day").cast("string")))
+
+
+@query(f"WITH n AS (SELECT event_type, count(DISTINCT user_id) AS users FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1) SELECT event_type, users, {R('users / (SELECT users FROM n WHERE event_type = $$view$$)', 'share')} FROM n WHERE EXISTS (SELECT 1 FROM n WHERE event_type = 'view')")
+def funnel(spark, sf):
+    return rounded(charts.funnel(table(spark, sf, "events"), "user_id", "event_type", ["view", "click", "purchase"]))
+
+
+@query("WITH u AS (SELECT user_id, max((event_type = 'click')::INT) AS a, max((event_type = 'purchase')::INT) AS b FROM events GROUP BY 1) SELECT sum((a = 1 AND b = 0)::INT)::BIGINT AS only_a, sum((a = 0 AND b = 1)::INT)::BIGINT AS only_b, sum((a = 1 AND b = 1)::INT)::BIGINT AS both FROM u")
+def venn(spark, sf):
+    return charts.venn(table(spark, sf, "events"), "user_id", "event_type", "click", "purchase")
+
+
+@query(f"SELECT 'l_returnflag' AS factor, l_returnflag AS level, count(*) AS n, {R('avg(l_quantity)', 'mean')} FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linenumber', l_linenumber::VARCHAR, count(*), {R('avg(l_quantity)', 'mean')} FROM lineitem GROUP BY 2")
+def main_effects(spark, sf):
+    return rounded(charts.main_effects(table(spark, sf, "lineitem"), "l_quantity", ["l_returnflag", "l_linenumber"]))
+
+
+@query(f"SELECT p_brand, count(*) AS n, {R('avg(p_size)', 'mean')}, max(p_size) - min(p_size) AS range, {R('stddev_samp(p_size)', 'sd')} FROM part GROUP BY 1")
+def variability(spark, sf):
+    return rounded(charts.variability(table(spark, sf, "part"), "p_size", "p_brand"))
+
+
+@query(f"WITH g AS (SELECT o_orderpriority, sum(o_totalprice) AS v FROM orders GROUP BY 1) SELECT o_orderpriority, {R('v', 'v', 2)}, {R('sum(v) OVER (ORDER BY o_orderpriority)', 'end', 2).replace(' AS end', ' AS "end"')} FROM g")
+def waterfall(spark, sf):
+    return rounded(charts.waterfall(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice"), "o_orderpriority", "v", "end", digits=2)
+
+
+# ------------------------------------------------- wrangling, profile, stream
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, {R('l_extendedprice * (1 - l_discount) / l_quantity', 'net')} FROM lineitem WHERE l_quantity >= 10 AND (l_tax < 0.03 OR l_returnflag <> 'N')")
+def compute_filter(spark, sf):
+    df = wrangle.compute(table(spark, sf, "lineitem"), "net", "l_extendedprice * (1 - l_discount) / l_quantity")
+    df = wrangle.filter_rows(df, "l_quantity >= 10 and (l_tax < 0.03 or l_returnflag != 'N')")
+    return rounded(df, "l_orderkey", "l_linenumber", "l_partkey", "net")
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS status FROM orders")
+def recode(spark, sf):
+    return wrangle.recode(table(spark, sf, "orders"), "o_orderstatus", {"F": "done", "O": "open"}, "other", "status").select("o_orderkey", "status")
+
+
+@query("SELECT o_orderkey, TRY_CAST(replace(o_orderpriority, '-', '') AS DOUBLE) AS number, TRY_CAST(left(o_orderpriority, 1) AS DOUBLE)::BIGINT AS first FROM orders")
+def retype(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", F.regexp_replace("o_orderpriority", "-", "").alias("number"), F.substring("o_orderpriority", 1, 1).alias("first"))
+    return wrangle.retype(wrangle.retype(df, "number", "number"), "first", "int")
+
+
+@query(f"""WITH e AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v FROM events) SELECT event_id, {R('coalesce(v, (SELECT median(v) FROM e))', 'v')} FROM e""")
+def impute_median(spark, sf):
+    df = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"))
+    return rounded(wrangle.impute(df, "v", "median"))
+
+
+@query(f"""WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v FROM events) SELECT event_id, {R('coalesce(v, last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id))', 'v')} FROM e""")
+def impute_ffill(spark, sf):
+    df = table(spark, sf, "events").select("event_id", "ts", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"))
+    return rounded(wrangle.impute(df, "v", "ffill", order=TIME), "event_id", "v")
+
+
+@query(" UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, l_partkey, '{c}' AS variable, {R(c, 'value')} FROM lineitem" for c in ("l_discount", "l_tax")))
+def stack(spark, sf):
+    return rounded(wrangle.stack(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], ["l_discount", "l_tax"]))
+
+
+@query(f"SELECT l_linenumber, {', '.join(R(f'sum(CASE WHEN l_returnflag = $${f}$$ THEN l_quantity END)', f) for f in 'ANR')} FROM lineitem GROUP BY 1")
+def unstack(spark, sf):
+    return rounded(wrangle.unstack(table(spark, sf, "lineitem"), ["l_linenumber"], "l_returnflag", "l_quantity", "sum"), "l_linenumber", "A", "N", "R")
+
+
+@query(f"WITH s AS (SELECT min(c_acctbal) AS m FROM customer) SELECT c_custkey, {R('ln(c_acctbal + CASE WHEN m <= 0 THEN 1 - m ELSE 0 END)', 'log_c_acctbal')} FROM customer, s")
+def log_shifted(spark, sf):
+    return rounded(wrangle.log(table(spark, sf, "customer"), "c_acctbal"), "c_custkey", "log_c_acctbal")
+
+
+@query(f"SELECT c_custkey, {R('(c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER ()', 'z_c_acctbal')} FROM customer")
+def standardize(spark, sf):
+    return rounded(wrangle.standardize(table(spark, sf, "customer"), "c_acctbal"), "c_custkey", "z_c_acctbal")
+
+
+@query("WITH s AS (SELECT min(p_size)::DOUBLE AS a, max(p_size)::DOUBLE AS b FROM part) SELECT p_partkey, greatest(0, least(6, ceil((p_size - a) / ((b - a) / 7)) - 1))::INT AS p_size_bin FROM part, s")
+def bin_equal_width(spark, sf):
+    return wrangle.bin_column(table(spark, sf, "part"), "p_size", 7).select("p_partkey", "p_size_bin")
+
+
+@query("WITH q AS (SELECT quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.5) AS b, quantile_cont(p_retailprice, 0.75) AS c FROM part) SELECT p_partkey, ((p_retailprice > a)::INT + (p_retailprice > b)::INT + (p_retailprice > c)::INT) AS p_retailprice_bin FROM part, q")
+def bin_quantile(spark, sf):
+    return wrangle.bin_column(table(spark, sf, "part"), "p_retailprice", 4, "quantile").select("p_partkey", "p_retailprice_bin")
+
+
+@query("WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS b FROM orders) SELECT o_orderkey, (o_totalprice < a - 0.5 * (b - a) OR o_totalprice > b + 0.5 * (b - a)) AS outlier FROM orders, q")
+def outliers_iqr(spark, sf):
+    return wrangle.outliers(table(spark, sf, "orders"), ["o_totalprice"], "iqr", 0.5).select("o_orderkey", "outlier")
+
+
+@query("WITH m AS (SELECT median(o_totalprice) AS m FROM orders), d AS (SELECT median(abs(o_totalprice - m)) AS d FROM orders, m) SELECT o_orderkey, abs(o_totalprice - m) > 1.5 * 1.4826 * d AS outlier FROM orders, m, d")
+def outliers_mad(spark, sf):
+    return wrangle.outliers(table(spark, sf, "orders"), ["o_totalprice"], "mad", 1.5).select("o_orderkey", "outlier")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row FROM events")
+def row_numbers(spark, sf):
+    return numbered(table(spark, sf, "events").select("event_id", "ts"), TIME).select("event_id", "row")
+
+
+@query(f"""SELECT 'c_acctbal' AS "column", 'number' AS kind, count(*) AS rows, count(*) - count(c_acctbal) AS n_null, count(DISTINCT c_acctbal) AS n_unique, {R('min(c_acctbal)', 'min')}, {R('max(c_acctbal)', 'max')}, {R('avg(c_acctbal)', 'mean')} FROM customer
+ UNION ALL SELECT 'c_mktsegment', 'text', count(*), count(*) - count(c_mktsegment), count(DISTINCT c_mktsegment), NULL, NULL, NULL FROM customer""")
+def table_profile(spark, sf):
+    out = profile(table(spark, sf, "customer").select("c_acctbal", "c_mktsegment"))
+    return rounded(out, "column", "kind", "rows", "n_null", "n_unique", "min", "max", "mean")
+
+
+@query(f"SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n, sum((abs(value - 50) > 60)::INT)::BIGINT AS signals, {R('avg(value)', 'mean')} FROM events WHERE value IS NOT NULL GROUP BY 1")
+def daily_signals(spark, sf):
+    out = windowed_signals(table(spark, sf, "events"), "ts", "value", 50.0, 20.0)
+    return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")))

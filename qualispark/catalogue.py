@@ -160,7 +160,7 @@ def np_chart(spark, sf):
  m AS (SELECT c, abs(z - lag(z) OVER (ORDER BY day)) AS mr FROM z), o AS (SELECT count(*) AS k, any_value(c) AS center, avg(mr) / 1.128 AS s FROM m)
  SELECT k, {R('center', 'center')}, {R('s', 'sigma_z')}, CASE WHEN s > 1.2 THEN 'over' WHEN s < 0.8 THEN 'under' ELSE 'none' END AS dispersion FROM o""")
 def laney(spark, sf):
-    return rounded(control.laney(_days(spark, sf), "bad", "n", ["day"]))
+    return rounded(control.laney(_days(spark, sf).withColumn("day", F.to_date("day")), "bad", "n", ["day"]))
 
 
 @query(f"""WITH {MR}, u AS (SELECT event_id, i, sd, sum(x - c - 0.5 * sd) OVER w AS pp, sum(c - 0.5 * sd - x) OVER w AS q FROM m, l WINDOW w AS (ORDER BY i)),

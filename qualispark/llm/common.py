@@ -45,6 +45,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """A table in the warehouse in buckets by ``key``: joins on it move only the other side."""
+    spark = df.sparkSession
+    name = f"scratch_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(n, key).saveAsTable(name)
+    out = spark.table(name)
+    out._scratch_table = name
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Drop a table made by ``bucketed`` that nothing reads any more."""
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._scratch_table}")
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table made by ``written`` that nothing reads any more."""
     spark = df.sparkSession

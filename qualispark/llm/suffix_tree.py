@@ -10,7 +10,8 @@ over its parent's, each occurrence left out of its own counts, exceeds
 state of the longest suffix of its history that is in the tree.
 
 The counts of the corpus are too many for any one task, so they are never
-gathered. The corpus is cut into chunks of bounded text. A chunk asks for the
+gathered. The corpus is cut into chunks of bounded text, kept in buckets so
+that the chunks themselves never move. A chunk asks for the
 totals of its distinct n-grams: it sends each key with its own count to the
 slice of the hash space that owns it, the slice adds up, and the totals go
 back to the chunks that asked. Four such rounds give words, pairs, triples
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qualispark.llm.common import arrow_map, discard, raw_texts, written
+from qualispark.llm.common import arrow_map, bucketed, discard, dropped, raw_texts, written
 
 LEAST = 16
 STRENGTH = 20.0
@@ -313,20 +314,20 @@ def score(
     scored below the root.
     """
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    state = written(_chunks(own, chunk_bytes), "chunks")
+    state = bucketed(_chunks(own, chunk_bytes), "chunk")
 
     def step(ask, add):
         """One round; the old state goes once the new one is written."""
         nonlocal state
-        new = written(_advance(_with_answers(state, _answers(_requests(state, ask))), ask, add), "chunks")
-        discard(state)
+        new = bucketed(_advance(_with_answers(state, _answers(_requests(state, ask))), ask, add), "chunk")
+        dropped(state)
         state = new
 
     # the first answers also tell the number of different words and of tokens
     answers = written(_answers(_requests(state, _ask_words)), "words")
     kinds = answers.agg(F.sum("kinds")).first()[0] or 0
-    new = written(_advance(_with_answers(state, answers), _ask_words, lambda c, x: {"count1": x.astype(np.int64)}), "chunks")
-    discard(state)
+    new = bucketed(_advance(_with_answers(state, answers), _ask_words, lambda c, x: {"count1": x.astype(np.int64)}), "chunk")
+    dropped(state)
     discard(answers)
     state = new
     total = _train_tokens(state)

@@ -14,7 +14,7 @@ import os
 import re
 
 #: Words kept in a worker; the cache starts anew beyond it, results don't change.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 
 _UNSURE = re.compile("[\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]")
 _LED = re.compile(r"\s*\S+|\s+")

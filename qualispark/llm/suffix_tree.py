@@ -40,7 +40,7 @@ GAIN, GAIN_RATE = 10.0, 0.02
 #: Additive smoothing of the root, the same as of the base score.
 ADD = 0.1
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 SLICE_BITS = 8
 
 _END = b" "  # no word has a space, so it is free to name the end

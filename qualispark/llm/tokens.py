@@ -1,9 +1,10 @@
 """Token ids of whole texts by a public tokenizer, through a cache of words.
 
 Both vocabularies split a text before the merges so that a change from a
-non-space to a space is always a boundary. A text is therefore the
-concatenation of the ids of its space-led words, and most words are met again:
-their ids are kept as bytes in a dictionary of bounded size in each worker.
+non-space to a space is always a boundary, and so is one from a letter to a
+full stop or comma. A text is therefore the concatenation of the ids of its
+space-led words, and most words are met again: their ids are kept as bytes in a
+dictionary of bounded size in each worker.
 Texts with control characters on which libraries differ (are they space?) are
 encoded whole.
 """
@@ -12,12 +13,14 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 #: Words kept in a worker; the cache starts anew beyond it, results don't change.
 CACHE_WORDS = 1_000_000
 
 _UNSURE = re.compile("[\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]")
 _LED = re.compile(r"\s*\S+|\s+")
+_STOP = re.compile("(?<=[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,])(?=\\s|$)")
 _loaded: dict = {}
 
 
@@ -34,26 +37,31 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.cut = _LED.findall if spaces else str.split
+        self.spaces = spaces
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def _cut(self, text: str) -> list[str]:
+        if self.spaces:
+            return _LED.findall(text)
+        return _STOP.sub(r" \1", text.lower() if text.isascii() else text).split()
 
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
     def __call__(self, text: str) -> bytes:
         if _UNSURE.search(text):
             return self._ids([text])[0]
-        words = self.cut(text)
-        known = self.known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE_WORDS:
+        words, known = self._cut(text), self.known
+        ids = list(map(known.get, words))
+        if None in ids:
+            missing = list(dict.fromkeys(w for w, x in zip(words, ids, strict=True) if x is None))
+            new = dict(zip(missing, self._ids(missing), strict=True))
+            ids = [new[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+            if len(known) + len(new) > CACHE_WORDS:
                 known.clear()
-                missing = list(dict.fromkeys(words))
-            known.update(zip(missing, self._ids(missing), strict=True))
-        return b"".join(map(known.__getitem__, words))
+            known.update(new)
+        return b"".join(ids)
 
 
 def encoder(path: str, spaces: bool) -> Encoder:

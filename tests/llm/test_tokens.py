@@ -26,7 +26,7 @@ whole.loaded = {}
 
 @pytest.mark.parametrize(("path", "spaces"), [(WORD, False), (BYTE, True)])
 def test_cached_words_equal_whole_texts(path, spaces):
-    texts = ["", " ", "a", "\t \n x", "don't  stop'll 　  y", "\x1c a \x85b", "x​ y", "é ́", "ΑΣ Σ", "<|endoftext|> a\n\n\nb  ", "１２3 ½ _-_"]
+    texts = ["", " ", "a", "\t \n x", "don't  stop'll 　  y", "\x1c a \x85b", "x​ y", "é ́", "ΑΣ Σ", "<|endoftext|> a\n\n\nb  ", "１２3 ½ _-_", "a, b. c.. d.,e é. ×, it's. x\x01y", "Word, WORD. word", "z.", "Don't.", "\x01", "3, 4."]
     encode = Encoder(path, spaces)
     for text in texts * 2:
         assert np.frombuffer(encode(text), "<u4").tolist() + [9] == whole(path, text, 9), repr(text)

@@ -22,7 +22,7 @@ def chunked(df: DataFrame, order: list[str], chunks: int | None = None) -> DataF
     key = F.unix_micros(F.col(order[0]).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(order[0])
     df = df.withColumn("__key", key.cast("double"))
     found = df.agg(F.percentile_approx("__key", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    splits = [float("-inf"), *sorted(set(found)), float("inf")]
+    splits = [float("-inf"), *sorted(set(found) or {0.0}), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="__key", outputCol=_CHUNK, handleInvalid="keep")
     return cut.transform(df).drop("__key")
 

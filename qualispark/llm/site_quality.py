@@ -26,6 +26,8 @@ FIT_ROWS = 6000
 BUCKETS = 1 << 17
 #: Documents of the fit in which a word must occur to count.
 LEAST_DOCS = 5
+#: Standard errors by which a word's share must differ between the classes.
+LEAST_Z = 4.0
 THRESHOLD = 0.5
 #: Bounds of the prior strength in documents.
 STRENGTH = (5.0, 10_000.0)
@@ -115,8 +117,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     dense = np.array([r["shapes"] for r in rows])
     for k, target in enumerate(TARGETS):
         y = np.array([float(r[target] > 0) for r in rows])
-        w, v = _logistic(row, column, len(used), dense, y)
-        words[used, k], shapes[:, k] = w, v
+        # words whose share of documents differs by class beyond chance; the rest is noise
+        n1 = max(1.0, y.sum())
+        n0 = max(1.0, len(y) - n1)
+        a1, a = np.bincount(column, y[row], len(used)), np.bincount(column, minlength=len(used))
+        share = a / len(y)
+        z = (a1 / n1 - (a - a1) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+        kept = np.flatnonzero(np.abs(z) >= LEAST_Z)
+        place = np.searchsorted(kept, column)
+        inside = (place < len(kept)) & (np.append(kept, -1)[np.minimum(place, len(kept))] == column)
+        w, v = _logistic(row[inside], place[inside], len(kept), dense, y)
+        words[used[kept], k], shapes[:, k] = w, v
     return Model(words, shapes)
 
 

@@ -1,7 +1,7 @@
 """Quality and toxicity by a document classifier within hierarchical empirical Bayes.
 
-A logistic model over hashed words and a few shape measures gives each document
-its own evidence. The sums of that evidence by host and by path (one grouped
+A logistic model over hashed words, the beginnings of words and how often they
+occur, and a few shape measures gives each document its own evidence. The sums of that evidence by host and by path (one grouped
 aggregation of numbers, no text) are shrunk: a host's mean towards the global
 mean, a path's towards its host's, each as strongly as the spread between hosts
 (or paths) tells by the method of moments, so that sparse sites stay near the
@@ -12,6 +12,7 @@ document itself, says against the global mean.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,26 +35,38 @@ STRENGTH = (5.0, 10_000.0)
 TARGETS = ("quality", "toxic")
 N_SHAPES = 6
 
+#: Characters of word beginnings that count as features, beside whole words.
+STEMS = (3, 4, 5, 6)
+#: Shares of a text's words from which a beginning counts again, if two words at least have it.
+SHARES = (0.005, 0.01, 0.02)
+N_FEATURES = BUCKETS * (1 + len(SHARES))
+
 _EDGE = re.compile(rb"^[\x00-/:-@\[-`{-\x7f]+|[\x00-/:-@\[-`{-\x7f]+$")
-_seen: dict[bytes, int] = {}
+_seen: dict[bytes, tuple[int, ...]] = {}
 
 
-def _word_bucket(word: bytes) -> int:
-    if len(_seen) > 300_000:
+def _word_buckets(word: bytes) -> tuple[int, ...]:
+    """The bucket of a word and those of its beginnings; -1 where there is none."""
+    if len(_seen) > 200_000:
         _seen.clear()
     found = _seen.get(word)
     if found is None:
-        plain = _EDGE.sub(b"", word)
-        found = _seen[word] = xxhash.xxh64_intdigest(plain, 7) % BUCKETS if plain else -1
+        plain = _EDGE.sub(b"", word).decode("utf-8", "ignore").lower()
+        own = xxhash.xxh64_intdigest(plain, 7) % BUCKETS if plain else -1
+        stems = (xxhash.xxh64_intdigest(plain[:k], 7 + k) % BUCKETS if len(plain) > k else -1 for k in STEMS)
+        found = _seen[word] = (own, *stems)
     return found
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct word buckets and the shape measures of a whole text."""
+    """The distinct features of words and their beginnings, and the shape measures, of a whole text."""
     words = text.lower().split()
-    buckets = {_word_bucket(w) for w in words}
-    buckets.discard(-1)
     n, chars = max(1, len(words)), max(1, len(text))
+    flat = np.fromiter(chain.from_iterable(map(_word_buckets, words)), np.int64).reshape(-1, 1 + len(STEMS))
+    own, (stems, counts) = np.unique(flat[:, 0]), np.unique(flat[:, 1:], return_counts=True)
+    own, counts, stems = own[own >= 0], counts[stems >= 0], stems[stems >= 0]
+    levels = [stems[(counts >= 2) & (counts >= share * n)] + (i + 1) * BUCKETS for i, share in enumerate(SHARES)]
+    found = np.unique(np.concatenate([own, stems, *levels]))
     codes = np.bincount(np.frombuffer(text, np.uint8), minlength=128)[:128]
     upper, lower = codes[65:91].sum(), codes[97:123].sum()
     symbols = codes[[33, 35, 36, 37, 38, 42, 60, 62, 64, 94, 124, 126]].sum()
@@ -62,12 +75,12 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             upper / max(1, upper + lower),
             min(2.0, symbols / n),
             codes[48:58].sum() / chars,
-            len(buckets) / n,
+            len(own) / n,
             min(2.0, np.log10(n) / 4),
             1.0,
         ]
     )
-    return np.fromiter(buckets, np.int64, len(buckets)), shapes
+    return found, shapes
 
 
 def _features_of(labelled: DataFrame) -> DataFrame:
@@ -105,13 +118,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = _features_of(labelled.select("text", "quality", "toxic")).limit(2 * fit_rows).collect()
-    words, shapes = np.zeros((BUCKETS, len(TARGETS))), np.zeros((N_SHAPES, len(TARGETS)))
+    words, shapes = np.zeros((N_FEATURES, len(TARGETS))), np.zeros((N_SHAPES, len(TARGETS)))
     if not rows:
         return Model(words, shapes)
     lists = [np.frombuffer(r["buckets"], "<i4") for r in rows]
     column = np.concatenate(lists)
     row = np.repeat(np.arange(len(rows)), [len(x) for x in lists])
-    often = np.bincount(column, minlength=BUCKETS) >= LEAST_DOCS
+    often = np.bincount(column, minlength=N_FEATURES) >= LEAST_DOCS
     row, column = row[often[column]], column[often[column]]
     used, column = np.unique(column, return_inverse=True)
     dense = np.array([r["shapes"] for r in rows])

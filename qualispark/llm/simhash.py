@@ -202,14 +202,3 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
-
-
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group: the one whose id names the component.
-
-    Of repeated rows with that id one stays. All columns of ``docs`` are kept.
-    """
-    first = group(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = first.select(F.col("doc_id").alias("__kept")).distinct()
-    stay = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")
-    return stay.dropDuplicates([id_col])

@@ -127,6 +127,24 @@ def xbar_s(spark, sf):
     return rounded(control.xbar_s(_subgroups(spark, sf), "l_quantity", "k"), "k", "center", "s_bar", "ucl", "lcl", "s_ucl")
 
 
+_SUB_ALL = """g AS (SELECT l_partkey AS p, l_quantity AS x, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS i FROM lineitem),
+ s AS (SELECT avg(x) AS m, max(x) - min(x) AS r, stddev_samp(x) AS d FROM g GROUP BY p, (i - 1) // 5 HAVING count(*) = 5)"""
+
+
+def _subgroups_all(spark, sf):
+    return control.subgrouped(table(spark, sf, "lineitem"), "l_partkey", ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"], 5)
+
+
+@query(f"WITH {_SUB_ALL} SELECT count(*) AS k, {R('avg(m)', 'center')}, {R('avg(r)', 'r_bar')}, {R('avg(m) + 0.577 * avg(r)', 'ucl')}, {R('avg(m) - 0.577 * avg(r)', 'lcl')}, {R('2.114 * avg(r)', 'r_ucl')}, 0.0::DOUBLE AS r_lcl FROM s")
+def xbar_r_all(spark, sf):
+    return rounded(control.xbar_r(_subgroups_all(spark, sf), "l_quantity", "subgroup"), "k", "center", "r_bar", "ucl", "lcl", "r_ucl", "r_lcl")
+
+
+@query(f"WITH {_SUB_ALL} SELECT count(*) AS k, {R('avg(m)', 'center')}, {R('avg(d)', 's_bar')}, {R('avg(m) + 1.427 * avg(d)', 'ucl')}, {R('avg(m) - 1.427 * avg(d)', 'lcl')}, {R('2.089 * avg(d)', 's_ucl')} FROM s")
+def xbar_s_all(spark, sf):
+    return rounded(control.xbar_s(_subgroups_all(spark, sf), "l_quantity", "subgroup"), "k", "center", "s_bar", "ucl", "lcl", "s_ucl")
+
+
 _DAYS = """d AS (SELECT ts::DATE::VARCHAR AS day, count(*) AS n, sum((event_type = 'error')::INT)::BIGINT AS bad FROM events GROUP BY 1)"""
 
 

@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 from qualispark.operators.ordered import last, numbered, running, with_history
 
 # Published three-decimal Shewhart factors by subgroup size.
-A2 = {2: 1.880, 3: 1.023, 4: 0.729, 5: 0.577, 6: 0.483, 7: 0.419, 8: 0.373, 9: 0.337, 10: 0.308}
-D3 = {2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0, 7: 0.076, 8: 0.136, 9: 0.184, 10: 0.223}
-D4 = {2: 3.267, 3: 2.574, 4: 2.282, 5: 2.114, 6: 2.004, 7: 1.924, 8: 1.864, 9: 1.816, 10: 1.777}
-A3 = {2: 2.659, 3: 1.954, 4: 1.628, 5: 1.427, 6: 1.287, 7: 1.182, 8: 1.099, 9: 1.032, 10: 0.975}
-B3 = {2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.030, 7: 0.118, 8: 0.185, 9: 0.239, 10: 0.284}
-B4 = {2: 3.267, 3: 2.568, 4: 2.266, 5: 2.089, 6: 1.970, 7: 1.882, 8: 1.815, 9: 1.761, 10: 1.716}
+A2 = {2: 1.880, 3: 1.023, 4: 0.729, 5: 0.577, 6: 0.483, 7: 0.419, 8: 0.373, 9: 0.337, 10: 0.308,
+      11: 0.285, 12: 0.266, 13: 0.249, 14: 0.235, 15: 0.223, 16: 0.212, 17: 0.203, 18: 0.194, 19: 0.187, 20: 0.180, 21: 0.173, 22: 0.167, 23: 0.162, 24: 0.157, 25: 0.153}
+D3 = {2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0, 7: 0.076, 8: 0.136, 9: 0.184, 10: 0.223,
+      11: 0.256, 12: 0.283, 13: 0.307, 14: 0.328, 15: 0.347, 16: 0.363, 17: 0.378, 18: 0.391, 19: 0.403, 20: 0.415, 21: 0.425, 22: 0.434, 23: 0.443, 24: 0.451, 25: 0.459}
+D4 = {2: 3.267, 3: 2.574, 4: 2.282, 5: 2.114, 6: 2.004, 7: 1.924, 8: 1.864, 9: 1.816, 10: 1.777,
+      11: 1.744, 12: 1.717, 13: 1.693, 14: 1.672, 15: 1.653, 16: 1.637, 17: 1.622, 18: 1.608, 19: 1.597, 20: 1.585, 21: 1.575, 22: 1.566, 23: 1.557, 24: 1.548, 25: 1.541}
+A3 = {2: 2.659, 3: 1.954, 4: 1.628, 5: 1.427, 6: 1.287, 7: 1.182, 8: 1.099, 9: 1.032, 10: 0.975,
+      11: 0.927, 12: 0.886, 13: 0.850, 14: 0.817, 15: 0.789, 16: 0.763, 17: 0.739, 18: 0.718, 19: 0.698, 20: 0.680, 21: 0.663, 22: 0.647, 23: 0.633, 24: 0.619, 25: 0.606}
+B3 = {2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.030, 7: 0.118, 8: 0.185, 9: 0.239, 10: 0.284,
+      11: 0.321, 12: 0.354, 13: 0.382, 14: 0.406, 15: 0.428, 16: 0.448, 17: 0.466, 18: 0.482, 19: 0.497, 20: 0.510, 21: 0.523, 22: 0.534, 23: 0.545, 24: 0.555, 25: 0.565}
+B4 = {2: 3.267, 3: 2.568, 4: 2.266, 5: 2.089, 6: 1.970, 7: 1.882, 8: 1.815, 9: 1.761, 10: 1.716,
+      11: 1.679, 12: 1.646, 13: 1.618, 14: 1.594, 15: 1.572, 16: 1.552, 17: 1.534, 18: 1.518, 19: 1.503, 20: 1.490, 21: 1.477, 22: 1.466, 23: 1.455, 24: 1.445, 25: 1.435}
 D2_PAIR = 1.128
 D4_PAIR = 3.267
 
@@ -131,26 +137,37 @@ def _subgroups(df: DataFrame, value: str, group: str) -> DataFrame:
     )
 
 
+def subgrouped(df: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
+    """The rows of all full subgroups of ``size`` consecutive rows of each key, with the key as ``subgroup``'s first field.
+
+    Only the rows after a key's last full subgroup are left out.
+    """
+    w = Window.partitionBy(key)
+    rows = df.withColumns({"__i": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count("*").over(w)})
+    at = F.floor(F.col("__i") / size)
+    return rows.filter((at + 1) * size <= F.col("__n")).withColumn("subgroup", F.struct(key, at.alias("at"))).drop("__i", "__n")
+
+
 def _factor(table: dict[int, float], n: Column) -> Column:
     return F.create_map(*(F.lit(v) for kv in table.items() for v in kv))[n.cast("int")]
 
 
 def xbar_r(df: DataFrame, value: str, group: str) -> DataFrame:
-    """One row of X-bar and R limits; subgroups must have one size from 2 to 10."""
+    """One row of X-bar and R limits; subgroups must have one size from 2 to 25."""
     g = _subgroups(df, value, group).agg(
         F.count("*").alias("k"), F.min("n").alias("size"), F.max("n").alias("most"), F.avg("mean").alias("center"), F.avg("range").alias("r_bar")
     )
-    g = g.filter((F.col("size") == F.col("most")) & F.col("size").between(2, 10))
+    g = g.filter((F.col("size") == F.col("most")) & F.col("size").between(2, 25))
     n, r, c = F.col("size"), F.col("r_bar"), F.col("center")
     return g.select("k", "size", "center", "r_bar", (c + _factor(A2, n) * r).alias("ucl"), (c - _factor(A2, n) * r).alias("lcl"), (_factor(D4, n) * r).alias("r_ucl"), (_factor(D3, n) * r).alias("r_lcl"))
 
 
 def xbar_s(df: DataFrame, value: str, group: str) -> DataFrame:
-    """One row of X-bar and S limits; subgroups must have one size from 2 to 10."""
+    """One row of X-bar and S limits; subgroups must have one size from 2 to 25."""
     g = _subgroups(df, value, group).agg(
         F.count("*").alias("k"), F.min("n").alias("size"), F.max("n").alias("most"), F.avg("mean").alias("center"), F.avg("sd").alias("s_bar")
     )
-    g = g.filter((F.col("size") == F.col("most")) & F.col("size").between(2, 10))
+    g = g.filter((F.col("size") == F.col("most")) & F.col("size").between(2, 25))
     n, s, c = F.col("size"), F.col("s_bar"), F.col("center")
     return g.select("k", "size", "center", "s_bar", (c + _factor(A3, n) * s).alias("ucl"), (c - _factor(A3, n) * s).alias("lcl"), (_factor(B4, n) * s).alias("s_ucl"), (_factor(B3, n) * s).alias("s_lcl"))
 

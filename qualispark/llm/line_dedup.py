@@ -3,8 +3,8 @@
 A line's tokens are its word shingles (five words; a shorter line is one
 token), ordered by rarity. Two lines with Jaccard similarity of 0.8 or more
 share a token among the first ``size - ceil(0.8 * size) + 1`` of each, at
-places and sizes that allow the overlap needed; such pairs are verified on the
-words themselves. A line goes when an earlier line is equal or similar.
+sizes that allow the overlap needed (places are not tested); such pairs are
+verified on the words themselves. A line goes when an earlier line is equal or similar.
 
 How it is spread:
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,17 +18,32 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (local tests)
-    a temporary folder is made and set.
+    Read from ``spark.checkpoint.dir``; only where that is unset and the
+    executors are threads of the driver (tests) a temporary folder is made and
+    set. On a cluster an unset folder is an error: local disks aren't shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+@contextmanager
+def _shuffles_end(spark: SparkSession):
+    """Shuffle files go when the write is done: what reads the table needs none of them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -39,7 +55,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_end(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -50,7 +67,8 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     name = f"scratch_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").bucketBy(n, key).saveAsTable(name)
+    with _shuffles_end(spark):
+        df.write.format("parquet").bucketBy(n, key).saveAsTable(name)
     out = spark.table(name)
     out._scratch_table = name
     return out
@@ -105,8 +123,3 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
-
-def pruned(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the columns that an operator reads, whatever else the table has."""
-    return docs.select(*(F.col(f"`{c}`") for c in columns))
-

@@ -1,23 +1,28 @@
 """Language-model scores from a probabilistic suffix tree of words.
 
-A context is the last word or the last two. Its next-word distribution is
-smoothed towards that of its parent (the context without its first word):
-``P(w|c) = (N(cw) + STRENGTH * P(w|parent)) / (N(c) + STRENGTH)``; the root has
-additive smoothing. A context stays in the tree if it was seen ``LEAST`` times
-and passes the divergence test: the log-likelihood gain of its distribution
-over its parent's, each occurrence left out of its own counts, exceeds
-``GAIN`` nats and ``GAIN_RATE`` nats an occurrence. A word is scored in the
-state of the longest suffix of its history that is in the tree.
+A context is the last one to ``max_depth`` words. Its next-word distribution is
+smoothed towards that of its parent, the longest of its proper suffixes in the
+tree: ``P(w|c) = (N(cw) + STRENGTH * P(w|parent)) / (N(c) + STRENGTH)``; the
+root has additive smoothing. A context stays in the tree if it was seen
+``LEAST`` times and passes the divergence test: the log-likelihood gain of its
+distribution over its parent's, each occurrence left out of its own counts,
+exceeds ``GAIN`` nats and ``GAIN_RATE`` nats an occurrence. A word is scored in
+the state of the longest suffix of its history that is in the tree.
+
+The tree grows level by level: a context is tried if it was seen ``LEAST``
+times, the same words without the last were tried, and its suffix two words
+shorter is in the tree (the root is). Growth ends when no context is left to
+try, or at ``max_depth``.
 
 The counts of the corpus are too many for any one task, so they are never
 gathered. The corpus is cut into chunks of bounded text, kept in buckets so
-that the chunks themselves never move. A chunk asks for the
+that the chunks themselves never move. In each round a chunk asks for the
 totals of its distinct n-grams: it sends each key with its own count to the
-slice of the hash space that owns it, the slice adds up, and the totals go
-back to the chunks that asked. Four such rounds give words, pairs, triples
-(only under contexts seen often enough) with the gains of one-word contexts,
-and the gains of two-word contexts. A chunk sends a key once however often it
-occurs, so no key is hot.
+slice of the hash space that owns it, the slice adds up, and the totals go back
+to the chunks that asked. Round d counts the n-grams under contexts of d words
+and adds up the gains of contexts of d - 1 words; it writes its new arrays
+alone. A chunk sends a key once however often it occurs, so no key is hot; the
+number of slices grows with that of the chunks, so a slice doesn't.
 """
 
 from __future__ import annotations
@@ -37,14 +42,15 @@ from qualispark.llm.common import arrow_map, bucketed, discard, dropped, raw_tex
 LEAST = 16
 STRENGTH = 20.0
 GAIN, GAIN_RATE = 10.0, 0.02
+#: Words of the longest context, if growth goes on that long.
+MAX_DEPTH = 5
 #: Additive smoothing of the root, the same as of the base score.
 ADD = 0.1
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 6 << 20
-SLICE_BITS = 8
 
 _END = b" "  # no word has a space, so it is free to name the end
-_STATE = "chunk long, state binary"
+_BLOB = "chunk long, state binary"
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -66,6 +72,11 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def _small(counts: np.ndarray) -> np.ndarray:
+    """Non-negative integers in the narrowest type."""
+    return counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
+
+
 def _mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     h = a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(salt)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -77,26 +88,33 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 10 == 0
 
 
+def _kept(gain: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return (gain > GAIN) & (gain > GAIN_RATE * of)
+
+
 class Chunk:
-    """Word numbers by position, documents by their end positions.
+    """The words of some documents by position, and what the rounds found about them.
 
     ``word`` (number of each token, 0 is the end), ``ends`` (positions after
-    each document), ``train`` (by document), ``hash`` (by number), ``known``
-    and ``doc_id``; the later rounds add counts.
+    each document), ``train`` (by document), ``hash`` (by number), ``known`` and
+    ``doc_id``. Rounds add ``count0`` (by number), ``count<d>`` and ``kept<d>``
+    (n-grams under, and fate of, the contexts of d words, by position of
+    ``level(d)``).
     """
 
-    def __init__(self, arrays: dict[str, np.ndarray]):
-        self.__dict__.update(arrays)
-        lengths = np.diff(np.concatenate(([0], self.ends)))
-        self.lengths = lengths
-        first = np.repeat(self.ends - lengths, lengths)
-        self.place = np.arange(len(self.word)) - first
-        self.trains = np.repeat(self.train.astype(bool), lengths)
+    def __init__(self, arrays: dict[str, np.ndarray], total: int = 0, kinds: int = 0):
+        self.arrays = arrays
+        self.word, self.ends, self.hash = arrays["word"], arrays["ends"], arrays["hash"]
+        self.lengths = np.diff(self.ends, prepend=0)
+        self.place = np.arange(len(self.word)) - np.repeat(self.ends - self.lengths, self.lengths)
+        self.trains = np.repeat(arrays["train"].astype(bool), self.lengths)
+        self.total, self.kinds = total, kinds
+        self._levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @staticmethod
-    def of(docs: list[tuple[int | None, list[int]]], hashes: list[int]) -> dict[str, np.ndarray]:
+    def of(docs: list[tuple[int | None, np.ndarray]], hashes: list[int]) -> dict[str, np.ndarray]:
         return {
-            "word": np.concatenate([np.array(w, np.int32) for _, w in docs]),
+            "word": np.concatenate([w for _, w in docs]),
             "ends": np.cumsum([len(w) for _, w in docs]),
             "train": np.array([not held_out(d) for d, _ in docs], np.uint8),
             "hash": np.array(hashes, np.uint64),
@@ -104,131 +122,199 @@ class Chunk:
             "doc_id": np.array([d or 0 for d, _ in docs], np.int64),
         }
 
-    def before(self, x: np.ndarray, n: int = 1) -> np.ndarray:
-        """x of the position n earlier (anything at the first n)."""
-        return np.concatenate((x[:n], x[:-n])) if len(x) > n else x
-
-    # keys of the n-grams that end at each position
-    def pairs(self) -> np.ndarray:
-        h = self.hash[self.word]
-        return _mix(self.before(h), h, 2)
-
-    def triples(self) -> np.ndarray:
-        return _mix(self.before(self.pairs()), self.hash[self.word], 3)
+    def kept(self, depth: int) -> np.ndarray:
+        """Which positions of the level have a context that is in the tree."""
+        return np.unpackbits(self.arrays[f"kept{depth}"], count=len(self.level(depth)[0])).astype(bool)
+
+    def level(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions with a context of ``depth`` words to try, and how often it was seen."""
+        if depth not in self._levels:
+            if depth == 1:
+                before = self.arrays["count0"][self.word[:-1]].astype(np.int64)
+                at = np.flatnonzero((self.place[1:] >= 1) & (before >= LEAST)) + 1
+                self._levels[1] = at, before[at - 1]
+            else:
+                seen = self.arrays[f"count{depth - 1}"]
+                often = np.flatnonzero(seen >= LEAST)
+                at, of = self.level(depth - 1)[0][often] + 1, seen[often].astype(np.int64)
+                good = at < len(self.word)
+                at, of = at[good], of[good]
+                good = self.place[at] >= depth
+                if depth > 2:
+                    grown = np.zeros(len(self.word), bool)
+                    grown[self.level(depth - 2)[0][self.kept(depth - 2)]] = True
+                    good &= grown[at]
+                self._levels[depth] = at[good], of[good]
+        return self._levels[depth]
+
+    def keys(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Names of the n-grams that end at the positions."""
+        key = self.hash[self.word[at - n + 1]]
+        for back in range(n - 2, -1, -1):
+            key = _mix(key, self.hash[self.word[at - back]], n - back)
+        return key
+
+    def root(self) -> np.ndarray:
+        by_number = (self.arrays["count0"] + ADD) / (self.total + ADD * (self.kinds + 1))
+        return by_number[self.word]
+
+    def probability(self, depth: int) -> np.ndarray:
+        """Probability of each word in its longest context of at most ``depth`` words in the tree."""
+        p = self.root()
+        for d in range(1, depth + 1):
+            (at, of), stays = self.level(d), self.kept(d)
+            at, of, n = at[stays], of[stays], self.arrays[f"count{d}"][stays]
+            p[at] = (n + STRENGTH * p[at]) / (of + STRENGTH)
+        return p
+
+    def gains(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts of the level and what each training occurrence gains over the parent (others 0)."""
+        at, of = self.level(depth)
+        parent, n = self.probability(depth - 1)[at], self.arrays[f"count{depth}"].astype(np.int64)
+        left = np.maximum(n - 1, 0) + STRENGTH * parent
+        gain = np.log(left / (np.maximum(of - 1, 0) + STRENGTH) / parent)
+        return self.keys(at - 1, depth), np.where(self.trains[at], gain, 0.0)
+
+    def ask(self, depth: int, last: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(keys, values) of the counts and of the gains that round ``depth`` adds up."""
+        none = (np.zeros(0, np.uint64), np.zeros(0))
+        if depth == 0:
+            return (self.hash, np.bincount(self.word, self.trains, len(self.hash))), none
+        counts = none
+        if depth <= last:
+            at = self.level(depth)[0]
+            counts = self.keys(at, depth + 1), self.trains[at].astype(float)
+        return counts, self.gains(depth - 1) if depth > 1 else none
+
+    def add(self, depth: int, last: int, counts: np.ndarray, gains: np.ndarray) -> dict[str, np.ndarray]:
+        """The new arrays of round ``depth`` from the totals of what was asked."""
+        new = {}
+        if depth <= last:
+            new[f"count{depth}"] = _small(counts.astype(np.int64))
+        if depth > 1:
+            new[f"kept{depth - 1}"] = np.packbits(_kept(gains, self.level(depth - 1)[1]))
+        return new
+
+
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their values."""
+    order = np.argsort(keys)
+    k = keys[order]
+    at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+    return k[at], np.add.reduceat(values[order], at) if len(at) else np.zeros(0)
 
-    # which positions have a context seen often enough
-    def has_one(self) -> np.ndarray:
-        return (self.place >= 1) & (self.before(self.count1[self.word]) >= LEAST)
 
-    def has_two(self) -> np.ndarray:
-        return (self.place >= 2) & self.before(self.has_one()) & (self.before(self.count2) >= LEAST)
+def _spread(keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The totals of the distinct keys in order, by position of ``keys``."""
+    order = np.argsort(keys)
+    k = keys[order]
+    new = np.concatenate(([False], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
+    out = np.empty(len(keys))
+    out[order] = totals[np.cumsum(new)] if len(k) else 0.0
+    return out
 
-    def root(self, total: int, kinds: int) -> np.ndarray:
-        return (self.count1[self.word] + ADD) / (total + ADD * (kinds + 1))
 
-    def _gain(self, count: np.ndarray, of: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """Log of the context's probability, its own occurrence left out, over the parent's."""
-        left = np.maximum(count - 1, 0) + STRENGTH * parent
-        return np.log(left / (np.maximum(of - 1, 0) + STRENGTH) / parent)
+def _requests(state: DataFrame, load: Callable, depth: int, last: int, bits: int) -> DataFrame:
+    """slice, chunk, asked: what each chunk asks of each slice."""
 
-    def one(self, root: np.ndarray) -> np.ndarray:
-        """Probability under the one-word context, for positions of ``has_one``."""
-        of = self.before(self.count1[self.word])
-        return (self.count2 + STRENGTH * root) / (of + STRENGTH)
+    def rows(batches):
+        for number, arrays in _loaded(batches):
+            counts, gains = (_sums(*x) for x in load(arrays).ask(depth, last))
+            cuts = [np.searchsorted(k >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) for k in (counts[0], gains[0])]
+            there = np.flatnonzero(np.diff(cuts[0]) + np.diff(cuts[1])).tolist()
 
-    def parent_of_two(self, root: np.ndarray) -> np.ndarray:
-        kept = self.before(self.keep1[self.word].astype(bool)) & self.has_one()
-        return np.where(kept, self.one(root), root)
+            def blob(s: int) -> bytes:
+                c, g = (slice(x[s], x[s + 1]) for x in cuts)
+                gap, ggap = (np.diff(k, prepend=np.uint64(0)) for k in (counts[0][c], gains[0][g]))
+                return _pack(gap=gap, value=_small(counts[1][c].astype(np.int64)), ggap=ggap, gain=gains[1][g])
 
+            for at in range(0, len(there), 64):
+                some = there[at : at + 64]
+                yield {"slice": some, "chunk": [number] * len(some), "asked": [blob(s) for s in some]}
 
-def _spread(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sums of their values."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    return k[at], np.add.reduceat(values[order], at) if len(at) else np.zeros(0)
+    return arrow_map(state, rows, "slice int, chunk long, asked binary")
 
 
-def _requests(state: DataFrame, ask: Callable[[Chunk], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """slice, chunk, keys, values: what each chunk asks of each slice."""
+def _loaded(batches):
+    """Chunk number and all its arrays: every column after the first is a blob of some."""
+    for b in batches:
+        for i in range(b.num_rows):
+            arrays: dict[str, np.ndarray] = {}
+            for column in b.columns[1:]:
+                arrays |= _unpack(column[i].as_py())
+            yield b.column(0)[i].as_py(), arrays
 
-    def rows(batches):
-        for b in batches:
-            for number, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                keys, values = _spread(*ask(Chunk(_unpack(blob.as_py()))))
-                owner = (keys >> np.uint64(64 - SLICE_BITS)).astype(np.int64)
-                cuts = np.searchsorted(owner, np.arange((1 << SLICE_BITS) + 1))
-                there = np.flatnonzero(np.diff(cuts))
-                yield {
-                    "slice": there.tolist(),
-                    "chunk": [number] * len(there),
-                    "asked": [
-                        _pack(gap=np.diff(keys[cuts[s] : cuts[s + 1]], prepend=np.uint64(0)), value=values[cuts[s] : cuts[s + 1]])
-                        for s in there
-                    ],
-                }
 
-    return arrow_map(state, rows, "slice int, chunk long, asked binary")
+def _slices(batches):
+    """slice and its requests (chunk, blob), from rows sorted by slice."""
+    last, held = None, []
+    for b in batches:
+        for s, c, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            if s != last:
+                if held:
+                    yield last, held
+                last, held = s, []
+            held.append((c, blob))
+    if held:
+        yield last, held
 
 
 def _answers(requests: DataFrame) -> DataFrame:
     """chunk, slice, answer (the totals in the order asked), kinds (keys with a total, once a slice).
 
-    A task holds the requests of its slices: the distinct n-grams of the corpus
-    over the number of partitions.
+    Rows come slice by slice and a task holds one slice at a time.
     """
 
     def rows(batches):
-        by_slice: dict[int, list] = {}
-        for b in batches:
-            for s, c, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                by_slice.setdefault(s, []).append((c, blob))
-        for s in sorted(by_slice):
-            asked = [(c, _unpack(blob)) for c, blob in sorted(by_slice.pop(s))]
-            keys = [np.cumsum(a["gap"], dtype=np.uint64) for _, a in asked]
-            every, where = np.unique(np.concatenate(keys), return_inverse=True)
-            totals = np.bincount(where, np.concatenate([a["value"] for _, a in asked]), len(every))
-            at = np.cumsum([0] + [len(k) for k in keys])
-            whole = totals.astype(np.int64)
-            totals = whole if np.array_equal(whole, totals) else totals
+        for s, requests in _slices(batches):
+            asked = [_unpack(blob) for _, blob in requests]
+            found = []
+            for gap, value in (("gap", "value"), ("ggap", "gain")):
+                keys = [np.cumsum(a[gap], dtype=np.uint64) for a in asked]
+                every = np.concatenate(keys)
+                _, totals = _sums(every, np.concatenate([a[value] for a in asked]).astype(float))
+                found.append((np.cumsum([0] + [len(k) for k in keys]), _spread(every, totals), totals))
+            (at, counts, totals), (gat, gains, _) = found
             yield {
-                "chunk": [c for c, _ in asked],
-                "slice": [s] * len(asked),
-                "answer": [_pack(total=totals[where[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)],
-                "kinds": [int((totals > 0).sum())] + [0] * (len(asked) - 1),
+                "chunk": [c for c, _ in requests],
+                "slice": [s] * len(requests),
+                "answer": [
+                    _pack(count=_small(counts[at[i] : at[i + 1]].astype(np.int64)), gain=gains[gat[i] : gat[i + 1]])
+                    for i in range(len(requests))
+                ],
+                "kinds": [int((totals > 0).sum())] + [0] * (len(requests) - 1),
             }
 
-    spread = requests.repartition("slice")
+    spread = requests.repartition("slice").sortWithinPartitions("slice", "chunk")
     return arrow_map(spread, rows, "chunk long, slice int, answer binary, kinds long")
 
 
-def _with_answers(state: DataFrame, answers: DataFrame) -> DataFrame:
-    """Each chunk with its answers in slice order; a chunk's are no more than it asked."""
-    grouped = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("slice", "answer"))).alias("answers"))
-    return state.join(grouped, "chunk", "left").select("chunk", "state", F.transform("answers", lambda a: a["answer"]).alias("answers"))
-
-
-def _answered(chunk: Chunk, ask, blobs: list[bytes] | None) -> np.ndarray:
-    """The totals for each key that the chunk asked, by position of ``ask``."""
-    keys, _ = ask(chunk)
-    every = np.unique(keys)
-    totals = np.concatenate([_unpack(x)["total"] for x in blobs]) if blobs else np.zeros(0)
-    return totals[np.searchsorted(every, keys)]
-
-
-def _advance(joined: DataFrame, ask, add: Callable[[Chunk, np.ndarray], dict]) -> DataFrame:
-    """Chunks with the arrays that ``add`` makes of the answers."""
+def _advance(state: DataFrame, answers: DataFrame, load: Callable, depth: int, last: int) -> DataFrame:
+    """chunk, state (the round's new arrays), todo (positions that the next round has to look at)."""
+    ordered = F.sort_array(F.collect_list(F.struct("slice", "answer")))
+    grouped = answers.groupBy("chunk").agg(F.transform(ordered, lambda a: a["answer"]).alias("answers"))
 
     def rows(batches):
         for b in batches:
-            for number, blob, answers in zip(*(b.column(i) for i in range(3)), strict=True):
-                arrays = _unpack(blob.as_py())
-                chunk = Chunk(arrays)
-                new = add(chunk, _answered(chunk, ask, answers.as_py()))
-                yield {"chunk": [number.as_py()], "state": [_pack(**(arrays | new))]}
-
-    return arrow_map(joined, rows, _STATE)
+            held = pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1])
+            for i, (number, arrays) in enumerate(_loaded([held])):
+                blobs = [_unpack(x) for x in b.columns[-1][i].as_py() or []]
+                chunk = load(arrays)
+                counts, gains = (
+                    _spread(keys, np.concatenate([x[name] for x in blobs]) if blobs else np.zeros(0))
+                    for (keys, _), name in zip(chunk.ask(depth, last), ("count", "gain"), strict=True)
+                )
+                if depth == 0:
+                    new, todo = {"count0": _small(counts.astype(np.int64))}, len(chunk.word)
+                else:
+                    new = chunk.add(depth, last, counts, gains)
+                    chunk.arrays = arrays | new
+                    todo = 0
+                    if depth <= last:
+                        todo = len(chunk.level(depth)[0]) + (len(chunk.level(depth + 1)[0]) if depth < last else 0)
+                yield {"chunk": [number], "state": [_pack(**new)], "todo": [todo]}
+
+    return arrow_map(state.join(grouped, "chunk", "left"), rows, f"{_BLOB}, todo long")
 
 
 def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -241,7 +327,9 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
 
         def close():
             hashes = [xxhash.xxh64_intdigest(w) for w in numbers]
-            return {"chunk": [(part << 32) + made], "state": [_pack(**Chunk.of(held, hashes))]}
+            blob = _pack(**Chunk.of(held, hashes))
+            tokens = sum(len(w) for d, w in held if not held_out(d))
+            return {"chunk": [(part << 32) + made], "state": [blob], "tokens": [tokens]}
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), raw_texts(b.column(1)), strict=True):
@@ -255,55 +343,13 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if held:
             yield close()
 
-    return arrow_map(docs, rows, _STATE)
-
-
-# The four questions: keys and what the chunk itself adds to their totals.
-
-
-def _ask_words(c: Chunk):
-    return c.hash, np.bincount(c.word, c.trains, len(c.hash))
-
-
-def _ask_pairs(c: Chunk):
-    at = np.flatnonzero(c.has_one())
-    return c.pairs()[at], c.trains[at].astype(float)
-
-
-def _ask_triples(total: int, kinds: int):
-    def ask(c: Chunk):
-        two, one = np.flatnonzero(c.has_two()), np.flatnonzero(c.has_one())
-        root, word = c.root(total, kinds), c.before(c.word)
-        gain = c._gain(c.count2, c.before(c.count1[c.word]), root)
-        learn = one[c.trains[one]]
-        sums = np.bincount(word[learn], gain[learn], len(c.hash))
-        contexts = np.unique(word[one])
-        return (
-            np.concatenate((c.triples()[two], _mix(c.hash[contexts], c.hash[contexts], 5))),
-            np.concatenate((c.trains[two].astype(float), sums[contexts])),
-        )
-
-    return ask
-
-
-def _ask_gains(total: int, kinds: int):
-    def ask(c: Chunk):
-        two = np.flatnonzero(c.has_two())
-        parent = c.parent_of_two(c.root(total, kinds))[two]
-        gain = c._gain(c.count3[two], c.before(c.count2)[two], parent)
-        return c.before(c.pairs())[two], np.where(c.trains[two], gain, 0.0)
-
-    return ask
-
-
-def _kept(gain: np.ndarray, of: np.ndarray) -> np.ndarray:
-    return (gain > GAIN) & (gain > GAIN_RATE * of)
+    return arrow_map(docs, rows, f"{_BLOB}, tokens long")
 
 
 def score(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, max_depth: int = MAX_DEPTH
 ) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_states.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_states, longest.
 
     Words are runs of bytes other than space and 0x09-0x0D after A-Z are
     lower-cased; each text ends with one end token. Documents of which the
@@ -311,86 +357,64 @@ def score(
     counts as the empty text, so it is held out). Null and empty texts are the
     end alone; repeated rows are learned from and scored each; an empty table
     gives no rows; other columns are not read. ``n_states`` counts the tokens
-    scored below the root.
+    scored below the root, ``longest`` is the longest context used.
     """
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    state = bucketed(_chunks(own, chunk_bytes), "chunk")
-
-    def step(ask, add):
-        """One round; the old state goes once the new one is written."""
-        nonlocal state
-        new = bucketed(_advance(_with_answers(state, _answers(_requests(state, ask))), ask, add), "chunk")
-        dropped(state)
-        state = new
-
-    # the first answers also tell the number of different words and of tokens
-    answers = written(_answers(_requests(state, _ask_words)), "words")
-    kinds = answers.agg(F.sum("kinds")).first()[0] or 0
-    new = bucketed(_advance(_with_answers(state, answers), _ask_words, lambda c, x: {"count1": x.astype(np.int64)}), "chunk")
-    dropped(state)
-    discard(answers)
-    state = new
-    total = _train_tokens(state)
-
-    def place(name: str, of):
-        def add(c: Chunk, found: np.ndarray) -> dict:
-            out = np.zeros(len(c.word), np.int32)
-            out[np.flatnonzero(of(c))] = found
-            return {name: out}
-
-        return add
-
-    step(_ask_pairs, place("count2", Chunk.has_one))
-
-    def triples_and_gains(c: Chunk, found: np.ndarray) -> dict:
-        two = np.flatnonzero(c.has_two())
-        contexts = np.unique(c.before(c.word)[c.has_one()])
-        count3, keep1 = np.zeros(len(c.word), np.int32), np.zeros(len(c.hash), np.uint8)
-        count3[two] = np.rint(found[: len(two)])
-        keep1[contexts] = _kept(found[len(two) :], c.count1[contexts])
-        return {"count3": count3, "keep1": keep1}
-
-    step(_ask_triples(total, kinds), triples_and_gains)
-    ask = _ask_gains(total, kinds)
-    last = _with_answers(state, _answers(_requests(state, ask)))
+    base = bucketed(_chunks(own, chunk_bytes), "chunk")
+    size = base.agg(F.count("*"), F.sum("tokens")).first()
+    total, kinds = size[1] or 0, 0
+    # twice as many slices as chunks: a slice stays about half as large as a chunk at any size
+    bits = max(8, (2 * size[0]).bit_length())
+    tables = [base]
+
+    def state() -> DataFrame:
+        out = base.select("chunk", "state")
+        for i, t in enumerate(tables[1:]):
+            out = out.join(t.select("chunk", F.col("state").alias(f"state{i}")), "chunk")
+        return out
+
+    depth = 0
+    while True:
+        known = kinds  # the closures of this round take its value
+        load = lambda arrays, k=known: Chunk(arrays, total, k)
+        answers = _answers(_requests(state(), load, depth, max_depth, bits))
+        if depth == 0:  # the first answers also tell the number of different words
+            answers = written(answers, "words")
+            kinds = answers.agg(F.sum("kinds")).first()[0] or 0
+        new = bucketed(_advance(state(), answers, load, depth, max_depth), "chunk")
+        if depth == 0:
+            discard(answers)
+        tables.append(new)
+        if not new.agg(F.sum("todo")).first()[0]:
+            break
+        depth += 1
+    final = depth - 1  # the last round settled the contexts of so many words
 
     def rows(batches):
-        for b in batches:
-            for blob, answers in zip(b.column(1), b.column(2), strict=True):
-                c = Chunk(_unpack(blob.as_py()))
-                two = np.flatnonzero(c.has_two())
-                root = c.root(total, kinds)
-                p = c.parent_of_two(root)
-                used = (c.before(c.keep1[c.word].astype(bool)) & c.has_one()).astype(np.int64)
-                gain, of = _answered(c, ask, answers.as_py()), c.before(c.count2)[two]
-                kept = _kept(gain, of)
-                at = two[kept]
-                p[at] = (c.count3[at] + STRENGTH * p[at]) / (of[kept] + STRENGTH)
-                used[at] = 1
-                starts = c.ends - c.lengths
-                add = np.add.reduceat
-                yield {
-                    "doc_id": pa.array(c.doc_id, mask=c.known == 0),
-                    "held_out": pa.array(c.train == 0),
-                    "n_tokens": pa.array(c.lengths),
-                    "n_known": pa.array(add((c.count1[c.word] > 0).astype(np.int64), starts)),
-                    "train_tokens": [total] * len(starts),
-                    "base_score": pa.array(add(np.log10(root), starts)),
-                    "score": pa.array(add(np.log10(p), starts)),
-                    "n_states": pa.array(add(used, starts)),
-                }
+        for _, arrays in _loaded(batches):
+            c = Chunk(arrays, total, kinds)
+            used = np.zeros(len(c.word), np.int64)
+            for d in range(1, final + 1):
+                used[c.level(d)[0][c.kept(d)]] = d
+            root, p, starts = c.root(), c.probability(final), c.ends - c.lengths
+            add = np.add.reduceat
+            yield {
+                "doc_id": pa.array(arrays["doc_id"], mask=arrays["known"] == 0),
+                "held_out": pa.array(arrays["train"] == 0),
+                "n_tokens": pa.array(c.lengths),
+                "n_known": pa.array(add((arrays["count0"][c.word] > 0).astype(np.int64), starts)),
+                "train_tokens": [total] * len(starts),
+                "base_score": pa.array(add(np.log10(root), starts)),
+                "score": pa.array(add(np.log10(p), starts)),
+                "n_states": pa.array(add((used > 0).astype(np.int64), starts)),
+                "longest": pa.array(np.maximum.reduceat(used, starts)),
+            }
 
     schema = (
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-        "base_score double, score double, n_states long"
+        "base_score double, score double, n_states long, longest long"
     )
-    return arrow_map(last, rows, schema)
-
-
-def _train_tokens(state: DataFrame) -> int:
-    def rows(batches):
-        for b in batches:
-            for blob in b.column(1):
-                yield {"n": [int(Chunk(_unpack(blob.as_py())).trains.sum())]}
-
-    return arrow_map(state, rows, "n long").agg(F.sum("n")).first()[0] or 0
+    out = written(arrow_map(state(), rows, schema), "scores")
+    for t in tables:
+        dropped(t)
+    return out

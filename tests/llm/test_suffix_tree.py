@@ -7,74 +7,77 @@ from collections import Counter
 from qualispark.llm import suffix_tree as st
 
 
-def brute(rows):
+def brute(rows, depth):
     docs = [(d, [*(t or "").encode().lower().split(), b" "]) for d, t in rows]
     learn = [w for d, w in docs if zlib.crc32(("" if d is None else str(d)).encode()) % 10]
-    counts = [Counter(tuple(w[i - n : i + 1]) for w in learn for i in range(n, len(w))) for n in range(3)]
-    one, two, three = counts
-    total, kinds = sum(one.values()), len(one)
-
-    def root(w):
-        return (one[(w,)] + st.ADD) / (total + st.ADD * (kinds + 1))
-
-    def smooth(n, of, parent):
-        return (n + st.STRENGTH * parent) / (of + st.STRENGTH)
-
-    def loo(n, of, parent):
-        return math.log(smooth(n - 1, of - 1, parent) / parent)
-
-    gain1, gain2 = Counter(), Counter()
-    for (b, w), n in two.items():
-        if one[(b,)] >= st.LEAST:
-            gain1[b] += n * loo(n, one[(b,)], root(w))
-    keep1 = {b for b, g in gain1.items() if g > st.GAIN and g > st.GAIN_RATE * one[(b,)]}
-
-    def parent(b, w):
-        return smooth(two[(b, w)], one[(b,)], root(w)) if b in keep1 else root(w)
-
-    def often(a, b):
-        return one[(a,)] >= st.LEAST and two[(a, b)] >= st.LEAST
-
-    for (a, b, w), n in three.items():
-        if often(a, b):
-            gain2[(a, b)] += n * loo(n, two[(a, b)], parent(b, w))
-    keep2 = {c for c, g in gain2.items() if g > st.GAIN and g > st.GAIN_RATE * two[c]}
+    count = [Counter(tuple(w[i - n : i + 1]) for w in learn for i in range(n, len(w))) for n in range(depth + 1)]
+    total, kinds, kept = sum(count[0].values()), len(count[0]), {()}
+
+    def probability(history, w):
+        """In the longest kept suffix of the history."""
+        p = (count[0][(w,)] + st.ADD) / (total + st.ADD * (kinds + 1))
+        for n in range(1, min(depth, len(history)) + 1):
+            c = tuple(history[-n:])
+            if c in kept:
+                p = (count[n][(*c, w)] + st.STRENGTH * p) / (count[n - 1][c] + st.STRENGTH)
+        return p
+
+    tried = {()}
+    for n in range(1, depth + 1):
+        def may(c, n=n):
+            return count[n - 1][c] >= st.LEAST and c[:-1] in tried and (n < 3 or c[2:] in kept)
+
+        candidates = {c for c in count[n - 1] if may(c)}
+        gain = Counter()
+        for (*c, w), times in count[n].items():
+            c = tuple(c)
+            if c in candidates:
+                parent, of = probability(c[1:], w), count[n - 1][c]
+                gain[c] += times * math.log((times - 1 + st.STRENGTH * parent) / (of - 1 + st.STRENGTH) / parent)
+        kept |= {c for c, g in gain.items() if g > st.GAIN and g > st.GAIN_RATE * count[n - 1][c]}
+        tried |= candidates
     out = []
     for d, words in docs:
-        base = score = 0.0
-        for i, w in enumerate(words):
-            base += math.log10(root(w))
-            p = root(w)
-            if i and words[i - 1] in keep1:
-                p = parent(words[i - 1], w)
-            if i > 1 and (words[i - 2], words[i - 1]) in keep2:
-                c = (words[i - 2], words[i - 1])
-                p = smooth(three[(*c, w)], two[c], p)
-            score += math.log10(p)
-        out.append((d, len(words), sum(one[(w,)] > 0 for w in words), total, base, score))
-    return out, len(keep1), len(keep2)
+        base = sum(math.log10(probability((), w)) for w in words)
+        score = sum(math.log10(probability(words[max(0, i - depth) : i], w)) for i, w in enumerate(words))
+        out.append((d, len(words), sum(count[0][(w,)] > 0 for w in words), total, base, score))
+    return out, Counter(map(len, kept))
 
 
-def check(docs, **options):
-    want, n1, n2 = brute([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
-    got = st.score(docs, **options).collect()
+def check(docs, depth=st.MAX_DEPTH, **options):
+    want, sizes = brute([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], depth)
+    got = st.score(docs, max_depth=depth, **options).collect()
     key = lambda r: (r[0] is not None, r[0] or 0, r[1], r[4])
     mine = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got), key=key)
     for a, b in zip(mine, sorted(want, key=key), strict=True):
         assert a[:4] == b[:4]
         assert math.isclose(a[4], b[4], rel_tol=1e-9) and math.isclose(a[5], b[5], rel_tol=1e-9), (a, b)
-    return got, n1, n2
+    return got, sizes
 
 
 def test_whole_table(spark, sf):
-    got, n1, n2 = check(spark.read.parquet(f"{sf}/documents.parquet").repartition(3), chunk_bytes=20_000)
-    assert n1 > 5 and n2 > 1
+    got, sizes = check(spark.read.parquet(f"{sf}/documents.parquet").repartition(3), chunk_bytes=20_000)
+    assert sizes[1] > 5 and sizes[2] > 1
     out = [r for r in got if r["held_out"]]
     assert out and sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+    assert max(r["longest"] for r in got) <= max(sizes)
     for r in got:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
 
 
+def test_depth_grows_with_the_evidence(spark):
+    """Words that only the fourth word before tells apart need contexts of four words."""
+    rows = [(i, " ".join(f"{s} x y z {e}" for s, e in [("a", "one"), ("b", "two")] for _ in range(3))) for i in range(1, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, sizes = check(docs)
+    assert sizes[4] and max(r["longest"] for r in got) >= 4
+    deep = sum(r["score"] for r in got)
+    for depth in (1, 2):
+        got, _ = check(docs, depth)
+        assert max(r["longest"] for r in got) <= depth and sum(r["score"] for r in got) < deep
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     check(odd_docs)
+    check(odd_docs.filter("doc_id is null"))
     assert st.score(no_docs).count() == 0

@@ -57,7 +57,7 @@ def _cut_and_fill(path: str, end_id: int, capacity: int):
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
-        encode = encoder(path, spaces=False)
+        encode = encoder(path)
         held: dict[int, list] = {s: [] for s in sizes}
 
         def columns(pieces):

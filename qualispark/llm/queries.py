@@ -37,7 +37,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     folder, manifest = sstable.write_shards(_table(spark, sf_dir, "documents"), path)
-    return sstable.digest(spark, folder, manifest)
+    return sstable.digest(manifest, folder)
 
 
 def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Sorted-string-table shards of token ids.
 
-Documents are range-partitioned and sorted by id; each task writes its range as
-shard files in the shared folder, so a lost task writes the same files again.
+Texts are encoded where they lie; ids, not texts, are range-partitioned and
+sorted by document id. Each task writes its range as shard files in the shared
+folder, so a lost task writes the same files again. Files are read by footer,
+index and block, never whole.
 A file holds
 
 * data blocks of about ``BLOCK_BYTES``: entries in key order, each with the
@@ -20,15 +22,15 @@ from __future__ import annotations
 
 import struct
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qualispark.llm.common import arrow_map, scratch_path, written
-from qualispark.llm.tokens import encoder
+from qualispark.llm.common import arrow_map, discard, scratch_path, written
+from qualispark.llm.tokens import encoder, largest_id
 
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 16 << 20
@@ -81,17 +83,19 @@ def _probes(key: bytes, bits: int) -> list[int]:
 
 
 class ShardWriter:
-    """One file in memory; keys come in ascending order, equal ones allowed."""
+    """One file in memory; keys come in ascending order, equal ones allowed.
+
+    Values are ids as bytes, ``width`` bytes each.
+    """
 
     def __init__(self, width: int):
         self.width, self.data, self.block, self.index, self.keys = width, bytearray(), bytearray(), [], []
         self.last, self.tokens = b"", 0
 
-    def add(self, key: bytes, ids: bytes) -> None:
-        value = ids if self.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+    def add(self, key: bytes, value: bytes) -> None:
         n = _shared(self.last, key) if self.block else 0
         self.block += _varint(n) + _varint(len(key) - n) + key[n:] + _varint(len(value)) + value
-        self.last, self.tokens = key, self.tokens + len(ids) // 4
+        self.last, self.tokens = key, self.tokens + len(value) // self.width
         self.keys.append(key)
         if len(self.block) >= BLOCK_BYTES:
             self._close()
@@ -120,17 +124,37 @@ class ShardWriter:
         return bytes(self.data) + index + bloom + _FOOTER.pack(*tail, check, MAGIC)
 
 
+def narrowed(ids: bytes, width: int) -> bytes:
+    """Little-endian 32-bit ids as ids of ``width`` bytes; an id that doesn't fit is an error."""
+    if width == 4:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and int(wide.max()) > 0xFFFF:
+        raise ValueError(f"token id {wide.max()} does not fit into {width} bytes")
+    return wide.astype("<u2").tobytes()
+
+
+def widened(value: bytes, width: int) -> bytes:
+    return value if width == 4 else np.frombuffer(value, "<u2").astype("<u4").tobytes()
+
+
 class Shard:
-    """A file's reader; ``get`` looks into one block, or none if the filter says no."""
-
-    def __init__(self, data: bytes):
-        self.data = data
-        at, size, bloom_at, bloom_size, self.n_docs, self.n_tokens, self.width, check, magic = _FOOTER.unpack(
-            data[-_FOOTER.size :]
-        )
-        index, bloom = data[at : at + size], data[bloom_at : bloom_at + bloom_size]
-        if magic != MAGIC or zlib.crc32(bloom, zlib.crc32(index)) != check:
-            raise ValueError("damaged shard: footer, index or filter")
+    """A file's reader; ``get`` reads one block, or none if the filter says no.
+
+    ``file`` is a binary file that can seek; footer, index and filter are read
+    at once, blocks when they are asked for.
+    """
+
+    def __init__(self, file):
+        self.file = file
+        size = file.seek(0, 2) or file.tell()
+        tail = self._read(size - _FOOTER.size, _FOOTER.size) if size >= _FOOTER.size else b""
+        if tail[-8:] != MAGIC:
+            raise ValueError("damaged shard: footer")
+        at, size, bloom_at, bloom_size, self.n_docs, self.n_tokens, self.width, check, _ = _FOOTER.unpack(tail)
+        index, bloom = self._read(at, size), self._read(bloom_at, bloom_size)
+        if zlib.crc32(bloom, zlib.crc32(index)) != check:
+            raise ValueError("damaged shard: index or filter")
         self.bits = int.from_bytes(bloom[:8], "little")
         self.bloom, self.index, p = bloom[8:], [], 0
         while p < size:
@@ -141,10 +165,15 @@ class Shard:
             self.index.append((key, offset, length))
         self.ends = [k for k, _, _ in self.index]
 
-    def _entries(self, number: int):
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
+
+    def entries(self, number: int):
         _, at, length = self.index[number]
-        block = self.data[at : at + length]
-        if zlib.crc32(block) != int.from_bytes(self.data[at + length : at + length + 4], "little"):
+        whole = self._read(at, length + 4)
+        block = whole[:length]
+        if zlib.crc32(block) != int.from_bytes(whole[length:], "little"):
             raise ValueError("damaged shard: block")
         p, key = 0, b""
         while p < length:
@@ -153,11 +182,11 @@ class Shard:
             key, p = key[:n] + block[p : p + m], p + m
             size, p = _read_varint(block, p)
             value, p = block[p : p + size], p + size
-            yield key, value if self.width == 4 else np.frombuffer(value, "<u2").astype("<u4").tobytes()
+            yield key, widened(value, self.width)
 
     def items(self):
         for number in range(len(self.index)):
-            yield from self._entries(number)
+            yield from self.entries(number)
 
     def may_have(self, key: bytes) -> bool:
         return all(self.bloom[b >> 3] >> (b & 7) & 1 for b in _probes(key, self.bits))
@@ -168,40 +197,70 @@ class Shard:
         if not self.may_have(key):
             return found
         for number in range(bisect_left(self.ends, key), len(self.index)):
-            same = [v for k, v in self._entries(number) if k == key]
+            same = [v for k, v in self.entries(number) if k == key]
             found += same
             if not same or self.ends[number] != key:
                 break
         return found
 
 
+def _store(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder)
+
+
+def _encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
+    """doc_id, tie, number, ids (narrow) of each text; tie and number order equal ids."""
+
+    def rows(batches):
+        from pyspark import TaskContext
+
+        encode, end = encoder(path), end_id.to_bytes(4, "little")
+        number = TaskContext.get().partitionId() << 33
+        for b in batches:
+            for begin in range(0, b.num_rows, 256):
+                some = b.slice(begin, 256)
+                ids = [narrowed(encode(t or "") + end, width) for t in some.column(2).to_pylist()]
+                numbers = range(number, number + len(ids))
+                number += len(ids)
+                yield {"doc_id": some.column(0), "tie": some.column(1), "number": numbers, "ids": ids}
+
+    return arrow_map(docs, rows, "doc_id long, tie long, number long, ids binary")
+
+
 def write_shards(
     docs: DataFrame,
     path: str,
     end_id: int = 0,
-    width: int = 2,
+    width: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     shard_bytes: int = SHARD_BYTES,
 ) -> tuple[str, DataFrame]:
     """Encode, sort and write; the folder and the manifest (one row per file).
 
-    Manifest: part, number, name, n_docs, n_tokens, n_bytes. Files are named by
-    their place in the order. A null text is empty; null ids come first; equal
-    ids are ordered by their texts' hashes; an empty table writes no file; other
-    columns are not read. ``width`` is the bytes of an id in the file, 2 or 4.
+    Manifest: part, number, name, first_key, last_key, n_docs, n_tokens,
+    n_bytes. Files are named by their place in the order. A null text is empty;
+    null ids come first; equal ids are ordered by their texts' hashes, equal
+    rows stay in table order; an empty table writes no file; other columns are
+    not read. ``width`` is the bytes of an id in the file: 2 where all ids of
+    the vocabulary fit, else 4, unless it is given; ids that don't fit are an
+    error.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "sstable")
+    most = max(end_id, largest_id(path))
+    width = width or (2 if most <= 0xFFFF else 4)
+    if width not in (2, 4) or most >> (8 * width):
+        raise ValueError(f"ids up to {most} do not fit into {width} bytes (2 and 4 are possible)")
 
     def rows(batches):
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        store, root = fs.FileSystem.from_uri(folder)
-        part = TaskContext.get().partitionId()
-        encode, end = encoder(path, spaces=True), end_id.to_bytes(4, "little")
-        shard, made = ShardWriter(width), 0
+        store, root = _store(folder)
+        part, made = TaskContext.get().partitionId(), 0
+        shard = ShardWriter(width)
 
         def save():
             name = f"part-{part:06d}-{made:06d}.sst"
@@ -211,74 +270,87 @@ def write_shards(
             with store.open_output_stream(own) as out:
                 out.write(data)
             store.move(own, f"{root}/{name}")  # whole files only, the same from any attempt
-            return {"part": [part], "number": [made], "name": [name], "n_docs": [len(shard.keys)],
-                    "n_tokens": [shard.tokens], "n_bytes": [len(data)]}
+            return {"part": [part], "number": [made], "name": [name], "first_key": [shard.keys[0]], "last_key": [shard.keys[-1]],
+                    "n_docs": [len(shard.keys)], "n_tokens": [shard.tokens], "n_bytes": [len(data)]}
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard.add(key_of(doc), encode(text or "") + end)
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                shard.add(key_of(doc), ids.as_py())
                 if len(shard) >= shard_bytes:
                     yield save()
                     shard, made = ShardWriter(width), made + 1
         if shard.keys:
             yield save()
 
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = own.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = "part long, number long, name string, n_docs long, n_tokens long, n_bytes long"
-    return folder, written(arrow_map(ranged, rows, schema), "manifest")
+    text = F.col(f"`{text_col}`")
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    encoded = written(_encoded(own, path, end_id, width), "encoded")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("number")]
+    ranged = encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    schema = "part long, number long, name string, first_key binary, last_key binary, n_docs long, n_tokens long, n_bytes long"
+    manifest = written(arrow_map(ranged, rows, schema), "manifest")
+    discard(encoded)
+    return folder, manifest
+
+
+def starts(manifest: DataFrame) -> DataFrame:
+    """The manifest with ``before``, the ids in all files before each: sums by part, then within parts."""
+    totals = manifest.groupBy("part").agg(F.sum("n_tokens").alias("__n"))  # one row a task that wrote
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
+    inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
+    return manifest.withColumn("__own", own).join(totals, "part").withColumn("before", F.col("__ahead") + F.col("__own")).drop("__own", "__ahead")
+
+
+def _files(manifest: DataFrame) -> DataFrame:
+    """Files dealt over the cluster whatever files their rows came from."""
+    return manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """name, doc_id, at (ids before it in its file), n_tokens, ids of every entry."""
+def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids of every entry, block by block."""
 
     def rows(batches):
+        store, root = _store(folder)
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out: dict[str, list] = {"name": [], "doc_id": [], "at": [], "n_tokens": [], "ids": []}
-                at = size = 0
-                for key, ids in Shard(data.as_py()).items():
-                    for column, value in zip(out.values(), (name, id_of(key), at, len(ids) // 4, ids), strict=True):
-                        column.append(value)
-                    at, size = at + len(ids) // 4, size + len(ids)
-                    if size > 4 << 20:
-                        yield out
-                        out, size = {c: [] for c in out}, 0
-                yield out
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.sst").load(folder)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return arrow_map(named, rows, "name string, doc_id long, at long, n_tokens long, ids binary")
-
-
-def lookup(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
-    """doc_id and ids of a stated list of ids: filter, index and one block a file."""
+            for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_input_file(f"{root}/{name}") as file:
+                    shard = Shard(file)
+                    for number in range(len(shard.index)):
+                        entries = list(shard.entries(number))
+                        n = [len(ids) // 4 for _, ids in entries]
+                        at = np.cumsum([before, *n])
+                        before = int(at[-1])
+                        yield {"doc_id": [id_of(k) for k, _ in entries], "start": at[:-1].tolist(), "n_tokens": n, "ids": [v for _, v in entries]}
+
+    schema = "doc_id long, start long, n_tokens long, ids binary"
+    return arrow_map(_files(starts(manifest)).select("name", "before"), rows, schema)
+
+
+def lookup(manifest: DataFrame, folder: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids of a stated list of ids.
+
+    Only files whose range of keys holds one of them are opened, and of these
+    the footer, the index, the filter and the block that may have the key.
+    """
     keys = sorted({key_of(d) for d in doc_ids})
 
     def rows(batches):
+        store, root = _store(folder)
         for batch in batches:
-            for data in batch.column(0):
-                shard = Shard(data.as_py())
-                found = [(id_of(k), v) for k in keys for v in shard.get(k)]
+            for name, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = keys[bisect_left(keys, first) : bisect_right(keys, last)]
+                if not mine:
+                    continue
+                with store.open_input_file(f"{root}/{name}") as file:
+                    shard = Shard(file)
+                    found = [(id_of(k), v) for k in mine for v in shard.get(k)]
                 yield {"doc_id": [d for d, _ in found], "ids": [v for _, v in found]}
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.sst").load(folder)
-    return arrow_map(files.select("content"), rows, "doc_id long, ids binary")
-
-
-def starts(manifest: DataFrame) -> DataFrame:
-    """name and the ids in all files before it; one row per file, so a small table."""
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.select("name", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
+    return arrow_map(_files(manifest).select("name", "first_key", "last_key"), rows, "doc_id long, ids binary")
 
 
-def digest(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+def digest(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, read from the files."""
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if manifest.isEmpty():
-        return spark.createDataFrame([], schema)
-    entries = read_shards(spark, folder).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return entries.join(starts(manifest), "name").select(
-        "doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    return read_shards(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -1,47 +1,75 @@
 """Token ids of whole texts by a public tokenizer, through a cache of words.
 
-Both vocabularies split a text before the merges so that a change from a
-non-space to a space is always a boundary, and so is one from a letter to a
-full stop or comma. A text is therefore the concatenation of the ids of its
-space-led words, and most words are met again: their ids are kept as bytes in a
-dictionary of bounded size in each worker.
-Texts with control characters on which libraries differ (are they space?) are
-encoded whole.
+Two kinds of vocabulary are known to split a text before the merges so that a
+change from a non-space to a space is always a boundary (and, for the kind that
+drops white space, so is one from a letter to a full stop or comma). With these
+a text is the concatenation of the ids of its space-led words, and most words
+are met again: their ids are kept as bytes in a dictionary of bounded size in
+each worker. A vocabulary file with any other splitting is applied to whole
+texts, as are texts with control characters on which libraries differ (are they
+space?).
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 
-#: Words kept in a worker; the cache starts anew beyond it, results don't change.
-CACHE_WORDS = 1_000_000
+#: Words, and bytes of words and ids, kept in a worker; the cache starts anew beyond either, results don't change.
+CACHE_WORDS, CACHE_BYTES = 400_000, 16 << 20
 
+# The splitting of the two kinds, as vocabulary files state it.
+_BYTE_LEVEL = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+_WORD_PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _UNSURE = re.compile("[\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]")
 _LED = re.compile(r"\s*\S+|\s+")
 _STOP = re.compile("(?<=[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,])(?=\\s|$)")
 _loaded: dict = {}
 
 
-class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes.
+def splitting(path: str) -> str:
+    """What is known of a vocabulary file: it keeps spaces ("spaces"), drops them ("words"), or nothing ("other")."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    plain = all(t["special"] for t in spec.get("added_tokens", ()))
+    before = spec.get("pre_tokenizer") or {}
+    if plain and {k: spec.get(k) for k in _BYTE_LEVEL} == _BYTE_LEVEL:
+        return "spaces"
+    steps = before.get("pretokenizers", ())
+    forms = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", ())]
+    if plain and forms == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"]:
+        split = steps[0]
+        if split["pattern"] == {"Regex": _WORD_PIECES} and split["behavior"] == "Removed" and split["invert"] and not steps[1]["use_regex"]:
+            return "words"
+    return "other"
+
+
+def largest_id(path: str) -> int:
+    """The largest token id of a vocabulary file."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    vocab = spec["model"]["vocab"]
+    ids = vocab.values() if isinstance(vocab, dict) else range(len(vocab))
+    return max(max(ids, default=0), max((t["id"] for t in spec.get("added_tokens", ())), default=0))
 
-    ``spaces`` tells whether the vocabulary keeps white space (byte-level) or
-    drops it (words alone).
-    """
 
-    def __init__(self, path: str, spaces: bool):
+class Encoder:
+    """Ids as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.spaces = spaces
+        self.kind = splitting(path)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _cut(self, text: str) -> list[str]:
-        if self.spaces:
+        if self.kind == "spaces":
             return _LED.findall(text)
         return _STOP.sub(r" \1", text.lower() if text.isascii() else text).split()
 
@@ -50,7 +78,7 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in found]
 
     def __call__(self, text: str) -> bytes:
-        if _UNSURE.search(text):
+        if self.kind == "other" or _UNSURE.search(text):
             return self._ids([text])[0]
         words, known = self._cut(text), self.known
         ids = list(map(known.get, words))
@@ -58,14 +86,17 @@ class Encoder:
             missing = list(dict.fromkeys(w for w, x in zip(words, ids, strict=True) if x is None))
             new = dict(zip(missing, self._ids(missing), strict=True))
             ids = [new[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-            if len(known) + len(new) > CACHE_WORDS:
+            self.held += sum(map(len, new)) + sum(map(len, new.values()))
+            if self.held > CACHE_BYTES or len(known) + len(new) > CACHE_WORDS:
                 known.clear()
-            known.update(new)
+                self.held = 0
+            else:
+                known.update(new)
         return b"".join(ids)
 
 
-def encoder(path: str, spaces: bool) -> Encoder:
+def encoder(path: str) -> Encoder:
     """The worker's own encoder for a vocabulary file."""
     if path not in _loaded:
-        _loaded[path] = Encoder(path, spaces)
+        _loaded[path] = Encoder(path)
     return _loaded[path]

@@ -1,5 +1,7 @@
 """Packing and string tables against whole-text encoding."""
 
+import io
+import json
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from qualispark.llm import packing, queries, sstable
-from qualispark.llm.tokens import Encoder
+from qualispark.llm.tokens import Encoder, splitting
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,10 +26,39 @@ def whole(path, text, end):
 whole.loaded = {}
 
 
-@pytest.mark.parametrize(("path", "spaces"), [(WORD, False), (BYTE, True)])
-def test_cached_words_equal_whole_texts(path, spaces):
+def foreign(tmp_path, extra=()):
+    """A vocabulary that merges across spaces, which no cache of words can give."""
+    vocab = {c: i for i, c in enumerate("abĠ")} | {"bĠ": 3, "bĠa": 4} | dict(extra)
+    spec = json.load(open(BYTE, encoding="utf-8"))
+    spec["model"] |= {"vocab": vocab, "merges": [["b", "Ġ"], ["bĠ", "a"]]}
+    spec["pre_tokenizer"]["use_regex"], spec["added_tokens"], spec["post_processor"] = False, [], None
+    path = tmp_path / "foreign.json"
+    path.write_text(json.dumps(spec))
+    return str(path)
+
+
+def test_foreign_vocabulary(spark, tmp_path):
+    path = foreign(tmp_path)
+    assert np.frombuffer(Encoder(path)("ab ab a"), "<u4").tolist() == whole(path, "ab ab a", 9)[:-1]
+    docs = spark.createDataFrame([(1, "ab ab a"), (2, None)], "doc_id long, text string")
+    check_packed(packing.digest(packing.pack(docs, path)).collect(), {1: [whole(path, "ab ab a", 2)], 2: [[2]]})
+    wide = foreign(tmp_path, [("bĠab", 70_000)])
+    folder, manifest = sstable.write_shards(docs, wide)
+    assert sstable.digest(manifest, folder).count() == 2
+    with pytest.raises(ValueError, match="fit"):
+        sstable.write_shards(docs, wide, width=2)
+    folder, manifest = sstable.write_shards(docs, path, end_id=70_000)
+    ends = [np.frombuffer(r["ids"], "<u4")[-1] for r in sstable.read_shards(manifest, folder).collect()]
+    assert ends == [70_000, 70_000]
+    with pytest.raises(ValueError, match="fit"):
+        sstable.narrowed(np.array([70_000], "<u4").tobytes(), 2)
+
+
+@pytest.mark.parametrize(("path", "kind"), [(WORD, "words"), (BYTE, "spaces")])
+def test_cached_words_equal_whole_texts(path, kind):
+    assert splitting(path) == kind
     texts = ["", " ", "a", "\t \n x", "don't  stop'll 　  y", "\x1c a \x85b", "x​ y", "é ́", "ΑΣ Σ", "<|endoftext|> a\n\n\nb  ", "１２3 ½ _-_", "a, b. c.. d.,e é. ×, it's. x\x01y", "Word, WORD. word", "z.", "Don't.", "\x01", "3, 4."]
-    encode = Encoder(path, spaces)
+    encode = Encoder(path)
     for text in texts * 2:
         assert np.frombuffer(encode(text), "<u4").tolist() + [9] == whole(path, text, 9), repr(text)
 
@@ -104,15 +135,15 @@ def test_sstable_reads_back_in_order(spark, sf):
 
 def test_sstable_odd_rows_and_lookup(spark, odd_docs, no_docs):
     folder, manifest = sstable.write_shards(odd_docs, BYTE, shard_bytes=2000)
-    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in sstable.digest(spark, folder, manifest).collect())
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in sstable.digest(manifest, folder).collect())
     want = sorted(((d is not None, d or 0, len(whole(BYTE, t, 0))) for d, ts in texts_of(odd_docs).items() for t in ts))
     assert [(r[1], r[2]) for r in got] == [(d if known else None, n) for known, d, n in want]
     assert [r[0] for r in got] == np.cumsum([0] + [n for _, _, n in want])[:-1].tolist()
     assert manifest.count() > 1
-    found = sstable.lookup(spark, folder, [3, 5, 99]).collect()
+    found = sstable.lookup(manifest, folder, [3, 5, 99]).collect()
     assert Counter(r["doc_id"] for r in found) == {3: 2, 5: 1}
     folder, manifest = sstable.write_shards(no_docs, BYTE)
-    assert sstable.digest(spark, folder, manifest).count() == 0
+    assert sstable.digest(manifest, folder).count() == 0
 
 
 def test_shard_file():
@@ -120,7 +151,7 @@ def test_shard_file():
     for i in range(-3000, 3000, 3):
         writer.add(sstable.key_of(i), np.arange(i % 50, dtype="<u4").tobytes())
     data = writer.finish()
-    shard = sstable.Shard(data)
+    shard = sstable.Shard(io.BytesIO(data))
     assert len(shard.index) > 1 and shard.n_docs == 2000
     assert [sstable.id_of(k) for k, _ in shard.items()] == list(range(-3000, 3000, 3))
     for i in (-3000, 0, 2997):
@@ -129,4 +160,21 @@ def test_shard_file():
     assert not any(shard.get(sstable.key_of(i)) for i in absent)
     assert sum(shard.may_have(sstable.key_of(i)) for i in absent) < 0.03 * len(absent)
     with pytest.raises(ValueError, match="damaged"):
-        list(sstable.Shard(b"\xff" + data[1:]).items())
+        list(sstable.Shard(io.BytesIO(b"\xff" + data[1:])).items())
+
+
+def test_lookup_reads_one_block():
+    class Counting(io.BytesIO):
+        read_bytes = 0
+
+        def read(self, n=-1):
+            Counting.read_bytes += n
+            return super().read(n)
+
+    writer = sstable.ShardWriter(4)
+    for i in range(3000):
+        writer.add(sstable.key_of(i), np.arange(300, dtype="<u4").tobytes())
+    data = writer.finish()
+    shard = sstable.Shard(Counting(data))
+    Counting.read_bytes = 0
+    assert len(shard.get(sstable.key_of(1234))) == 1 and Counting.read_bytes < 2 * sstable.BLOCK_BYTES < len(data) / 20

@@ -1,7 +1,8 @@
 """Sorted-string-table shards of token ids.
 
-Texts are encoded where they lie; ids, not texts, are range-partitioned and
-sorted by document id. Each task writes its range as shard files in the shared
+Texts are encoded where they lie; ids, not texts, move to the range of their
+document id (bounds are quantiles of the ids; an id as frequent as several
+ranges is dealt over all of them). Each task writes its range as shard files in the shared
 folder, so a lost task writes the same files again. Files are read by footer,
 index and block, never whole.
 A file holds
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qualispark.llm.common import arrow_map, discard, scratch_path, written
+from qualispark.llm.common import arrow_map, scratch_path, written
 from qualispark.llm.tokens import encoder, largest_id
 
 BLOCK_BYTES = 64 << 10
@@ -210,23 +211,29 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def _encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
-    """doc_id, tie, number, ids (narrow) of each text; tie and number order equal ids."""
+def _encoded(docs: DataFrame, path: str, end_id: int, width: int, bounds: list[int]) -> DataFrame:
+    """range, doc_id, number, ids (narrow) of each text; number orders equal ids."""
+    null = np.iinfo(np.int64).min
 
     def rows(batches):
         from pyspark import TaskContext
 
         encode, end = encoder(path), end_id.to_bytes(4, "little")
+        cuts = np.array(bounds, np.int64)
         number = TaskContext.get().partitionId() << 33
         for b in batches:
             for begin in range(0, b.num_rows, 256):
                 some = b.slice(begin, 256)
-                ids = [narrowed(encode(t or "") + end, width) for t in some.column(2).to_pylist()]
-                numbers = range(number, number + len(ids))
-                number += len(ids)
-                yield {"doc_id": some.column(0), "tie": some.column(1), "number": numbers, "ids": ids}
+                numbers = np.arange(number, number + some.num_rows)
+                number += some.num_rows
+                key = some.column(0).fill_null(null).to_numpy()
+                low, high = np.searchsorted(cuts, key, "left"), np.searchsorted(cuts, key, "right")
+                own = low + numbers % (high - low + 1)
+                last = (key == null) & some.column(0).is_valid().to_numpy(zero_copy_only=False)
+                ids = [narrowed(encode(t or "") + end, width) for t in some.column(1).to_pylist()]
+                yield {"range": np.where(last, high, own), "doc_id": some.column(0), "number": numbers, "ids": ids}
 
-    return arrow_map(docs, rows, "doc_id long, tie long, number long, ids binary")
+    return arrow_map(docs, rows, "range int, doc_id long, number long, ids binary")
 
 
 def write_shards(
@@ -242,8 +249,8 @@ def write_shards(
 
     Manifest: part, number, name, first_key, last_key, n_docs, n_tokens,
     n_bytes. Files are named by their place in the order. A null text is empty;
-    null ids come first; equal ids are ordered by their texts' hashes, equal
-    rows stay in table order; an empty table writes no file; other columns are
+    null ids come first, rows of one id in the order of their partitions and
+    ranges; an empty table writes no file; other columns are
     not read. ``width`` is the bytes of an id in the file: 2 where all ids of
     the vocabulary fit, else 4, unless it is given; ids that don't fit are an
     error.
@@ -282,15 +289,16 @@ def write_shards(
         if shard.keys:
             yield save()
 
-    text = F.col(f"`{text_col}`")
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    encoded = written(_encoded(own, path, end_id, width), "encoded")
-    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("number")]
-    ranged = encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    shares = [i / ranges for i in range(1, ranges)] or [0.5]
+    bounds = own.agg(F.percentile_approx(key, shares, 20 * ranges + 10_000)).first()[0] or []
+    encoded = _encoded(own, path, end_id, width, bounds[: ranges - 1])
+    order = [F.col("doc_id").asc_nulls_first(), F.col("number")]
+    ranged = encoded.repartitionById(ranges, F.col("range")).sortWithinPartitions(*order).select("doc_id", "ids")
     schema = "part long, number long, name string, first_key binary, last_key binary, n_docs long, n_tokens long, n_bytes long"
-    manifest = written(arrow_map(ranged, rows, schema), "manifest")
-    discard(encoded)
-    return folder, manifest
+    return folder, written(arrow_map(ranged, rows, schema), "manifest")
 
 
 def starts(manifest: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ Two kinds of vocabulary are known to split a text before the merges so that a
 change from a non-space to a space is always a boundary (and, for the kind that
 drops white space, so is one from a letter to a full stop or comma). With these
 a text is the concatenation of the ids of its space-led words, and most words
-are met again: their ids are kept as bytes in a dictionary of bounded size in
-each worker. A vocabulary file with any other splitting is applied to whole
+are met again: their ids are kept as bytes in two dictionaries of bounded
+size in each worker; when the younger is full it becomes the older one, and words
+met again move to the younger. A vocabulary file with any other splitting is applied to whole
 texts, as are texts with control characters on which libraries differ (are they
 space?).
 """
@@ -17,8 +18,8 @@ import os
 import re
 from array import array
 
-#: Words, and bytes of words and ids, kept in a worker; the cache starts anew beyond either, results don't change.
-CACHE_WORDS, CACHE_BYTES = 400_000, 16 << 20
+#: Words, and bytes of words and ids, in each of the two generations that a worker keeps.
+CACHE_WORDS, CACHE_BYTES = 250_000, 10 << 20
 
 # The splitting of the two kinds, as vocabulary files state it.
 _BYTE_LEVEL = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
@@ -66,6 +67,7 @@ class Encoder:
         self.model.encode_special_tokens = True
         self.kind = splitting(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def _cut(self, text: str) -> list[str]:
@@ -80,18 +82,18 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if self.kind == "other" or _UNSURE.search(text):
             return self._ids([text])[0]
-        words, known = self._cut(text), self.known
-        ids = list(map(known.get, words))
+        words = self._cut(text)
+        ids = list(map(self.known.get, words))
         if None in ids:
             missing = list(dict.fromkeys(w for w, x in zip(words, ids, strict=True) if x is None))
-            new = dict(zip(missing, self._ids(missing), strict=True))
+            new = {w: self.older[w] for w in missing if w in self.older}
+            missing = [w for w in missing if w not in new]
+            new.update(zip(missing, self._ids(missing), strict=True))
             ids = [new[w] if x is None else x for w, x in zip(words, ids, strict=True)]
             self.held += sum(map(len, new)) + sum(map(len, new.values()))
-            if self.held > CACHE_BYTES or len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                self.held = 0
-            else:
-                known.update(new)
+            self.known.update(new)
+            if self.held > CACHE_BYTES or len(self.known) > CACHE_WORDS:
+                self.known, self.older, self.held = {}, self.known, 0
         return b"".join(ids)
 
 

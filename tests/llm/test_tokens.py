@@ -146,6 +146,16 @@ def test_sstable_odd_rows_and_lookup(spark, odd_docs, no_docs):
     assert sstable.digest(manifest, folder).count() == 0
 
 
+def test_sstable_hot_ids(spark):
+    """An id of most rows is dealt over ranges, and the order of ids holds over files."""
+    rows = [(None if i % 3 else i % 7 - 3, f"text {i}") for i in range(600)] + [(-(1 << 63), "least"), ((1 << 63) - 1, "most")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    folder, manifest = sstable.write_shards(docs, BYTE, shard_bytes=500)
+    got = [r["doc_id"] for r in sstable.digest(manifest, folder).orderBy("start").collect()]
+    assert got == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    assert manifest.filter("last_key = x'00'").select("part").distinct().count() > 1
+
+
 def test_shard_file():
     writer = sstable.ShardWriter(4)
     for i in range(-3000, 3000, 3):

@@ -20,9 +20,11 @@ that the chunks themselves never move. In each round a chunk asks for the
 totals of its distinct n-grams: it sends each key with its own count to the
 slice of the hash space that owns it, the slice adds up, and the totals go back
 to the chunks that asked. Round d counts the n-grams under contexts of d words
-and adds up the gains of contexts of d - 1 words; it writes its new arrays
-alone. A chunk sends a key once however often it occurs, so no key is hot; the
-number of slices grows with that of the chunks, so a slice doesn't.
+and settles which contexts of d - 1 words stay; it writes its new arrays alone.
+A chunk sends a key once however often it occurs, so no key is hot; the number
+of slices grows with that of the chunks, so a slice doesn't. Words are told
+apart by 64 bits, longer n-grams by ``SLICE_KEY_BITS`` in their slice: a chance
+of about 2 ** -24 that an n-gram's count includes another's, at any size.
 """
 
 from __future__ import annotations
@@ -43,11 +45,12 @@ LEAST = 16
 STRENGTH = 20.0
 GAIN, GAIN_RATE = 10.0, 0.02
 #: Words of the longest context, if growth goes on that long.
-MAX_DEPTH = 5
+MAX_DEPTH = 3
 #: Additive smoothing of the root, the same as of the base score.
 ADD = 0.1
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 6 << 20
+SLICE_KEY_BITS = 44
 
 _END = b" "  # no word has a space, so it is free to name the end
 _BLOB = "chunk long, state binary"
@@ -106,7 +109,8 @@ class Chunk:
         self.arrays = arrays
         self.word, self.ends, self.hash = arrays["word"], arrays["ends"], arrays["hash"]
         self.lengths = np.diff(self.ends, prepend=0)
-        self.place = np.arange(len(self.word)) - np.repeat(self.ends - self.lengths, self.lengths)
+        self.place = np.arange(len(self.word), dtype=np.int32)
+        self.place -= np.repeat((self.ends - self.lengths).astype(np.int32), self.lengths)
         self.trains = np.repeat(arrays["train"].astype(bool), self.lengths)
         self.total, self.kinds = total, kinds
         self._levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -167,69 +171,93 @@ class Chunk:
             p[at] = (n + STRENGTH * p[at]) / (of + STRENGTH)
         return p
 
-    def gains(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts of the level and what each training occurrence gains over the parent (others 0)."""
+    def gains(self, depth: int) -> np.ndarray:
+        """What each training occurrence of the level gains over its parent (others 0)."""
         at, of = self.level(depth)
         parent, n = self.probability(depth - 1)[at], self.arrays[f"count{depth}"].astype(np.int64)
         left = np.maximum(n - 1, 0) + STRENGTH * parent
         gain = np.log(left / (np.maximum(of - 1, 0) + STRENGTH) / parent)
-        return self.keys(at - 1, depth), np.where(self.trains[at], gain, 0.0)
+        return np.where(self.trains[at], gain, 0.0)
 
-    def ask(self, depth: int, last: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """(keys, values) of the counts and of the gains that round ``depth`` adds up."""
-        none = (np.zeros(0, np.uint64), np.zeros(0))
+    def asked(self, depth: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the n-grams and of the contexts that round ``depth`` asks about."""
+        none = np.zeros(0, np.uint64)
         if depth == 0:
-            return (self.hash, np.bincount(self.word, self.trains, len(self.hash))), none
-        counts = none
-        if depth <= last:
-            at = self.level(depth)[0]
-            counts = self.keys(at, depth + 1), self.trains[at].astype(float)
-        return counts, self.gains(depth - 1) if depth > 1 else none
+            return self.hash, none
+        grams = self.keys(self.level(depth)[0], depth + 1) if depth <= last else none
+        return grams, self.keys(self.level(depth - 1)[0] - 1, depth - 1) if depth > 1 else none
 
-    def add(self, depth: int, last: int, counts: np.ndarray, gains: np.ndarray) -> dict[str, np.ndarray]:
-        """The new arrays of round ``depth`` from the totals of what was asked."""
+    def add(self, depth: int, last: int, counts: np.ndarray, stays: np.ndarray) -> dict[str, np.ndarray]:
+        """The new arrays of round ``depth`` from the answers."""
         new = {}
         if depth <= last:
-            new[f"count{depth}"] = _small(counts.astype(np.int64))
+            new[f"count{depth}"] = _small(counts)
         if depth > 1:
-            new[f"kept{depth - 1}"] = np.packbits(_kept(gains, self.level(depth - 1)[1]))
+            new[f"kept{depth - 1}"] = np.packbits(stays.astype(bool))
         return new
 
 
-def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sums of their values."""
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys, and where in it each distinct key begins."""
     order = np.argsort(keys)
     k = keys[order]
-    at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-    return k[at], np.add.reduceat(values[order], at) if len(at) else np.zeros(0)
+    return order, np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
 
 
-def _spread(keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """The totals of the distinct keys in order, by position of ``keys``."""
-    order = np.argsort(keys)
-    k = keys[order]
-    new = np.concatenate(([False], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
-    out = np.empty(len(keys))
-    out[order] = totals[np.cumsum(new)] if len(k) else 0.0
+def _sum(values: np.ndarray, order: np.ndarray, at: np.ndarray, kind) -> np.ndarray:
+    return np.add.reduceat(values[order], at, dtype=kind) if len(at) else np.zeros(0, kind)
+
+
+def _back(totals: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Totals of the distinct keys in order, by position of the keys."""
+    out = np.empty(len(order), totals.dtype)
+    out[order] = np.repeat(totals, np.diff(at, append=len(order)))
     return out
 
 
+def _short(keys: np.ndarray, depth: int, bits: int) -> np.ndarray:
+    """Keys cut to the bits that tell them apart; words (depth 0) keep all."""
+    drop = max(0, 64 - bits - SLICE_KEY_BITS) if depth else 0
+    return keys >> np.uint64(drop) << np.uint64(drop) if drop else keys
+
+
+def _gaps(keys: np.ndarray, depth: int, bits: int) -> np.ndarray:
+    """Differences of ascending keys of one slice, without the bits that are the same in all."""
+    drop = max(0, 64 - bits - SLICE_KEY_BITS) if depth else 0
+    return np.diff(keys, prepend=np.uint64(0) if not len(keys) else keys[0] >> np.uint64(64 - bits) << np.uint64(64 - bits)) >> np.uint64(drop)
+
+
 def _requests(state: DataFrame, load: Callable, depth: int, last: int, bits: int) -> DataFrame:
     """slice, chunk, asked: what each chunk asks of each slice."""
 
     def rows(batches):
         for number, arrays in _loaded(batches):
-            counts, gains = (_sums(*x) for x in load(arrays).ask(depth, last))
-            cuts = [np.searchsorted(k >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) for k in (counts[0], gains[0])]
-            there = np.flatnonzero(np.diff(cuts[0]) + np.diff(cuts[1])).tolist()
+            chunk = load(arrays)
+            grams, contexts = (_short(k, depth, bits) for k in chunk.asked(depth, last))
+            order, at = _runs(grams)
+            keys = grams[order[at]]
+            if depth == 0:
+                value = np.bincount(chunk.word, chunk.trains, len(chunk.hash)).astype(np.int64)
+            else:
+                value = chunk.trains[chunk.level(depth)[0]] if depth <= last else np.zeros(0, bool)
+            value = _sum(value, order, at, np.int64)
+            order, at = _runs(contexts)
+            ckeys = contexts[order[at]]
+            gain = n = np.zeros(0)
+            if depth > 1:
+                gain = _sum(chunk.gains(depth - 1), order, at, float).astype(np.float32)
+                n = _sum(chunk.trains[chunk.level(depth - 1)[0]], order, at, np.int64)
+            del chunk, arrays, grams, contexts, order, at
+            every = np.arange((1 << bits) + 1)
+            cut, ccut = (np.searchsorted(k >> np.uint64(64 - bits), every) for k in (keys, ckeys))
+            there = np.flatnonzero(np.diff(cut) + np.diff(ccut)).tolist()
 
             def blob(s: int) -> bytes:
-                c, g = (slice(x[s], x[s + 1]) for x in cuts)
-                gap, ggap = (np.diff(k, prepend=np.uint64(0)) for k in (counts[0][c], gains[0][g]))
-                return _pack(gap=gap, value=_small(counts[1][c].astype(np.int64)), ggap=ggap, gain=gains[1][g])
+                g, c = slice(cut[s], cut[s + 1]), slice(ccut[s], ccut[s + 1])
+                return _pack(gap=_gaps(keys[g], depth, bits), value=_small(value[g]), cgap=_gaps(ckeys[c], depth, bits), gain=gain[c], n=_small(n[c]))
 
-            for at in range(0, len(there), 64):
-                some = there[at : at + 64]
+            for begin in range(0, len(there), 64):
+                some = there[begin : begin + 64]
                 yield {"slice": some, "chunk": [number] * len(some), "asked": [blob(s) for s in some]}
 
     return arrow_map(state, rows, "slice int, chunk long, asked binary")
@@ -249,18 +277,18 @@ def _slices(batches):
     """slice and its requests (chunk, blob), from rows sorted by slice."""
     last, held = None, []
     for b in batches:
-        for s, c, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for s, c, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             if s != last:
                 if held:
                     yield last, held
                 last, held = s, []
-            held.append((c, blob))
+            held.append((c, blob.as_py()))
     if held:
         yield last, held
 
 
 def _answers(requests: DataFrame) -> DataFrame:
-    """chunk, slice, answer (the totals in the order asked), kinds (keys with a total, once a slice).
+    """chunk, slice, answer (counts and fates in the order asked), kinds (keys with a count, once a slice).
 
     Rows come slice by slice and a task holds one slice at a time.
     """
@@ -268,18 +296,24 @@ def _answers(requests: DataFrame) -> DataFrame:
     def rows(batches):
         for s, requests in _slices(batches):
             asked = [_unpack(blob) for _, blob in requests]
-            found = []
-            for gap, value in (("gap", "value"), ("ggap", "gain")):
-                keys = [np.cumsum(a[gap], dtype=np.uint64) for a in asked]
-                every = np.concatenate(keys)
-                _, totals = _sums(every, np.concatenate([a[value] for a in asked]).astype(float))
-                found.append((np.cumsum([0] + [len(k) for k in keys]), _spread(every, totals), totals))
-            (at, counts, totals), (gat, gains, _) = found
+
+            def every(name: str, asked=asked) -> np.ndarray:
+                return np.concatenate([a[name] for a in asked])
+
+            def keys(name: str, asked=asked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                found = [np.cumsum(a[name], dtype=np.uint64) for a in asked]
+                return np.cumsum([0] + [len(k) for k in found]), *_runs(np.concatenate(found))
+
+            cut, order, at = keys("gap")
+            totals = _sum(every("value"), order, at, np.int64)
+            counts = _back(totals, order, at)
+            ccut, order, at = keys("cgap")
+            stays = _back(_kept(_sum(every("gain"), order, at, float), _sum(every("n"), order, at, np.int64)), order, at)
             yield {
                 "chunk": [c for c, _ in requests],
                 "slice": [s] * len(requests),
                 "answer": [
-                    _pack(count=_small(counts[at[i] : at[i + 1]].astype(np.int64)), gain=gains[gat[i] : gat[i + 1]])
+                    _pack(count=_small(counts[cut[i] : cut[i + 1]]), stays=np.packbits(stays[ccut[i] : ccut[i + 1]]), n=np.array([ccut[i + 1] - ccut[i]]))
                     for i in range(len(requests))
                 ],
                 "kinds": [int((totals > 0).sum())] + [0] * (len(requests) - 1),
@@ -289,8 +323,8 @@ def _answers(requests: DataFrame) -> DataFrame:
     return arrow_map(spread, rows, "chunk long, slice int, answer binary, kinds long")
 
 
-def _advance(state: DataFrame, answers: DataFrame, load: Callable, depth: int, last: int) -> DataFrame:
-    """chunk, state (the round's new arrays), todo (positions that the next round has to look at)."""
+def _advance(state: DataFrame, answers: DataFrame, load: Callable, depth: int, last: int, bits: int) -> DataFrame:
+    """chunk, state (the round's new arrays), todo (positions that later rounds have to look at)."""
     ordered = F.sort_array(F.collect_list(F.struct("slice", "answer")))
     grouped = answers.groupBy("chunk").agg(F.transform(ordered, lambda a: a["answer"]).alias("answers"))
 
@@ -299,19 +333,17 @@ def _advance(state: DataFrame, answers: DataFrame, load: Callable, depth: int, l
             held = pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1])
             for i, (number, arrays) in enumerate(_loaded([held])):
                 blobs = [_unpack(x) for x in b.columns[-1][i].as_py() or []]
+                counts = np.concatenate([x["count"] for x in blobs] or [np.zeros(0, np.int64)])
+                stays = np.concatenate([np.unpackbits(x["stays"], count=int(x["n"][0])) for x in blobs] or [np.zeros(0, np.uint8)])
+                del blobs
                 chunk = load(arrays)
-                counts, gains = (
-                    _spread(keys, np.concatenate([x[name] for x in blobs]) if blobs else np.zeros(0))
-                    for (keys, _), name in zip(chunk.ask(depth, last), ("count", "gain"), strict=True)
-                )
-                if depth == 0:
-                    new, todo = {"count0": _small(counts.astype(np.int64))}, len(chunk.word)
-                else:
-                    new = chunk.add(depth, last, counts, gains)
+                grams, contexts = (_short(k, depth, bits) for k in chunk.asked(depth, last))
+                new = chunk.add(depth, last, _back(counts, *_runs(grams)), _back(stays, *_runs(contexts)))
+                del grams, contexts
+                todo = len(chunk.word)
+                if depth:
                     chunk.arrays = arrays | new
-                    todo = 0
-                    if depth <= last:
-                        todo = len(chunk.level(depth)[0]) + (len(chunk.level(depth + 1)[0]) if depth < last else 0)
+                    todo = sum(len(chunk.level(d)[0]) for d in (depth, depth + 1) if d <= last)
                 yield {"chunk": [number], "state": [_pack(**new)], "todo": [todo]}
 
     return arrow_map(state.join(grouped, "chunk", "left"), rows, f"{_BLOB}, todo long")
@@ -381,7 +413,7 @@ def score(
         if depth == 0:  # the first answers also tell the number of different words
             answers = written(answers, "words")
             kinds = answers.agg(F.sum("kinds")).first()[0] or 0
-        new = bucketed(_advance(state(), answers, load, depth, max_depth), "chunk")
+        new = bucketed(_advance(state(), answers, load, depth, max_depth, bits), "chunk")
         if depth == 0:
             discard(answers)
         tables.append(new)

@@ -69,7 +69,7 @@ def test_depth_grows_with_the_evidence(spark):
     """Words that only the fourth word before tells apart need contexts of four words."""
     rows = [(i, " ".join(f"{s} x y z {e}" for s, e in [("a", "one"), ("b", "two")] for _ in range(3))) for i in range(1, 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got, sizes = check(docs)
+    got, sizes = check(docs, 5)
     assert sizes[4] and max(r["longest"] for r in got) >= 4
     deep = sum(r["score"] for r in got)
     for depth in (1, 2):

@@ -2,9 +2,11 @@
 
 A line's tokens are its word shingles (five words; a shorter line is one
 token), ordered by rarity. Two lines with Jaccard similarity of 0.8 or more
-share a token among the first ``size - ceil(0.8 * size) + 1`` of each, at
-sizes that allow the overlap needed (places are not tested); such pairs are
-verified on the words themselves. A line goes when an earlier line is equal or similar.
+share a token among the first ``size - ceil(0.8 * size) + 1`` of each (prefix),
+have sizes within the ratio (length: lines without any such partner under a
+token go before their words are fetched), and their first common token lies
+where enough tokens follow it in both (position); the pairs left are verified
+on the words themselves. A line goes when an earlier line is equal or similar.
 
 How it is spread:
 
@@ -14,8 +16,8 @@ How it is spread:
 * postings are sorted by token and read as a stream; tokens of one class go at
   once; a family of lines that shares several prefix tokens is verified once,
   under the first of them, because tokens with the same members are merged;
-* members of a frequent token are cut into blocks, and pairs of blocks are
-  separate groups, so no task holds more than two blocks, and no pair of lines
+* members of a frequent token are cut into blocks by size, and pairs of blocks
+  with sizes within the ratio are separate groups, so no task holds more than two blocks, and no pair of lines
   ever leaves a task: each line leaves with its number of links and the
   earliest line that it is linked to.
 """
@@ -36,7 +38,7 @@ SHINGLE = 5
 #: Similarity as a fraction, so that every bound is exact in integers.
 SIMILARITY = (4, 5)
 SKETCH_BITS = 16
-BLOCK = 512
+BLOCK = 2048
 #: Bytes of text that are tokenised at a time.
 CHUNK = 1 << 20
 
@@ -230,7 +232,7 @@ def _position() -> Column:
 
 
 def _postings(own: DataFrame, sketch) -> DataFrame:
-    """token, cls: the prefix of each line, of a class once a batch."""
+    """token, cls, size, place: the prefix of each line, of a class once a batch."""
 
     def rows(batches):
         rarity = sketch.value
@@ -240,91 +242,114 @@ def _postings(own: DataFrame, sketch) -> DataFrame:
                 token, size = ordered(raw, rarity)
                 place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
                 keep = place < np.repeat(prefix(size), size)
-                yield {"token": pa.array(token[keep]), "cls": pa.array(np.repeat(classes(raw), size)[keep])}
+                yield {
+                    "token": pa.array(token[keep]),
+                    "cls": pa.array(np.repeat(classes(raw), size)[keep]),
+                    "size": pa.array(np.repeat(size, size)[keep].astype(np.int32)),
+                    "place": pa.array(place[keep].astype(np.int32)),
+                }
 
-    return arrow_map(own, rows, "token long, cls long")
+    return arrow_map(own, rows, "token long, cls long, size int, place int")
 
 
 class _Runs:
-    """Classes under each token of two or more, from a stream sorted by token and class."""
+    """Classes under each token of two or more, from a stream sorted by token, size and class."""
 
-    def __init__(self):
+    def __init__(self, most: int):
         self.rows: list[tuple] = []
-        self.token, self.held, self.block = None, np.zeros(0, np.int64), 0
+        self.most = most
+        self.token, self.block = None, 0
+        self.held = np.zeros((3, 0), np.int64)  # class, size, place
 
     def _emit(self, gid, block, held: np.ndarray) -> None:
         self.rows.append((gid, block, held, self.token))
 
     def _extend(self, new: np.ndarray) -> None:
-        if len(self.held) and len(new) and self.held[-1] == new[0]:
-            new = new[1:]
-        self.held = np.concatenate((self.held, new))
-        while len(self.held) > BLOCK:  # a longer run is named by its token and leaves block by block
-            self._emit(None, self.block, self.held[:BLOCK])
-            self.held, self.block = self.held[BLOCK:], self.block + 1
+        if self.held.shape[1] and new.shape[1] and self.held[0, -1] == new[0, 0]:
+            new = new[:, 1:]
+        self.held = np.concatenate((self.held, new), axis=1)
+        while self.held.shape[1] > self.most:  # a longer run is named by its token and leaves block by block
+            self._emit(None, self.block, self.held[:, : self.most])
+            self.held, self.block = self.held[:, self.most :], self.block + 1
 
     def close(self) -> None:
         if self.block:
             self._emit(None, self.block, self.held)
-        elif len(self.held) > 1:
-            self._emit(xxhash.xxh64_intdigest(self.held.tobytes()) >> 1, 0, self.held)
-        self.held, self.block = np.zeros(0, np.int64), 0
-
-    def add(self, token: np.ndarray, cls: np.ndarray) -> None:
+        elif self.held.shape[1] > 1:
+            size, (n, d) = self.held[1], SIMILARITY
+            near = np.flatnonzero(size[1:] * n <= size[:-1] * d)  # sizes ascend: the next in size is the best partner
+            held = self.held[:, np.unique(np.concatenate((near, near + 1)))]
+            if held.shape[1]:
+                self._emit(xxhash.xxh64_intdigest(held[0].tobytes()) >> 1, 0, held)
+        self.held, self.block = np.zeros((3, 0), np.int64), 0
+
+    def add(self, token: np.ndarray, cls: np.ndarray, size: np.ndarray, place: np.ndarray) -> None:
         starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         ends = np.concatenate((starts[1:], [len(token)]))
         fresh = np.concatenate(([True], (cls[1:] != cls[:-1]) | (token[1:] != token[:-1])))
         several = np.add.reduceat(fresh.astype(np.int64), starts) > 1
         several[0] = several[-1] = True  # these may go on in another batch
+        every = np.stack((cls, size, place))
         for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
             if token[a] != self.token:
                 self.close()
                 self.token = int(token[a])
-            self._extend(cls[a:b][fresh[a:b]])
+            self._extend(every[:, a:b][:, fresh[a:b]])
 
     def take(self) -> dict:
         rows, self.rows = self.rows, []
-        n = [len(r[2]) for r in rows]
+        n = [r[2].shape[1] for r in rows]
+        cls, size, place = np.concatenate([r[2] for r in rows], axis=1)
         return {
             "gid": [g for (g, *_), k in zip(rows, n, strict=True) for _ in range(k)],
             "block": np.repeat([r[1] for r in rows], n),
-            "cls": np.concatenate([r[2] for r in rows]),
+            "cls": cls,
             "token": np.repeat([r[3] for r in rows], n),
+            "size": size,
+            "place": place,
         }
 
 
-def _members(postings: DataFrame) -> DataFrame:
-    """gid, one, two, block, cls, token: the classes under each token of two or more.
+def runs(postings: DataFrame, most: int) -> DataFrame:
+    """gid, block, cls, token, size, place: the classes under each token of two or more.
 
-    Tokens with the same members have the same gid and leave one row a member,
-    with the first of the tokens; a token of more than ``BLOCK`` classes is a
-    group of its own, in pairs of blocks.
+    Tokens with the same members have the same gid; a token of more than
+    ``most`` classes has none and leaves in blocks, smaller sizes first.
     """
 
     def rows(batches):
-        runs = _Runs()
+        found = _Runs(most)
         for b in batches:
             if b.num_rows:
-                runs.add(b.column(0).to_numpy(), b.column(1).to_numpy())
-            if len(runs.rows) > 2000:
-                yield runs.take()
-        runs.close()
-        if runs.rows:
-            yield runs.take()
-
-    sorted_ = postings.repartition("token").sortWithinPartitions("token", "cls")
-    found = arrow_map(sorted_, rows, "gid long, block int, cls long, token long")
-    found = written(found, "runs")
-    zero = F.lit(0)
+                found.add(*(c.to_numpy() for c in b.columns))
+            if len(found.rows) > 2000:
+                yield found.take()
+        found.close()
+        if found.rows:
+            yield found.take()
+
+    order = ("token", "size", "cls")
+    sorted_ = postings.repartition("token").sortWithinPartitions(*order).select("token", "cls", "size", "place")
+    return written(arrow_map(sorted_, rows, "gid long, block int, cls long, token long, size int, place int"), "runs")
+
+
+def small_groups(found: DataFrame) -> DataFrame:
+    """gid, one, two, block, cls, token of the groups that have a gid, one row a member."""
     small = found.filter("gid is not null").groupBy("gid", "cls").agg(F.min("token").alias("token"))
-    small = small.select("gid", zero.alias("one"), zero.alias("two"), zero.alias("block"), "cls", "token")
-    large = found.filter("gid is null").select((-F.col("token") - 1).alias("gid"), "block", "cls", "token")
-    blocks = large.groupBy("gid").agg((F.max("block") + 1).alias("n"))
-    paired = large.join(blocks, "gid").select("*", F.explode(F.sequence(zero, F.col("n") - 1)).alias("other"))
-    paired = paired.select(
-        "gid", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "cls", "token"
-    )
-    return small.unionByName(paired)
+    zero = F.lit(0)
+    return small.select("gid", zero.alias("one"), zero.alias("two"), zero.alias("block"), "cls", "token")
+
+
+def _members(found: DataFrame) -> DataFrame:
+    """gid, one, two, block, cls, token: all groups; those of frequent tokens in pairs of blocks of like sizes."""
+    large = found.filter("gid is null").select((-F.col("token") - 1).alias("gid"), "block", "cls", "token", "size")
+    blocks = large.groupBy("gid", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    n, d = SIMILARITY
+    a, b = blocks.alias("a"), blocks.alias("b")
+    like = (F.col("a.block") <= F.col("b.block")) & (F.col("b.low") * n <= F.col("a.high") * d)
+    pairs = a.join(b, (F.col("a.gid") == F.col("b.gid")) & like).select("a.gid", F.col("a.block").alias("one"), F.col("b.block").alias("two"))
+    sides = pairs.select("*", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+    return small_groups(found).unionByName(large.drop("size").join(sides, ["gid", "block"]))
 
 
 def _groups(batches) -> Iterator[list[list[tuple]]]:
@@ -349,13 +374,17 @@ def _groups(batches) -> Iterator[list[list[tuple]]]:
         yield ready
 
 
-def _linked(members: list[tuple], sets: list[frozenset], heads: list[frozenset]) -> Iterator[tuple[int, int]]:
-    """Pairs that the group owns: similar, and with its token as the first in common."""
+def _linked(members: list[tuple], sets: list[frozenset], heads: list[dict]) -> Iterator[tuple[int, int]]:
+    """Pairs that the group owns: similar, and with its token as the first in common.
+
+    ``heads`` have the place of each prefix token.
+    """
     one, two, _, _, here, _, _ = members[0]
     n, d = SIMILARITY
     order = sorted(range(len(members)), key=lambda i: len(sets[i]))
+    rest = [len(s) - h[here] for s, h in zip(sets, heads, strict=True)]  # tokens from the group's on
     for x, i in enumerate(order):
-        a = sets[i]
+        a, left = sets[i], rest[i]
         longest = len(a) * d // n
         for j in order[x + 1 :]:
             b = sets[j]
@@ -364,7 +393,9 @@ def _linked(members: list[tuple], sets: list[frozenset], heads: list[frozenset])
             if one != two and members[i][2] == members[j][2]:
                 continue  # left to the block's group with itself
             least = needed(len(a), len(b))
-            if len(a & b) >= least and min(heads[i] & heads[j], default=None) == here:
+            if left < least or rest[j] < least:
+                continue  # too few tokens follow the first in common
+            if len(a & b) >= least and min(heads[i].keys() & heads[j].keys(), default=None) == here:
                 v, w = _words(members[i][5]), _words(members[j][5])
                 if len(v & w) >= needed(len(v), len(w)):
                     yield i, j
@@ -382,7 +413,7 @@ def _verified(groups: DataFrame, sketch) -> DataFrame:
             sets, heads = {}, {}
             for w, n, end in zip(raw, size.tolist(), ends, strict=True):
                 sets[w] = frozenset(tokens[end - n : end])
-                heads[w] = frozenset(tokens[end - n : end - n + prefix(n)])
+                heads[w] = {t: k for k, t in enumerate(tokens[end - n : end - n + prefix(n)])}
             out: dict[str, list] = {"cls": [], "n_links": [], "linked": []}
             for g in ready:
                 links, earliest = [0] * len(g), [None] * len(g)
@@ -410,7 +441,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """cls, first (place of its first line), n_links, linked (earliest similar line)."""
     own = _own(docs, id_col, text_col)
     sketch = rarity_sketch(own)
-    members = _members(_postings(own, sketch))
+    members = _members(runs(_postings(own, sketch), BLOCK))
     texts = _lines(own, True).groupBy("cls").agg(F.min(F.struct(_position().alias("first"), "words")).alias("x"))
     texts = texts.select("cls", "x.first", "x.words")
     with_text = members.join(texts, "cls").repartition("gid", "one", "two").sortWithinPartitions("gid", "one", "two")
@@ -430,9 +461,12 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     firsts = lines.filter("cls is not null").groupBy("cls").agg(F.min(_position()).alias("first"))
     known = firsts.join(similar, "cls", "left").select("cls", F.least("first", "linked").alias("first"), "n_links")
     removed = F.coalesce(_position() > F.col("first"), F.lit(False))
-    return lines.join(known, "cls", "left").select(
+    decided = lines.filter("cls is not null").join(known, "cls").select(
         "doc_id", "dhash", "line_no", "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"), removed.alias("removed")
     )
+    # the rows that stand for documents have no class and stay out of the join
+    none = lines.filter("cls is null").select("doc_id", "dhash", "line_no", "cls", F.lit(0).cast("long").alias("n_links"), F.lit(False).alias("removed"))
+    return decided.unionByName(none)
 
 
 def _by_document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -92,6 +94,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _give_back() -> None:
+    """Return a worker's free memory to the machine: idle workers stay, beside the executor's own heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_map(
     df: DataFrame,
     rows: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]],
@@ -115,6 +126,8 @@ def arrow_map(
                 ],
                 schema=target,
             )
+            columns = None
+        _give_back()
 
     return df.mapInArrow(run, schema)
 

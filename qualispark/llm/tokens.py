@@ -19,7 +19,7 @@ import re
 from array import array
 
 #: Words, and bytes of words and ids, in each of the two generations that a worker keeps.
-CACHE_WORDS, CACHE_BYTES = 250_000, 10 << 20
+CACHE_WORDS, CACHE_BYTES = 160_000, 6 << 20
 
 # The splitting of the two kinds, as vocabulary files state it.
 _BYTE_LEVEL = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}

@@ -44,7 +44,13 @@ def _two(df: DataFrame, value: str, group: str) -> DataFrame:
     return g.agg(
         F.count("*").alias("groups"),
         *(x for s, f in (("1", F.min_by), ("2", F.max_by)) for x in (f("n", "g").alias("n" + s), f("m", "g").alias("m" + s), f("v", "g").alias("v" + s))),
-    ).filter("groups = 2")
+    ).withColumn("groups", _exactly_two(F.col("groups")))
+
+
+def _exactly_two(groups: Column) -> Column:
+    """The number of groups; other than two is an error, not an empty result."""
+    message = F.concat(F.lit("the test needs exactly two groups, found "), groups.cast("string"))
+    return F.when(groups == 2, groups).otherwise(F.raise_error(message).cast("long"))
 
 
 def two_sample_t(df: DataFrame, value: str, group: str, equal_var: bool = False) -> DataFrame:
@@ -245,28 +251,6 @@ def two_proportions(df: DataFrame, success: Column, group: str) -> DataFrame:
     return _with_p(o, normal_two_sided, "z")
 
 
-def tukey_pairs(df: DataFrame, value: str, group: str) -> DataFrame:
-    """All pairs of groups with their difference, pooled standard error, t and its p (least significant difference)."""
-    g = _stats(df, value, group)
-    pool = g.agg((F.sum((F.col("n") - 1) * F.col("v")) / F.sum(F.col("n") - 1)).alias("mse"), F.sum(F.col("n") - 1).alias("df"))
-    a, b = g.alias("a"), g.alias("b")
-    pairs = a.join(b, F.col("a.g") < F.col("b.g")).join(F.broadcast(pool))  # groups alone
-    se = F.sqrt(F.col("mse") * (1 / F.col("a.n") + 1 / F.col("b.n")))
-    diff = F.col("a.m") - F.col("b.m")
-    return _with_p(pairs.select(F.col("a.g").alias("g1"), F.col("b.g").alias("g2"), diff.alias("diff"), se.alias("se"), (diff / se).alias("t"), "df"), t_sf, "t", "df")
-
-
-def games_howell_pairs(df: DataFrame, value: str, group: str) -> DataFrame:
-    """All pairs with Welch's standard error and degrees of freedom."""
-    g = _stats(df, value, group)
-    a, b = g.alias("a"), g.alias("b")
-    va, vb = F.col("a.v") / F.col("a.n"), F.col("b.v") / F.col("b.n")
-    dof = F.pow(va + vb, 2) / (va * va / (F.col("a.n") - 1) + vb * vb / (F.col("b.n") - 1))
-    diff = F.col("a.m") - F.col("b.m")
-    out = a.join(b, F.col("a.g") < F.col("b.g"))
-    return out.select(F.col("a.g").alias("g1"), F.col("b.g").alias("g2"), diff.alias("diff"), F.sqrt(va + vb).alias("se"), (diff / F.sqrt(va + vb)).alias("t"), dof.alias("df"))
-
-
 def grubbs(df: DataFrame, value: str) -> DataFrame:
     """G of the most extreme value."""
     own = _clean(df, value)
@@ -296,9 +280,10 @@ def mcnemar(df: DataFrame, a: Column, b: Column) -> DataFrame:
 def friedman(df: DataFrame, columns: list[str]) -> DataFrame:
     """Ranks within each complete row, chi-square corrected for ties."""
     own = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).na.drop()
-    row = F.array(*columns)
-    rank = [F.size(F.filter(row, lambda v, c=c: v < F.col(c))) + (F.size(F.filter(row, lambda v, c=c: v == F.col(c))) + 1) / 2 for c in columns]
-    ties = sum((F.pow(F.size(F.filter(row, lambda v, c=c: v == F.col(c))), 2) - 1 for c in columns), F.lit(0.0))
+    below = lambda c: sum(((F.col(o) < F.col(c)).cast("int") for o in columns), F.lit(0))
+    equal = lambda c: sum(((F.col(o) == F.col(c)).cast("int") for o in columns), F.lit(0))
+    rank = [below(c) + (equal(c) + 1) / 2 for c in columns]
+    ties = sum((F.pow(equal(c), F.lit(2)) - 1 for c in columns), F.lit(0.0))
     s = own.agg(F.count("*").cast("double").alias("n"), F.sum(ties).alias("t"), *(F.sum(r).alias(f"r{i}") for i, r in enumerate(rank)))
     k, n = len(columns), F.col("n")
     top = sum((F.col(f"r{i}") * F.col(f"r{i}") for i in range(k)), F.lit(0.0))
@@ -314,3 +299,134 @@ def tost_one_sample(df: DataFrame, value: str, low: float, high: float) -> DataF
     one_sided = lambda t, n: t_sf(t, n - 1) / 2 if t > 0 else 1 - t_sf(t, n - 1) / 2
     p = F.greatest(as_column(one_sided, F.col("t_low"), F.col("n")), as_column(one_sided, -F.col("t_high"), F.col("n")))
     return o.withColumn("p", p)
+
+
+def tost_two_sample(df: DataFrame, value: str, group: str, low: float, high: float) -> DataFrame:
+    """Two one-sided pooled t tests of the difference of two groups against the bounds of equivalence."""
+    o = two_sample_t(df, value, group, equal_var=True)
+    se = F.col("diff") / F.col("t")
+    o = o.select("diff", "df", ((F.col("diff") - low) / se).alias("t_low"), ((F.col("diff") - high) / se).alias("t_high"))
+    one_sided = lambda t, d: t_sf(t, d) / 2 if t > 0 else 1 - t_sf(t, d) / 2
+    p = F.greatest(as_column(one_sided, F.col("t_low"), F.col("df")), as_column(one_sided, -F.col("t_high"), F.col("df")))
+    return o.withColumn("p", p)
+
+
+def fisher_exact(df: DataFrame, a: Column, b: Column) -> DataFrame:
+    """The 2 x 2 table of two conditions, its odds ratio and the two-sided hypergeometric p."""
+    both = a.isNotNull() & b.isNotNull()
+    o = df.filter(both).agg(
+        F.count_if(a & b).alias("n11"), F.count_if(a & ~b).alias("n12"), F.count_if(~a & b).alias("n21"), F.count_if(~a & ~b).alias("n22")
+    )
+    ratio = F.try_divide(F.col("n11").cast("double") * F.col("n22"), F.col("n12").cast("double") * F.col("n21"))
+    o = o.withColumn("odds_ratio", ratio)
+    return _with_p(o, hypergeometric_two_sided, "n11", "n12", "n21", "n22")
+
+
+def hypergeometric_two_sided(n11: float, n12: float, n21: float, n22: float) -> float:
+    """Chance of all tables with the same margins that are no likelier than this one."""
+    from math import exp, lgamma
+
+    def choose(n: float, k: float) -> float:
+        return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+
+    row, column, total = n11 + n12, n11 + n21, n11 + n12 + n21 + n22
+    whole = choose(total, column)
+    own = choose(row, n11) + choose(total - row, column - n11) - whole
+    first, last = int(max(0, row + column - total)), int(min(row, column))
+    logs = (choose(row, k) + choose(total - row, column - k) - whole for k in range(first, last + 1))
+    return min(1.0, sum(exp(x) for x in logs if x <= own + 1e-7))
+
+
+def runs(df: DataFrame, value: str, order: list[str]) -> DataFrame:
+    """Runs about the median (ties with it dropped) in row order; normal p."""
+    from qualispark.operators.ordered import with_history
+
+    own = df.select(*order, F.col(value).cast("double").alias("x")).filter("x is not null")
+    mid = own.agg(F.median("x").alias("mid"))
+    sides = own.join(F.broadcast(mid)).filter("x <> mid").select(*order, (F.col("x") > F.col("mid")).cast("int").alias("up"))
+    h = with_history(sides, order, "up", 1)
+    new = F.coalesce(F.get("history", F.lit(0)) != F.col("up"), F.lit(True))
+    o = h.agg(F.count_if(new).cast("double").alias("runs"), F.sum("up").cast("double").alias("n1"), F.count_if(F.col("up") == 0).cast("double").alias("n2"))
+    n1, n2 = F.col("n1"), F.col("n2")
+    n = n1 + n2
+    mean = 2 * n1 * n2 / n + 1
+    sd = F.sqrt(2 * n1 * n2 * (2 * n1 * n2 - n) / (n * n * (n - 1)))
+    return _with_p(o.withColumns({"expected": mean, "z": (F.col("runs") - mean) / sd}), normal_two_sided, "z")
+
+
+def _square(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("n"))
+
+
+def mcnemar_bowker(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Symmetry of the square table of two ratings; k (k - 1) / 2 degrees of freedom over the categories met."""
+    n = _square(df, a, b)
+    kinds = n.select("a").union(n.select("b")).agg(F.count_distinct("a").alias("k"))
+    low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
+    pairs = n.filter("a <> b").groupBy(low, high).agg(F.sum(F.when(F.col("a") < F.col("b"), F.col("n")).otherwise(-F.col("n"))).alias("gap"), F.sum("n").alias("both"))
+    o = pairs.agg(F.coalesce(F.sum(F.col("gap") * F.col("gap") / F.col("both")), F.lit(0.0)).alias("chi2")).join(F.broadcast(kinds))
+    return _with_p(o.select("chi2", (F.col("k") * (F.col("k") - 1) / 2).cast("long").alias("df")), chi2_sf, "chi2", "df")
+
+
+def stuart_maxwell(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Homogeneity of the margins of the square table of two ratings (categories alone reach the driver)."""
+    import numpy as np
+
+    cells = _square(df, a, b).limit(10_001).collect()
+    if len(cells) > 10_000:
+        raise ValueError("more than 10,000 pairs of ratings: these are no categories")
+    names = sorted({r["a"] for r in cells} | {r["b"] for r in cells})
+    table = np.zeros((len(names), len(names)))
+    for r in cells:
+        table[names.index(r["a"]), names.index(r["b"])] = r["n"]
+    d = (table.sum(1) - table.sum(0))[:-1]
+    s = -(table + table.T)[:-1, :-1]
+    np.fill_diagonal(s, (table.sum(1) + table.sum(0) - 2 * np.diag(table))[:-1])
+    chi = float(d @ np.linalg.pinv(s) @ d) if len(d) else 0.0
+    return df.sparkSession.createDataFrame([(chi, len(d), chi2_sf(chi, len(d)) if len(d) else 1.0)], "chi2 double, df long, p double")
+
+
+def rm_anova(df: DataFrame, value: str, subject: str, within: str) -> DataFrame:
+    """F of one factor within subjects, over cell means; incomplete subjects are an error."""
+    cells = df.select(F.col(subject).alias("s"), F.col(within).alias("w"), F.col(value).cast("double").alias("x")).na.drop().groupBy("s", "w").agg(F.avg("x").alias("x"))
+    every = cells.agg(F.avg("x").alias("g"), F.count_distinct("s").alias("ns"), F.count_distinct("w").alias("nw"), F.count("*").alias("cells"), F.var_pop("x").alias("v"))
+    by_s = cells.groupBy("s").agg(F.avg("x").alias("m")).join(F.broadcast(every)).agg(F.sum(F.pow(F.col("m") - F.col("g"), 2)).alias("ss_s"))
+    by_w = cells.groupBy("w").agg(F.avg("x").alias("m")).join(F.broadcast(every)).agg(F.sum(F.pow(F.col("m") - F.col("g"), 2)).alias("ss_w"))
+    o = every.join(F.broadcast(by_s)).join(F.broadcast(by_w))
+    whole = F.when(F.col("cells") == F.col("ns") * F.col("nw"), F.col("cells")).otherwise(F.raise_error(F.lit("every subject needs every level")).cast("long"))
+    treat, error = F.col("ss_w") * F.col("ns"), F.col("v") * whole - F.col("ss_s") * F.col("nw") - F.col("ss_w") * F.col("ns")
+    o = o.select(treat.alias("ss_within"), error.alias("ss_error"), (F.col("nw") - 1).alias("df1"), ((F.col("nw") - 1) * (F.col("ns") - 1)).alias("df2"))
+    o = o.withColumn("f", F.col("ss_within") / F.col("df1") / (F.col("ss_error") / F.col("df2")))
+    return _with_p(o, f_sf, "f", "df1", "df2")
+
+
+def ks_normal(df: DataFrame, value: str) -> DataFrame:
+    """Largest distance to the fitted normal, and its limiting p; counts of distinct values are ordered in chunks."""
+    from qualispark.functions.special import kolmogorov_sf, norm_cdf, tail
+    from qualispark.operators.ordered import running
+
+    own = _clean(df, value)
+    s = own.agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"))
+    placed = running(own.groupBy("x").agg(F.count("*").alias("c")), ["x"], upto=("c", "sum")).join(F.broadcast(s))
+    cdf = placed.withColumn("f", tail(norm_cdf, (F.col("x") - F.col("m")) / F.col("sd")))
+    d = F.greatest(F.col("upto") / F.col("n") - F.col("f"), F.col("f") - (F.col("upto") - F.col("c")) / F.col("n"))
+    return _with_p(cdf.groupBy("n").agg(F.max(d).alias("d")), kolmogorov_sf, "d", "n")
+
+
+def anderson_darling(df: DataFrame, value: str) -> DataFrame:
+    """A squared against the fitted normal, its small-sample form and p; by distinct values and their counts."""
+    from qualispark.functions.special import anderson_p, norm_cdf, tail
+    from qualispark.operators.ordered import running
+
+    own = _clean(df, value)
+    s = own.agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"))
+    placed = running(own.groupBy("x").agg(F.count("*").cast("double").alias("c")), ["x"], upto=("c", "sum")).join(F.broadcast(s))
+    z = (F.col("x") - F.col("m")) / F.col("sd")
+    cut = lambda v: max(v, 1e-300)
+    logs = placed.withColumns({"low": F.log(tail(lambda v: cut(norm_cdf(v)), z)), "high": F.log(tail(lambda v: cut(norm_cdf(-v)), z))})
+    before, c, n = F.col("upto") - F.col("c"), F.col("c"), F.col("n")
+    # over the ranks before + 1 .. upto of equal values: sums of 2i - 1 and of 2(n - i) + 1
+    first = c * (2 * before + c)
+    last = c * (2 * (n - F.col("upto")) + c)
+    o = logs.groupBy("n").agg((-F.col("n") - F.sum(first * F.col("low") + last * F.col("high")) / F.col("n")).alias("a2"))
+    return _with_p(o.withColumn("a2_star", F.col("a2") * (1 + 0.75 / n + 2.25 / (n * n))), anderson_p, "a2_star")

@@ -18,8 +18,9 @@ import os
 import re
 from array import array
 
-#: Words, and bytes of words and ids, in each of the two generations that a worker keeps.
-CACHE_WORDS, CACHE_BYTES = 160_000, 6 << 20
+#: Words, and bytes of words and ids, in each of the two generations that a worker keeps, by kind:
+#: words with their spaces and punctuation come in many more forms.
+CACHE = {"spaces": (500_000, 20 << 20), "words": (300_000, 12 << 20), "other": (0, 0)}
 
 # The splitting of the two kinds, as vocabulary files state it.
 _BYTE_LEVEL = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
@@ -92,7 +93,8 @@ class Encoder:
             ids = [new[w] if x is None else x for w, x in zip(words, ids, strict=True)]
             self.held += sum(map(len, new)) + sum(map(len, new.values()))
             self.known.update(new)
-            if self.held > CACHE_BYTES or len(self.known) > CACHE_WORDS:
+            most, size = CACHE[self.kind]
+            if self.held > size or len(self.known) > most:
                 self.known, self.older, self.held = {}, self.known, 0
         return b"".join(ids)
 

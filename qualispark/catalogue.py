@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualispark.operators import capability as cap
-from qualispark.operators import charts, control, models, posthoc, wrangle
+from qualispark.operators import charts, control, models, posthoc, regression, wrangle
 from qualispark.operators import chart_tables as tabs
 from qualispark.operators import hypothesis as hyp
 from qualispark.operators.ordered import numbered
@@ -548,12 +548,27 @@ def kaplan_meier(spark, sf):
     return rounded(models.kaplan_meier(_lives(spark, sf), "life", F.col("l_returnflag") == "R"), "t", "n", "d", "s")
 
 
-@query(f"""WITH t AS (SELECT (l_shipdate::DATE - DATE '1992-01-01')::DOUBLE AS t, (l_returnflag = 'R')::INT AS e, (l_linestatus = (SELECT min(l_linestatus) FROM lineitem))::INT AS g FROM lineitem),
- q AS (SELECT t, sum(e)::DOUBLE AS d, count(*) AS c, sum(e * g)::DOUBLE AS d1, sum(g) AS c1 FROM t GROUP BY 1), n AS (SELECT *, (sum(c) OVER (ORDER BY t DESC))::DOUBLE AS n, (sum(c1) OVER (ORDER BY t DESC))::DOUBLE AS n1 FROM q),
- v AS (SELECT d1, d * n1 / n AS e, d * n1 / n * (n - d) * (n - n1) / (n * (n - 1)) AS v FROM n WHERE d > 0 AND n > 1) SELECT {R('sum(d1)', 'observed', 3)}, {R('sum(e)', 'expected', 3)}, {R('power(sum(d1) - sum(e), 2) / sum(v)', 'chi2', 3)} FROM v""")
+_KSAMPLE = """t AS (SELECT (l_shipdate::DATE - DATE '1992-01-01')::DOUBLE AS t, (l_returnflag = 'R')::INT AS e, {g} AS g FROM lineitem),
+ x AS (SELECT t, sum(e)::DOUBLE AS d, count(*) AS c FROM t GROUP BY 1), r AS (SELECT t, d, (sum(c) OVER (ORDER BY t DESC))::DOUBLE AS n FROM x), w AS (SELECT t, g, sum(e)::DOUBLE AS d1, count(*) AS c1 FROM t GROUP BY 1, 2),
+ a AS (SELECT r.t, g.g, coalesce(w.d1, 0) AS d1, coalesce(w.c1, 0) AS c1, r.d, r.n FROM r CROSS JOIN (SELECT DISTINCT g FROM t) g LEFT JOIN w ON w.t = r.t AND w.g = g.g), b AS (SELECT *, (sum(c1) OVER (PARTITION BY g ORDER BY t DESC))::DOUBLE AS n1 FROM a),
+ s AS (SELECT g, sum(d1) AS o, sum(d * n1 / n) AS e FROM b WHERE d > 0 GROUP BY 1)"""
+
+
+@query(f"""WITH {_KSAMPLE.format(g='l_linestatus')}, v AS (SELECT sum(CASE WHEN n > 1 THEN d * (n - d) / (n - 1) * n1 / n * (1 - n1 / n) ELSE 0 END) AS v FROM b WHERE d > 0 AND g = (SELECT min(g) FROM s)), z AS (SELECT power(o - e, 2) / v AS x, 1 AS df FROM s, v WHERE g = (SELECT min(g) FROM s))
+ SELECT g, {R('o', 'observed', 3)}, {R('e', 'expected', 3)}, {R('x', 'chi2', 3)}, df::INT AS df, {R(PC('x', 'df'), 'p')} FROM s, z""")
 def log_rank(spark, sf):
     out = models.log_rank(_lives(spark, sf), "life", F.col("l_returnflag") == "R", "l_linestatus")
-    return rounded(out.withColumn("observed", F.col("observed").cast("double")), "observed", "expected", "chi2", digits=3)
+    return rounded(out.withColumns({c: F.round(c, 3) for c in ("observed", "expected", "chi2")}))
+
+
+@query(f"""WITH {_KSAMPLE.format(g="CASE WHEN l_quantity < 18 THEN 'a' WHEN l_quantity < 35 THEN 'b' ELSE 'c' END")}, q AS (SELECT t, max(CASE WHEN g = 'a' THEN n1 END) AS na, max(CASE WHEN g = 'b' THEN n1 END) AS nb, any_value(d) AS d, any_value(n) AS n FROM b WHERE d > 0 GROUP BY 1),
+ v AS (SELECT sum(k * na / n * (1 - na / n)) AS aa, sum(k * nb / n * (1 - nb / n)) AS bb, sum(-k * na / n * nb / n) AS ab FROM (SELECT *, CASE WHEN n > 1 THEN d * (n - d) / (n - 1) ELSE 0 END AS k FROM q)),
+ d AS (SELECT (SELECT o - e FROM s WHERE g = 'a') AS da, (SELECT o - e FROM s WHERE g = 'b') AS db), z AS (SELECT (bb * da * da - 2 * ab * da * db + aa * db * db) / (aa * bb - ab * ab) AS x, 2 AS df FROM v, d)
+ SELECT g, {R('o', 'observed', 3)}, {R('e', 'expected', 3)}, {R('x', 'chi2', 3)}, df::INT AS df, {R(PC('x', 'df'), 'p', 4)} FROM s, z""")
+def log_rank_three(spark, sf):
+    lives = _lives(spark, sf).withColumn("g", F.when(F.col("l_quantity") < 18, "a").when(F.col("l_quantity") < 35, "b").otherwise("c"))
+    out = models.log_rank(lives, "life", F.col("l_returnflag") == "R", "g")
+    return out.withColumns({c: F.round(c, 4 if c == "p" else 3) + 0.0 for c in ("observed", "expected", "chi2", "p")})
 
 
 @query(f"""WITH t AS (SELECT value AS t FROM events WHERE event_type = 'purchase' AND value > 0), e AS (SELECT max(t) AS e FROM t), s AS (SELECT count(*) AS n, any_value(e) AS e, sum(ln(e / t)) AS s FROM t, e)
@@ -971,3 +986,62 @@ def timeline(spark, sf):
 def drift(spark, sf):
     df = table(spark, sf, "events")
     return rounded(tabs.drift(df, "value", F.col("event_type"), F.col("user_id") % 2 == 0, [10.0, 25.0, 60.0]), digits=6)
+
+
+# --------------------------------------------- limits, designs and regressions
+
+
+@query(f"""WITH {_DAYS}, c AS (SELECT sum(bad)::DOUBLE / sum(n) AS c FROM d), z AS (SELECT day, n, bad / n::DOUBLE AS p, c, (bad / n::DOUBLE - c) / sqrt(c * (1 - c) / n) AS z FROM d, c), m AS (SELECT *, abs(z - lag(z) OVER (ORDER BY day)) AS mr FROM z), o AS (SELECT avg(mr) / 1.128 AS s FROM m),
+ h AS (SELECT day, p, c, 3 * s * sqrt(c * (1 - c) / n) AS h FROM z, o) SELECT day::TIMESTAMP AS day, {R('p', 'p')}, {R('greatest(0, c - h)', 'low')}, {R('least(1, c + h)', 'high')}, p < greatest(0, c - h) OR p > least(1, c + h) AS out FROM h""")
+def laney_limits(spark, sf):
+    out = control.laney_limits(_days(spark, sf).withColumn("day", F.to_date("day")), "bad", "n", ["day"])
+    return rounded(out.withColumn("day", F.col("day").cast("timestamp_ntz")))
+
+
+@query(f"""WITH s AS (SELECT avg(p_size) AS mx, avg(p_retailprice) AS my, var_samp(p_size) AS a, var_samp(p_retailprice) AS c, covar_samp(p_size, p_retailprice) AS b FROM part)
+ SELECT p_partkey, {R('(c * (p_size - mx) * (p_size - mx) - 2 * b * (p_size - mx) * (p_retailprice - my) + a * (p_retailprice - my) * (p_retailprice - my)) / (a * c - b * b)', 't2')} FROM part, s""")
+def t2_chart(spark, sf):
+    return rounded(control.t2_chart(table(spark, sf, "part"), ["p_size", "p_retailprice"], ["p_partkey"]), "p_partkey", "t2")
+
+
+_CELLS = "c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"""WITH {_CELLS}, g AS (SELECT sum(n) AS n, sum(n * m) / sum(n) AS g, sum((n - 1) * v) AS w FROM c), a AS (SELECT sum(n * (m - g) * (m - g)) AS ss FROM (SELECT a, sum(n) AS n, sum(n * m) / sum(n) AS m FROM c GROUP BY 1), (SELECT g FROM g)),
+ t AS (SELECT sum(n * (m - g) * (m - g)) AS ss FROM c, (SELECT g FROM g)) SELECT 'l_returnflag' AS term, {R('a.ss', 'ss', 2)} FROM a UNION ALL SELECT 'within', {R('w', 'ss', 2)} FROM g UNION ALL SELECT 'total', {R('w + t.ss', 'ss', 2)} FROM g, t""")
+def two_way_anova(spark, sf):
+    """Type 1; the terms that SQL gives without solving a system (tests hold all three types against least squares)."""
+    out = regression.two_way_anova(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag", "l_linestatus", 1)
+    return rounded(out.filter("term in ('l_returnflag', 'within', 'total')"), "term", "ss", digits=2)
+
+
+@query(f"""WITH s AS (SELECT sum((l_returnflag = 'R')::INT)::DOUBLE AS y, avg(CASE WHEN l_linestatus = 'F' THEN (l_returnflag = 'R')::INT END) AS pf, avg(CASE WHEN l_linestatus <> 'F' THEN (l_returnflag = 'R')::INT END) AS po, count(*) AS n FROM lineitem)
+ SELECT 'intercept' AS term, {R('ln(po)', 'coef')}, n FROM s UNION ALL SELECT 'f', {R('ln(pf / po)', 'coef')}, n FROM s""")
+def poisson_rate(spark, sf):
+    df = table(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_linestatus") == "F").cast("double").alias("f"))
+    return rounded(regression.glm(df, "y", ["f"], "poisson"), "term", "coef", "n")
+
+
+@query(f"""WITH s AS (SELECT avg(CASE WHEN l_linestatus = 'F' THEN (l_returnflag = 'R')::INT END) AS pf, avg(CASE WHEN l_linestatus <> 'F' THEN (l_returnflag = 'R')::INT END) AS po, count(*) AS n FROM lineitem)
+ SELECT 'intercept' AS term, {R('ln(po / (1 - po))', 'coef')}, n FROM s UNION ALL SELECT 'f', {R('ln(pf / (1 - pf)) - ln(po / (1 - po))', 'coef')}, n FROM s""")
+def logit_rate(spark, sf):
+    df = table(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_linestatus") == "F").cast("double").alias("f"))
+    return rounded(regression.glm(df, "y", ["f"], "binomial"), "term", "coef", "n")
+
+
+@query(f"""WITH s AS (SELECT avg(l_extendedprice) AS my, avg(l_quantity) AS mx, covar_pop(l_extendedprice, l_quantity) AS c, var_pop(l_quantity) AS v, count(*) AS n FROM lineitem), b AS (SELECT *, c * n / (v * n + 1000.0 * v) AS b FROM s)
+ SELECT 'l_quantity' AS term, {R('b', 'coef', 3)} FROM b UNION ALL SELECT 'intercept', {R('my - b * mx', 'coef', 3)} FROM b""")
+def ridge(spark, sf):
+    return rounded(regression.ridge(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity"], 1000.0), digits=3)
+
+
+@query(f"""WITH s AS (SELECT avg(l_extendedprice) AS my, avg(l_quantity) AS mx, covar_pop(l_extendedprice, l_quantity) / stddev_pop(l_quantity) AS c, stddev_pop(l_quantity) AS s FROM lineitem), b AS (SELECT *, sign(c) * greatest(abs(c) - 500, 0) / s AS b FROM s)
+ SELECT 'l_quantity' AS term, {R('b', 'coef', 3)} FROM b UNION ALL SELECT 'intercept', {R('my - b * mx', 'coef', 3)} FROM b""")
+def lasso(spark, sf):
+    return rounded(regression.elastic_net(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity"], 500.0), digits=3)
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS terms, 1 AS size, {R(f'power(corr(l_extendedprice, {c}), 2)', 'r2', 6)} FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")))
+def best_subsets(spark, sf):
+    out = regression.best_subsets(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    return rounded(out.filter("size = 1"), "terms", "size", "r2", digits=6)

@@ -303,3 +303,40 @@ def short_run(df: DataFrame, value: str, group: str, order: list[str]) -> DataFr
     s = F.avg("mr") / D2_PAIR
     out = dev.agg(F.count("dev").alias("n"), s.alias("sigma"))
     return out.withColumns({"ucl": 3 * F.col("sigma"), "lcl": -3 * F.col("sigma")})
+
+
+def laney_limits(df: DataFrame, defectives: str, size: str, order: list[str]) -> DataFrame:
+    """The p chart with its limits widened by sigma_z, cut at 0 and 1: p, low, high, out for each row."""
+    points = p_chart(df, defectives, size)
+    z = laney(df, defectives, size, order).select("sigma_z")
+    half = 3 * F.col("sigma_z") * F.sqrt(F.col("center") * (1 - F.col("center")) / F.col(size))
+    out = points.join(F.broadcast(z)).withColumns(
+        {"low": F.greatest(F.lit(0.0), F.col("center") - half), "high": F.least(F.lit(1.0), F.col("center") + half)}
+    )
+    return out.select(*order, "p", "low", "high", ((F.col("p") < F.col("low")) | (F.col("p") > F.col("high"))).alias("out"))
+
+
+def t2_chart(df: DataFrame, columns: list[str], keep: list[str], alpha: float = 0.0027) -> DataFrame:
+    """Hotelling's T squared of each complete row, its limit, and whether it is beyond.
+
+    One Gram matrix, inverted on the driver, then a projection.
+    """
+    import numpy as np
+
+    from qualispark.functions.special import f_sf
+    from qualispark.operators.models import gram
+
+    m, means, s = gram(df, columns)
+    p = len(columns)
+    if m <= p:
+        raise ValueError("more complete rows than columns are needed")
+    inverse = np.linalg.pinv(s / (m - 1))
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if f_sf(mid, p, m - p) > alpha else (low, mid)
+    limit = p * (m + 1) * (m - 1) / (m * m - m * p) * low
+    d = [F.col(c).cast("double") - float(v) for c, v in zip(columns, means, strict=True)]
+    t2 = sum((float(inverse[i, j]) * d[i] * d[j] for i in range(p) for j in range(p)), F.lit(0.0))
+    own = df.na.drop(subset=columns).withColumn("t2", t2)
+    return own.select(*keep, "t2", F.lit(float(limit)).alias("ucl"), (F.col("t2") > limit).alias("out"))

@@ -44,13 +44,13 @@ def _two(df: DataFrame, value: str, group: str) -> DataFrame:
     return g.agg(
         F.count("*").alias("groups"),
         *(x for s, f in (("1", F.min_by), ("2", F.max_by)) for x in (f("n", "g").alias("n" + s), f("m", "g").alias("m" + s), f("v", "g").alias("v" + s))),
-    ).withColumn("groups", _exactly_two(F.col("groups")))
+    ).filter(_exactly_two())
 
 
-def _exactly_two(groups: Column) -> Column:
-    """The number of groups; other than two is an error, not an empty result."""
-    message = F.concat(F.lit("the test needs exactly two groups, found "), groups.cast("string"))
-    return F.when(groups == 2, groups).otherwise(F.raise_error(message).cast("long"))
+def _exactly_two() -> Column:
+    """A condition on ``groups``: other than two is an error, not an empty result."""
+    message = F.concat(F.lit("the test needs exactly two groups, found "), F.col("groups").cast("string"))
+    return F.when(F.col("groups") == 2, True).otherwise(F.raise_error(message).cast("boolean"))
 
 
 def two_sample_t(df: DataFrame, value: str, group: str, equal_var: bool = False) -> DataFrame:
@@ -167,7 +167,7 @@ def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     """U of the first group, r = 1 - 2U/n1n2, normal p with continuity and ties."""
     r = average_ranks(_clean(df, value, group), "x")
     g = r.groupBy("g").agg(F.count("*").alias("n"), F.sum("rank").alias("s"), _tie_sum().alias("t"))
-    o = g.agg(F.count("*").alias("groups"), F.min_by("n", "g").alias("n1"), F.max_by("n", "g").alias("n2"), F.min_by("s", "g").alias("s1"), F.sum("t").alias("ties")).filter("groups = 2")
+    o = g.agg(F.count("*").alias("groups"), F.min_by("n", "g").alias("n1"), F.max_by("n", "g").alias("n2"), F.min_by("s", "g").alias("s1"), F.sum("t").alias("ties")).filter(_exactly_two())
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     o = o.withColumn("u", F.col("s1") - n1 * (n1 + 1) / 2)
@@ -244,7 +244,7 @@ def one_proportion(df: DataFrame, success: Column, p0: float = 0.5) -> DataFrame
 
 def two_proportions(df: DataFrame, success: Column, group: str) -> DataFrame:
     g = df.filter(F.col(group).isNotNull() & success.isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count("*").cast("double").alias("n"), F.count_if(success).cast("double").alias("k"))
-    o = g.agg(F.count("*").alias("groups"), F.min_by("n", "g").alias("n1"), F.max_by("n", "g").alias("n2"), F.min_by("k", "g").alias("k1"), F.max_by("k", "g").alias("k2")).filter("groups = 2")
+    o = g.agg(F.count("*").alias("groups"), F.min_by("n", "g").alias("n1"), F.max_by("n", "g").alias("n2"), F.min_by("k", "g").alias("k1"), F.max_by("k", "g").alias("k2")).filter(_exactly_two())
     p1, p2 = F.col("k1") / F.col("n1"), F.col("k2") / F.col("n2")
     p = (F.col("k1") + F.col("k2")) / (F.col("n1") + F.col("n2"))
     o = o.select(p1.alias("p1"), p2.alias("p2"), ((p1 - p2) / F.sqrt(p * (1 - p) * (1 / F.col("n1") + 1 / F.col("n2")))).alias("z"))

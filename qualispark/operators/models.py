@@ -118,19 +118,37 @@ def kaplan_meier(df: DataFrame, time: str, event: Column, group: str | None = No
 
 
 def log_rank(df: DataFrame, time: str, event: Column, group: str) -> DataFrame:
-    """Chi-square of two groups' observed against expected events."""
+    """Chi-square of any number of groups' observed against expected events, one row a group.
+
+    g, observed, expected, chi2, df, p. Numbers at risk are running sums over
+    distinct times in chunks; the covariance is one aggregate over pairs of
+    groups, whose number is small.
+    """
+    from qualispark.operators.ordered import running
+
     t = df.select(F.col(time).cast("double").alias("t"), event.cast("int").alias("e"), F.col(group).alias("g")).na.drop()
-    first = t.agg(F.min("g").alias("g1"))
-    per = t.join(F.broadcast(first)).groupBy("t").agg(F.sum("e").alias("d"), F.count("*").alias("c"), F.sum(F.when(F.col("g") == F.col("g1"), F.col("e")).otherwise(0)).alias("d1"), F.count_if(F.col("g") == F.col("g1")).alias("c1"))
-    w = Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    per = per.withColumns({"n": F.sum("c").over(w), "n1": F.sum("c1").over(w)}).filter("d > 0 and n > 1")
-    e = F.col("d") * F.col("n1") / F.col("n")
-    v = e * (F.col("n") - F.col("d")) * (F.col("n") - F.col("n1")) / (F.col("n") * (F.col("n") - 1))
-    o = per.agg(F.sum("d1").alias("observed"), F.sum(e).alias("expected"), F.sum(v).alias("variance"))
-    chi = F.pow(F.col("observed") - F.col("expected"), 2) / F.col("variance")
-    from qualispark.functions.special import as_column
-
-    return o.withColumn("chi2", chi).withColumn("p", as_column(chi2_sf, F.col("chi2"), F.lit(1)))
+    names = [r["g"] for r in t.select("g").distinct().orderBy("g").limit(101).collect()]
+    if not 2 <= len(names) <= 100:
+        raise ValueError("the test needs two to a hundred groups")
+    k = range(len(names))
+    per = t.groupBy((-F.col("t")).alias("back")).agg(
+        F.sum("e").cast("double").alias("d"),
+        *(F.count_if(F.col("g") == F.lit(names[i])).cast("double").alias(f"c{i}") for i in k),
+        *(F.sum(F.when(F.col("g") == F.lit(names[i]), F.col("e")).otherwise(0)).cast("double").alias(f"d{i}") for i in k),
+    )
+    per = running(per, ["back"], **{f"n{i}": (f"c{i}", "sum") for i in k}).withColumn("n", sum((F.col(f"n{i}") for i in k), F.lit(0.0))).filter("d > 0")
+    share = [F.col(f"n{i}") / F.col("n") for i in k]
+    spread = F.when(F.col("n") > 1, F.col("d") * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(0.0)
+    row = per.agg(
+        *(F.sum(f"d{i}").alias(f"o{i}") for i in k), *(F.sum(F.col("d") * share[i]).alias(f"e{i}") for i in k),
+        *(F.sum(spread * share[i] * ((1.0 if i == j else 0.0) - share[j])).alias(f"v{i}_{j}") for i in k for j in k),
+    ).first()
+    gap = np.array([(row[f"o{i}"] or 0.0) - (row[f"e{i}"] or 0.0) for i in k])[:-1]
+    v = np.array([[row[f"v{i}_{j}"] or 0.0 for j in k] for i in k])[:-1, :-1]
+    chi = float(gap @ np.linalg.pinv(v) @ gap)
+    rows = [(names[i], row[f"o{i}"], row[f"e{i}"], chi, len(names) - 1, chi2_sf(chi, len(names) - 1)) for i in k]
+    kind = dict(t.dtypes)["g"]
+    return df.sparkSession.createDataFrame(rows, f"g {kind}, observed double, expected double, chi2 double, df int, p double")
 
 
 def crow_amsaa(df: DataFrame, time: str) -> DataFrame:

@@ -132,26 +132,23 @@ def phased_imr(spark, sf):
     return rounded(control.phased_imr(df, "value", "month", TIME))
 
 
-_SUB = """g AS (SELECT l_orderkey % 500 AS k, l_quantity AS x, row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem),
- s AS (SELECT k, avg(x) AS m, max(x) - min(x) AS r, stddev_samp(x) AS d FROM g WHERE i <= 5 GROUP BY k HAVING count(*) = 5)"""
+_SUB = """g AS (SELECT l_orderkey AS p, l_quantity AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem),
+ s AS (SELECT avg(x) AS m, max(x) - min(x) AS r, stddev_samp(x) AS d FROM g GROUP BY p, (i - 1) // 5 HAVING count(*) = 5)"""
 
 
 def _subgroups(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("k").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    g = table(spark, sf, "lineitem").withColumn("k", F.col("l_orderkey") % 500)
-    return g.withColumn("i", F.row_number().over(w)).filter("i <= 5").withColumn("c", F.count("*").over(Window.partitionBy("k"))).filter("c = 5")
+    """All full subgroups of five lines of each order."""
+    return control.subgrouped(table(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], 5)
 
 
 @query(f"WITH {_SUB} SELECT count(*) AS k, {R('avg(m)', 'center')}, {R('avg(r)', 'r_bar')}, {R('avg(m) + 0.577 * avg(r)', 'ucl')}, {R('avg(m) - 0.577 * avg(r)', 'lcl')}, {R('2.114 * avg(r)', 'r_ucl')}, 0.0::DOUBLE AS r_lcl FROM s")
 def xbar_r(spark, sf):
-    return rounded(control.xbar_r(_subgroups(spark, sf), "l_quantity", "k"), "k", "center", "r_bar", "ucl", "lcl", "r_ucl", "r_lcl")
+    return rounded(control.xbar_r(_subgroups(spark, sf), "l_quantity", "subgroup"), "k", "center", "r_bar", "ucl", "lcl", "r_ucl", "r_lcl")
 
 
 @query(f"WITH {_SUB} SELECT count(*) AS k, {R('avg(m)', 'center')}, {R('avg(d)', 's_bar')}, {R('avg(m) + 1.427 * avg(d)', 'ucl')}, {R('avg(m) - 1.427 * avg(d)', 'lcl')}, {R('2.089 * avg(d)', 's_ucl')} FROM s")
 def xbar_s(spark, sf):
-    return rounded(control.xbar_s(_subgroups(spark, sf), "l_quantity", "k"), "k", "center", "s_bar", "ucl", "lcl", "s_ucl")
+    return rounded(control.xbar_s(_subgroups(spark, sf), "l_quantity", "subgroup"), "k", "center", "s_bar", "ucl", "lcl", "s_ucl")
 
 
 _SUB_ALL = """g AS (SELECT l_partkey AS p, l_quantity AS x, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS i FROM lineitem),

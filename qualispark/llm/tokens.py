@@ -1,10 +1,11 @@
 """Token ids of whole texts by a public tokenizer, through a cache of words.
 
 Two kinds of vocabulary are known to split a text before the merges so that a
-change from a non-space to a space is always a boundary (and, for the kind that
-drops white space, so is one from a letter to a full stop or comma). With these
-a text is the concatenation of the ids of its space-led words, and most words
-are met again: their ids are kept as bytes in two dictionaries of bounded
+change from a non-space to a space is always a boundary, and so are one from a
+letter or digit to ASCII punctuation and the place after a lone line feed.
+With these a text is the concatenation of the ids of its pieces (words with
+the spaces before them, and what follows a word), and most pieces are met
+again: their ids are kept as bytes in two dictionaries of bounded
 size in each worker; when the younger is full it becomes the older one, and words
 met again move to the younger. A vocabulary file with any other splitting is applied to whole
 texts, as are texts with control characters on which libraries differ (are they
@@ -26,8 +27,9 @@ CACHE = {"spaces": (500_000, 20 << 20), "words": (300_000, 12 << 20), "other": (
 _BYTE_LEVEL = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
 _WORD_PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _UNSURE = re.compile("[\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]")
-_LED = re.compile(r"\s*\S+|\s+")
-_STOP = re.compile("(?<=[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,])(?=\\s|$)")
+_WORD = r"[a-zA-Z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]++(?=[\s!-/:-@\[-`{-~]|\Z)"
+_LED = re.compile(rf"\n(?=\S)|\s*(?:{_WORD}|\S+)|\s+")  # a match begins after a non-space
+_BARE = re.compile(rf"{_WORD}|\S+")
 _loaded: dict = {}
 
 
@@ -74,7 +76,7 @@ class Encoder:
     def _cut(self, text: str) -> list[str]:
         if self.kind == "spaces":
             return _LED.findall(text)
-        return _STOP.sub(r" \1", text.lower() if text.isascii() else text).split()
+        return _BARE.findall(text.lower() if text.isascii() else text)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)

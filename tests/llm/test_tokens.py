@@ -8,10 +8,12 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from qualispark.llm import packing, queries, sstable
-from qualispark.llm.tokens import Encoder, splitting
+from qualispark.llm.tokens import Encoder, encoder, splitting
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -57,12 +59,20 @@ def test_foreign_vocabulary(spark, tmp_path):
 @pytest.mark.parametrize(("path", "kind"), [(WORD, "words"), (BYTE, "spaces")])
 def test_cached_words_equal_whole_texts(path, kind):
     assert splitting(path) == kind
-    texts = ["", " ", "a", "\t \n x", "don't  stop'll 　  y", "\x1c a \x85b", "x​ y", "é ́", "ΑΣ Σ", "<|endoftext|> a\n\n\nb  ", "１２3 ½ _-_", "a, b. c.. d.,e é. ×, it's. x\x01y", "Word, WORD. word", "z.", "Don't.", "\x01", "3, 4."]
+    texts = ["", " ", "a", "\t \n x", "don't  stop'll 　  y", "\x1c a \x85b", "x​ y", "é ́", "ΑΣ Σ", "<|endoftext|> a\n\n\nb  ", "１２3 ½ _-_", "a, b. c.. d.,e é. ×, it's. x\x01y", "Word, WORD. word", "z.", "Don't.", "\x01", "3, 4.",
+             "\nA", "a\nB", "a\n\nB", "a\r\nB \n\tc", "a1b2's x_y", "é=\u0338 a=\u0338b", "(it's)'tis", "a²,b½.c٣!d", "q&&& ###z'd've"]
     encode = Encoder(path)
     for text in texts * 2:
         assert np.frombuffer(encode(text), "<u4").tolist() + [9] == whole(path, text, 9), repr(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("abZé0²٣ß'sdt.,&_-=\u0338\u0301\n\r\t  \u3000漢ǅ×"), max_size=40))
+def test_cuts_fall_on_boundaries(text):
+    for path in (WORD, BYTE):
+        assert np.frombuffer(encoder(path)(text), "<u4").tolist() + [9] == whole(path, text, 9)
+
+
 def check_packed(rows, want):
     """rows: pieces with ids_crc32; want: Counter of (doc_id, ids)."""
     sequences, by_doc = defaultdict(list), defaultdict(list)

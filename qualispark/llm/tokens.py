@@ -86,19 +86,18 @@ class Encoder:
         if self.kind == "other" or _UNSURE.search(text):
             return self._ids([text])[0]
         words = self._cut(text)
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            missing = list(dict.fromkeys(w for w, x in zip(words, ids, strict=True) if x is None))
+        missing = set(words).difference(self.known)
+        if missing:
             new = {w: self.older[w] for w in missing if w in self.older}
-            missing = [w for w in missing if w not in new]
-            new.update(zip(missing, self._ids(missing), strict=True))
-            ids = [new[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+            unseen = list(missing.difference(new))
+            new.update(zip(unseen, self._ids(unseen), strict=True))
             self.held += sum(map(len, new)) + sum(map(len, new.values()))
             self.known.update(new)
-            most, size = CACHE[self.kind]
-            if self.held > size or len(self.known) > most:
-                self.known, self.older, self.held = {}, self.known, 0
-        return b"".join(ids)
+        ids = b"".join(map(self.known.__getitem__, words))
+        most, size = CACHE[self.kind]
+        if self.held > size or len(self.known) > most:
+            self.known, self.older, self.held = {}, self.known, 0
+        return ids
 
 
 def encoder(path: str) -> Encoder:

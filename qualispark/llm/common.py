@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What a worker keeps from task to task; a task that doesn't keep it lets it go before it begins.
+KEPT: dict = {}
 #: Java and RE2 class of the bytes that separate words.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -103,14 +105,23 @@ def _give_back() -> None:
         trim(0)
 
 
+def _let_go() -> None:
+    """Empty what earlier tasks of this worker left for their like; workers outlive a job."""
+    if KEPT:
+        KEPT.clear()
+        _give_back()
+
+
 def arrow_map(
     df: DataFrame,
     rows: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]],
     schema: str,
+    keeps: bool = False,
 ) -> DataFrame:
     """``mapInArrow`` for a generator that yields dicts of equally long columns.
 
-    ``schema`` is Spark DDL; the columns are cast to it.
+    ``schema`` is Spark DDL; the columns are cast to it. Tasks with ``keeps``
+    find what earlier ones of the worker left in ``KEPT``, others empty it.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -118,6 +129,8 @@ def arrow_map(
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
+        if not keeps:
+            _let_go()
         for columns in rows(batches):
             yield pa.RecordBatch.from_arrays(
                 [

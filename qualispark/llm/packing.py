@@ -140,7 +140,7 @@ def pack(
     """
     per = classes(capacity)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    pieces = written(arrow_map(own, _cut_and_fill(path, end_id, capacity), _PIECE), "pieces")
+    pieces = written(arrow_map(own, _cut_and_fill(path, end_id, capacity), _PIECE, keeps=True), "pieces")
     result = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
     open_ = pieces.filter("sequence_id is null").drop("sequence_id", "offset")

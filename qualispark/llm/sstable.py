@@ -233,7 +233,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int, width: int, bounds: list[i
                 ids = [narrowed(encode(t or "") + end, width) for t in some.column(1).to_pylist()]
                 yield {"range": np.where(last, high, own), "doc_id": some.column(0), "number": numbers, "ids": ids}
 
-    return arrow_map(docs, rows, "range int, doc_id long, number long, ids binary")
+    return arrow_map(docs, rows, "range int, doc_id long, number long, ids binary", keeps=True)
 
 
 def write_shards(

@@ -19,6 +19,8 @@ import os
 import re
 from array import array
 
+from qualispark.llm.common import KEPT
+
 #: Words, and bytes of words and ids, in each of the two generations that a worker keeps, by kind:
 #: words with their spaces and punctuation come in many more forms.
 CACHE = {"spaces": (500_000, 20 << 20), "words": (300_000, 12 << 20), "other": (0, 0)}
@@ -30,7 +32,6 @@ _UNSURE = re.compile("[\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]")
 _WORD = r"[a-zA-Z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]++(?=[\s!-/:-@\[-`{-~]|\Z)"
 _LED = re.compile(rf"\n(?=\S)|\s*(?:{_WORD}|\S+)|\s+")  # a match begins after a non-space
 _BARE = re.compile(rf"{_WORD}|\S+")
-_loaded: dict = {}
 
 
 def splitting(path: str) -> str:
@@ -101,7 +102,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's own encoder for a vocabulary file."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    """The worker's own encoder for a vocabulary file, kept for tasks that ask for it (``arrow_map``)."""
+    if path not in KEPT:
+        KEPT.clear()  # one vocabulary at a time
+        KEPT[path] = Encoder(path)
+    return KEPT[path]

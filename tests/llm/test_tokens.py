@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from qualispark.llm import packing, queries, sstable
+from qualispark.llm import common, packing, queries, sstable
 from qualispark.llm.tokens import Encoder, encoder, splitting
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -66,11 +67,34 @@ def test_cached_words_equal_whole_texts(path, kind):
         assert np.frombuffer(encode(text), "<u4").tolist() + [9] == whole(path, text, 9), repr(text)
 
 
+cuts: dict = {}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("abZé0²٣ß'sdt.,&_-=\u0338\u0301\n\r\t  \u3000漢ǅ×"), max_size=40))
 def test_cuts_fall_on_boundaries(text):
     for path in (WORD, BYTE):
-        assert np.frombuffer(encoder(path)(text), "<u4").tolist() + [9] == whole(path, text, 9)
+        encode = cuts.get(path) or cuts.setdefault(path, Encoder(path))
+        assert np.frombuffer(encode(text), "<u4").tolist() + [9] == whole(path, text, 9)
+
+
+def test_other_tasks_let_the_cache_go(spark):
+    def held(batches, ask):
+        for b in batches:
+            if ask:
+                encoder(WORD)("some words")
+            yield {"pid": [os.getpid()], "n": [len(common.KEPT)]}
+
+    one = spark.range(1, numPartitions=1)
+    seen = [
+        common.arrow_map(one, lambda batches, ask=ask: held(batches, ask), "pid long, n int", keeps).first()
+        for ask, keeps in ((True, True), (False, True), (False, False), (False, True))
+    ]
+    assert seen[0]["n"] == 1
+    before = seen[0]["pid"]
+    assert seen[1]["n"] == 1 or seen[1]["pid"] != before
+    assert seen[2]["n"] == 0
+    assert seen[3]["n"] == 0 or seen[3]["pid"] != seen[2]["pid"]
 
 
 def check_packed(rows, want):

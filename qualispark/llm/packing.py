@@ -66,8 +66,8 @@ def _cut_and_fill(path: str, end_id: int, capacity: int):
 
         out: list = []
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end
+            for doc, found in zip(batch.column(0).to_pylist(), encode.each(batch.column(1).to_pylist()), strict=True):
+                ids = found + end
                 total, at = len(ids) // 4, 0
                 for size in cuts(total, sizes):
                     held[size].append((doc, at, total, ids[4 * at : 4 * (at + size)]))

@@ -230,7 +230,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int, width: int, bounds: list[i
                 low, high = np.searchsorted(cuts, key, "left"), np.searchsorted(cuts, key, "right")
                 own = low + numbers % (high - low + 1)
                 last = (key == null) & some.column(0).is_valid().to_numpy(zero_copy_only=False)
-                ids = [narrowed(encode(t or "") + end, width) for t in some.column(1).to_pylist()]
+                ids = [narrowed(x + end, width) for x in encode.each(some.column(1).to_pylist())]
                 yield {"range": np.where(last, high, own), "doc_id": some.column(0), "number": numbers, "ids": ids}
 
     return arrow_map(docs, rows, "range int, doc_id long, number long, ids binary", keeps=True)

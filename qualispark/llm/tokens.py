@@ -7,7 +7,9 @@ With these a text is the concatenation of the ids of its pieces (words with
 the spaces before them, and what follows a word), and most pieces are met
 again: their ids are kept as bytes in two dictionaries of bounded
 size in each worker; when the younger is full it becomes the older one, and words
-met again move to the younger. A vocabulary file with any other splitting is applied to whole
+met again move to the younger. Pieces that are new go to the tokenizer many at a
+time, as one text: with a mark between them or, where a vocabulary has own
+tokens for the ends of words, words of letters with a space between. A vocabulary file with any other splitting is applied to whole
 texts, as are texts with control characters on which libraries differ (are they
 space?).
 """
@@ -18,6 +20,9 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 
 from qualispark.llm.common import KEPT
 
@@ -25,6 +30,11 @@ from qualispark.llm.common import KEPT
 #: words with their spaces and punctuation come in many more forms.
 CACHE = {"spaces": (500_000, 20 << 20), "words": (300_000, 12 << 20), "other": (0, 0)}
 
+#: Characters of text cut at a time, and new pieces in one text for the tokenizer.
+GROUP_CHARS, JOINED = 64 << 10, 1000
+#: What stands between such pieces: a byte that no merge of the vocabulary takes.
+_MARK = "\x01"
+
 # The splitting of the two kinds, as vocabulary files state it.
 _BYTE_LEVEL = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
 _WORD_PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -60,6 +70,12 @@ def largest_id(path: str) -> int:
     return max(max(ids, default=0), max((t["id"] for t in spec.get("added_tokens", ())), default=0))
 
 
+def keeps_mark(vocab: Iterable[str]) -> bool:
+    """Is the mark in no token of the vocabulary but its own?"""
+    sign = "\u0101"  # how byte-level vocabularies write the byte 1
+    return {t for t in vocab if sign in t} == {sign}
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes."""
 
@@ -70,6 +86,14 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.kind = splitting(path)
+        spec = json.loads(self.model.to_str())["model"]
+        vocab, suffix = spec["vocab"], spec.get("end_of_word_suffix")
+        self.mark = vocab["\u0101"] if self.kind == "spaces" and keeps_mark(vocab) else None
+        #: by id: does a word end with the token?
+        self.ending = np.zeros(0, bool)
+        if self.kind == "words" and suffix:
+            self.ending = np.zeros(self.model.get_vocab_size(), bool)
+            self.ending[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
@@ -79,27 +103,76 @@ class Encoder:
             return _LED.findall(text)
         return _BARE.findall(text.lower() if text.isascii() else text)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _each(self, texts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def __call__(self, text: str) -> bytes:
-        if self.kind == "other" or _UNSURE.search(text):
-            return self._ids([text])[0]
-        words = self._cut(text)
-        missing = set(words).difference(self.known)
+    def _joins(self, piece: str) -> bool:
+        """Can the piece go with others? An apostrophe at the beginning or a space at the end is split otherwise next to a mark."""
+        if len(self.ending):
+            return piece.isalpha()
+        return self.mark is not None and _MARK not in piece and piece[0] != "'" and not piece[-1].isspace()
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that go to the tokenizer as one text."""
+        between = " " if len(self.ending) else _MARK
+        ids = np.array(self.model.encode_batch_fast([between.join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        if len(self.ending):
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            starts = np.append(0, ends[:-1])
+        else:
+            marks = np.flatnonzero(ids == self.mark)
+            starts, ends = np.append(0, marks + 1), np.append(marks, len(ids))
+        if len(ends) != len(pieces):  # each piece has at least one end: a word that the normalizer splits
+            return self._each(pieces)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
+
+    def _pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Pieces and their ids, in any order."""
+        alone, joint = [], []
+        for p in pieces:
+            (joint if self._joins(p) else alone).append(p)
+        for begin in range(0, len(joint), JOINED):
+            some = joint[begin : begin + JOINED]
+            yield from zip(some, self._together(some), strict=True)
+        yield from zip(alone, self._each(alone), strict=True)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that can be cut."""
+        cut = [self._cut(t) for t in texts]
+        missing = set().union(*cut).difference(self.known)
         if missing:
             new = {w: self.older[w] for w in missing if w in self.older}
-            unseen = list(missing.difference(new))
-            new.update(zip(unseen, self._ids(unseen), strict=True))
+            new.update(self._pieces(list(missing.difference(new))))
             self.held += sum(map(len, new)) + sum(map(len, new.values()))
             self.known.update(new)
-        ids = b"".join(map(self.known.__getitem__, words))
+        ids = [b"".join(map(self.known.__getitem__, words)) for words in cut]
         most, size = CACHE[self.kind]
         if self.held > size or len(self.known) > most:
             self.known, self.older, self.held = {}, self.known, 0
         return ids
 
+    def each(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text, in order; null is empty."""
+        group, size = [], 0
+        for text in texts:
+            text = text or ""
+            if self.kind == "other" or _UNSURE.search(text):
+                yield from self._group(group)
+                yield from self._each([text])
+                group, size = [], 0
+                continue
+            group.append(text)
+            size += len(text)
+            if size >= GROUP_CHARS:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def __call__(self, text: str) -> bytes:
+        return next(self.each([text]))
+
 
 def encoder(path: str) -> Encoder:
     """The worker's own encoder for a vocabulary file, kept for tasks that ask for it (``arrow_map``)."""

@@ -21,7 +21,10 @@ totals of its distinct n-grams: it sends each key with its own count to the
 slice of the hash space that owns it, the slice adds up, and the totals go back
 to the chunks that asked. Round d counts the n-grams under contexts of d words
 and settles which contexts of d - 1 words stay; it writes its new arrays alone.
-A chunk sends a key once however often it occurs, so no key is hot; the number
+A chunk sends a key once however often it occurs, so no key is hot. An answer
+tells whether the chunk was the only one that asked: then longer n-grams that end
+with this one are in no other chunk, and its own counts of them are the totals, so
+it need not ask; most n-grams that are met once never move thus. The number
 of slices grows with that of the chunks, so a slice doesn't. Words are told
 apart by 64 bits, longer n-grams by ``SLICE_KEY_BITS`` in their slice: a chance
 of about 2 ** -24 that an n-gram's count includes another's, at any size.
@@ -56,10 +59,15 @@ _END = b" "  # no word has a space, so it is free to name the end
 _BLOB = "chunk long, state binary"
 
 
+def _planes(v: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes and so on: high bytes are mostly zero."""
+    return np.ascontiguousarray(np.ascontiguousarray(v).view(np.uint8).reshape(len(v), v.dtype.itemsize).T).tobytes()
+
+
 def _pack(**arrays: np.ndarray) -> bytes:
     """Named arrays as one compressed blob."""
     head = ";".join(f"{k}:{v.dtype.str}:{len(v)}" for k, v in arrays.items()).encode()
-    body = b"".join(np.ascontiguousarray(v).tobytes() for v in arrays.values())
+    body = b"".join(map(_planes, arrays.values()))
     return zstandard.compress(len(head).to_bytes(4, "little") + head + body, 1)
 
 
@@ -70,8 +78,10 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     for item in raw[4 : 4 + n].decode().split(";"):
         name, kind, count = item.split(":")
         dtype = np.dtype(kind)
-        out[name] = np.frombuffer(raw, dtype, int(count), at)
-        at += int(count) * dtype.itemsize
+        size = int(count) * dtype.itemsize
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(dtype.itemsize, int(count))
+        out[name] = np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+        at += size
     return out
 
 
@@ -100,9 +110,9 @@ class Chunk:
 
     ``word`` (number of each token, 0 is the end), ``ends`` (positions after
     each document), ``train`` (by document), ``hash`` (by number), ``known`` and
-    ``doc_id``. Rounds add ``count0`` (by number), ``count<d>`` and ``kept<d>``
-    (n-grams under, and fate of, the contexts of d words, by position of
-    ``level(d)``).
+    ``doc_id``. Rounds add ``count0`` and ``only0`` (by number), ``count<d>``,
+    ``only<d>`` and ``kept<d>`` (n-grams under the contexts of d words, whether no
+    other chunk has them, and fate of the contexts, by position of ``level(d)``).
     """
 
     def __init__(self, arrays: dict[str, np.ndarray], total: int = 0, kinds: int = 0):
@@ -126,9 +136,22 @@ class Chunk:
             "doc_id": np.array([d or 0 for d, _ in docs], np.int64),
         }
 
+    def _flags(self, name: str, depth: int) -> np.ndarray:
+        count = len(self.level(depth)[0]) if depth else len(self.hash)
+        return np.unpackbits(self.arrays[f"{name}{depth}"], count=count).astype(bool)
+
     def kept(self, depth: int) -> np.ndarray:
         """Which positions of the level have a context that is in the tree."""
-        return np.unpackbits(self.arrays[f"kept{depth}"], count=len(self.level(depth)[0])).astype(bool)
+        return self._flags("kept", depth)
+
+    def local(self, depth: int) -> np.ndarray:
+        """Which n-grams of the level end with ``depth`` words that no other chunk has."""
+        at = self.level(depth)[0]
+        if depth == 1:
+            return self._flags("only", 0)[self.word[at]]
+        only = np.zeros(len(self.word), bool)
+        only[self.level(depth - 1)[0][self._flags("only", depth - 1)]] = True
+        return only[at]
 
     def level(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions with a context of ``depth`` words to try, and how often it was seen."""
@@ -179,19 +202,31 @@ class Chunk:
         gain = np.log(left / (np.maximum(of - 1, 0) + STRENGTH) / parent)
         return np.where(self.trains[at], gain, 0.0)
 
-    def asked(self, depth: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the n-grams and of the contexts that round ``depth`` asks about."""
-        none = np.zeros(0, np.uint64)
-        if depth == 0:
-            return self.hash, none
-        grams = self.keys(self.level(depth)[0], depth + 1) if depth <= last else none
-        return grams, self.keys(self.level(depth - 1)[0] - 1, depth - 1) if depth > 1 else none
+    def asked(self, depth: int, last: int) -> np.ndarray:
+        """Positions of the n-grams that round ``depth`` (1 or more) asks about."""
+        return self.level(depth)[0][~self.local(depth)] if depth <= last else np.zeros(0, np.int64)
+
+    def contexts(self, depth: int) -> np.ndarray:
+        """Keys of the contexts that round ``depth`` asks about."""
+        return self.keys(self.level(depth - 1)[0] - 1, depth - 1) if depth > 1 else np.zeros(0, np.uint64)
 
-    def add(self, depth: int, last: int, counts: np.ndarray, stays: np.ndarray) -> dict[str, np.ndarray]:
-        """The new arrays of round ``depth`` from the answers."""
+    def add(self, depth: int, last: int, bits: int, counts: np.ndarray, only: np.ndarray, stays: np.ndarray) -> dict[str, np.ndarray]:
+        """The new arrays of round ``depth`` from the answers: totals of the distinct n-grams asked, is no other chunk
+        asking; fates of the contexts by position."""
         new = {}
-        if depth <= last:
-            new[f"count{depth}"] = _small(counts)
+        if depth == 0:
+            runs = _runs(self.hash)
+            new["count0"], new["only0"] = _small(_back(counts, *runs)), np.packbits(_back(only, *runs))
+        elif depth <= last:
+            at, local = self.level(depth)[0], self.local(depth)
+            count, alone = np.zeros(len(at), np.int64), local.copy()
+            runs = _runs(_short(self.keys(at[~local], depth + 1), depth, bits))
+            count[~local], alone[~local] = _back(counts, *runs), _back(only, *runs)
+            runs = _runs(_short(self.keys(at[local], depth + 1), depth, bits))
+            count[local] = _back(_sum(self.trains[at[local]], *runs, np.int64), *runs)
+            new[f"count{depth}"] = _small(count)
+            if depth < last:
+                new[f"only{depth}"] = np.packbits(alone)
         if depth > 1:
             new[f"kept{depth - 1}"] = np.packbits(stays.astype(bool))
         return new
@@ -233,21 +268,20 @@ def _requests(state: DataFrame, load: Callable, depth: int, last: int, bits: int
     def rows(batches):
         for number, arrays in _loaded(batches):
             chunk = load(arrays)
-            grams, contexts = (_short(k, depth, bits) for k in chunk.asked(depth, last))
+            places = chunk.asked(depth, last) if depth else None
+            grams = _short(chunk.keys(places, depth + 1), depth, bits) if depth else chunk.hash
             order, at = _runs(grams)
             keys = grams[order[at]]
-            if depth == 0:
-                value = np.bincount(chunk.word, chunk.trains, len(chunk.hash)).astype(np.int64)
-            else:
-                value = chunk.trains[chunk.level(depth)[0]] if depth <= last else np.zeros(0, bool)
+            value = chunk.trains[places] if depth else np.bincount(chunk.word, chunk.trains, len(chunk.hash)).astype(np.int64)
             value = _sum(value, order, at, np.int64)
+            contexts = _short(chunk.contexts(depth), depth, bits)
             order, at = _runs(contexts)
             ckeys = contexts[order[at]]
             gain = n = np.zeros(0)
             if depth > 1:
                 gain = _sum(chunk.gains(depth - 1), order, at, float).astype(np.float32)
                 n = _sum(chunk.trains[chunk.level(depth - 1)[0]], order, at, np.int64)
-            del chunk, arrays, grams, contexts, order, at
+            del chunk, arrays, places, grams, contexts, order, at
             every = np.arange((1 << bits) + 1)
             cut, ccut = (np.searchsorted(k >> np.uint64(64 - bits), every) for k in (keys, ckeys))
             there = np.flatnonzero(np.diff(cut) + np.diff(ccut)).tolist()
@@ -288,7 +322,7 @@ def _slices(batches):
 
 
 def _answers(requests: DataFrame) -> DataFrame:
-    """chunk, slice, answer (counts and fates in the order asked), kinds (keys with a count, once a slice).
+    """chunk, slice, answer (counts, who else asks, and fates in the order asked), kinds (keys with a count, once a slice).
 
     Rows come slice by slice and a task holds one slice at a time.
     """
@@ -306,16 +340,19 @@ def _answers(requests: DataFrame) -> DataFrame:
 
             cut, order, at = keys("gap")
             totals = _sum(every("value"), order, at, np.int64)
-            counts = _back(totals, order, at)
+            counts, only = _back(totals, order, at), _back(np.diff(at, append=len(order)) == 1, order, at)
             ccut, order, at = keys("cgap")
             stays = _back(_kept(_sum(every("gain"), order, at, float), _sum(every("n"), order, at, np.int64)), order, at)
             yield {
                 "chunk": [c for c, _ in requests],
                 "slice": [s] * len(requests),
                 "answer": [
-                    _pack(count=_small(counts[cut[i] : cut[i + 1]]), stays=np.packbits(stays[ccut[i] : ccut[i + 1]]), n=np.array([ccut[i + 1] - ccut[i]]))
+                    _pack(
+                        count=_small(counts[cut[i] : cut[i + 1]]), only=np.packbits(only[cut[i] : cut[i + 1]]),
+                        stays=np.packbits(stays[ccut[i] : ccut[i + 1]]), n=np.array([ccut[i + 1] - ccut[i]]),
+                    )
                     for i in range(len(requests))
-                ],
+                ],
                 "kinds": [int((totals > 0).sum())] + [0] * (len(requests) - 1),
             }
 
@@ -334,12 +371,13 @@ def _advance(state: DataFrame, answers: DataFrame, load: Callable, depth: int, l
             for i, (number, arrays) in enumerate(_loaded([held])):
                 blobs = [_unpack(x) for x in b.columns[-1][i].as_py() or []]
                 counts = np.concatenate([x["count"] for x in blobs] or [np.zeros(0, np.int64)])
+                only = np.concatenate([np.unpackbits(x["only"], count=len(x["count"])) for x in blobs] or [np.zeros(0, np.uint8)])
                 stays = np.concatenate([np.unpackbits(x["stays"], count=int(x["n"][0])) for x in blobs] or [np.zeros(0, np.uint8)])
                 del blobs
                 chunk = load(arrays)
-                grams, contexts = (_short(k, depth, bits) for k in chunk.asked(depth, last))
-                new = chunk.add(depth, last, _back(counts, *_runs(grams)), _back(stays, *_runs(contexts)))
-                del grams, contexts
+                contexts = _short(chunk.contexts(depth), depth, bits)
+                new = chunk.add(depth, last, bits, counts, only, _back(stays, *_runs(contexts)))
+                del contexts
                 todo = len(chunk.word)
                 if depth:
                     chunk.arrays = arrays | new

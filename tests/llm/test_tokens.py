@@ -78,6 +78,15 @@ def test_cuts_fall_on_boundaries(text):
         assert np.frombuffer(encode(text), "<u4").tolist() + [9] == whole(path, text, 9)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from("abZé0²ß'sdtİǰΣ각.,\u0301\x01\x1c\n\r\t  漢ǅ"), max_size=40), max_size=30))
+def test_texts_encoded_together(texts):
+    for path in (WORD, BYTE):
+        encode = cuts.get(path) or cuts.setdefault(path, Encoder(path))
+        found = list(encode.each(texts))
+        assert [np.frombuffer(x, "<u4").tolist() + [9] for x in found] == [whole(path, t, 9) for t in texts]
+
+
 def test_other_tasks_let_the_cache_go(spark):
     def held(batches, ask):
         for b in batches:

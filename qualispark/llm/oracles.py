@@ -131,4 +131,98 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)"""
 
 
-SQL = {"op6_decontamination": _DECONTAMINATION, "op8_quality_rules": _quality(), "op9_chat_format": _chat()}
+def _codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Plain Lloyd rounds, each from all rows."""
+    w = f"(len(v) // {parts})"
+    steps = [
+        f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, vec_id, label,
+         list_transform(embedding, lambda x: floor({1024} * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT rid, p, v[p * {w} + 1 : (p + 1) * {w}] AS x FROM kept, range({parts}) AS t(p)
+), c0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x AS c FROM x WHERE rid <= {entries})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, p, any_value(x) AS x, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT * 256 + e) AS best
+  FROM x JOIN c{r} USING (p) GROUP BY rid, p)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (
+    SELECT p, e, list(q ORDER BY i) AS c FROM (
+      SELECT p, best % 256 AS e, i, floor(sum(x[i]) / count(*)) AS q
+      FROM a{r}, range(1, (SELECT max(len(x)) FROM x) + 1) AS t(i) GROUP BY ALL)
+    GROUP BY p, e) AS m USING (p, e))"""
+            )
+    return (
+        ",".join(steps)
+        + f""",
+coded AS (
+  SELECT rid, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error
+  FROM a{rounds} GROUP BY rid
+), book AS (
+  SELECT sha256(string_agg(list_aggregate(list_transform(c, lambda y: y::BIGINT::VARCHAR), 'string_agg', ','), ',' ORDER BY p, e)) AS s FROM c{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, s AS codebooks_sha256
+FROM coded JOIN kept USING (rid), book
+"""
+    )
+
+
+def _audit() -> str:
+    """Every order on every mask, without transforms or closed forms."""
+    f = "ABCDE"
+    letters = "(VALUES " + ", ".join(f"('{x}')" for x in f) + ")"
+    bit = "(1 << (ascii({}) - 65))"
+    prefix = " + ".join(f"CASE WHEN strpos(o, '{x}') < step THEN {1 << i} ELSE 0 END" for i, x in enumerate(f))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END)
+    + (CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN doc_id > least THEN 16 ELSE 0 END) AS mask
+  FROM w LEFT JOIN l USING (doc_id)
+), c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o
+  FROM {letters} AS a(x), {letters} AS b(x), {letters} AS c(x), {letters} AS d(x), {letters} AS e(x)
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT o, step, {prefix} AS before, {bit.format("o[step]")} AS own FROM o, range(1, 6) AS t(step)
+), r AS (
+  SELECT part, o AS filter_order, step::INT AS step, own,
+    sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & before <> 0 AND mask & own <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY ALL
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+
+SQL = {
+    "op6_decontamination": _DECONTAMINATION,
+    "op8_quality_rules": _quality(),
+    "op9_chat_format": _chat(),
+    "op11_product_codes": _codes(),
+    "op12_filter_audit": _audit(),
+}

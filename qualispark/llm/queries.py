@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from qualispark.llm import (
     chat_format,
     decontaminate,
+    filter_audit,
     html_text,
     line_dedup,
+    metric_join,
     oracles,
     packing,
+    product_codes,
     quality_rules,
     simhash,
     site_quality,
@@ -80,6 +83,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.encode(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.group(_table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_simhash,
     op2_packing,
@@ -91,6 +106,9 @@ _ALL = (
     op8_quality_rules,
     op9_chat_format,
     op10_html_text,
+    op11_product_codes,
+    op12_filter_audit,
+    op13_metric_join,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {k: v for k, v in oracles.SQL.items() if k in QUERIES}

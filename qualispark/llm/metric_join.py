@@ -17,6 +17,9 @@ Pivots cut the space into regions, and regions are joined on their own:
   d(y, j) + 2t: so y is also a guest in cell i when it is that close to the
   border. Pairs of different homes are found in the cell of the lower number,
   pairs of guests in the cells that are their homes.
+* The first document pivot of a ball is its smallest point by a hash, so balls
+  of nearly the same points share it and each point meets it once. Balls whose
+  points this pivot's links join to one component are done.
 * A cell is cut again in the same way. A small one (``REGION`` documents) is
   joined by one task, which goes on cutting it until few documents are left or
   the pivots no longer separate them; there every pair that the distances to
@@ -27,8 +30,8 @@ Texts of the same words are one point, and a pair is compared only while no
 chain of links joins its points: links leave as a spanning set of each
 component, so a family of near copies costs rows in proportion to its members.
 Distances are exact fractions of integers; bounds are widened by a billionth,
-which adds comparisons and changes no link. Shingles are compared by 52 bits of
-a hash and their rarity.
+which adds comparisons and changes no link. Shingles are compared by 46 bits of
+a hash, so that a set travels as steps of five bytes or so.
 """
 
 from __future__ import annotations
@@ -54,6 +57,23 @@ PIVOTS = 4
 RADIUS = 1 - lines.SIMILARITY[0] / lines.SIMILARITY[1]
 _SLACK = 1e-9
 _KEY = ["region", "one", "two"]
+_HASH = (1 << 46) - 1
+#: Rows whose sets a task unpacks at a time.
+_SLICE = 256
+
+
+def packed(tokens: np.ndarray) -> bytes:
+    """A set as the steps between its sorted hashes, each in as many bytes as the widest needs."""
+    steps = np.diff(np.unique(tokens & _HASH), prepend=0).astype("<u8")
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    wide = np.zeros((len(steps), 8), np.uint8)
+    wide[:, : data[0]] = steps
+    return np.cumsum(wide.view("<u8").ravel().astype(np.int64))
 
 
 def _linked(shared, a, b):
@@ -147,7 +167,7 @@ class Region:
 def _groups(batches, *columns: str) -> Iterator[tuple[tuple, list[tuple]]]:
     """Keys and rows of whole groups of consecutive rows; of a point's rows the first (not a guest) counts."""
     last, held, names = None, [], set()
-    for b in batches:
+    for b in (whole.slice(at, _SLICE) for whole in batches for at in range(0, whole.num_rows, _SLICE)):
         keys = zip(*(b.column(k).to_pylist() for k in _KEY), strict=True)
         rows = zip(*(b.column(k).to_pylist() for k in ("cls", "guest", *columns)), strict=True)
         for key, row in zip(keys, rows, strict=True):
@@ -243,7 +263,7 @@ class _Join:
         return once.select("cls", "x.size", "x.made")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """cls, size, made: the whole sets of the points that ``wanted`` names."""
+        """cls, made: the whole sets of the points that ``wanted`` names."""
 
         def rows(batches):
             for b in batches:
@@ -251,31 +271,35 @@ class _Join:
                 yield {"cls": pa.array(lines.classes(raw)), "text": pa.array(raw, pa.binary()).cast(pa.string())}
 
         named = arrow_map(self.own, rows, "cls long, text string")
-        return self.made(named.join(wanted.select("cls").distinct(), "cls", "left_semi").select("text"), np.ndarray.tobytes)
+        return self.made(named.join(wanted.select("cls").distinct(), "cls", "left_semi").select("text"), packed).select("cls", "made")
 
     def grouped(self, members: DataFrame, more: DataFrame) -> DataFrame:
         return members.join(more, "cls").repartition(*_KEY).sortWithinPartitions(*_KEY, "guest")
 
-    def joined(self, members: DataFrame) -> DataFrame:
-        """a, b: the links within groups of ``members`` (region, one, two, cls, guest)."""
+    def possible(self, members: DataFrame) -> DataFrame:
+        """Of groups ``members`` (region, one, two, cls, guest) the points that sizes and parities let be linked."""
 
-        def possible(batches):
+        def thin(batches):
             for group, rows in _groups(batches, "size", "made"):
                 stay = _possible(rows)
                 if stay:
                     cls, guest = zip(*(m[:2] for m in stay), strict=True)
                     yield {k: [v] * len(stay) for k, v in zip(_KEY, group, strict=True)} | {"cls": cls, "guest": guest}
 
+        maps = self.made(self.own, _parities)
+        return written(arrow_map(self.grouped(members, maps), thin, "region long, one int, two int, cls long, guest boolean"), "possible")
+
+    def joined(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """a, b: the links within groups of ``members``."""
+
         def join(batches):
             for _, rows in _groups(batches, "made"):
                 own = sum(not m[1] for m in rows)  # these come first
-                region = Region([m[0] for m in rows], [np.frombuffer(m[2], np.int64) for m in rows])
+                region = Region([m[0] for m in rows], [unpacked(m[2]) for m in rows])
                 found = region.join(np.arange(own), np.arange(own, len(rows)))
                 yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
 
-        maps = self.made(self.own, _parities)
-        found = written(arrow_map(self.grouped(members, maps), possible, "region long, one int, two int, cls long, guest boolean"), "possible")
-        return arrow_map(self.grouped(found, self.sets(found).drop("size")), join, "a long, b long")
+        return arrow_map(self.grouped(members, sets), join, "a long, b long")
 
     def measured(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """pivot, cls, size_pivot, size, shared of distinct pairs (pivot, cls), a pivot's points dealt to several tasks."""
@@ -286,7 +310,7 @@ class _Join:
 
         def measure(batches):
             for (pivot, _, _), rows in _groups(batches, "made"):
-                region = Region([m[0] for m in rows], [np.frombuffer(m[2], np.int64) for m in rows])
+                region = Region([m[0] for m in rows], [unpacked(m[2]) for m in rows])
                 others = np.arange(1, len(rows))
                 yield {
                     "pivot": [pivot] * len(others),
@@ -296,7 +320,7 @@ class _Join:
                     "shared": region._shared(0, others),
                 }
 
-        members = self.grouped(dealt.unionByName(hubs), sets.drop("size"))
+        members = self.grouped(dealt.unionByName(hubs), sets)
         return written(arrow_map(members, measure, "pivot long, cls long, size_pivot long, size long, shared long"), "distances")
 
 
@@ -346,21 +370,23 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     work = _Join(docs, text_col)
     found = lines.runs(lines._postings(work.own.select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("dhash"), "text"), work.sketch), REGION)
     zero, never = F.lit(0), F.lit(False)
-    members = found.filter("gid is not null").select(F.col("gid").alias("region"), zero.alias("one"), zero.alias("two"), "cls", never.alias("guest")).distinct()
-    regions = found.filter("gid is null").select(F.col("token").alias("region"), "cls", never.alias("guest"))
-    if regions.isEmpty():
-        return work.joined(members)
+    small = found.filter("gid is not null").select(F.col("gid").alias("region"), zero.alias("one"), zero.alias("two"), "cls", never.alias("guest")).distinct()
+    large = found.filter("gid is null").select(F.col("token").alias("region"), "cls", never.alias("guest"))
+    regions = work.possible(small).select("region", "cls", "guest").unionByName(large)
     sets = written(work.sets(regions), "sets")
+    # One pivot for each ball, the same one for balls of nearly the same points: what it links needs no more pairs.
     first = written(regions.groupBy("region").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls")).alias("x")).select("region", F.col("x.cls").alias("pivot")), "pivots")
     stars = _close(work.measured(regions.join(first, "region").filter("cls <> pivot").select("pivot", "cls").distinct(), sets))
+    members = None
     regions, level = _open(regions, stars), 0
     while True:
         level += 1
         small = regions.filter(F.col("n") <= REGION)
-        members = members.unionByName(small.select("region", F.lit(level).alias("one"), zero.alias("two"), "cls", "guest"))
+        small = small.select("region", F.lit(level).alias("one"), zero.alias("two"), "cls", "guest")
+        members = members.unionByName(small) if members else small
         regions = regions.filter(F.col("n") > REGION)
         if regions.isEmpty():
-            return stars.unionByName(work.joined(members))
+            return stars.unionByName(work.joined(members, sets))
         salted = [F.min(F.when(F.col("root") != F.col("top"), F.struct(F.xxhash64(F.lit(level * PIVOTS + k), "cls").alias("h"), "cls"))) for k in range(PIVOTS - 1)]
         on_top = F.min(F.when(F.col("root") == F.col("top"), F.struct(F.xxhash64(F.lit(level), "cls").alias("h"), "cls")))
         chosen = regions.groupBy("region").agg(*(x.alias(f"x{k}") for k, x in enumerate([on_top, *salted])))

@@ -255,6 +255,14 @@ def test_region_finds_links_at_the_border():
         assert joined(found) == joined(every)
 
 
+def test_packed_sets():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 700):
+        tokens = rng.integers(-(1 << 62), 1 << 62, n)
+        assert metric_join.unpacked(metric_join.packed(tokens)).tolist() == sorted({int(t) & ((1 << 46) - 1) for t in tokens})
+    assert metric_join.unpacked(metric_join.packed(np.zeros(3, np.int64))).tolist() == [0]
+
+
 def test_join_of_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = plain_groups([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])

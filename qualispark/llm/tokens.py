@@ -84,7 +84,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = True  # pieces are text; whole texts with a special token go to ``_whole``
+        named = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(named), re.IGNORECASE) if named else None
+        self.path, self.plain = path, None
         self.kind = splitting(path)
         spec = json.loads(self.model.to_str())["model"]
         vocab, suffix = spec["vocab"], spec.get("end_of_word_suffix")
@@ -107,6 +110,14 @@ class Encoder:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _whole(self, text: str) -> bytes:
+        """Ids of a text that has a special token's name, as the library gives them."""
+        if self.plain is None:
+            from tokenizers import Tokenizer
+
+            self.plain = Tokenizer.from_file(self.path)
+        return array("I", self.plain.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _joins(self, piece: str) -> bool:
         """Can the piece go with others? An apostrophe at the beginning or a space at the end is split otherwise next to a mark."""
         if len(self.ending):
@@ -158,6 +169,11 @@ class Encoder:
         group, size = [], 0
         for text in texts:
             text = text or ""
+            if self.special and self.special.search(text):
+                yield from self._group(group)
+                yield self._whole(text)
+                group, size = [], 0
+                continue
             if self.kind == "other" or _UNSURE.search(text):
                 yield from self._group(group)
                 yield from self._each([text])

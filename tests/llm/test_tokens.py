@@ -22,7 +22,6 @@ WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path
 def whole(path, text, end):
     t = Tokenizer.from_file(path) if path not in whole.loaded else whole.loaded[path]
     whole.loaded[path] = t
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [end]
 
 

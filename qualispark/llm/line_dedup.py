@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qualispark.llm.common import arrow_map, written
+from qualispark.llm.common import arrow_map, fresh, written
 
 SHINGLE = 5
 #: Similarity as a fraction, so that every bound is exact in integers.
@@ -460,6 +460,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     lines = written(_lines(own, False), "lines")
     firsts = lines.filter("cls is not null").groupBy("cls").agg(F.min(_position()).alias("first"))
     known = firsts.join(similar, "cls", "left").select("cls", F.least("first", "linked").alias("first"), "n_links")
+    known = written(known, "known")  # a table of its own, so that the lines of a frequent class can be dealt to several tasks
     removed = F.coalesce(_position() > F.col("first"), F.lit(False))
     decided = lines.filter("cls is not null").join(known, "cls").select(
         "doc_id", "dhash", "line_no", "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"), removed.alias("removed")
@@ -505,22 +506,24 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """The documents without their removed lines; all columns stay.
 
     A document that had lines and loses them all goes; one that loses none is
-    left as it is, null included. ``length_col``, where there is one, is set anew.
+    left as it is, null included. ``length_col``, where there is one, is set anew
+    for documents that lose lines. Other columns may have any names.
     """
+    doc, hash_, gone_lines, left = fresh(docs.columns, "__id", "__hash", "__gone", "__left")
     found = _by_document(docs, id_col, text_col).filter(F.exists("lines", lambda e: e["removed"]))
     gone = found.select(
-        F.col("doc_id").alias("__id"),
-        F.col("dhash").alias("__hash"),
-        F.transform(F.filter("lines", lambda e: e["removed"]), lambda e: e["line_no"]).alias("__gone"),
-        F.exists("lines", lambda e: ~e["removed"]).alias("__left"),
+        F.col("doc_id").alias(doc),
+        F.col("dhash").alias(hash_),
+        F.transform(F.filter("lines", lambda e: e["removed"]), lambda e: e["line_no"]).alias(gone_lines),
+        F.exists("lines", lambda e: ~e["removed"]).alias(left),
     )
     text = F.col(f"`{text_col}`")
-    on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
-    joined = docs.join(gone, on, "left").filter(F.coalesce("__left", F.lit(True)))
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    out = joined.withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(kept))
+    on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(hash_))
+    joined = docs.join(gone, on, "left").filter(F.coalesce(left, F.lit(True)))
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(gone_lines, i)), "\n")
+    out = joined.withColumn(text_col, F.when(F.col(gone_lines).isNull(), text).otherwise(kept))
     if length_col in docs.columns:
         was = F.col(f"`{length_col}`")
         new = F.length(F.col(f"`{text_col}`")).cast(docs.schema[length_col].dataType)
-        out = out.withColumn(length_col, F.when(F.col("__gone").isNull(), was).otherwise(new))
+        out = out.withColumn(length_col, F.when(F.col(gone_lines).isNull(), was).otherwise(new))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -153,6 +153,7 @@ def components(edges: DataFrame) -> DataFrame:
     more than its own neighbours, and nothing is collected but one count.
     """
     current = written(edges.select("a", "b").distinct(), "edges")
+    lows: list[DataFrame] = []
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -160,6 +161,8 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             both = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = written(low, "low")  # a table of its own, so that the neighbours of a hub can be dealt to several tasks
+        lows.append(low)
         joined = both.join(low, "a")
         if large:
             moved = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -173,7 +176,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = signature(current)
     while before[0]:
         following = written(star(star(current, True), False), "edges")
-        discard(current)
+        for table in (current, *lows):
+            discard(table)
+        lows.clear()
         current, now = following, signature(following)
         if tuple(now) == tuple(before):
             break

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qualispark.llm.common import arrow_map, raw_texts
+from qualispark.llm.common import arrow_map, fresh, raw_texts
 
 WINDOW = 10
 #: Words of one shard; a longer document is cut into pieces that overlap.
@@ -376,10 +376,11 @@ def cleaned(
     """The documents with every merged span removed; all columns stay.
 
     A document of nothing but spans goes; ``length_col``, where the table has
-    it, is set anew. A document without a hit is left byte for byte, null
-    included.
+    it, is set anew for documents with a hit. A document without a hit is left
+    byte for byte, null and length included. Other columns may have any names.
     """
     names = docs.columns
+    left, hit = fresh(names, "__left", "__hit")
     at = names.index(text_col)
 
     def emit(batch, raw, found):
@@ -389,11 +390,13 @@ def cleaned(
             for null, t, d in zip(batch.column(at).is_null().to_pylist(), raw, found, strict=True)
         ]
         columns[text_col] = pa.array(new, pa.binary()).cast(pa.string())
-        columns["__left"] = [not d.spans or bool(words_of(t or b"")) for d, t in zip(found, new, strict=True)]
+        columns[hit] = [bool(d.spans) for d in found]
+        columns[left] = [not d.spans or bool(words_of(t or b"")) for d, t in zip(found, new, strict=True)]
         return columns
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __left boolean"
-    out = _find(docs, benchmark, fields, emit, at, window, shard_words).filter("__left").drop("__left")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{left}` boolean, `{hit}` boolean"
+    out = _find(docs, benchmark, fields, emit, at, window, shard_words).filter(F.col(left))
     if length_col in names:
-        out = out.withColumn(length_col, F.length(F.col(text_col)).cast(docs.schema[length_col].dataType))
-    return out.select(*names)
+        new = F.length(F.col(f"`{text_col}`")).cast(docs.schema[length_col].dataType)
+        out = out.withColumn(length_col, F.when(F.col(hit), new).otherwise(F.col(f"`{length_col}`")))
+    return out.select(*(F.col(f"`{c}`") for c in names))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qualispark.llm import line_dedup as lines
-from qualispark.llm.common import arrow_map, raw_texts, written
+from qualispark.llm.common import arrow_map, fresh, raw_texts, written
 from qualispark.llm.simhash import components
 
 
@@ -234,20 +234,21 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Groups are of texts, not of ids: null ids and ids that name several texts
     lose no text. Texts without words are one group; rows equal in all columns
     are one row. Columns that cannot be hashed (maps) decide no tie, so of rows
-    that differ in these alone any one stays.
+    that differ in these alone any one stays. Other columns may have any names.
     """
+    text, row, text_hash, row_hash = fresh(docs.columns, "__text", "__row", "__text_hash", "__row_hash")
     known = F.col(f"`{id_col}`").cast("long")
     plain = [F.col(f"`{f.name}`") for f in docs.schema if f.name != text_col and "map<" not in f.dataType.simpleString()]
     keyed = docs.withColumns(
-        {"__text": F.xxhash64(F.lit(0), F.col(f"`{text_col}`")), "__row": F.xxhash64(F.lit(1), F.struct(*plain))}
+        {text: F.xxhash64(F.lit(0), F.col(f"`{text_col}`")), row: F.xxhash64(F.lit(1), F.struct(*plain))}
     )
-    own = keyed.select(known.alias("doc_id"), F.col("__text").alias("text_hash"), F.col("__row").alias("row_hash"), F.col(f"`{text_col}`").alias("text"))
+    own = keyed.select(known.alias("doc_id"), F.col(text).alias("text_hash"), F.col(row).alias("row_hash"), F.col(f"`{text_col}`").alias("text"))
     marked = written(_classes(own), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash", "row_hash")
     firsts = marked.groupBy("cls").agg(F.min(order).alias("first"))
     rooted = components(links(docs, id_col, text_col))
     named = firsts.join(rooted, F.col("cls") == F.col("node"), "left").select("first", F.coalesce("root", "cls").alias("root"))
-    kept = named.groupBy("root").agg(F.min("first").alias("first")).select("first.text_hash", "first.row_hash")
-    on = (F.col("__text") == F.col("text_hash")) & (F.col("__row") == F.col("row_hash"))
-    stay = keyed.join(kept, on, "left_semi").dropDuplicates(["__text", "__row"])
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.text_hash").alias(text_hash), F.col("first.row_hash").alias(row_hash))
+    on = (F.col(text) == F.col(text_hash)) & (F.col(row) == F.col(row_hash))
+    stay = keyed.join(kept, on, "left_semi").dropDuplicates([text, row])
     return stay.select(*(F.col(f"`{c}`") for c in docs.columns))

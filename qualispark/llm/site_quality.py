@@ -111,13 +111,14 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Logistic regression on at most ``fit_rows`` labelled documents.
 
-    Labels with a null are left out; of several labels of an id the least counts.
+    Labels with a null are left out; of several labels of an id the least
+    counts, and of several texts of an id the least.
     """
     both = labels.filter("doc_id is not null and quality is not null and toxic is not null")
     one = both.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = _features_of(labelled.select("text", "quality", "toxic")).limit(2 * fit_rows).collect()
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
+    rows = _features_of(labelled.select("text", "quality", "toxic")).collect()
     words, shapes = np.zeros((N_FEATURES, len(TARGETS))), np.zeros((N_SHAPES, len(TARGETS)))
     if not rows:
         return Model(words, shapes)

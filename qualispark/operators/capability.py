@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualispark.operators import orderstats
 from qualispark.functions.special import norm_cdf, norm_ppf
 from qualispark.operators.control import D2_PAIR, imr_points
 from qualispark.operators.ordered import last, with_history
@@ -26,9 +27,8 @@ def capability(df: DataFrame, value: str, order: list[str], lsl: float, usl: flo
 
 def clements(df: DataFrame, value: str, lsl: float, usl: float) -> DataFrame:
     """Indices from the 0.135, 50 and 99.865 percentiles."""
-    q = F.percentile(F.col(value).cast("double"), F.array(F.lit(0.00135), F.lit(0.5), F.lit(0.99865)))
-    o = df.agg(q.alias("q"))
-    low, mid, high = (F.col("q")[i] for i in range(3))
+    o = orderstats.quantiles(df, value, {"low": 0.00135, "mid": 0.5, "high": 0.99865})
+    low, mid, high = F.col("low"), F.col("mid"), F.col("high")
     return o.select(
         mid.alias("median"), ((usl - lsl) / (high - low)).alias("pp"), F.least((usl - mid) / (high - mid), (mid - lsl) / (mid - low)).alias("ppk")
     )
@@ -123,5 +123,5 @@ def cycle_time(df: DataFrame, start: str, end: str) -> DataFrame:
     days = (F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))) / 86_400e6
     q = [0.5, 0.7, 0.85, 0.95]
     d = df.select(days.alias("d")).filter("d >= 0")
-    o = d.agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.percentile("d", F.array(*map(F.lit, q))).alias("q"))
-    return o.select("n", "mean", *(F.col("q")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(q)))
+    o = orderstats.quantiles(d, "d", {f"p{round(100 * x)}": x for x in q})
+    return o.join(F.broadcast(d.agg(F.avg("d").alias("mean")))).select("n", "mean", *(f"p{round(100 * x)}" for x in q))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualispark.operators import orderstats
+
 
 def boxplot(df: DataFrame, value: str, group: str) -> DataFrame:
-    q = F.percentile(F.col(value).cast("double"), F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0))))
-    g = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(value).alias("n"), q.alias("q"))
-    return g.select(group, "n", *(F.col("q")[i].alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))))
+    marks = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
+    return orderstats.quantiles(df.filter(F.col(group).isNotNull()), value, marks, [group])
 
 
 def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:

@@ -7,10 +7,15 @@ flags. Rows are ordered by ``order``, which the caller states.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualispark.operators.models import gram
 from qualispark.operators.ordered import last, numbered, running, with_history
+from qualispark.operators.scan import System, affine
 
 # Published three-decimal Shewhart factors by subgroup size.
 A2 = {2: 1.880, 3: 1.023, 4: 0.729, 5: 0.577, 6: 0.483, 7: 0.419, 8: 0.373, 9: 0.337, 10: 0.308,
@@ -241,21 +246,41 @@ def cusum(df: DataFrame, value: str, order: list[str], k: float = 0.5, h: float
 def ewma(df: DataFrame, value: str, order: list[str], lam: float = 0.2, width: float = 3.0) -> DataFrame:
     """Weighted average z of each point with its time-varying limits.
 
-    The average starts at the mean, which takes the first point's place. Weights
-    below 1e-17 of the whole are left out, so a point needs a bounded history.
+    The average starts at the mean, which takes the first point's place.
     """
-    import math
-
-    k = math.ceil(math.log(1e-17) / math.log(1 - lam)) if lam < 1 else 1
     points = numbered(_points(df, value, *order), order, "i")
     stats = points.agg(F.avg("x").alias("center"), F.stddev_samp("x").alias("s"))
-    rows = with_history(points, ["i"], "x", k).join(F.broadcast(stats))
-    # history and x, the very first point replaced by the mean
-    items = F.concat(F.when(F.col("i") <= k, F.array("center")).otherwise(F.array()), F.when(F.col("i") <= k, F.slice(F.concat("history", F.array("x")), 2, k + 1)).otherwise(F.concat("history", F.array("x"))))
-    rows = rows.withColumn("z", F.aggregate(F.slice(items, 2, k + 1), F.element_at(items, 1), lambda z, v: lam * v + (1 - lam) * z))
+    center = stats.first()["center"] or 0.0
+    shown = F.when(F.col("i") == 0, F.lit(center)).otherwise(F.col("x"))
+    rows = affine(points, ["i"], {"x": shown}, System([[1 - lam]], [[lam]], [center]), ["z"]).join(F.broadcast(stats))
     sd = F.col("s") * F.sqrt(lam / (2 - lam) * (1 - F.pow(F.lit(1 - lam), 2 * (F.col("i") + 1))))
     rows = rows.withColumns({"ucl": F.col("center") + width * sd, "lcl": F.col("center") - width * sd})
-    return rows.withColumn("out", (F.col("z") > F.col("ucl")) | (F.col("z") < F.col("lcl"))).drop("history", "s")
+    return rows.withColumn("out", (F.col("z") > F.col("ucl")) | (F.col("z") < F.col("lcl"))).drop("s")
+
+
+def mewma(df: DataFrame, columns: list[str], order: list[str], lam: float = 0.2, arl0: float = 200.0) -> DataFrame:
+    """order, i (from 1), t2, ucl, out: the multivariate weighted average's distance from the mean at each complete row.
+
+    The covariance of the average at row i is lam / (2 - lam) * (1 - (1 - lam) ** (2 i)) of that of the rows; the limit is
+    the closed approximation p + 2 sqrt(p) ln(arl0 / 100) + 4. Fewer than p + 2 complete rows are an error.
+    """
+    p = len(columns)
+    if p < 2:
+        raise ValueError("two columns or more are needed")
+    own = df.select(*order, *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns))).na.drop(subset=[f"c{i}" for i in range(p)])
+    n, means, s = gram(df, columns)
+    if n < p + 2:
+        raise ValueError(f"{n} complete rows are too few for {p} columns")
+    inverse = np.linalg.pinv(s / (n - 1))
+    rows = numbered(own, order, "i")
+    system = System((1 - lam) * np.eye(p), lam * np.eye(p), np.zeros(p))
+    names = [f"z{i}" for i in range(p)]
+    out = affine(rows, ["i"], {f"c{i}": F.col(f"c{i}") - float(means[i]) for i in range(p)}, system, names)
+    far = sum((float(inverse[i, j]) * F.col(names[i]) * F.col(names[j]) for i in range(p) for j in range(p)), F.lit(0.0))
+    scale = lam / (2 - lam) * (1 - F.pow(F.lit(1 - lam), 2 * (F.col("i") + 1)))
+    ucl = p + 2 * p**0.5 * math.log(arl0 / 100) + 4
+    out = out.select(*order, (F.col("i") + 1).alias("i"), (far / scale).alias("t2"), F.lit(ucl).alias("ucl"))
+    return out.withColumn("out", F.col("t2") > F.col("ucl"))
 
 
 def moving_average(df: DataFrame, value: str, order: list[str], w: int = 5) -> DataFrame:

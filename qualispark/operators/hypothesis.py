@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualispark.operators import orderstats
 from qualispark.functions.special import as_column, chi2_sf, f_sf, normal_two_sided, t_sf
 
 
@@ -123,7 +124,7 @@ def brown_forsythe_anova(df: DataFrame, value: str, group: str) -> DataFrame:
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     """ANOVA of distances to the group medians."""
     own = _clean(df, value, group)
-    mid = own.groupBy("g").agg(F.median("x").alias("mid"))
+    mid = orderstats.median(own, "x", ["g"], "mid").select("g", "mid")
     return one_way_anova(own.join(mid, "g").select("g", F.abs(F.col("x") - F.col("mid")).alias("dist")), "dist", "g")
 
 
@@ -204,7 +205,7 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def mood_median(df: DataFrame, value: str, group: str) -> DataFrame:
     own = _clean(df, value, group)
-    mid = own.agg(F.median("x").alias("mid"))
+    mid = orderstats.median(own, "x", name="mid").select("mid")
     above = own.join(F.broadcast(mid)).select("g", (F.col("x") > F.col("mid")).alias("above"))
     return chi_square(above, "g", "above")
 
@@ -342,7 +343,7 @@ def runs(df: DataFrame, value: str, order: list[str]) -> DataFrame:
     from qualispark.operators.ordered import with_history
 
     own = df.select(*order, F.col(value).cast("double").alias("x")).filter("x is not null")
-    mid = own.agg(F.median("x").alias("mid"))
+    mid = orderstats.median(own, "x", name="mid").select("mid")
     sides = own.join(F.broadcast(mid)).filter("x <> mid").select(*order, (F.col("x") > F.col("mid")).cast("int").alias("up"))
     h = with_history(sides, order, "up", 1)
     new = F.coalesce(F.get("history", F.lit(0)) != F.col("up"), F.lit(True))

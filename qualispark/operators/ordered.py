@@ -14,17 +14,44 @@ from pyspark.sql import functions as F
 _CHUNK = "__chunk"
 
 
+def place(df: DataFrame, column: str) -> Column:
+    """A number that never falls as ``column`` rises: times in microseconds, text by its first six bytes."""
+    kind, c = dict(df.dtypes)[column], F.col(column)
+    if kind.startswith(("timestamp", "date")):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if kind.startswith(("string", "char", "varchar")):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return c.cast("double")
+
+
+def cuts(df: DataFrame, key: Column, n: int) -> list[float]:
+    """Approximate quantiles of ``key`` that cut its rows into n chunks; a frequent key is repeated."""
+    found = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    return [x for x in found if x == x]
+
+
 def chunked(df: DataFrame, order: list[str], chunks: int | None = None) -> DataFrame:
-    """``df`` with its chunk number; rows without a key come last."""
-    spark = df.sparkSession
-    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = dict(df.dtypes)[order[0]]
-    key = F.unix_micros(F.col(order[0]).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(order[0])
-    df = df.withColumn("__key", key.cast("double"))
-    found = df.agg(F.percentile_approx("__key", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    """``df`` with its chunk number; rows without a key come last.
+
+    A value of the first key that fills several chunks is cut again by the
+    second key, if there is one.
+    """
+    n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.withColumn("__key", place(df, order[0]))
+    found = cuts(df, F.col("__key"), n)
     splits = [float("-inf"), *sorted(set(found) or {0.0}), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="__key", outputCol=_CHUNK, handleInvalid="keep")
-    return cut.transform(df).drop("__key")
+    out = Bucketizer(splits=splits, inputCol="__key", outputCol=_CHUNK, handleInvalid="keep").transform(df)
+    heavy = sorted({x for x in found if found.count(x) > 1})
+    if heavy and len(order) > 1:
+        second = place(df, order[1])
+        many = F.percentile_approx(second, [i / n for i in range(1, n)], 10_000)
+        for r in df.filter(F.col("__key").isin(heavy)).groupBy("__key").agg(many.alias("at")).collect():  # a row for each of fewer than n keys
+            inner = F.array(*(F.lit(x) for x in sorted(set(r["at"] or [])))).cast("array<double>")
+            part = F.size(F.filter(inner, lambda x: x <= second)) / (n + 1)
+            # half a chunk up: after the smaller keys of its range, before the next
+            moved = F.when(F.col("__key") == r["__key"], F.coalesce(part, F.lit(n / (n + 1)))).otherwise(F.when((F.col(_CHUNK) == float(splits.index(r["__key"]))) & (F.col("__key") > r["__key"]), F.lit(n / (n + 1))).otherwise(0.0))
+            out = out.withColumn(_CHUNK, F.col(_CHUNK) + moved)
+    return out.drop("__key")
 
 
 def _within(order: list[str]):

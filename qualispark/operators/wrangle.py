@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualispark.operators import orderstats
 from qualispark.functions.expressions import compile_expression
 
 TRUE, FALSE = ("true", "yes", "y", "1", "t"), ("false", "no", "n", "0", "f")
@@ -80,8 +81,10 @@ def impute(df: DataFrame, column: str, strategy: str, value=None, order: list[st
         held = running(both, ["__pos"], __last=("__seen", "max"))
         out = held.join(known, sign * F.col("__last") == F.col("__at"), "left").withColumn(column, F.coalesce(c, "__value"))
         return out.select(*df.columns)
-    what = {"mean": F.avg(c), "median": F.median(c), "mode": F.mode(c, True)}[strategy]
-    fill = df.agg(what.alias("__fill"))
+    if strategy == "median":
+        fill = orderstats.median(df, column, name="__fill").select("__fill")
+    else:
+        fill = df.agg({"mean": F.avg(c), "mode": F.mode(c, True)}[strategy].alias("__fill"))
     return df.join(F.broadcast(fill)).withColumn(column, F.coalesce(c, "__fill")).drop("__fill")
 
 
@@ -118,7 +121,8 @@ def bin_column(df: DataFrame, column: str, bins: int, strategy: str = "equal_wid
     """Bin number from 0: right-closed, the least value in the first bin; equal quantile edges are merged."""
     c = F.col(column).cast("double")
     if strategy == "quantile":
-        s = df.agg(F.array_sort(F.array_distinct(F.percentile(c, F.array(*(F.lit(i / bins) for i in range(bins + 1)))))).alias("__e"))
+        edges = orderstats.quantiles(df, column, {f"__e{i}": i / bins for i in range(bins + 1)})
+        s = edges.select(F.array_sort(F.array_distinct(F.array(*(f"__e{i}" for i in range(bins + 1))))).alias("__e"))
         n = F.size(F.filter("__e", lambda e: e < c)) - 1
         out = F.when(c.isNotNull(), F.greatest(n, F.lit(0)))
         return df.join(F.broadcast(s)).withColumn(new_column or f"{column}_bin", out).drop("__e")
@@ -135,19 +139,18 @@ def set_cell(df: DataFrame, key: str, at, column: str, value) -> DataFrame:
 
 def outliers(df: DataFrame, columns: list[str], policy: str = "iqr", k: float = 1.5) -> DataFrame:
     """``outlier``: whether any of the columns is beyond its fences."""
-    stats = []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
+    out = df
+    for i, c in enumerate(columns):  # one row each
         if policy == "iqr":
-            stats.append(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias(f"__s{i}"))
+            stats = orderstats.quantiles(df, c, {"a": 0.25, "b": 0.75}).select(F.array("a", "b").alias(f"__s{i}"))
         elif policy == "zscore":
-            stats.append(F.array(F.avg(x), F.stddev_samp(x)).alias(f"__s{i}"))
+            x = F.col(c).cast("double")
+            stats = df.agg(F.array(F.avg(x), F.stddev_samp(x)).alias(f"__s{i}"))
         else:
-            stats.append(F.median(x).alias(f"__m{i}"))
-    out = df.join(F.broadcast(df.agg(*stats)))
-    if policy == "mad":
-        dev = [F.median(F.abs(F.col(c) - F.col(f"__m{i}"))).alias(f"__d{i}") for i, c in enumerate(columns)]
-        out = out.join(F.broadcast(out.agg(*dev)))
+            stats = orderstats.mad(df, c).select(F.col("median").alias(f"__m{i}"), F.col("mad").alias(f"__d{i}"))
+            stats = stats.unionByName(df.sparkSession.range(1).select(F.lit(None).cast("double").alias(f"__m{i}"), F.lit(None).cast("double").alias(f"__d{i}")))
+            stats = stats.agg(F.max(f"__m{i}").alias(f"__m{i}"), F.max(f"__d{i}").alias(f"__d{i}"))  # nulls if there is no value
+        out = out.join(F.broadcast(stats))
     flag = F.lit(False)
     for i, c in enumerate(columns):
         x, s = F.col(c), F.col(f"__s{i}")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qualispark.catalogue import PN, R, query, rounded, table
-from qualispark.operators import control, mixed, orderpairs, orderstats, resample, smoothing, survival
+from qualispark.catalogue import PF, PN, R, query, rounded, table
+from qualispark.operators import control, likelihood, mixed, multivariate, orderpairs, orderstats, resample, smoothing, survival
+from qualispark.streaming import live
 
 # ------------------------------------------------------------ bootstrap
 
@@ -186,7 +187,7 @@ def _days(spark, sf) -> DataFrame:
     f"""WITH {_DAYS}, s AS (SELECT avg(x) AS mx, avg(c) AS mc, var_samp(x) AS a, covar_samp(x, c) AS b, var_samp(c) AS d FROM i),
  z AS (SELECT p.day, p.i, sum(0.2 * power(0.8, p.i - q.i) * (q.x - mx)) AS u, sum(0.2 * power(0.8, p.i - q.i) * (q.c - mc)) AS v FROM i p JOIN i q ON q.i <= p.i AND q.i > p.i - 180, s GROUP BY p.day, p.i),
  t AS (SELECT day, i + 1 AS i, (d * u * u - 2 * b * u * v + a * v * v) / (a * d - b * b) / (0.2 / 1.8 * (1 - power(0.8, 2 * (i + 1)))) AS t2, 2 + 2 * sqrt(2) * ln(2) + 4 AS ucl FROM z, s)
- SELECT day, i, {R('t2', 't2')}, {R('ucl', 'ucl')}, t2 > ucl AS out FROM t"""
+ SELECT day, {R('t2', 't2')}, {R('ucl', 'ucl')}, t2 > ucl AS out FROM t"""
 )
 def mewma(spark, sf):
     return rounded(control.mewma(_days(spark, sf), ["x", "c"], ["day"]))
@@ -292,3 +293,109 @@ def gee(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_suppkey", "l_quantity", (F.col("l_extendedprice").cast("double") / 1000 + 5 * (F.col("l_suppkey") % 7)).alias("price"))
     out = mixed.gee(lines, "price", ["l_quantity"], "l_suppkey")
     return out.select(*((F.round(c, 3 if c == "z" else 5) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes))
+
+
+# ------------------------------------------------------------ likelihood fits and vectors
+
+
+def _lines(spark, sf) -> DataFrame:
+    return table(spark, sf, "lineitem").select("l_linestatus", "l_returnflag", F.col("l_quantity").cast("double").alias("q"), (F.col("l_extendedprice").cast("double") / 1000).alias("price"), F.col("l_discount").cast("double").alias("d"))
+
+
+def quantile_regression(spark, sf):
+    """Tests hold it against the exact optimum over all pairs of points."""
+    return rounded(likelihood.quantile_regression(_lines(spark, sf), "price", ["q"], 0.75), digits=3)
+
+
+def ordinal_logit(spark, sf):
+    """Tests hold it against a likelihood with numeric derivatives."""
+    return rounded(likelihood.ordinal_logit(_lines(spark, sf), "l_returnflag", ["q", "price"]), digits=4)
+
+
+query()(quantile_regression)
+query()(ordinal_logit)
+
+
+def _mixture_sql(rounds: int = 25) -> str:
+    steps = ["s0 AS (SELECT quantile_cont(x, 0.25) AS m1, quantile_cont(x, 0.75) AS m2, stddev_samp(x) AS s1, stddev_samp(x) AS s2, 0.5::DOUBLE AS w1, 0.5::DOUBLE AS w2, NULL::DOUBLE AS ll, count(*) AS n FROM x)"]
+    for i in range(rounds):
+        steps.append(
+            f"""d{i} AS (SELECT x, m1, m2, greatest(w1 / (s1 * sqrt(2 * pi())) * exp(-0.5 * power((x - m1) / s1, 2)), 1e-300) AS d1, greatest(w2 / (s2 * sqrt(2 * pi())) * exp(-0.5 * power((x - m2) / s2, 2)), 1e-300) AS d2 FROM x, s{i}),
+ r{i} AS (SELECT x, m1, m2, d1 / (d1 + d2) AS p, ln(d1 + d2) AS l FROM d{i}),
+ t{i} AS (SELECT sum(p) AS n1, sum(1 - p) AS n2, sum(p * (x - m1)) / sum(p) AS a1, sum((1 - p) * (x - m2)) / sum(1 - p) AS a2, sum(p * power(x - m1, 2)) / sum(p) AS q1, sum((1 - p) * power(x - m2, 2)) / sum(1 - p) AS q2, sum(l) AS ll, count(*) AS n, any_value(m1) AS m1, any_value(m2) AS m2 FROM r{i}),
+ s{i + 1} AS (SELECT m1 + a1 AS m1, m2 + a2 AS m2, sqrt(q1 - a1 * a1) AS s1, sqrt(q2 - a2 * a2) AS s2, n1 / n AS w1, n2 / n AS w2, ll, n FROM t{i})"""
+        )
+    return ", ".join(steps)
+
+
+@query(
+    f"""WITH x AS (SELECT value::DOUBLE AS x FROM events WHERE value IS NOT NULL), {_mixture_sql()}, o AS (SELECT 1 AS component, m1 AS mean, s1 AS sd, w1 AS weight, ll, n FROM s25 UNION ALL SELECT 2, m2, s2, w2, ll, n FROM s25)
+ SELECT component::INT AS component, {R('mean', 'mean', 4)}, {R('sd', 'sd', 4)}, {R('weight', 'weight', 4)}, {R('ll', 'log_likelihood', 2)}, {R('10 - 2 * ll', 'aic', 2)}, {R('5 * ln(n) - 2 * ll', 'bic', 2)}, 25::INT AS steps, n FROM o"""
+)
+def mixture(spark, sf):
+    out = likelihood.mixture(table(spark, sf, "events"), "value", 2, steps=25, tolerance=0.0)
+    digits = {"log_likelihood": 2, "aic": 2, "bic": 2}
+    return out.select(*((F.round(c, digits.get(c, 4)) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes))
+
+
+_VECTORS = """x AS (SELECT l_returnflag AS g, l_quantity::DOUBLE AS a, l_extendedprice::DOUBLE / 1000 AS b FROM lineitem), m AS (SELECT avg(a) AS ma, avg(b) AS mb, count(*) AS n FROM x),
+ s AS (SELECT g, count(*) AS n, avg(a) AS a, avg(b) AS b, sum(a * a) - count(*) * power(avg(a), 2) AS aa, sum(b * b) - count(*) * power(avg(b), 2) AS bb, sum(a * b) - count(*) * avg(a) * avg(b) AS ab FROM x GROUP BY g),
+ w AS (SELECT sum(aa) AS waa, sum(bb) AS wbb, sum(ab) AS wab, sum(s.n * power(a - ma, 2)) AS baa, sum(s.n * power(b - mb, 2)) AS bbb, sum(s.n * (a - ma) * (b - mb)) AS bab, count(*) AS k, sum(s.n) AS n FROM s, m)"""
+
+
+@query(
+    f"""WITH {_VECTORS}, e AS (SELECT *, waa * wbb - wab * wab AS dw, (wbb * baa - 2 * wab * bab + waa * bbb) / (waa * wbb - wab * wab) AS tr, (baa * bbb - bab * bab) / (waa * wbb - wab * wab) AS de FROM w),
+ r AS (SELECT *, (tr + sqrt(tr * tr - 4 * de)) / 2 AS r1, (tr - sqrt(tr * tr - 4 * de)) / 2 AS r2, n - k AS v, (n - k - 3) / 2.0 AS kk FROM e),
+ f AS (SELECT 'wilks' AS statistic, 1 / ((1 + r1) * (1 + r2)) AS value, (sqrt((1 + r1) * (1 + r2)) - 1) * (2 * (v - 1)) / 4 AS f, 4.0 AS df1, 2.0 * (v - 1) AS df2 FROM r
+ UNION ALL SELECT 'pillai', r1 / (1 + r1) + r2 / (1 + r2), (r1 / (1 + r1) + r2 / (1 + r2)) / (2 - r1 / (1 + r1) - r2 / (1 + r2)) * (2 * (2 * kk + 3)) / 4, 4.0, 2 * (2 * kk + 3) FROM r
+ UNION ALL SELECT 'hotelling_lawley', r1 + r2, (4 + 6 / ((2 + 2 * kk) * (2 + 2 * kk) / (2 * (2 * kk + 1) * (kk - 1)) - 1)) / 4 * (r1 + r2) / ((2 + 6 / ((2 + 2 * kk) * (2 + 2 * kk) / (2 * (2 * kk + 1) * (kk - 1)) - 1)) / (2 * kk)), 4.0, 4 + 6 / ((2 + 2 * kk) * (2 + 2 * kk) / (2 * (2 * kk + 1) * (kk - 1)) - 1) FROM r
+ UNION ALL SELECT 'roy', r1, v / 2.0 * r1, 2.0, v FROM r)
+ SELECT statistic, {R('value', 'value', 7)}, {R('f', 'f')}, {R('df1', 'df1')}, {R('df2', 'df2', 3)}, {R(PF('f', 'df1', 'df2'), 'p')} FROM f"""
+)
+def manova(spark, sf):
+    out = multivariate.manova(_lines(spark, sf), ["q", "price"], "l_returnflag")
+    digits = {"value": 7, "df2": 3}
+    return out.select(*((F.round(c, digits.get(c, 5)) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes))
+
+
+@query(
+    f"""WITH {_VECTORS}, c AS (SELECT m.n, ma - 25 AS da, mb - 50 AS db, var_samp(a) AS aa, var_samp(b) AS bb, covar_samp(a, b) AS ab FROM x, m GROUP BY ALL), t AS (SELECT n, n * (bb * da * da - 2 * ab * da * db + aa * db * db) / (aa * bb - ab * ab) AS t2 FROM c),
+ f AS (SELECT n, t2, t2 * (n - 2) / ((n - 1) * 2) AS f FROM t) SELECT n, {R('t2', 't2')}, {R('f', 'f')}, 2::INT AS df1, n - 2 AS df2, {R(PF('f', '2', '(n - 2)'), 'p')} FROM f"""
+)
+def hotelling_test(spark, sf):
+    return rounded(multivariate.hotelling_test(_lines(spark, sf), ["q", "price"], [25.0, 50.0]))
+
+
+_TWO = _VECTORS.replace("l_returnflag", "l_linestatus")
+
+
+@query(
+    f"""WITH {_TWO}, d AS (SELECT max(a) FILTER (g = 'F') - max(a) FILTER (g = 'O') AS da, max(b) FILTER (g = 'F') - max(b) FILTER (g = 'O') AS db, (max(a) FILTER (g = 'F') + max(a) FILTER (g = 'O')) / 2 AS ca, (max(b) FILTER (g = 'F') + max(b) FILTER (g = 'O')) / 2 AS cb FROM s),
+ v AS (SELECT (wbb * da - wab * db) AS va, (waa * db - wab * da) AS vb, ca, cb FROM w, d), p AS (SELECT g AS actual, CASE WHEN va * (a - ca) + vb * (b - cb) >= 0 THEN 'F' ELSE 'O' END AS predicted FROM x, v),
+ t AS (SELECT actual, predicted, count(*) AS n FROM p GROUP BY ALL) SELECT actual, predicted, n, {R('(SELECT sum(n) FILTER (actual = predicted) / sum(n) FROM t)', 'accuracy')} FROM t"""
+)
+def discriminant(spark, sf):
+    return rounded(multivariate.discriminant(_lines(spark, sf), ["q", "price"], "l_linestatus"))
+
+
+@query(
+    f"""WITH {_TWO}, d AS (SELECT max(a) FILTER (g = 'F') - max(a) FILTER (g = 'O') AS da, max(b) FILTER (g = 'F') - max(b) FILTER (g = 'O') AS db FROM s),
+ v AS (SELECT wbb * da - wab * db AS va, waa * db - wab * da AS vb, w.* FROM w, d), u AS (SELECT *, sqrt(waa * va * va + 2 * wab * va * vb + wbb * vb * vb) * sign(CASE WHEN abs(va) >= abs(vb) THEN va ELSE vb END) AS z, (wbb * baa - 2 * wab * bab + waa * bbb) / (waa * wbb - wab * wab) AS r FROM v)
+ SELECT 1::INT AS axis, {R('r', 'eigenvalue', 7)}, 1.0::DOUBLE AS share, 'q' AS "column", {R('va / z', 'weight', 7)} FROM u UNION ALL SELECT 1, {R('r', 'eigenvalue', 7)}, 1.0, 'price', {R('vb / z', 'weight', 7)} FROM u"""
+)
+def discriminant_axes(spark, sf):
+    return rounded(multivariate.discriminant_axes(_lines(spark, sf), ["q", "price"], "l_linestatus"), digits=7)
+
+
+@query(
+    f"""WITH o AS (SELECT *, value::DOUBLE AS x, row_number() OVER w AS i FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+ m AS (SELECT *, avg(x) OVER w AS c, abs(x - lag(x) OVER (PARTITION BY event_type ORDER BY i)) AS r FROM o WINDOW w AS (PARTITION BY event_type ORDER BY i)),
+ s AS (SELECT *, sum(coalesce(r, 0)) OVER w / nullif(i - 1, 0) / 1.128 AS s, sign(round(x - c, 9)) AS d FROM m WINDOW w AS (PARTITION BY event_type ORDER BY i)),
+ b AS (SELECT *, (d = 0 OR d <> lag(d) OVER w OR i = 1)::INT AS nw FROM s WINDOW w AS (PARTITION BY event_type ORDER BY i)), k AS (SELECT *, sum(nw) OVER (PARTITION BY event_type ORDER BY i) AS run FROM b),
+ t AS (SELECT *, CASE WHEN d <> 0 THEN row_number() OVER (PARTITION BY event_type, run ORDER BY i) END AS len FROM k), a AS (SELECT *, 'beyond_3sigma' AS rule FROM t WHERE i > 1 AND (x > c + 3 * s OR x < c - 3 * s) UNION ALL SELECT *, 'run_of_9' FROM t WHERE len = 9)
+ SELECT event_type, event_id, {R('x', 'value')}, rule, {R('c', 'center', 4)}, {R('c - 3 * coalesce(s, 0)', 'lcl', 4)}, {R('c + 3 * coalesce(s, 0)', 'ucl', 4)} FROM a"""
+)
+def live_signals(spark, sf):
+    """A stream over the files of events, ended when they are read."""
+    told = live.signals_of_files(spark, f"{sf}/events.parquet", "event_type", ["ts", "event_id"], "value")
+    return rounded(told.withColumns({c: F.round(c, 4) for c in ("center", "lcl", "ucl")}), "event_type", "event_id", "value", "rule", "center", "lcl", "ucl")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualispark.functions.safe import over
 from qualispark.operators import orderstats
 from qualispark.functions.special import norm_cdf, norm_ppf
 from qualispark.operators.control import D2_PAIR, imr_points
@@ -19,8 +20,8 @@ def capability(df: DataFrame, value: str, order: list[str], lsl: float, usl: flo
     near = F.least(usl - m, m - lsl)
     return o.withColumns(
         {
-            "cp": (usl - lsl) / (6 * w), "cpk": near / (3 * w), "pp": (usl - lsl) / (6 * s), "ppk": near / (3 * s),
-            "cpm": (usl - lsl) / (6 * F.sqrt(s * s + F.pow(m - t, 2))),
+            "cp": over(usl - lsl, 6 * w), "cpk": over(near, 3 * w), "pp": over(usl - lsl, 6 * s), "ppk": over(near, 3 * s),
+            "cpm": over(usl - lsl, 6 * F.sqrt(s * s + F.pow(m - t, 2))),
         }
     )
 
@@ -30,7 +31,7 @@ def clements(df: DataFrame, value: str, lsl: float, usl: float) -> DataFrame:
     o = orderstats.quantiles(df, value, {"low": 0.00135, "mid": 0.5, "high": 0.99865})
     low, mid, high = F.col("low"), F.col("mid"), F.col("high")
     return o.select(
-        mid.alias("median"), ((usl - lsl) / (high - low)).alias("pp"), F.least((usl - mid) / (high - mid), (mid - lsl) / (mid - low)).alias("ppk")
+        mid.alias("median"), over(usl - lsl, high - low).alias("pp"), F.least(over(usl - mid, high - mid), over(mid - lsl, mid - low)).alias("ppk")
     )
 
 
@@ -50,7 +51,7 @@ def predictive_cpk(df: DataFrame, value: str, lsl: float, usl: float, factors: t
     """Cpk if sigma shrank by each factor."""
     o = df.agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s"))
     o = o.select("m", "s", F.explode(F.array(*map(F.lit, (1.0, *factors)))).alias("factor"))
-    return o.select("factor", (F.least(usl - F.col("m"), F.col("m") - lsl) / (3 * F.col("s") * F.col("factor"))).alias("cpk"))
+    return o.select("factor", over(F.least(usl - F.col("m"), F.col("m") - lsl), 3 * F.col("s") * F.col("factor")).alias("cpk"))
 
 
 def dpmo(defects: int, units: int, opportunities: int, shift: float = 1.5) -> dict[str, float]:
@@ -75,7 +76,7 @@ def pareto(df: DataFrame, category: str, value: str | None = None, threshold: fl
     g = df.filter(F.col(category).isNotNull()).groupBy(F.col(category).cast("string").alias("category")).agg(total.alias("total"))
     every = g.agg(F.sum("total").alias("all"))
     w = Window.orderBy(F.col("total").desc(), "category")
-    out = g.join(F.broadcast(every)).withColumn("share", 100 * F.col("total") / F.col("all"))
+    out = g.join(F.broadcast(every)).withColumn("share", over(100 * F.col("total"), F.col("all")))
     out = out.withColumn("cum", F.sum("share").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return out.withColumn("vital", F.coalesce(F.lag("cum").over(w), F.lit(0.0)) < threshold).drop("all")
 
@@ -106,15 +107,15 @@ def text_pareto(df: DataFrame, text: str, top: int = 10) -> DataFrame:
     g = terms.groupBy(stem.otherwise(F.col("w")).alias("term")).agg(F.sum("count").alias("n"))
     every = g.agg(F.sum("n").alias("all"))
     best = g.orderBy(F.col("n").desc(), "term").limit(top)
-    return best.join(F.broadcast(every)).select("term", "n", (100 * F.col("n") / F.col("all")).alias("share"))
+    return best.join(F.broadcast(every)).select("term", "n", over(100 * F.col("n"), F.col("all")).alias("share"))
 
 
 def attribute_capability(df: DataFrame, defectives: str, size: str) -> DataFrame:
     """Pooled rate, defects per million and Wilson interval of binomial counts."""
     z = 1.959963984540054
-    o = df.agg(F.sum(F.col(defectives).cast("double")).alias("k"), F.sum(F.col(size).cast("double")).alias("n")).withColumn("rate", F.col("k") / F.col("n"))
+    o = df.agg(F.sum(F.col(defectives).cast("double")).alias("k"), F.sum(F.col(size).cast("double")).alias("n")).withColumn("rate", over(F.col("k"), F.col("n")))
     n, p = F.col("n"), F.col("rate")
-    mid, half = (p + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
+    mid, half = over(p + over(z * z, 2 * n), 1 + over(z * z, n)), over(z * F.sqrt(over(p * (1 - p), n) + over(z * z, 4 * n * n)), 1 + over(z * z, n))
     return o.select("n", "rate", (p * 1e6).alias("dpmo"), (mid - half).alias("low"), (mid + half).alias("high"))
 
 

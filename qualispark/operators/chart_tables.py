@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualispark.functions.safe import over
 from qualispark.operators.ordered import running, with_history
 
 
@@ -25,7 +26,7 @@ def density(df: DataFrame, x: str, group: str | None = None, points: int = 241,
     own = _numbers(df, x, keep=tuple(keys))
     ends = own.agg(F.min(x).alias("low"), F.max(x).alias("high"))
     own = own.join(F.broadcast(ends))
-    bin_ = F.least(F.lit(bins - 1), F.floor((F.col(x) - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * bins))
+    bin_ = F.least(F.lit(bins - 1), F.floor(over(F.col(x) - F.col("low"), F.nullif(F.col("high") - F.col("low"), F.lit(0.0))) * bins))
     cut = own.groupBy(*keys, "low", "high", F.coalesce(bin_, F.lit(0)).alias("bin")).agg(F.count("*").alias("c"), F.avg(x).alias("at"))
     spread = own.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_samp(x).alias("s"))
     cut = cut.join(F.broadcast(spread), keys) if keys else cut.join(F.broadcast(spread))
@@ -33,7 +34,7 @@ def density(df: DataFrame, x: str, group: str | None = None, points: int = 241,
     step = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
     grid = cut.select(*keys, "c", "at", "n", "s", step, (F.col("low") - 0.12 * width).alias("from"), (1.24 * width / (points - 1)).alias("by"))
     place, h = F.col("from") + F.col("by") * F.col("i"), 1.06 * F.col("s") * F.pow("n", F.lit(-0.2))
-    grid = grid.withColumns({"x": place, "k": F.col("c") * F.exp(-0.5 * F.pow((place - F.col("at")) / h, 2)) / (F.col("n") * h * 2.5066282746310002)})
+    grid = grid.withColumns({"x": place, "k": over(F.col("c") * F.exp(-0.5 * F.pow(over(place - F.col("at"), h), 2)), F.col("n") * h * 2.5066282746310002)})
     return grid.groupBy(*keys, "i").agg(F.first("x").alias("x"), F.sum("k").alias("density"))
 
 
@@ -41,9 +42,9 @@ def hexbin(df: DataFrame, x: str, y: str, columns: int = 30) -> DataFrame:
     """Counts on a grid of ``columns`` whose odd rows are moved by half a cell."""
     own = _numbers(df, x, y)
     ends = own.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
-    row = F.floor((F.col(y) - F.col("y0")) / F.nullif(F.col("y1") - F.col("y0"), F.lit(0.0)) * columns)
+    row = F.floor(over(F.col(y) - F.col("y0"), F.nullif(F.col("y1") - F.col("y0"), F.lit(0.0))) * columns)
     own = own.join(F.broadcast(ends)).withColumn("row", F.coalesce(row, F.lit(0)))
-    across = (F.col(x) - F.col("x0")) / F.nullif(F.col("x1") - F.col("x0"), F.lit(0.0)) * columns
+    across = over(F.col(x) - F.col("x0"), F.nullif(F.col("x1") - F.col("x0"), F.lit(0.0))) * columns
     return own.groupBy(F.coalesce(F.floor(across + F.when(F.col("row") % 2 == 1, 0.5).otherwise(0.0)), F.lit(0)).alias("column"), "row").agg(F.count("*").alias("n"))
 
 
@@ -51,7 +52,7 @@ def mosaic(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts, the share of each a, and of each b within its a (also stacked bars and marimekko)."""
     n = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
     within, every = Window.partitionBy("a"), Window.partitionBy()  # one row a cell
-    return n.withColumns({"width": F.sum("n").over(within) / F.sum("n").over(every), "height": F.col("n") / F.sum("n").over(within)})
+    return n.withColumns({"width": over(F.sum("n").over(within), F.sum("n").over(every)), "height": over(F.col("n"), F.sum("n").over(within))})
 
 
 def treemap(df: DataFrame, levels: list[str], value: str | None = None, most: int = 50) -> DataFrame:
@@ -112,7 +113,7 @@ def stem_leaf(df: DataFrame, x: str, unit: float = 1.0) -> DataFrame:
 def wind_rose(df: DataFrame, angle: str, strength: str, sectors: int = 16, rings: list[float] = (10.0, 20.0, 50.0)) -> DataFrame:
     """Counts by sector of the angle (degrees) and ring of the strength."""
     own = _numbers(df, angle, strength)
-    sector = F.floor(F.pmod(F.col(angle) + 180.0 / sectors, F.lit(360.0)) / (360.0 / sectors))
+    sector = F.floor(over(F.pmod(F.col(angle) + 180.0 / sectors, F.lit(360.0)), (360.0 / sectors)))
     ring = sum(((F.col(strength) >= r).cast("int") for r in rings), F.lit(0))
     return own.groupBy(sector.alias("sector"), ring.alias("ring")).agg(F.count("*").alias("n"))
 
@@ -158,6 +159,6 @@ def drift(df: DataFrame, x: str, period: Column, baseline: Column, edges: list[f
     every = n.select("period").distinct().select("period", F.explode(F.sequence(F.lit(0), F.lit(len(edges)))).alias("bin"))
     filled = every.join(n, ["period", "bin"], "left").na.fill(0)
     base = filled.groupBy("bin").agg(F.sum("b").alias("base"))
-    base = base.withColumn("q", (F.col("base") + 0.5) / (F.sum("base").over(Window.partitionBy()) + 0.5 * (len(edges) + 1)))  # one row a bin
-    p = (F.col("n") + 0.5) / (F.sum("n").over(Window.partitionBy("period")) + 0.5 * (len(edges) + 1))
-    return filled.withColumn("p", p).join(F.broadcast(base), "bin").groupBy("period").agg(F.sum("n").alias("n"), F.sum((F.col("p") - F.col("q")) * F.log(F.col("p") / F.col("q"))).alias("psi"))
+    base = base.withColumn("q", over(F.col("base") + 0.5, F.sum("base").over(Window.partitionBy()) + 0.5 * (len(edges) + 1)))  # one row a bin
+    p = over(F.col("n") + 0.5, F.sum("n").over(Window.partitionBy("period")) + 0.5 * (len(edges) + 1))
+    return filled.withColumn("p", p).join(F.broadcast(base), "bin").groupBy("period").agg(F.sum("n").alias("n"), F.sum((F.col("p") - F.col("q")) * F.log(over(F.col("p"), F.col("q")))).alias("psi"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualispark.functions.safe import over
 from qualispark.operators import orderstats
 
 
@@ -18,7 +19,7 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     x = df.select(F.col(value).cast("double").alias("x")).filter("x is not null")
     s = x.agg(F.min("x").alias("a"), F.max("x").alias("b"))
     w = (F.col("b") - F.col("a")) / bins
-    at = F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("a")) / w)).cast("int")
+    at = F.least(F.lit(bins - 1), F.floor(over(F.col("x") - F.col("a"), w))).cast("int")
     counts = x.join(F.broadcast(s)).groupBy(at.alias("bin"), "a", "b").count()
     return counts.select("bin", (F.col("a") + F.col("bin") * w).alias("low"), (F.col("a") + (F.col("bin") + 1) * w).alias("high"), F.col("count").alias("n"))
 
@@ -29,7 +30,7 @@ def ecdf(df: DataFrame, value: str) -> DataFrame:
 
     c = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count("*").alias("n"))
     total = c.agg(F.sum("n").alias("all"))
-    return running(c, ["x"], upto=("n", "sum")).join(F.broadcast(total)).select("x", "n", (F.col("upto") / F.col("all")).alias("share"))
+    return running(c, ["x"], upto=("n", "sum")).join(F.broadcast(total)).select("x", "n", over(F.col("upto"), F.col("all")).alias("share"))
 
 
 def heatmap(df: DataFrame, x: str, y: str, value: str | None = None) -> DataFrame:
@@ -63,7 +64,7 @@ def funnel(df: DataFrame, user: str, stage: str, stages: list[str]) -> DataFrame
     """Users at each stage and their share of the first."""
     n = df.filter(F.col(stage).isin(*stages)).groupBy(stage).agg(F.count_distinct(user).alias("users"))
     first = n.filter(F.col(stage) == stages[0]).select(F.col("users").alias("first"))
-    return n.join(F.broadcast(first)).select(stage, "users", (F.col("users") / F.col("first")).alias("share"))
+    return n.join(F.broadcast(first)).select(stage, "users", over(F.col("users"), F.col("first")).alias("share"))
 
 
 def venn(df: DataFrame, user: str, label: str, a: str, b: str) -> DataFrame:

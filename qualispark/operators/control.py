@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualispark.functions.safe import over
 from qualispark.operators.models import gram
 from qualispark.operators.ordered import last, numbered, running, with_history
 from qualispark.operators.scan import System, affine
@@ -81,24 +82,24 @@ def run_rules(df: DataFrame, value: str, order: list[str]) -> DataFrame:
     """
     points = _points(df, value, *order)
     limits = imr_limits(df, value, order).select("center", "sigma")
-    rows = with_history(points, order, "x", 14).join(F.broadcast(limits))
-    d = F.transform(F.concat("history", F.array("x")), lambda v: v - F.col("center"))
-    rows = rows.withColumn("d", d)
+    rows = with_history(points, order, "x", 14, "__h").join(F.broadcast(limits))
+    d = F.transform(F.concat("__h", F.array("x")), lambda v: v - F.col("center"))
+    rows = rows.withColumn("__d", d)
     s = F.col("sigma")
 
     def every(n: int, test) -> Column:
-        return F.forall(last(F.col("d"), n), test)
+        return F.forall(last(F.col("__d"), n), test)
 
     def count(n: int, test) -> Column:
-        return F.size(F.filter(last(F.col("d"), n), test))
+        return F.size(F.filter(last(F.col("__d"), n), test))
 
     def steps(n: int) -> Column:
-        items = last(F.col("d"), n + 1)
+        items = last(F.col("__d"), n + 1)
         return F.transform(F.slice(items, 2, n), lambda v, i: v - F.get(items, i))
 
-    turns = F.transform(F.slice(F.col("steps"), 2, 12), lambda v, i: F.signum(v) * F.signum(F.get("steps", i)))
-    rows = rows.withColumn("steps", steps(13))
-    at = F.element_at("d", -1)
+    turns = F.transform(F.slice(F.col("__s"), 2, 12), lambda v, i: F.signum(v) * F.signum(F.get("__s", i)))
+    rows = rows.withColumn("__s", steps(13))
+    at = F.element_at("__d", -1)
     rules = {
         "r1": F.abs(at) > 3 * s,
         "r2": every(9, lambda v: v > 0) | every(9, lambda v: v < 0),
@@ -110,7 +111,7 @@ def run_rules(df: DataFrame, value: str, order: list[str]) -> DataFrame:
         "r8": every(8, lambda v: F.abs(v) > s),
     }
     marked = {k: F.coalesce(v & (s > 0), F.lit(False)) for k, v in rules.items()}
-    return rows.withColumns(marked).drop("history", "d", "steps")
+    return rows.withColumns(marked).drop("__h", "__d", "__s")
 
 
 def phased_imr(df: DataFrame, value: str, phase: str, order: list[str]) -> DataFrame:
@@ -157,12 +158,19 @@ def _factor(table: dict[int, float], n: Column) -> Column:
     return F.create_map(*(F.lit(v) for kv in table.items() for v in kv))[n.cast("int")]
 
 
+def _one_size() -> Column:
+    """A condition on ``size`` and ``most``: unequal or unsupported sizes are an error, no subgroup is no row."""
+    fits = (F.col("size") == F.col("most")) & F.col("size").between(2, 25)
+    message = F.concat(F.lit("subgroups need one size from 2 to 25, found "), F.col("size").cast("string"), F.lit(" to "), F.col("most").cast("string"))
+    return F.when(F.col("size").isNull(), False).when(fits, True).otherwise(F.raise_error(message).cast("boolean"))
+
+
 def xbar_r(df: DataFrame, value: str, group: str) -> DataFrame:
     """One row of X-bar and R limits; subgroups must have one size from 2 to 25."""
     g = _subgroups(df, value, group).agg(
         F.count("*").alias("k"), F.min("n").alias("size"), F.max("n").alias("most"), F.avg("mean").alias("center"), F.avg("range").alias("r_bar")
     )
-    g = g.filter((F.col("size") == F.col("most")) & F.col("size").between(2, 25))
+    g = g.filter(_one_size())
     n, r, c = F.col("size"), F.col("r_bar"), F.col("center")
     return g.select("k", "size", "center", "r_bar", (c + _factor(A2, n) * r).alias("ucl"), (c - _factor(A2, n) * r).alias("lcl"), (_factor(D4, n) * r).alias("r_ucl"), (_factor(D3, n) * r).alias("r_lcl"))
 
@@ -172,7 +180,7 @@ def xbar_s(df: DataFrame, value: str, group: str) -> DataFrame:
     g = _subgroups(df, value, group).agg(
         F.count("*").alias("k"), F.min("n").alias("size"), F.max("n").alias("most"), F.avg("mean").alias("center"), F.avg("sd").alias("s_bar")
     )
-    g = g.filter((F.col("size") == F.col("most")) & F.col("size").between(2, 25))
+    g = g.filter(_one_size())
     n, s, c = F.col("size"), F.col("s_bar"), F.col("center")
     return g.select("k", "size", "center", "s_bar", (c + _factor(A3, n) * s).alias("ucl"), (c - _factor(A3, n) * s).alias("lcl"), (_factor(B4, n) * s).alias("s_ucl"), (_factor(B3, n) * s).alias("s_lcl"))
 
@@ -180,10 +188,10 @@ def xbar_s(df: DataFrame, value: str, group: str) -> DataFrame:
 def p_chart(df: DataFrame, defectives: str, size: str) -> DataFrame:
     """Each subgroup's proportion with limits for its own size, clipped to [0, 1]."""
     d = df.select("*", F.col(defectives).cast("double").alias("__d"), F.col(size).cast("double").alias("__n")).filter("__d is not null and __n > 0")
-    center = d.agg((F.sum("__d") / F.sum("__n")).alias("center"))
-    half = 3 * F.sqrt(F.col("center") * (1 - F.col("center")) / F.col("__n"))
+    center = d.agg(over(F.sum("__d"), F.sum("__n")).alias("center"))
+    half = 3 * F.sqrt(over(F.col("center") * (1 - F.col("center")), F.col("__n")))
     out = d.join(F.broadcast(center)).withColumns(
-        {"p": F.col("__d") / F.col("__n"), "ucl": F.least(F.lit(1.0), F.col("center") + half), "lcl": F.greatest(F.lit(0.0), F.col("center") - half)}
+        {"p": over(F.col("__d"), F.col("__n")), "ucl": F.least(F.lit(1.0), F.col("center") + half), "lcl": F.greatest(F.lit(0.0), F.col("center") - half)}
     )
     return out.withColumn("out", (F.col("p") > F.col("ucl")) | (F.col("p") < F.col("lcl"))).drop("__d", "__n")
 
@@ -204,10 +212,10 @@ def c_chart(df: DataFrame, count: str) -> DataFrame:
 def u_chart(df: DataFrame, count: str, units: str) -> DataFrame:
     """Each subgroup's rate with limits for its own units."""
     d = df.select("*", F.col(count).cast("double").alias("__d"), F.col(units).cast("double").alias("__n")).filter("__d is not null and __n > 0")
-    center = d.agg((F.sum("__d") / F.sum("__n")).alias("center"))
-    half = 3 * F.sqrt(F.col("center") / F.col("__n"))
+    center = d.agg(over(F.sum("__d"), F.sum("__n")).alias("center"))
+    half = 3 * F.sqrt(over(F.col("center"), F.col("__n")))
     out = d.join(F.broadcast(center)).withColumns(
-        {"u": F.col("__d") / F.col("__n"), "ucl": F.col("center") + half, "lcl": F.greatest(F.lit(0.0), F.col("center") - half)}
+        {"u": over(F.col("__d"), F.col("__n")), "ucl": F.col("center") + half, "lcl": F.greatest(F.lit(0.0), F.col("center") - half)}
     )
     return out.withColumn("out", (F.col("u") > F.col("ucl")) | (F.col("u") < F.col("lcl"))).drop("__d", "__n")
 
@@ -215,8 +223,8 @@ def u_chart(df: DataFrame, count: str, units: str) -> DataFrame:
 def laney(df: DataFrame, defectives: str, size: str, order: list[str]) -> DataFrame:
     """One row: center, sigma_z (moving range of standardised residuals) and the verdict."""
     points = p_chart(df, defectives, size)
-    sd = F.sqrt(F.col("center") * (1 - F.col("center")) / F.col(size))
-    z = points.withColumn("z", (F.col("p") - F.col("center")) / sd)
+    sd = F.sqrt(over(F.col("center") * (1 - F.col("center")), F.col(size)))
+    z = points.withColumn("z", over(F.col("p") - F.col("center"), sd))
     step = with_history(z.select(*order, "z", "center"), order, "z", 1)
     mr = F.abs(F.col("z") - F.try_element_at("history", F.lit(1)))
     out = step.agg(F.count("*").alias("k"), F.first("center").alias("center"), (F.avg(mr) / D2_PAIR).alias("sigma_z"))
@@ -248,18 +256,18 @@ def ewma(df: DataFrame, value: str, order: list[str], lam: float = 0.2, width: f
 
     The average starts at the mean, which takes the first point's place.
     """
-    points = numbered(_points(df, value, *order), order, "i")
+    points = numbered(_points(df, value, *order), order, "__i")
     stats = points.agg(F.avg("x").alias("center"), F.stddev_samp("x").alias("s"))
     center = stats.first()["center"] or 0.0
-    shown = F.when(F.col("i") == 0, F.lit(center)).otherwise(F.col("x"))
-    rows = affine(points, ["i"], {"x": shown}, System([[1 - lam]], [[lam]], [center]), ["z"]).join(F.broadcast(stats))
-    sd = F.col("s") * F.sqrt(lam / (2 - lam) * (1 - F.pow(F.lit(1 - lam), 2 * (F.col("i") + 1))))
+    shown = F.when(F.col("__i") == 0, F.lit(center)).otherwise(F.col("x"))
+    rows = affine(points, ["__i"], {"x": shown}, System([[1 - lam]], [[lam]], [center]), ["z"]).join(F.broadcast(stats))
+    sd = F.col("s") * F.sqrt(lam / (2 - lam) * (1 - F.pow(F.lit(1 - lam), 2 * (F.col("__i") + 1))))
     rows = rows.withColumns({"ucl": F.col("center") + width * sd, "lcl": F.col("center") - width * sd})
-    return rows.withColumn("out", (F.col("z") > F.col("ucl")) | (F.col("z") < F.col("lcl"))).drop("s")
+    return rows.withColumn("out", (F.col("z") > F.col("ucl")) | (F.col("z") < F.col("lcl"))).drop("s", "__i")
 
 
 def mewma(df: DataFrame, columns: list[str], order: list[str], lam: float = 0.2, arl0: float = 200.0) -> DataFrame:
-    """order, i (from 1), t2, ucl, out: the multivariate weighted average's distance from the mean at each complete row.
+    """order, t2, ucl, out: the multivariate weighted average's distance from the mean at each complete row.
 
     The covariance of the average at row i is lam / (2 - lam) * (1 - (1 - lam) ** (2 i)) of that of the rows; the limit is
     the closed approximation p + 2 sqrt(p) ln(arl0 / 100) + 4. Fewer than p + 2 complete rows are an error.
@@ -272,14 +280,14 @@ def mewma(df: DataFrame, columns: list[str], order: list[str], lam: float = 0.2,
     if n < p + 2:
         raise ValueError(f"{n} complete rows are too few for {p} columns")
     inverse = np.linalg.pinv(s / (n - 1))
-    rows = numbered(own, order, "i")
+    rows = numbered(own, order, "__i")
     system = System((1 - lam) * np.eye(p), lam * np.eye(p), np.zeros(p))
     names = [f"z{i}" for i in range(p)]
-    out = affine(rows, ["i"], {f"c{i}": F.col(f"c{i}") - float(means[i]) for i in range(p)}, system, names)
+    out = affine(rows, ["__i"], {f"c{i}": F.col(f"c{i}") - float(means[i]) for i in range(p)}, system, names)
     far = sum((float(inverse[i, j]) * F.col(names[i]) * F.col(names[j]) for i in range(p) for j in range(p)), F.lit(0.0))
-    scale = lam / (2 - lam) * (1 - F.pow(F.lit(1 - lam), 2 * (F.col("i") + 1)))
+    scale = lam / (2 - lam) * (1 - F.pow(F.lit(1 - lam), 2 * (F.col("__i") + 1)))
     ucl = p + 2 * p**0.5 * math.log(arl0 / 100) + 4
-    out = out.select(*order, (F.col("i") + 1).alias("i"), (far / scale).alias("t2"), F.lit(ucl).alias("ucl"))
+    out = out.select(*order, over(far, scale).alias("t2"), F.lit(ucl).alias("ucl"))
     return out.withColumn("out", F.col("t2") > F.col("ucl"))
 
 
@@ -304,8 +312,8 @@ def t_chart(df: DataFrame, value: str, order: list[str]) -> DataFrame:
 
 def g_chart(df: DataFrame, count: str) -> DataFrame:
     """Limits of counts between events: geometric quantiles at the tails of 0.00135, less one."""
-    g = df.agg(F.avg(F.col(count).cast("double")).alias("mean")).withColumn("p", 1 / (F.col("mean") + 1))
-    q = lambda tail: F.greatest(F.lit(0.0), F.ceil(F.log(F.lit(1 - tail)) / F.log(1 - F.col("p"))).cast("double") - 1)
+    g = df.agg(F.avg(F.col(count).cast("double")).alias("mean")).withColumn("p", over(1, F.col("mean") + 1))
+    q = lambda tail: F.greatest(F.lit(0.0), F.ceil(over(F.log(F.lit(1 - tail)), F.log(1 - F.col("p")))).cast("double") - 1)
     return g.select("mean", "p", q(1 - 0.00135).alias("ucl"), q(0.00135).alias("lcl"))
 
 
@@ -334,7 +342,7 @@ def laney_limits(df: DataFrame, defectives: str, size: str, order: list[str]) ->
     """The p chart with its limits widened by sigma_z, cut at 0 and 1: p, low, high, out for each row."""
     points = p_chart(df, defectives, size)
     z = laney(df, defectives, size, order).select("sigma_z")
-    half = 3 * F.col("sigma_z") * F.sqrt(F.col("center") * (1 - F.col("center")) / F.col(size))
+    half = 3 * F.col("sigma_z") * F.sqrt(over(F.col("center") * (1 - F.col("center")), F.col(size)))
     out = points.join(F.broadcast(z)).withColumns(
         {"low": F.greatest(F.lit(0.0), F.col("center") - half), "high": F.least(F.lit(1.0), F.col("center") + half)}
     )

@@ -10,10 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualispark.functions.safe import over
 from qualispark.operators import orderstats
 from qualispark.functions.special import as_column, chi2_sf, f_sf, normal_two_sided, t_sf
 
 
+#: Cells of a table of two columns' categories at most.
+CATEGORY_CELLS = 1_000_000
+
+
 def _clean(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
     cols = [F.col(value).cast("double").alias("x")] + ([F.col(group).alias("g")] if group else [])
     out = df.select(*cols).filter("x is not null and not isnan(x)")
@@ -30,7 +35,7 @@ def _with_p(out: DataFrame, f, *cols: str) -> DataFrame:
 
 def one_sample_t(df: DataFrame, value: str, mu: float = 0.0) -> DataFrame:
     out = _clean(df, value).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
-    out = out.withColumns({"t": (F.col("mean") - mu) / (F.col("sd") / F.sqrt("n")), "df": F.col("n") - 1, "d": (F.col("mean") - mu) / F.col("sd")})
+    out = out.withColumns({"t": over(F.col("mean") - mu, over(F.col("sd"), F.sqrt("n"))), "df": F.col("n") - 1, "d": over(F.col("mean") - mu, F.col("sd"))})
     return _with_p(out, t_sf, "t", "df")
 
 
@@ -58,21 +63,21 @@ def two_sample_t(df: DataFrame, value: str, group: str, equal_var: bool = False)
     """Welch's t, or the pooled one."""
     o = _two(df, value, group)
     n1, n2, v1, v2 = F.col("n1"), F.col("n2"), F.col("v1"), F.col("v2")
-    pooled = ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)
+    pooled = over((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2)
     if equal_var:
-        se, dof = F.sqrt(pooled * (1 / n1 + 1 / n2)), (n1 + n2 - 2).cast("double")
+        se, dof = F.sqrt(pooled * (over(1, n1) + over(1, n2))), (n1 + n2 - 2).cast("double")
     else:
-        se = F.sqrt(v1 / n1 + v2 / n2)
-        dof = F.pow(v1 / n1 + v2 / n2, 2) / (F.pow(v1 / n1, 2) / (n1 - 1) + F.pow(v2 / n2, 2) / (n2 - 1))
+        se = F.sqrt(over(v1, n1) + over(v2, n2))
+        dof = over(F.pow(over(v1, n1) + over(v2, n2), 2), over(F.pow(over(v1, n1), 2), n1 - 1) + over(F.pow(over(v2, n2), 2), n2 - 1))
     diff = F.col("m1") - F.col("m2")
-    out = o.select("n1", "n2", "m1", "m2", diff.alias("diff"), (diff / se).alias("t"), dof.alias("df"), (diff / F.sqrt(pooled)).alias("d"))
+    out = o.select("n1", "n2", "m1", "m2", diff.alias("diff"), over(diff, se).alias("t"), dof.alias("df"), over(diff, F.sqrt(pooled)).alias("d"))
     return _with_p(out, t_sf, "t", "df")
 
 
 def one_way_anova(df: DataFrame, value: str, group: str) -> DataFrame:
     """F, eta squared and omega squared; sums of squares about the group means."""
     g = _stats(df, value, group)
-    grand = g.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"))
+    grand = g.agg(over(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("grand"))
     o = g.join(F.broadcast(grand)).agg(
         F.count("*").alias("k"),
         F.sum("n").alias("n"),
@@ -80,31 +85,31 @@ def one_way_anova(df: DataFrame, value: str, group: str) -> DataFrame:
         F.sum((F.col("n") - 1) * F.coalesce("v", F.lit(0.0))).alias("ss_within"),
     )
     o = o.withColumns({"df1": F.col("k") - 1, "df2": F.col("n") - F.col("k")})
-    ms = F.col("ss_within") / F.col("df2")
+    ms = over(F.col("ss_within"), F.col("df2"))
     total = F.col("ss_between") + F.col("ss_within")
     o = o.withColumns(
         {
-            "f": F.col("ss_between") / F.col("df1") / ms,
-            "eta_sq": F.col("ss_between") / total,
-            "omega_sq": (F.col("ss_between") - F.col("df1") * ms) / (total + ms),
+            "f": over(over(F.col("ss_between"), F.col("df1")), ms),
+            "eta_sq": over(F.col("ss_between"), total),
+            "omega_sq": over(F.col("ss_between") - F.col("df1") * ms, total + ms),
         }
     )
     return _with_p(o, f_sf, "f", "df1", "df2")
 
 
 def welch_anova(df: DataFrame, value: str, group: str) -> DataFrame:
-    g = _stats(df, value, group).withColumn("w", F.col("n") / F.col("v"))
-    sums = g.agg(F.sum("w").alias("sw"), (F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("mw"), F.count("*").alias("k"))
+    g = _stats(df, value, group).withColumn("w", over(F.col("n"), F.col("v")))
+    sums = g.agg(F.sum("w").alias("sw"), over(F.sum(F.col("w") * F.col("m")), F.sum("w")).alias("mw"), F.count("*").alias("k"))
     o = g.join(F.broadcast(sums)).groupBy("k").agg(
         F.sum(F.col("w") * F.pow(F.col("m") - F.col("mw"), 2)).alias("a"),
-        F.sum(F.pow(1 - F.col("w") / F.col("sw"), 2) / (F.col("n") - 1)).alias("h"),
+        F.sum(over(F.pow(1 - over(F.col("w"), F.col("sw")), 2), F.col("n") - 1)).alias("h"),
     )
     k = F.col("k")
     o = o.select(
         "k",
-        ((F.col("a") / (k - 1)) / (1 + 2 * (k - 2) / (k * k - 1) * F.col("h"))).alias("f"),
+        over(over(F.col("a"), k - 1), 1 + over(2 * (k - 2), k * k - 1) * F.col("h")).alias("f"),
         (k - 1).alias("df1"),
-        ((k * k - 1) / (3 * F.col("h"))).alias("df2"),
+        over(k * k - 1, 3 * F.col("h")).alias("df2"),
     )
     return _with_p(o, f_sf, "f", "df1", "df2")
 
@@ -112,12 +117,12 @@ def welch_anova(df: DataFrame, value: str, group: str) -> DataFrame:
 def brown_forsythe_anova(df: DataFrame, value: str, group: str) -> DataFrame:
     """F* with Satterthwaite's degrees of freedom."""
     g = _stats(df, value, group)
-    sums = g.agg(F.sum("n").alias("t"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"), F.count("*").alias("k"))
-    c = (1 - F.col("n") / F.col("t")) * F.col("v")
+    sums = g.agg(F.sum("n").alias("t"), over(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("grand"), F.count("*").alias("k"))
+    c = (1 - over(F.col("n"), F.col("t"))) * F.col("v")
     o = g.join(F.broadcast(sums)).groupBy("k").agg(
-        F.sum(F.col("n") * F.pow(F.col("m") - F.col("grand"), 2)).alias("b"), F.sum(c).alias("c"), F.sum(c * c / (F.col("n") - 1)).alias("cc")
+        F.sum(F.col("n") * F.pow(F.col("m") - F.col("grand"), 2)).alias("b"), F.sum(c).alias("c"), F.sum(over(c * c, F.col("n") - 1)).alias("cc")
     )
-    o = o.select("k", (F.col("b") / F.col("c")).alias("f"), (F.col("k") - 1).alias("df1"), (F.col("c") * F.col("c") / F.col("cc")).alias("df2"))
+    o = o.select("k", over(F.col("b"), F.col("c")).alias("f"), (F.col("k") - 1).alias("df1"), over(F.col("c") * F.col("c"), F.col("cc")).alias("df2"))
     return _with_p(o, f_sf, "f", "df1", "df2")
 
 
@@ -132,15 +137,15 @@ def bartlett(df: DataFrame, value: str, group: str) -> DataFrame:
     g = _stats(df, value, group).filter("n > 1")
     o = g.agg(
         F.count("*").alias("k"), F.sum(F.col("n") - 1).alias("d"), F.sum((F.col("n") - 1) * F.col("v")).alias("s"),
-        F.sum((F.col("n") - 1) * F.log("v")).alias("l"), F.sum(1 / (F.col("n") - 1)).alias("r"),
+        F.sum((F.col("n") - 1) * F.log("v")).alias("l"), F.sum(over(1, F.col("n") - 1)).alias("r"),
     )
     k, d = F.col("k"), F.col("d")
-    stat = (d * F.log(F.col("s") / d) - F.col("l")) / (1 + (F.col("r") - 1 / d) / (3 * (k - 1)))
+    stat = over(d * F.log(over(F.col("s"), d)) - F.col("l"), 1 + over(F.col("r") - over(1, d), 3 * (k - 1)))
     return _with_p(o.select("k", stat.alias("t"), (k - 1).alias("df")), chi2_sf, "t", "df")
 
 
 def f_test(df: DataFrame, value: str, group: str) -> DataFrame:
-    o = _two(df, value, group).select("n1", "n2", (F.col("v1") / F.col("v2")).alias("f"))
+    o = _two(df, value, group).select("n1", "n2", over(F.col("v1"), F.col("v2")).alias("f"))
     one = as_column(f_sf, F.col("f"), F.col("n1") - 1, F.col("n2") - 1)
     return o.withColumn("upper", one).select("n1", "n2", "f", (2 * F.least("upper", 1 - F.col("upper"))).alias("p"))
 
@@ -172,9 +177,9 @@ def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     o = o.withColumn("u", F.col("s1") - n1 * (n1 + 1) / 2)
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = (F.abs(F.col("u") - n1 * n2 / 2) - 0.5) / sd
-    o = o.select("n1", "n2", "u", (1 - 2 * F.col("u") / (n1 * n2)).alias("r"), z.alias("z"))
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - over(F.col("ties"), n * (n - 1))))
+    z = over(F.abs(F.col("u") - n1 * n2 / 2) - 0.5, sd)
+    o = o.select("n1", "n2", "u", (1 - over(2 * F.col("u"), n1 * n2)).alias("r"), z.alias("z"))
     return _with_p(o, normal_two_sided, "z")
 
 
@@ -182,10 +187,10 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """H corrected for ties, epsilon squared."""
     r = average_ranks(_clean(df, value, group), "x")
     g = r.groupBy("g").agg(F.count("*").alias("n"), F.sum("rank").alias("s"), _tie_sum().alias("t"))
-    o = g.agg(F.count("*").alias("k"), F.sum("n").cast("double").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.sum("t").alias("ties"))
+    o = g.agg(F.count("*").alias("k"), F.sum("n").cast("double").alias("n"), F.sum(over(F.col("s") * F.col("s"), F.col("n"))).alias("q"), F.sum("t").alias("ties"))
     n = F.col("n")
-    h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
-    o = o.select("k", h.alias("h"), (F.col("k") - 1).alias("df"), (h / (n - 1)).alias("epsilon_sq"))
+    h = over(over(12, n * (n + 1)) * F.col("q") - 3 * (n + 1), 1 - over(F.col("ties"), n * n * n - n))
+    o = o.select("k", h.alias("h"), (F.col("k") - 1).alias("df"), over(h, n - 1).alias("epsilon_sq"))
     return _with_p(o, chi2_sf, "h", "df")
 
 
@@ -199,7 +204,7 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     )
     n = F.col("n")
     sd = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
-    o = o.select("n", F.least("plus", "minus").alias("w"), ((F.least("plus", "minus") - n * (n + 1) / 4) / sd).alias("z"))
+    o = o.select("n", F.least("plus", "minus").alias("w"), over(F.least("plus", "minus") - n * (n + 1) / 4, sd).alias("z"))
     return _with_p(o, normal_two_sided, "z")
 
 
@@ -215,12 +220,15 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     n = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).count()
     rows, cols = n.groupBy("a").agg(F.sum("count").alias("ra")), n.groupBy("b").agg(F.sum("count").alias("cb"))
     sizes = n.agg(F.sum("count").alias("total"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"))
-    grid = rows.crossJoin(cols).join(n, ["a", "b"], "left").join(F.broadcast(sizes))  # categories alone
-    e = F.col("ra") * F.col("cb") / F.col("total")
+    wide = sizes.first()
+    if wide["r"] * wide["c"] > CATEGORY_CELLS:
+        raise ValueError(f"{wide['r']} by {wide['c']} categories are too many for a table")
+    grid = rows.crossJoin(cols).join(n, ["a", "b"], "left").join(F.broadcast(sizes))  # CATEGORY_CELLS rows at most
+    e = over(F.col("ra") * F.col("cb"), F.col("total"))
     gap = F.abs(F.coalesce(F.col("count"), F.lit(0)) - e)
     gap = F.when((F.col("r") == 2) & (F.col("c") == 2), gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    o = grid.groupBy("total", "r", "c").agg(F.sum(gap * gap / e).alias("chi2"), F.count_if(e < 5).alias("sparse_cells"))
-    o = o.select("chi2", ((F.col("r") - 1) * (F.col("c") - 1)).alias("df"), F.sqrt(F.col("chi2") / (F.col("total") * (F.least("r", "c") - 1))).alias("cramers_v"), "sparse_cells")
+    o = grid.groupBy("total", "r", "c").agg(F.sum(over(gap * gap, e)).alias("chi2"), F.count_if(e < 5).alias("sparse_cells"))
+    o = o.select("chi2", ((F.col("r") - 1) * (F.col("c") - 1)).alias("df"), F.sqrt(over(F.col("chi2"), F.col("total") * (F.least("r", "c") - 1))).alias("cramers_v"), "sparse_cells")
     return _with_p(o, chi2_sf, "chi2", "df")
 
 
@@ -288,7 +296,7 @@ def friedman(df: DataFrame, columns: list[str]) -> DataFrame:
     s = own.agg(F.count("*").cast("double").alias("n"), F.sum(ties).alias("t"), *(F.sum(r).alias(f"r{i}") for i, r in enumerate(rank)))
     k, n = len(columns), F.col("n")
     top = sum((F.col(f"r{i}") * F.col(f"r{i}") for i in range(k)), F.lit(0.0))
-    chi = (12 / (n * k * (k + 1)) * top - 3 * n * (k + 1)) / (1 - F.col("t") / (n * k * (k * k - 1)))
+    chi = over(over(12, n * k * (k + 1)) * top - 3 * n * (k + 1), 1 - over(F.col("t"), n * k * (k * k - 1)))
     return _with_p(s.select("n", chi.alias("chi2"), F.lit(k - 1).alias("df")), chi2_sf, "chi2", "df")
 
 
@@ -305,8 +313,8 @@ def tost_one_sample(df: DataFrame, value: str, low: float, high: float) -> DataF
 def tost_two_sample(df: DataFrame, value: str, group: str, low: float, high: float) -> DataFrame:
     """Two one-sided pooled t tests of the difference of two groups against the bounds of equivalence."""
     o = two_sample_t(df, value, group, equal_var=True)
-    se = F.col("diff") / F.col("t")
-    o = o.select("diff", "df", ((F.col("diff") - low) / se).alias("t_low"), ((F.col("diff") - high) / se).alias("t_high"))
+    se = over(F.col("diff"), F.col("t"))
+    o = o.select("diff", "df", over(F.col("diff") - low, se).alias("t_low"), over(F.col("diff") - high, se).alias("t_high"))
     one_sided = lambda t, d: t_sf(t, d) / 2 if t > 0 else 1 - t_sf(t, d) / 2
     p = F.greatest(as_column(one_sided, F.col("t_low"), F.col("df")), as_column(one_sided, -F.col("t_high"), F.col("df")))
     return o.withColumn("p", p)
@@ -350,9 +358,9 @@ def runs(df: DataFrame, value: str, order: list[str]) -> DataFrame:
     o = h.agg(F.count_if(new).cast("double").alias("runs"), F.sum("up").cast("double").alias("n1"), F.count_if(F.col("up") == 0).cast("double").alias("n2"))
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
-    mean = 2 * n1 * n2 / n + 1
-    sd = F.sqrt(2 * n1 * n2 * (2 * n1 * n2 - n) / (n * n * (n - 1)))
-    return _with_p(o.withColumns({"expected": mean, "z": (F.col("runs") - mean) / sd}), normal_two_sided, "z")
+    mean = over(2 * n1 * n2, n) + 1
+    sd = F.sqrt(over(2 * n1 * n2 * (2 * n1 * n2 - n), n * n * (n - 1)))
+    return _with_p(o.withColumns({"expected": mean, "z": over(F.col("runs") - mean, sd)}), normal_two_sided, "z")
 
 
 def _square(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -397,7 +405,7 @@ def rm_anova(df: DataFrame, value: str, subject: str, within: str) -> DataFrame:
     whole = F.when(F.col("cells") == F.col("ns") * F.col("nw"), F.col("cells")).otherwise(F.raise_error(F.lit("every subject needs every level")).cast("long"))
     treat, error = F.col("ss_w") * F.col("ns"), F.col("v") * whole - F.col("ss_s") * F.col("nw") - F.col("ss_w") * F.col("ns")
     o = o.select(treat.alias("ss_within"), error.alias("ss_error"), (F.col("nw") - 1).alias("df1"), ((F.col("nw") - 1) * (F.col("ns") - 1)).alias("df2"))
-    o = o.withColumn("f", F.col("ss_within") / F.col("df1") / (F.col("ss_error") / F.col("df2")))
+    o = o.withColumn("f", over(over(F.col("ss_within"), F.col("df1")), over(F.col("ss_error"), F.col("df2"))))
     return _with_p(o, f_sf, "f", "df1", "df2")
 
 

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualispark.functions.safe import over
 from qualispark.functions.special import chi2_sf, f_sf, t_ppf, t_sf
 from qualispark.operators.hypothesis import average_ranks
 
@@ -75,18 +76,26 @@ def logistic(df: DataFrame, response: str, predictors: list[str], steps: int = 2
     return df.sparkSession.createDataFrame(rows, "term string, coef double, se double, z double, odds_ratio double")
 
 
+def _corr(a: str, b: str) -> Column:
+    """Correlation of the rows that have both; null without spread."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return over(F.covar_pop(x, y), F.when(spread > 1e-300, spread))
+
+
 def correlation(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
     """a, b, n, r of each pair over its complete rows."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     if method == "pearson":
         both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-        row = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both(a, b)).alias("n"), F.corr(a, b).alias("r")) for a, b in pairs))
+        row = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both(a, b)).alias("n"), _corr(a, b).alias("r")) for a, b in pairs))
         return df.agg(row.alias("x")).select(F.inline("x"))
     out = None
     for a, b in pairs:
         own = df.select(F.col(a).cast("double").alias("u"), F.col(b).cast("double").alias("v")).na.drop()
         ranked = average_ranks(average_ranks(own, "u", "ru").drop("ties"), "v", "rv")
-        one = ranked.agg(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count("*").alias("n"), F.corr("ru", "rv").alias("r"))
+        one = ranked.agg(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count("*").alias("n"), _corr("ru", "rv").alias("r"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -928,14 +928,14 @@ def lag_pairs(spark, sf):
 
 
 @query(f"WITH p AS (SELECT o_orderpriority, date_trunc('year', o_orderdate) AS p, avg(o_totalprice) AS m FROM orders GROUP BY 1, 2) SELECT o_orderpriority, {R('arg_min(m, p)', 'first', 3)}, {R('arg_max(m, p)', 'last', 3)} FROM p GROUP BY 1")
-def slope(spark, sf):
-    return rounded(tabs.slope(table(spark, sf, "orders"), "o_orderpriority", "o_orderdate", "o_totalprice"), digits=3)
+def slope_periods(spark, sf):
+    return rounded(tabs.slope_periods(table(spark, sf, "orders"), "o_orderpriority", "o_orderdate", "o_totalprice"), digits=3)
 
 
 @query(f"""WITH p AS (SELECT o_orderpriority AS g, date_trunc('year', o_orderdate)::TIMESTAMP AS period, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2), t AS (SELECT g, period, sum(v) OVER (PARTITION BY g ORDER BY period) AS total FROM p)
  SELECT g, period, {R('total', 'total', 2)}, row_number() OVER (PARTITION BY period ORDER BY total DESC, g)::INT AS rank FROM t""")
-def race(spark, sf):
-    out = tabs.race(table(spark, sf, "orders"), "o_orderpriority", "o_orderdate", "o_totalprice")
+def race_totals(spark, sf):
+    out = tabs.race_totals(table(spark, sf, "orders"), "o_orderpriority", "o_orderdate", "o_totalprice")
     return rounded(out.withColumn("period", F.col("period").cast("timestamp_ntz")), digits=2)
 
 
@@ -951,8 +951,8 @@ def wind_rose(spark, sf):
 
 
 @query("SELECT floor(l_quantity / 5) * 5.0 AS bin, sum((l_linestatus = 'F')::INT)::BIGINT AS left, sum((l_linestatus <> 'F')::INT)::BIGINT AS right FROM lineitem GROUP BY 1".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'))
-def pyramid(spark, sf):
-    return tabs.pyramid(table(spark, sf, "lineitem"), "l_quantity", F.col("l_linestatus") == "F", 5.0).withColumn("bin", F.col("bin").cast("double"))
+def pyramid_sides(spark, sf):
+    return tabs.pyramid_sides(table(spark, sf, "lineitem"), "l_quantity", F.col("l_linestatus") == "F", 5.0).withColumn("bin", F.col("bin").cast("double"))
 
 
 @query(f"""WITH m AS (SELECT avg(p_size) AS mx, avg(p_retailprice) AS my FROM part) SELECT p_size >= mx AS "right", p_retailprice >= my AS top, count(*) AS n, {R('avg(p_size)', 'x')}, {R('avg(p_retailprice)', 'y')} FROM part, m GROUP BY 1, 2""")
@@ -967,22 +967,22 @@ def radar(spark, sf):
 
 
 @query("WITH e AS (SELECT c_mktsegment AS source, c_nationkey AS target, count(*) AS n FROM customer GROUP BY 1, 2) SELECT source, target, n, count(*) OVER (PARTITION BY source) AS out_degree, count(*) OVER (PARTITION BY target) AS in_degree FROM e")
-def network(spark, sf):
-    return tabs.network(table(spark, sf, "customer"), "c_mktsegment", "c_nationkey")
+def network_degrees(spark, sf):
+    return tabs.network_degrees(table(spark, sf, "customer"), "c_mktsegment", "c_nationkey")
 
 
 @query("SELECT o_orderstatus AS g, min(o_orderdate)::TIMESTAMP AS start, max(l_shipdate)::TIMESTAMP AS end, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1".replace("AS end", 'AS "end"'))
-def timeline(spark, sf):
+def timeline_spans(spark, sf):
     j = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return tabs.timeline(j, "o_orderstatus", "o_orderdate", "l_shipdate").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+    return tabs.timeline_spans(j, "o_orderstatus", "o_orderdate", "l_shipdate").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 @query(f"""WITH b AS (SELECT event_type AS period, (value >= 10)::INT + (value >= 25)::INT + (value >= 60)::INT AS bin, (user_id % 2 = 0) AS base FROM events WHERE value IS NOT NULL), n AS (SELECT period, bin, count(*) AS n, sum(base::INT) AS b FROM b GROUP BY 1, 2),
  e AS (SELECT period, unnest([0, 1, 2, 3]) AS bin FROM (SELECT DISTINCT period FROM n)), f AS (SELECT e.period, e.bin, coalesce(n, 0) AS n, coalesce(b, 0) AS b FROM e LEFT JOIN n USING (period, bin)), q AS (SELECT bin, (sum(b) + 0.5) / (sum(sum(b)) OVER () + 2) AS q FROM f GROUP BY 1),
  p AS (SELECT *, (n + 0.5) / (sum(n) OVER (PARTITION BY period) + 2) AS p FROM f) SELECT period, sum(n)::BIGINT AS n, {R('sum((p - q) * ln(p / q))', 'psi', 6)} FROM p JOIN q USING (bin) GROUP BY 1""")
-def drift(spark, sf):
+def drift_index(spark, sf):
     df = table(spark, sf, "events")
-    return rounded(tabs.drift(df, "value", F.col("event_type"), F.col("user_id") % 2 == 0, [10.0, 25.0, 60.0]), digits=6)
+    return rounded(tabs.drift_index(df, "value", F.col("event_type"), F.col("user_id") % 2 == 0, [10.0, 25.0, 60.0]), digits=6)
 
 
 # --------------------------------------------- limits, designs and regressions
@@ -1044,4 +1044,4 @@ def best_subsets(spark, sf):
     return rounded(out.filter("size = 1"), "terms", "size", "r2", digits=6)
 
 
-from qualispark import catalogue_models  # noqa: E402, F401  registers its queries
+from qualispark import catalogue_charts, catalogue_models  # noqa: E402, F401  they register their queries

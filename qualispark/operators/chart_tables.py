@@ -90,13 +90,13 @@ def lag_pairs(df: DataFrame, value: str, order: list[str], lag: int = 1) -> Data
     return own.filter(F.size("history") == lag).withColumn("before", F.col("history")[0]).drop("history")
 
 
-def slope(df: DataFrame, group: str, time: str, value: str, period: str = "year") -> DataFrame:
+def slope_periods(df: DataFrame, group: str, time: str, value: str, period: str = "year") -> DataFrame:
     """Mean of the first and of the last period of each group."""
     per = df.groupBy(group, F.date_trunc(period, F.col(time)).alias("p")).agg(F.avg(value).alias("m"))
     return per.groupBy(group).agg(F.min_by("m", "p").alias("first"), F.max_by("m", "p").alias("last"))
 
 
-def race(df: DataFrame, group: str, time: str, value: str, period: str = "year") -> DataFrame:
+def race_totals(df: DataFrame, group: str, time: str, value: str, period: str = "year") -> DataFrame:
     """Running total of each group by period, and its rank in the period."""
     per = df.groupBy(F.col(group).alias("g"), F.date_trunc(period, F.col(time)).alias("period")).agg(F.sum(value).alias("v"))
     upto = Window.partitionBy("g").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
@@ -118,7 +118,7 @@ def wind_rose(df: DataFrame, angle: str, strength: str, sectors: int = 16, rings
     return own.groupBy(sector.alias("sector"), ring.alias("ring")).agg(F.count("*").alias("n"))
 
 
-def pyramid(df: DataFrame, x: str, side: Column, width: float) -> DataFrame:
+def pyramid_sides(df: DataFrame, x: str, side: Column, width: float) -> DataFrame:
     """Counts of both sides by bins of ``width``."""
     own = df.filter(F.col(x).isNotNull() & side.isNotNull())
     return own.groupBy((F.floor(F.col(x).cast("double") / width) * width).alias("bin")).agg(F.count_if(side).alias("left"), F.count_if(~side).alias("right"))
@@ -140,18 +140,18 @@ def radar(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
     return long.withColumn("scaled", F.try_divide(F.col("mean") - F.min("mean").over(w), F.max("mean").over(w) - F.min("mean").over(w)))
 
 
-def network(df: DataFrame, source: str, target: str) -> DataFrame:
+def network_degrees(df: DataFrame, source: str, target: str) -> DataFrame:
     """Edges with their counts, and the degrees of both ends."""
     e = df.filter(F.col(source).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(source).alias("source"), F.col(target).alias("target")).agg(F.count("*").alias("n"))
     return e.withColumns({"out_degree": F.count("*").over(Window.partitionBy("source")), "in_degree": F.count("*").over(Window.partitionBy("target"))})
 
 
-def timeline(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
+def timeline_spans(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
     """First start, last end and number of spans of each group."""
     return df.groupBy(F.col(group).alias("g")).agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n"))
 
 
-def drift(df: DataFrame, x: str, period: Column, baseline: Column, edges: list[float]) -> DataFrame:
+def drift_index(df: DataFrame, x: str, period: Column, baseline: Column, edges: list[float]) -> DataFrame:
     """Population stability index of each period against the baseline rows, over bins cut at ``edges``."""
     own = df.filter(F.col(x).isNotNull())
     bin_ = sum(((F.col(x) >= e).cast("int") for e in edges), F.lit(0)).alias("bin")

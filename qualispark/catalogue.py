@@ -146,9 +146,9 @@ def xbar_r(spark, sf):
     return rounded(control.xbar_r(_subgroups(spark, sf), "l_quantity", "subgroup"), "k", "center", "r_bar", "ucl", "lcl", "r_ucl", "r_lcl")
 
 
-@query(f"WITH {_SUB} SELECT count(*) AS k, {R('avg(m)', 'center')}, {R('avg(d)', 's_bar')}, {R('avg(m) + 1.427 * avg(d)', 'ucl')}, {R('avg(m) - 1.427 * avg(d)', 'lcl')}, {R('2.089 * avg(d)', 's_ucl')} FROM s")
+@query(f"WITH {_SUB} SELECT count(*) AS k, {R('avg(m)', 'center')}, {R('avg(d)', 's_bar')}, {R('avg(m) + 1.427 * avg(d)', 'ucl')}, {R('avg(m) - 1.427 * avg(d)', 'lcl')}, {R('2.089 * avg(d)', 's_ucl')}, 0.0::DOUBLE AS s_lcl FROM s")
 def xbar_s(spark, sf):
-    return rounded(control.xbar_s(_subgroups(spark, sf), "l_quantity", "subgroup"), "k", "center", "s_bar", "ucl", "lcl", "s_ucl")
+    return rounded(control.xbar_s(_subgroups(spark, sf), "l_quantity", "subgroup"), "k", "center", "s_bar", "ucl", "lcl", "s_ucl", "s_lcl")
 
 
 _SUB_ALL = """g AS (SELECT l_partkey AS p, l_quantity AS x, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS i FROM lineitem),
@@ -509,11 +509,23 @@ def ols_simple(spark, sf):
     return rounded(out.withColumn("slope", F.round("slope", 3)).withColumn("intercept", F.round("intercept", 3)))
 
 
-@query(f"""WITH s AS (SELECT avg(l_extendedprice) AS my, avg(l_quantity) AS m1, avg(l_discount) AS m2, covar_samp(l_quantity, l_quantity) AS a, covar_samp(l_discount, l_discount) AS c, covar_samp(l_quantity, l_discount) AS b,
- covar_samp(l_extendedprice, l_quantity) AS y1, covar_samp(l_extendedprice, l_discount) AS y2 FROM lineitem), b AS (SELECT *, (c * y1 - b * y2) / (a * c - b * b) AS b1, (a * y2 - b * y1) / (a * c - b * b) AS b2 FROM s)
- SELECT term, {R('coef', 'coef', 2)} FROM (SELECT 'l_quantity' AS term, b1 AS coef FROM b UNION ALL SELECT 'l_discount', b2 FROM b UNION ALL SELECT 'intercept', my - b1 * m1 - b2 * m2 FROM b)""")
+_T975 = "(1.959963984540054 + 2.372271287 / (dof * 1.0) + 2.822785 / power(dof, 2))"  # Cornish and Fisher's expansion, for many degrees of freedom
+
+
+@query(
+    f"""WITH m AS (SELECT count(*)::DOUBLE AS n, avg(l_extendedprice) AS my, avg(l_quantity) AS m1, avg(l_discount) AS m2, var_samp(l_quantity) * (count(*) - 1) AS a, var_samp(l_discount) * (count(*) - 1) AS c, covar_samp(l_quantity, l_discount) * (count(*) - 1) AS b,
+ covar_samp(l_extendedprice, l_quantity) * (count(*) - 1) AS y1, covar_samp(l_extendedprice, l_discount) * (count(*) - 1) AS y2, var_samp(l_extendedprice) * (count(*) - 1) AS yy FROM lineitem),
+ b AS (SELECT *, a * c - b * b AS det, (c * y1 - b * y2) / (a * c - b * b) AS b1, (a * y2 - b * y1) / (a * c - b * b) AS b2, n - 3 AS dof FROM m), r AS (SELECT *, yy - b1 * y1 - b2 * y2 AS rss FROM b),
+ e AS (SELECT *, rss / dof AS mse, (yy - rss) / 2 / (rss / dof) AS f, n * ln(2 * pi()) + n * ln(rss / n) + n AS ll FROM r),
+ t AS (SELECT 'l_quantity' AS term, b1 AS coef, sqrt(mse * c / det) AS se, a * c / det AS vif, e.* FROM e UNION ALL SELECT 'l_discount', b2, sqrt(mse * a / det), a * c / det, e.* FROM e
+  UNION ALL SELECT 'intercept', my - b1 * m1 - b2 * m2, sqrt(mse * (1 / n + (m1 * m1 * c - 2 * m1 * m2 * b + m2 * m2 * a) / det)), NULL, e.* FROM e)
+ SELECT term, {R('coef', 'coef', 2)}, {R('se', 'se', 2)}, {R('coef / se', 't', 3)}, {R(PT('(coef / se)', 'dof'), 'p', 4)}, {R(f'coef - {_T975} * se', 'low', 1)}, {R(f'coef + {_T975} * se', 'high', 1)}, {R('vif', 'vif')}, n::BIGINT AS n, {R('1 - rss / yy', 'r2', 6)}, {R('1 - mse / (yy / (n - 1))', 'adj_r2', 6)},
+  {R('f', 'f', 3)}, {R(PF('f', '2', 'dof'), 'f_p', 4)}, {R('sqrt(mse)', 'rmse', 2)}, {R('ll + 6', 'aic', 1)}, {R('ll + 3 * ln(n)', 'bic', 1)} FROM t"""
+)
 def ols_multi(spark, sf):
-    return rounded(models.ols(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"]), "term", "coef", digits=2)
+    out = models.ols(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])
+    digits = {"coef": 2, "se": 2, "t": 3, "p": 4, "low": 1, "high": 1, "r2": 6, "adj_r2": 6, "f": 3, "f_p": 4, "rmse": 2, "aic": 1, "bic": 1}
+    return out.select(*((F.round(c, digits.get(c, 5)) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes))
 
 
 @query(
@@ -540,9 +552,16 @@ def _lives(spark, sf):
     return table(spark, sf, "lineitem").withColumn("life", F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")))
 
 
-@query(f"""WITH {_KM} SELECT {R('t', 't')}, n, d, {R('CASE WHEN max((d = n)::INT) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN d < n THEN ln(1 - d::DOUBLE / n) ELSE 0 END) OVER w) END', 's')} FROM k WINDOW w AS (ORDER BY t)""")
+_POWER = "CASE WHEN s > 0 AND s < 1 THEN power(s, exp({} 1.959963984540054 * sqrt(v) / abs(ln(s)))) END"
+
+
+@query(
+    f"""WITH {_KM}, r AS (SELECT t, n, d, CASE WHEN max((d = n)::INT) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN d < n THEN ln(1 - d::DOUBLE / n) ELSE 0 END) OVER w) END AS s,
+ sum(CASE WHEN d < n THEN d::DOUBLE / (n::DOUBLE * (n - d)) END) OVER w AS v FROM k WINDOW w AS (ORDER BY t))
+ SELECT {R('t', 't')}, n, d, {R('s', 's')}, {R('v', 'v')}, {R(_POWER.format('+'), 'low')}, {R(_POWER.format('-'), 'high')} FROM r"""
+)
 def kaplan_meier(spark, sf):
-    return rounded(models.kaplan_meier(_lives(spark, sf), "life", F.col("l_returnflag") == "R"), "t", "n", "d", "s")
+    return rounded(models.kaplan_meier(_lives(spark, sf), "life", F.col("l_returnflag") == "R"), "t", "n", "d", "s", "v", "low", "high")
 
 
 _KSAMPLE = """t AS (SELECT (l_shipdate::DATE - DATE '1992-01-01')::DOUBLE AS t, (l_returnflag = 'R')::INT AS e, {g} AS g FROM lineitem),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qualispark.catalogue import PF, PN, R, query, rounded, table
-from qualispark.operators import control, likelihood, mixed, multivariate, orderpairs, orderstats, resample, smoothing, survival
+from qualispark.operators import cluster, control, likelihood, mixed, multivariate, orderpairs, orderstats, resample, smoothing, survival
 from qualispark.streaming import live
 
 # ------------------------------------------------------------ bootstrap
@@ -399,3 +399,11 @@ def live_signals(spark, sf):
     """A stream over the files of events, ended when they are read."""
     told = live.signals_of_files(spark, f"{sf}/events.parquet", "event_type", ["ts", "event_id"], "value")
     return rounded(told.withColumns({c: F.round(c, 4) for c in ("center", "lcl", "ucl")}), "event_type", "event_id", "value", "rule", "center", "lcl", "ucl")
+
+
+def kmeans(spark, sf):
+    """Clusters of orders' lines; tests hold it against plain steps."""
+    return rounded(cluster.kmeans(_lines(spark, sf), ["q", "price"], 3), digits=3)
+
+
+query()(kmeans)

@@ -1031,18 +1031,26 @@ def two_way_anova(spark, sf):
     return rounded(out.filter("term in ('l_returnflag', 'within', 'total')"), "term", "ss", digits=2)
 
 
-@query(f"""WITH s AS (SELECT sum((l_returnflag = 'R')::INT)::DOUBLE AS y, avg(CASE WHEN l_linestatus = 'F' THEN (l_returnflag = 'R')::INT END) AS pf, avg(CASE WHEN l_linestatus <> 'F' THEN (l_returnflag = 'R')::INT END) AS po, count(*) AS n FROM lineitem)
- SELECT 'intercept' AS term, {R('ln(po)', 'coef')}, n FROM s UNION ALL SELECT 'f', {R('ln(pf / po)', 'coef')}, n FROM s""")
-def poisson_rate(spark, sf):
+_RATES = "s AS (SELECT sum(y) FILTER (f = 1) AS yf, count(*) FILTER (f = 1)::DOUBLE AS nf, sum(y) FILTER (f = 0) AS yo, count(*) FILTER (f = 0)::DOUBLE AS no, count(*) AS n FROM (SELECT (l_returnflag = 'R')::INT::DOUBLE AS y, (l_linestatus = 'F')::INT AS f FROM lineitem))"
+_FIT = f"SELECT term, {R('coef', 'coef')}, {R('se', 'se')}, {R('coef / se', 'z', 3)}, {R(PN('(coef / se)'), 'p', 4)}, {R('exp(coef)', 'ratio')}, {R('dev', 'deviance', 3)}, n FROM t"
+
+
+def _rates(spark, sf, family: str) -> DataFrame:
     df = table(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_linestatus") == "F").cast("double").alias("f"))
-    return rounded(regression.glm(df, "y", ["f"], "poisson"), "term", "coef", "n")
+    out, digits = regression.glm(df, "y", ["f"], family), {"z": 3, "p": 4, "deviance": 3}
+    return out.select(*((F.round(c, digits.get(c, 5)) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes))
 
 
-@query(f"""WITH s AS (SELECT avg(CASE WHEN l_linestatus = 'F' THEN (l_returnflag = 'R')::INT END) AS pf, avg(CASE WHEN l_linestatus <> 'F' THEN (l_returnflag = 'R')::INT END) AS po, count(*) AS n FROM lineitem)
- SELECT 'intercept' AS term, {R('ln(po / (1 - po))', 'coef')}, n FROM s UNION ALL SELECT 'f', {R('ln(pf / (1 - pf)) - ln(po / (1 - po))', 'coef')}, n FROM s""")
+@query(f"""WITH {_RATES}, d AS (SELECT *, -2 * (yf * ln(yf / nf) + yo * ln(yo / no)) AS dev FROM s),
+ t AS (SELECT 'intercept' AS term, ln(yo / no) AS coef, 1 / sqrt(yo) AS se, dev, n FROM d UNION ALL SELECT 'f', ln(yf / nf) - ln(yo / no), sqrt(1 / yf + 1 / yo), dev, n FROM d) {_FIT}""")
+def poisson_rate(spark, sf):
+    return _rates(spark, sf, "poisson")
+
+
+@query(f"""WITH {_RATES}, d AS (SELECT *, -2 * (yf * ln(yf / nf) + (nf - yf) * ln(1 - yf / nf) + yo * ln(yo / no) + (no - yo) * ln(1 - yo / no)) AS dev FROM s),
+ t AS (SELECT 'intercept' AS term, ln(yo / (no - yo)) AS coef, sqrt(1 / yo + 1 / (no - yo)) AS se, dev, n FROM d UNION ALL SELECT 'f', ln(yf / (nf - yf)) - ln(yo / (no - yo)), sqrt(1 / yf + 1 / (nf - yf) + 1 / yo + 1 / (no - yo)), dev, n FROM d) {_FIT}""")
 def logit_rate(spark, sf):
-    df = table(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_linestatus") == "F").cast("double").alias("f"))
-    return rounded(regression.glm(df, "y", ["f"], "binomial"), "term", "coef", "n")
+    return _rates(spark, sf, "binomial")
 
 
 @query(f"""WITH s AS (SELECT avg(l_extendedprice) AS my, avg(l_quantity) AS mx, covar_pop(l_extendedprice, l_quantity) AS c, var_pop(l_quantity) AS v, count(*) AS n FROM lineitem), b AS (SELECT *, c * n / (v * n + 1000.0 * v) AS b FROM s)

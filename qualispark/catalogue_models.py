@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qualispark.catalogue import PF, PN, R, query, rounded, table
-from qualispark.operators import cluster, control, likelihood, mixed, multivariate, orderpairs, orderstats, resample, smoothing, survival
+from qualispark.operators import cluster, control, distributions, likelihood, mixed, multivariate, orderpairs, orderstats, resample, smoothing, survival
 from qualispark.streaming import live
 
 # ------------------------------------------------------------ bootstrap
@@ -407,3 +407,11 @@ def kmeans(spark, sf):
 
 
 query()(kmeans)
+
+
+def distribution_id(spark, sf):
+    """Fits of nine families; tests hold them against perturbed likelihoods and sorted samples."""
+    return rounded(distributions.distribution_id(table(spark, sf, "lineitem"), "l_extendedprice"), digits=3)
+
+
+query()(distribution_id)

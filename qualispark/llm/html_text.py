@@ -11,6 +11,7 @@ out with all they hold. Every page is rendered in its own task; no shuffle.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -112,10 +113,13 @@ class _Renderer(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open = [_Element("#root", False, False)]
+        self.among: Counter[str] = Counter()  # open elements by tag: most searches of the stack end here
 
     # tree builder
 
     def _find(self, tags, stop) -> int | None:
+        if not any(self.among[t] for t in tags):
+            return None
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
                 return i
@@ -213,8 +217,10 @@ class _Renderer(HTMLParser):
             span = attrs.get("colspan") or ""
             e.span = min(int(span), 1000) if re.fullmatch(r"[0-9]{1,4}", span) and int(span) else 1
         self.open.append(e)
+        self.among[self.open[-1].tag] += 1
 
     def _close(self) -> None:
+        self.among[self.open[-1].tag] -= 1
         e, up = self.open.pop(), self.open[-1]
         if e.hidden:
             return

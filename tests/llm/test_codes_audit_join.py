@@ -206,10 +206,10 @@ def test_cells_on_the_cluster_and_in_tasks(spark, monkeypatch, region, leaf):
     monkeypatch.setattr(metric_join, "LEAF", leaf)
     rng = random.Random(region)
     shared = [f"s{i}" for i in range(14)]
-    rows = list(enumerate(families(rng, 5, 60, (30, 60))))
-    for family in range(12):  # strangers and families under the same rare shingles
+    rows = list(enumerate(families(rng, 3, 40, (30, 60))))
+    for family in range(6):  # strangers and families under the same rare shingles
         base = shared + [f"f{family}w{i}" for i in range(30)]
-        for copy in range(9):
+        for copy in range(7):
             w = list(base)
             for _ in range(rng.randrange(3)):
                 w[rng.randrange(len(w))] = f"v{copy}"
@@ -221,7 +221,7 @@ def test_chain_longer_than_the_radius(spark, monkeypatch):
     """Ends of a chain are far apart and yet one component."""
     monkeypatch.setattr(metric_join, "REGION", 16)
     words = [f"c{i}" for i in range(400)]
-    rows = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(110)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(60)]
     want = plain_groups(rows)
     assert len({r[2] for r in want}) == 1
     assert grouped(spark, rows) == want

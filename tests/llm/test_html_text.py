@@ -66,3 +66,12 @@ def test_odd_rows(spark):
     got = sorted(((r["page_id"] or 0), r["text"], r["n_lines"]) for r in extract(spark.createDataFrame(rows, schema)).collect())
     assert got == [(0, "a", 1), (1, "", 0), (1, "", 0), (2, "", 0)]
     assert extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_many_open_tags_take_linear_time():
+    import time
+
+
+    began = time.perf_counter()
+    assert visible_text("<b>x" * 20_000).count("x") == 20_000
+    assert time.perf_counter() - began < 5

@@ -219,10 +219,10 @@ def holt_winters(spark, sf):
     f"""WITH RECURSIVE {_DAYS}, h AS (
  SELECT 0 AS i, x AS l, (SELECT x FROM i WHERE i = 1) - x AS b, x, 0.0::DOUBLE AS f, day FROM i WHERE i = 0
  UNION ALL SELECT h.i + 1, 0.3 * i.x + 0.7 * (l + b), 0.1 * (0.3 * i.x + 0.7 * (l + b) - l) + 0.9 * b, i.x, l + b, i.day FROM h JOIN i ON i.i = h.i + 1)
- SELECT day, {R('x', 'x')}, {R('l', 'level')}, {R('b', 'trend')}, {R('f', 'fitted')} FROM h WHERE i > 0"""
+ SELECT day, {R('x', 'x', 8)}, {R('l', 'level', 8)}, {R('b', 'trend', 8)}, {R('f', 'fitted', 8)} FROM h WHERE i > 0"""
 )
 def holt_fitted(spark, sf):
-    return rounded(smoothing.smoothed(_days(spark, sf), "x", ["day"], 0.3, 0.1))
+    return rounded(smoothing.smoothed(_days(spark, sf), "x", ["day"], 0.3, 0.1), digits=8)
 
 
 def smoothing_fit(spark, sf):

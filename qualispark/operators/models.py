@@ -109,18 +109,27 @@ def simple_line(df: DataFrame, y: str, x: str, group: str | None = None) -> Data
 def kaplan_meier(df: DataFrame, time: str, event: Column, group: str | None = None) -> DataFrame:
     """Survival at each event time with Greenwood's interval.
 
-    Windows run over distinct times, after the aggregate.
+    Totals run over distinct times, after the aggregate: in chunks without a
+    group, in a window for each group with one.
     """
+    from qualispark.operators.ordered import running
+
     keys = [group] if group else []
     t = df.select(*keys, F.col(time).cast("double").alias("t"), event.cast("int").alias("e")).na.drop()
     per = t.groupBy(*keys, "t").agg(F.sum("e").alias("d"), F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy(F.col("t").desc())
-    per = per.withColumn("n", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("d > 0")
-    up = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    dead = F.max((F.col("d") == F.col("n")).cast("int")).over(up) == 1
-    s = F.when(dead, 0.0).otherwise(F.exp(F.sum(F.when(F.col("d") < F.col("n"), F.log1p(-F.col("d") / F.col("n"))).otherwise(0.0)).over(up)))
-    v = F.sum(F.try_divide(F.col("d").cast("double"), F.col("n") * (F.col("n") - F.col("d")))).over(up)
-    out = per.select(*keys, "t", "n", "d", s.alias("s"), v.alias("v"))
+    log_s = F.when(F.col("d") < F.col("n"), F.log1p(-F.col("d") / F.col("n"))).otherwise(0.0)
+    step_v = F.try_divide(F.col("d").cast("double"), F.col("n") * (F.col("n") - F.col("d")))
+    steps = {"ls": log_s, "dv": step_v, "all": (F.col("d") == F.col("n")).cast("int")}
+    if group:
+        w = Window.partitionBy(*keys).orderBy(F.col("t").desc())
+        risk = per.withColumn("n", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("d > 0").withColumns(steps)
+        up = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+        run = risk.withColumns({"__s": F.sum("ls").over(up), "v": F.sum("dv").over(up), "__dead": F.max("all").over(up)})
+    else:
+        risk = running(per.withColumn("__back", -F.col("t")), ["__back"], n=("c", "sum")).filter("d > 0").withColumns(steps)
+        run = running(risk, ["t"], __s=("ls", "sum"), v=("dv", "sum"), __dead=("all", "max"))
+    s = F.when(F.col("__dead") == 1, 0.0).otherwise(F.exp("__s"))
+    out = run.select(*keys, "t", "n", "d", s.alias("s"), "v")
     power = lambda sign: F.pow(F.col("s"), F.exp(sign * 1.959963984540054 * F.sqrt("v") / F.abs(F.log("s"))))
     inside = (F.col("s") > 0) & (F.col("s") < 1)
     return out.withColumns({"low": F.when(inside, power(1)), "high": F.when(inside, power(-1))})

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from qualispark.functions.safe import over
 from qualispark.operators.models import gram
-from qualispark.operators.ordered import last, numbered, running, with_history
+from qualispark.operators.ordered import last, numbered, previous, running, with_history
 from qualispark.operators.scan import System, affine
 
 # Published three-decimal Shewhart factors by subgroup size.
@@ -123,8 +123,7 @@ def phased_imr(df: DataFrame, value: str, phase: str, order: list[str]) -> DataF
     keyed = with_history(points, ["row"], phase, 1, "was") if not _nullable(points, phase) else None
     rows = keyed.withColumn("new", F.coalesce((F.try_element_at("was", F.lit(1)) != F.col(phase)).cast("long"), F.lit(1).cast("long")))
     rows = running(rows, ["row"], run=("new", "sum"))
-    w = Window.partitionBy("run").orderBy("row")
-    ranged = rows.withColumn("mr", F.abs(F.col("x") - F.lag("x").over(w)))
+    ranged = previous(rows, "run", ["row"], "x", "__was").withColumn("mr", F.abs(F.col("x") - F.col("__was")))
     return ranged.groupBy("run", phase).agg(
         F.count("*").alias("n"), F.avg("x").alias("center"), (F.avg("mr") / D2_PAIR).alias("sigma")
     )
@@ -319,9 +318,8 @@ def g_chart(df: DataFrame, count: str) -> DataFrame:
 
 def z_mr(df: DataFrame, value: str, group: str, order: list[str]) -> DataFrame:
     """Points standardised by their group's mean and moving range; groups under two points are left out."""
-    w = Window.partitionBy(group).orderBy(*order)
     own = _points(df, value, group, *order).filter(F.col(group).isNotNull())
-    own = own.withColumn("mr", F.abs(F.col("x") - F.lag("x").over(w)))
+    own = previous(own, group, order, "x", "__was").withColumn("mr", F.abs(F.col("x") - F.col("__was"))).drop("__was")
     stats = own.groupBy(group).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), (F.avg("mr") / D2_PAIR).alias("s")).filter("n >= 2")
     out = own.join(stats, group).withColumn("z", F.try_divide(F.col("x") - F.col("mean"), F.col("s")))
     return out.withColumn("out", F.abs(F.col("z")) > 3).drop("n", "mean", "s")
@@ -329,10 +327,9 @@ def z_mr(df: DataFrame, value: str, group: str, order: list[str]) -> DataFrame:
 
 def short_run(df: DataFrame, value: str, group: str, order: list[str]) -> DataFrame:
     """One row: limits of deviations from group means with the pooled moving range."""
-    w = Window.partitionBy(group).orderBy(*order)
     own = _points(df, value, group, *order).filter(F.col(group).isNotNull())
     means = own.groupBy(group).agg(F.avg("x").alias("mean"))
-    dev = own.withColumn("mr", F.abs(F.col("x") - F.lag("x").over(w))).join(means, group).withColumn("dev", F.col("x") - F.col("mean"))
+    dev = previous(own, group, order, "x", "__was").withColumn("mr", F.abs(F.col("x") - F.col("__was"))).join(means, group).withColumn("dev", F.col("x") - F.col("mean"))
     s = F.avg("mr") / D2_PAIR
     out = dev.agg(F.count("dev").alias("n"), s.alias("sigma"))
     return out.withColumns({"ucl": 3 * F.col("sigma"), "lcl": -3 * F.col("sigma")})

@@ -82,6 +82,22 @@ def with_history(df: DataFrame, order: list[str], value: str, k: int, name: str
     )
 
 
+def previous(df: DataFrame, by: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``name``: the value of the row before within the same ``by`` (null at its first row).
+
+    A group is spread over the chunks of the order; its last value of each
+    chunk, one row a group and chunk, goes on to the group's next chunk.
+    """
+    cut = chunked(df, order)
+    inside = Window.partitionBy(by, _CHUNK).orderBy(*(F.col(c).asc_nulls_last() for c in order))
+    tails = cut.groupBy(F.col(by).alias("__by"), F.col(_CHUNK).alias("__at")).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*(F.struct(F.col(c).isNull(), F.col(c)) for c in order))).alias("__last"))
+    before = Window.partitionBy("__by").orderBy("__at").rowsBetween(-1, -1)  # one row a chunk
+    carried = tails.select("__by", "__at", F.first("__last").over(before).alias("__carry"))
+    rows = cut.withColumns({"__in": F.lag(F.struct(F.col(value).alias("v"))).over(inside)})
+    out = rows.join(carried, F.col(by).eqNullSafe(F.col("__by")) & (F.col(_CHUNK) == F.col("__at")))
+    return out.withColumn(name, F.coalesce("__in", "__carry")["v"]).drop("__in", "__by", "__at", "__carry", _CHUNK)
+
+
 def running(df: DataFrame, order: list[str], **totals: tuple[str, str]) -> DataFrame:
     """Running ``sum``, ``min`` or ``max`` up to each row: name=(column, function)."""
     cut = chunked(df, order)

@@ -83,6 +83,18 @@ def test_order_by_text_and_by_a_repeated_key(spark):
     assert ordered.chunked(df, ["k", "i"], 8).select("__chunk").distinct().count() > 5
 
 
+def test_previous_of_a_group_over_chunks(spark):
+    from qualispark.operators import ordered
+
+    rows = [("abc"[i * 7 % 3 if i % 5 else 0], i, None if i % 11 == 0 else float(i * i % 17)) for i in range(200)] + [(None, 500, 1.0), (None, 501, 2.0)]
+    df = spark.createDataFrame(rows, "g string, i int, x double").repartition(7)
+    want, last = {}, {}
+    for g, i, x in rows:
+        want[i] = last.get(g)
+        last[g] = x
+    assert {r["i"]: r["was"] for r in ordered.previous(df, "g", ["i"], "x", "was").collect()} == want
+
+
 def test_rules_keep_order_columns(spark):
     df = spark.createDataFrame([(i, float(i % 4)) for i in range(30)], "d int, v double")
     out = control.run_rules(df, "v", ["d"])

@@ -1071,4 +1071,4 @@ def best_subsets(spark, sf):
     return rounded(out.filter("size = 1"), "terms", "size", "r2", digits=6)
 
 
-from qualispark import catalogue_charts, catalogue_models  # noqa: E402, F401  they register their queries
+from qualispark import catalogue_charts, catalogue_models, catalogue_studies  # noqa: E402, F401  they register their queries

@@ -203,6 +203,17 @@ def within_appraiser(spark, sf):
     return rounded(studies.within_appraiser(_ratings(spark, sf, 3), "who", "l_partkey", "l_returnflag"))
 
 
+@query(
+    """WITH s AS (SELECT *, CASE WHEN l_partkey % 3 = 0 THEN 'A' WHEN l_partkey % 3 = 1 THEN 'N' ELSE 'R' END AS s FROM lineitem), c AS (SELECT 'a' || l_linenumber % 3 AS appraiser, l_partkey AS p, bool_and(l_returnflag = s) AS same FROM s GROUP BY 1, 2)
+ SELECT appraiser, count(*) FILTER (same) AS matched, count(*) AS total, """ + R("100 * count(*) FILTER (same) / count(*)", "share") + " FROM c GROUP BY 1"
+)
+def against_standard(spark, sf):
+    """Return flags against a flag by part number."""
+    at = F.col("l_partkey") % 3
+    df = _ratings(spark, sf, 3).withColumn("s", F.when(at == 0, "A").when(at == 1, "N").otherwise("R"))
+    return rounded(studies.against_standard(df, "who", "l_partkey", "l_returnflag", "s"))
+
+
 @query(
     f"""WITH {_modes(3)}, x AS (SELECT p, r, count(*) AS c FROM m GROUP BY p, r), q AS (SELECT p, (sum(c * c) - 3) / 6.0 AS q, count(*) AS d FROM x GROUP BY p), e AS (SELECT sum(s * s) AS e FROM (SELECT sum(c) / (SELECT sum(c) FROM x) AS s FROM x GROUP BY r))
  SELECT 3::BIGINT AS appraisers, count(*) AS parts, count(*) FILTER (d = 1) AS matched, {R('avg(q)', 'p_observed')}, {R('any_value(e)', 'p_expected')}, {R('(avg(q) - any_value(e)) / (1 - any_value(e))', 'kappa')} FROM q, e"""

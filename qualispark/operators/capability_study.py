@@ -35,7 +35,7 @@ def capability_study(
     The deviation within comes from moving ranges in ``order`` or from the ranges of subgroups of one size (2 to 25;
     other sizes are an error): give one of the two. With one limit cp, pp and cpm are null, cpk and ppk that limit's.
     ``transform``="box-cox" fits a power by maximum likelihood and studies the powers; values that aren't positive are
-    an error. Rows with a null or NaN are left out; without spread the indices are null; an empty table gives no row.
+    an error. Rows with a null or NaN, or without a subgroup, are left out; without spread the indices are null; an empty table gives no row.
     """
     if lsl is None and usl is None:
         raise ValueError("capability needs a limit")
@@ -44,9 +44,10 @@ def capability_study(
     if transform not in (None, "box-cox"):
         raise ValueError(f"no such transform: {transform}")
     keys = order if order is not None else [subgroup]
-    own = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v is not null and not isnan(__v)")
+    inner = [f"__k{i}" for i in range(len(keys))]
+    own = df.select(*(F.col(c).alias(k) for c, k in zip(keys, inner, strict=True)), F.col(value).cast("double").alias("__v")).filter("__v is not null and not isnan(__v)")
     if subgroup is not None:
-        own = own.filter(F.col(subgroup).isNotNull())
+        own = own.filter(F.col(inner[0]).isNotNull())
     power = None
     if transform:
         least = own.agg(F.min("__v")).first()[0]
@@ -59,9 +60,9 @@ def capability_study(
     above = F.count_if(F.col("x") > usl) if usl is not None else F.lit(0).cast("long")
     all_ = [F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), below.alias("below"), above.alias("above")]
     if order is not None:
-        o = imr_points(own, "__v", order).agg(*all_, (F.avg("mr") / D2_PAIR).alias("within"))
+        o = imr_points(own, "__v", inner).agg(*all_, (F.avg("mr") / D2_PAIR).alias("within"))
     else:
-        ranges = own.groupBy(subgroup).agg(F.count("*").alias("size"), (F.max("__v") - F.min("__v")).alias("r"))
+        ranges = own.groupBy(inner[0]).agg(F.count("*").alias("size"), (F.max("__v") - F.min("__v")).alias("r"))
         g = ranges.agg(F.min("size").alias("size"), F.max("size").alias("most"), F.avg("r").alias("r")).filter(_one_size())
         g = g.select((F.col("r") / _factor(D2, F.col("size"))).alias("within"))
         o = own.select(F.col("__v").alias("x")).agg(*all_).join(F.broadcast(g))

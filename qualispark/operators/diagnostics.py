@@ -89,7 +89,9 @@ def durbin_watson(df: DataFrame, response: str, predictors: list[str], order: li
     df = df.filter(_complete([*predictors, response]))
     _, means, _, b, _ = _line(df, response, predictors)
     fitted = float(means[-1]) + sum((float(c) * (F.col(x).cast("double") - float(m)) for c, x, m in zip(b, predictors, means, strict=False)), F.lit(0.0))
-    points = imr_points(df.select(*order, (F.col(response).cast("double") - fitted).alias("__e")), "__e", order)
+    inner = [f"__k{i}" for i in range(len(order))]
+    own = df.select(*(F.col(c).alias(k) for c, k in zip(order, inner, strict=True)), (F.col(response).cast("double") - fitted).alias("__e"))
+    points = imr_points(own, "__e", inner)
     return points.agg(F.count("x").alias("n"), over(F.sum(F.col("mr") * F.col("mr")), F.sum(F.col("x") * F.col("x"))).alias("dw"))
 
 

@@ -172,6 +172,19 @@ def cohen_kappa(df: DataFrame, appraiser: str, part: str, rating: str, weights:
     return df.sparkSession.createDataFrame([(n, row["matched"], float(observed), expected, float(kappa))], schema)
 
 
+def against_standard(df: DataFrame, appraiser: str, part: str, rating: str, standard: str) -> DataFrame:
+    """appraiser, matched, total, share: of an appraiser's parts, those whose every rating is the part's standard.
+
+    A part whose rows name two standards is an error. Rows with a null in a used column are left out.
+    """
+    own = df.select(F.col(appraiser).alias("appraiser"), F.col(part).alias("p"), F.col(rating).cast("string").alias("r"), F.col(standard).cast("string").alias("s")).na.drop()
+    cell = own.groupBy("appraiser", "p").agg(F.min("s").alias("s"), F.max("s").alias("t"), F.min("r").alias("low"), F.max("r").alias("high"))
+    same = (F.col("low") == F.col("s")) & (F.col("high") == F.col("s"))
+    two = F.raise_error(F.lit("a part has two standards")).cast("boolean")
+    g = cell.select("appraiser", F.when(F.col("s") != F.col("t"), two).otherwise(same).alias("same")).groupBy("appraiser").agg(F.count_if("same").alias("matched"), F.count("*").alias("total"))
+    return g.withColumn("share", 100 * over(F.col("matched"), F.col("total")))
+
+
 def variance_budget(df: DataFrame, value: str, factors: list[str]) -> DataFrame:
     """source, df, ss, share (percent), f, p: what each factor explains beyond all others, and the rest (source "residual").
 

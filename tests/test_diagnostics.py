@@ -305,3 +305,23 @@ def test_variance_budget(spark):
     assert twin["a"]["df"] == 0 and twin["a"]["ss"] == 0 and twin["a"]["f"] is None
     with pytest.raises(ValueError):
         studies.variance_budget(df.filter("false"), "y", ["a"])
+
+
+def test_against_standard(spark):
+    rows = [("x", 1, "a", "a"), ("x", 1, "a", "a"), ("x", 2, "a", "b"), ("x", 3, "b", "b"), ("x", 3, "a", "b"), ("y", 1, "a", "a"), ("y", 2, None, "b")]
+    df = spark.createDataFrame(rows, "a string, p int, r string, s string").repartition(3)
+    got = {r["appraiser"]: (r["matched"], r["total"]) for r in studies.against_standard(df, "a", "p", "r", "s").collect()}
+    assert got == {"x": (1, 3), "y": (1, 1)}
+    with pytest.raises(Exception, match="two standards"):
+        studies.against_standard(df.union(spark.createDataFrame([("x", 1, "a", "b")], df.schema)), "a", "p", "r", "s").collect()
+    assert studies.against_standard(df.filter("false"), "a", "p", "r", "s").count() == 0
+
+
+def test_keys_named_like_inner_columns(spark):
+    rows = [(i, i // 3, i // 3, float(i * i % 7), float(i % 5)) for i in range(30)]
+    df = spark.createDataFrame(rows, "x int, r int, size int, v double, w double").repartition(3)
+    want = cs.capability_study(df.withColumnRenamed("x", "i"), "v", 0.0, 9.0, order=["i"]).first()
+    assert cs.capability_study(df, "v", 0.0, 9.0, order=["x"]).first() == want
+    by = {name: cs.capability_study(df, "v", 0.0, 9.0, subgroup=name).first()["within"] for name in ("r", "size")}
+    assert by["r"] == by["size"] > 0
+    assert diagnostics.durbin_watson(df, "v", ["w"], ["x"]).first()["n"] == 30

@@ -30,27 +30,49 @@ def cuts(df: DataFrame, key: Column, n: int) -> list[float]:
     return [x for x in found if x == x]
 
 
+def below(bounds: Column, value: Column, most: int) -> Column:
+    """How many of the rising ``bounds`` (``most`` at most) are at or below ``value``, by halving steps; its expression is of one size."""
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(max(1, most).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1) <= value, F.lit(False)), at + step).otherwise(at))
+
+
+def bucket(df: DataFrame, column: str, splits: list[float], name: str) -> DataFrame:
+    """``name``: how many of the rising ``splits`` are at or below ``column`` (a double); nulls and NaN come last."""
+    cut = [float("-inf"), *(splits or [0.0]), float("inf")]
+    return Bucketizer(splits=cut, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
+
+
 def chunked(df: DataFrame, order: list[str], chunks: int | None = None) -> DataFrame:
     """``df`` with its chunk number; rows without a key come last.
 
     A value of the first key that fills several chunks is cut again by the
-    second key, if there is one.
+    second key, if there is one, into a few more parts than chunks. The cuts of
+    such values are a small table that is joined, so the plan doesn't grow with
+    their number.
     """
     n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = df.withColumn("__key", place(df, order[0]))
-    found = cuts(df, F.col("__key"), n)
-    splits = [float("-inf"), *sorted(set(found) or {0.0}), float("inf")]
-    out = Bucketizer(splits=splits, inputCol="__key", outputCol=_CHUNK, handleInvalid="keep").transform(df)
+    df = df.withColumn("__key", place(df, order[0]) + F.lit(0.0))  # no negative zero
+    found = [x + 0.0 for x in cuts(df, F.col("__key"), n)]
+    splits = sorted(set(found))
+    out = bucket(df, "__key", splits, _CHUNK)
     heavy = sorted({x for x in found if found.count(x) > 1})
     if heavy and len(order) > 1:
+        many = F.percentile_approx(place(df, order[1]), [i / n for i in range(1, n)], 10_000)
+        # a row for each of fewer than n keys
+        inner = {r["__key"]: r["at"] or [] for r in df.filter(F.col("__key").isin(heavy)).groupBy("__key").agg(many.alias("at")).collect()}
+        parts = []
+        for key in heavy:
+            step = max(1, n // (found.count(key) + 2))
+            parts.append((key, splits.index(key) + 1.0, sorted(set(inner.get(key, [])[step - 1 :: step]))))
+        table = df.sparkSession.createDataFrame(parts, "__own double, __home double, __at array<double>")
+        most = max(len(at) for _, _, at in parts)
+        # a heavy value's rows lie below half a chunk, the rest of its chunk above
+        home, keys = F.broadcast(table.select("__home")), F.broadcast(table.select("__own", "__at"))
+        out = out.join(keys, F.col("__key") == F.col("__own"), "left").join(home, F.col(_CHUNK) == F.col("__home"), "left")
         second = place(df, order[1])
-        many = F.percentile_approx(second, [i / n for i in range(1, n)], 10_000)
-        for r in df.filter(F.col("__key").isin(heavy)).groupBy("__key").agg(many.alias("at")).collect():  # a row for each of fewer than n keys
-            inner = F.array(*(F.lit(x) for x in sorted(set(r["at"] or [])))).cast("array<double>")
-            part = F.size(F.filter(inner, lambda x: x <= second)) / (n + 1)
-            # half a chunk up: after the smaller keys of its range, before the next
-            moved = F.when(F.col("__key") == r["__key"], F.coalesce(part, F.lit(n / (n + 1)))).otherwise(F.when((F.col(_CHUNK) == float(splits.index(r["__key"]))) & (F.col("__key") > r["__key"]), F.lit(n / (n + 1))).otherwise(0.0))
-            out = out.withColumn(_CHUNK, F.col(_CHUNK) + moved)
+        part = F.when(second.isNull(), most).otherwise(below(F.col("__at"), second, most)) / (2.0 * (most + 1))
+        part = F.when(F.col("__own").isNotNull(), part).when(F.col("__home").isNotNull(), F.lit(0.5)).otherwise(0.0)
+        out = out.withColumn(_CHUNK, F.col(_CHUNK) + part).drop("__own", "__at", "__home")
     return out.drop("__key")
 
 
@@ -100,7 +122,11 @@ def previous(df: DataFrame, by: str, order: list[str], value: str, name: str) ->
 
 def running(df: DataFrame, order: list[str], **totals: tuple[str, str]) -> DataFrame:
     """Running ``sum``, ``min`` or ``max`` up to each row: name=(column, function)."""
-    cut = chunked(df, order)
+    return running_in(chunked(df, order), order, **totals)
+
+
+def running_in(cut: DataFrame, order: list[str], **totals: tuple[str, str]) -> DataFrame:
+    """``running`` of rows that have their chunk number already."""
     per = cut.groupBy(_CHUNK).agg(*(getattr(F, f)(c).alias(f"__{n}") for n, (c, f) in totals.items()))
     before = Window.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)  # one row a chunk
     carried = per.select(_CHUNK, *(getattr(F, f)(f"__{n}").over(before).alias(f"__{n}") for n, (_, f) in totals.items()))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualispark.functions.special import normal_two_sided
-from qualispark.operators.ordered import cuts
+from qualispark.operators.ordered import bucket, cuts
 
 #: Chunks and bins at most: their table of totals has as many rows as the square.
 CELLS = 512
@@ -61,19 +61,10 @@ def counted(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple
 
 def _cut(df: DataFrame, column: str, name: str, n: int) -> DataFrame:
     """``name``: even for a range, odd (before the rest of its range) for a value that alone fills a chunk."""
-    found = cuts(df, F.col(column), n)
-    splits, own = sorted(set(found)), sorted({x for x in found if found.count(x) > 1})
-    bounds = F.array(*(F.lit(x) for x in splits)).cast("array<double>")
-    # binary search by halving steps: log n comparisons a row
-    at = F.lit(0)
-    step = 1
-    while 2 * step <= max(1, len(splits)):
-        step *= 2
-    while step:
-        at = F.when(F.coalesce(F.get(bounds, at + (step - 1)) <= F.col(column), F.lit(False)), at + step).otherwise(at)
-        step //= 2
-    even = 2 * at
-    return df.withColumn(name, F.when(F.col(column).isin(own), even - 1).otherwise(even) if own else even)
+    found = [x + 0.0 for x in cuts(df, F.col(column), n)]
+    own = sorted({x for x in found if found.count(x) > 1})
+    even = 2 * F.col(name).cast("int")
+    return bucket(df, column, sorted(set(found)), name).withColumn(name, F.when(F.col(column).isin(own), even - 1).otherwise(even) if own else even)
 
 
 def pair_sums(df: DataFrame, x: str, y: str, a: Column | None = None, b: Column | None = None) -> dict[str, int]:
@@ -83,10 +74,19 @@ def pair_sums(df: DataFrame, x: str, y: str, a: Column | None = None, b: Column
     in x or y are left out.
     """
     n = min(CELLS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
-    own = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (a if a is not None else F.lit(1)).cast("long").alias("a"), (b if b is not None else F.lit(1)).cast("long").alias("b"))
+    zero = F.lit(0.0)  # no negative zero
+    own = df.select((F.col(x).cast("double") + zero).alias("x"), (F.col(y).cast("double") + zero).alias("y"), (a if a is not None else F.lit(1)).cast("long").alias("a"), (b if b is not None else F.lit(1)).cast("long").alias("b"))
     own = own.filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
     cut = _cut(_cut(own, "x", "chunk", n), "y", "bin", n)
-    points = cut.groupBy("chunk", "bin", "x", "y").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    points = cut.groupBy("chunk", "bin", "x", "y").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).persist()
+    try:
+        return _sums(points)
+    finally:
+        points.unpersist()
+
+
+def _sums(points: DataFrame) -> dict[str, int]:
+    """``pair_sums`` of the distinct points (chunk, bin, x, y) with their sums a and b."""
 
     def inside(kind: str):
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,24 +119,24 @@ def pair_sums(df: DataFrame, x: str, y: str, a: Column | None = None, b: Column
         return found.select(*(F.col(c).cast("decimal(38,0)").alias(c) for c in ("below", "equal")))
 
     both = inside("chunk").unionByName(inside("bin")).agg(F.sum("below").alias("below"), F.sum("equal").alias("equal")).first()
-    cells = cut.groupBy("chunk", "bin").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()  # CELLS squared at most
+    cells = points.groupBy("chunk", "bin").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()  # CELLS squared at most
     across = counted(*(cells[c].to_numpy() for c in ("chunk", "bin", "a", "b")))[0] if len(cells) else 0
-    tops = cut.groupBy("chunk").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).orderBy("chunk").toPandas()
+    tops = cells.groupby("chunk", sort=True)[["a", "b"]].sum()
     # all pairs with x_i < x_j: of different chunks by their totals, of one chunk by its distinct x
     sums_a, sums_b = [int(v) for v in tops.a], [int(v) for v in tops.b]
     all_pairs, seen = 0, 0
     for va, vb in zip(sums_a, sums_b, strict=True):
         all_pairs += seen * vb
         seen += va
-    all_pairs += _within(cut)
+    all_pairs += _within(points)
     below = int(both["below"] or 0) + across
     equal = int(both["equal"] or 0)
     return {"below": below, "equal": equal, "above": all_pairs - below - equal}
 
 
-def _within(cut: DataFrame) -> int:
+def _within(points: DataFrame) -> int:
     """Sum of a_i * b_j over pairs of one chunk with x_i < x_j."""
-    per = cut.filter("chunk % 2 = 0").groupBy("chunk", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    per = points.filter("chunk % 2 = 0").groupBy("chunk", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     w = Window.partitionBy("chunk").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     made = F.coalesce(F.sum("a").over(w), F.lit(0)).cast("decimal(19,0)") * F.col("b").cast("decimal(19,0)")
     return int(per.select(made.alias("v")).agg(F.sum("v")).first()[0] or 0)
@@ -171,10 +171,14 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.sparkSession.createDataFrame(row, "n long, concordant double, discordant double, tau double, z double, p double")
 
 
-def concordance(df: DataFrame, time: str, event: Column, risk: str) -> DataFrame:
-    """permissible, concordant, tied, c_index: pairs in which the other outlasted an event, and had the lower risk."""
-    own = df.select(F.col(time).cast("double").alias("t"), (-F.col(risk).cast("double")).alias("low"), event.cast("long").alias("e")).filter("e is not null")
-    s = pair_sums(own, "t", "low", F.col("e"), F.lit(1))
+def concordance(df: DataFrame, time: str, event: Column, risk: str, weight: Column | None = None) -> DataFrame:
+    """permissible, concordant, tied, c_index: pairs in which the other outlasted an event, and had the lower risk.
+
+    ``weight`` is how many rows a row stands for (1 if left out).
+    """
+    n = (weight if weight is not None else F.lit(1)).cast("long").alias("n")
+    own = df.select(F.col(time).cast("double").alias("t"), (-F.col(risk).cast("double")).alias("low"), event.cast("long").alias("e"), n).filter("e is not null")
+    s = pair_sums(own, "t", "low", F.col("e") * F.col("n"), F.col("n"))
     every = s["below"] + s["equal"] + s["above"]
     c = (s["below"] + s["equal"] / 2) / every if every else None
     return df.sparkSession.createDataFrame([(float(every), float(s["below"]), float(s["equal"]), c)], "permissible double, concordant double, tied double, c_index double")

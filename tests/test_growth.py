@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from qualispark.operators import orderpairs
 from qualispark.operators.ordered import chunked, numbered
 
 
@@ -26,3 +27,13 @@ def test_many_frequent_first_keys_are_cut_by_a_joined_table(spark):
     assert got["__chunk"].nunique() >= 120 and got["__chunk"].value_counts().max() < 8000 / 40
     order = numbered(df, ["k", "i", "j"], "row").toPandas().sort_values("row")
     assert order["row"].tolist() == list(range(8000)) and order["j"].tolist() == got["j"].tolist()
+
+
+def test_cuts_of_pairs_are_expressions_of_one_size(spark):
+    """kendall: each halving step named the one before three times, and each held all cuts."""
+    df = spark.range(5000).select(F.col("id").cast("double").alias("x"))
+    small, large = (orderpairs._cut(df, "x", "chunk", n) for n in (4, 256))
+    assert plan_size(large) < 1.5 * plan_size(small)
+    assert large.agg(F.countDistinct("chunk")).first()[0] == 256
+    zero = spark.createDataFrame([(-0.0, 1.0), (0.0, 2.0), (1.0, 3.0)], "x double, y double")
+    assert orderpairs.pair_sums(zero, "x", "y") == {"below": 2, "equal": 0, "above": 0}

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from qualispark.operators import orderpairs
+from qualispark.operators import orderpairs, survival
 from qualispark.operators.ordered import chunked, numbered
 
 
@@ -37,3 +37,21 @@ def test_cuts_of_pairs_are_expressions_of_one_size(spark):
     assert large.agg(F.countDistinct("chunk")).first()[0] == 256
     zero = spark.createDataFrame([(-0.0, 1.0), (0.0, 2.0), (1.0, 3.0)], "x double, y double")
     assert orderpairs.pair_sums(zero, "x", "y") == {"below": 2, "equal": 0, "above": 0}
+
+
+def test_cox_reads_its_source_once(spark):
+    rng = np.random.default_rng(2)
+    n = 400
+    rows = pd.DataFrame({"t": rng.integers(1, 30, n).astype(float), "e": rng.integers(0, 2, n), "x": rng.integers(0, 5, n).astype(float)})
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(rows).mapInPandas(counted, "t double, e long, x double")
+    out = survival.cox(df, "t", F.col("e"), ["x"]).first()
+    assert read.value == n
+    apart = survival.cox(spark.createDataFrame(rows.assign(x=rows.x + rng.normal(size=n) * 1e-9)), "t", F.col("e"), ["x"]).first()
+    assert out["n"] == n and abs(out["coef"] - apart["coef"]) < 1e-6 and abs(out["se"] - apart["se"]) < 1e-6 and abs(out["log_likelihood"] - apart["log_likelihood"]) < 1e-4

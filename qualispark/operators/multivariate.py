@@ -119,7 +119,9 @@ def discriminant(df: DataFrame, columns: list[str], group: str) -> DataFrame:
     at = (means - origin) @ axes
     own = df.select(F.col(group).alias("actual"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns))).na.drop()
     place = [sum((float(axes[i, a]) * (F.col(f"x{i}") - float(origin[i])) for i in range(len(columns))), F.lit(0.0)) for a in range(axes.shape[1])]
-    scores = [F.round(sum((float(at[g, a]) * place[a] for a in range(axes.shape[1])), F.lit(0.0)) - float((at[g] ** 2).sum() / 2), 12) for g in range(len(names))]
+    # unit scatter within classes makes places shrink as the rows grow in number: scores are rounded in their own unit
+    unit = float(np.abs(at).max() / math.sqrt(n.sum())) or 1.0
+    scores = [F.round(sum((float(at[g, a] / unit) * place[a] for a in range(axes.shape[1])), F.lit(0.0)) - float((at[g] ** 2).sum() / 2 / unit), 12) for g in range(len(names))]
     best = F.array_position(F.array(*scores), F.greatest(*scores)).cast("int")
     told = own.select("actual", F.element_at(F.array(*(F.lit(x) for x in names)), best).alias("predicted"))
     table = told.groupBy("actual", "predicted").agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from qualispark.operators import orderpairs, survival
+from qualispark.operators import multivariate, orderpairs, survival
 from qualispark.operators.ordered import chunked, numbered
 
 
@@ -55,3 +55,18 @@ def test_cox_reads_its_source_once(spark):
     assert read.value == n
     apart = survival.cox(spark.createDataFrame(rows.assign(x=rows.x + rng.normal(size=n) * 1e-9)), "t", F.col("e"), ["x"]).first()
     assert out["n"] == n and abs(out["coef"] - apart["coef"]) < 1e-6 and abs(out["se"] - apart["se"]) < 1e-6 and abs(out["log_likelihood"] - apart["log_likelihood"]) < 1e-4
+
+
+def test_discriminant_tells_classes_apart_in_many_rows(spark):
+    """Scores shrink as rows grow in number; rounded at a fixed digit, rows near the border fell to the first class."""
+    n = 400_000
+    i = np.arange(n, dtype=np.int64)
+    a, b = i * 7919 % 10_007 / 100.0, i * 104_729 % 99_991 / 1000.0
+    df = spark.range(n).select(F.when(F.col("id") % 2 == 0, "F").otherwise("O").alias("g"), (F.col("id") * 7919 % 10_007 / 100.0).alias("a"), (F.col("id") * 104_729 % 99_991 / 1000.0).alias("b"))
+    got = {(r["actual"], r["predicted"]): r["n"] for r in multivariate.discriminant(df, ["a", "b"], "g").collect()}
+    x, first = np.column_stack([a, b]), i % 2 == 0
+    means = [x[first].mean(0), x[~first].mean(0)]
+    within = sum((x[c] - m).T @ (x[c] - m) for c, m in zip((first, ~first), means, strict=True))
+    told = (x - (means[0] + means[1]) / 2) @ np.linalg.solve(within / n, means[0] - means[1]) >= 0
+    want = {("F", "F"): told[first].sum(), ("F", "O"): (~told[first]).sum(), ("O", "F"): told[~first].sum(), ("O", "O"): (~told[~first]).sum()}
+    assert got == want

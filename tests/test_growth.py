@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from qualispark.functions.special import chi2_sf, f_sf, normal_two_sided
 from qualispark.operators import multivariate, orderpairs, survival
 from qualispark.operators.ordered import chunked, numbered
 
@@ -70,3 +71,11 @@ def test_discriminant_tells_classes_apart_in_many_rows(spark):
     told = (x - (means[0] + means[1]) / 2) @ np.linalg.solve(within / n, means[0] - means[1]) >= 0
     want = {("F", "F"): told[first].sum(), ("F", "O"): (~told[first]).sum(), ("O", "F"): told[~first].sum(), ("O", "O"): (~told[~first]).sum()}
     assert got == want
+
+
+def test_tails_converge_at_any_size():
+    for d in (2e4, 2e6, 4e7, 4e8):
+        assert abs(f_sf(1.0, d, d) - 0.5) < 1e-6
+        z = 1.5  # the logarithm of F is about normal
+        assert abs(2 * f_sf(np.exp(z * 2 / np.sqrt(d)), d, d) - normal_two_sided(z)) < 20 / d + 1e-6
+        assert abs(chi2_sf(d, d) - 0.5) < 1 / np.sqrt(d)

@@ -6,7 +6,8 @@ times k in all, whatever the rows); what is picked, weighted by the rows nearest
 to it, is thinned to k centres on the driver. A Lloyd step is one aggregate by
 nearest centre. The silhouette compares mean squared distances: a row's mean
 squared distance from all rows of a cluster follows from the cluster's count,
-sum and sum of squares, so it needs no pair of rows.
+sum and sum of squares, so it needs no pair of rows. Rows that agree in all
+columns are one row with a weight.
 """
 
 from __future__ import annotations
@@ -24,17 +25,23 @@ MAX_K = 64
 PASSES, OVERSAMPLE = 4, 3
 
 
-def _scaled(df: DataFrame, columns: list[str], standardize: bool, keep: list[str]) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
-    """keep, x0.. of complete rows; centre, scale and number of the rows."""
-    own = df.select(*keep, *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns))).na.drop(subset=[f"x{i}" for i in range(len(columns))])
+#: Centres up to which a row's nearest one is found without an array.
+FEW = 8
+#: Distinct rows of a task in a pass.
+TASK_ROWS = 50_000
+
+
+def _scaled(df: DataFrame, columns: list[str], standardize: bool) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
+    """x0.. of distinct complete rows and their number w; centre, scale and number of all rows."""
+    own = df.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns))).na.drop(subset=[f"x{i}" for i in range(len(columns))])
     s = own.agg(F.count("*").alias("n"), *(f(f"x{i}").alias(f"{a}{i}") for i in range(len(columns)) for a, f in (("m", F.avg), ("s", F.stddev_samp)))).first()
     n = s["n"]
     if n < 4:
         raise ValueError(f"{n} complete rows are too few")
     center = np.array([s[f"m{i}"] for i in range(len(columns))])
     scale = np.array([s[f"s{i}"] or 1.0 for i in range(len(columns))]) if standardize else np.ones(len(columns))
-    own = own.withColumns({f"r{i}": F.col(f"x{i}") for i in range(len(columns))})  # as they are, for hashes that no order of sums changes
-    return own.withColumns({f"x{i}": (F.col(f"x{i}") - float(center[i])) / float(scale[i]) for i in range(len(columns))}), center, scale, n
+    own = own.groupBy(*(F.col(f"x{i}").alias(f"r{i}") for i in range(len(columns)))).agg(F.count("*").alias("w"))  # r0.. as they are, for hashes that no order of sums changes
+    return own.withColumns({f"x{i}": (F.col(f"r{i}") - float(center[i])) / float(scale[i]) for i in range(len(columns))}), center, scale, n
 
 
 def _distance(center: np.ndarray) -> Column:
@@ -43,6 +50,12 @@ def _distance(center: np.ndarray) -> Column:
 
 def _nearest(rows: DataFrame, centers: np.ndarray) -> DataFrame:
     """The rows with their nearest centre (the first of equally near ones) and the squared distance."""
+    if 1 < len(centers) <= FEW:
+        rows = rows.withColumn("__d", F.least(*(_distance(c) for c in centers)))
+        at = F.when(_distance(centers[0]) == F.col("__d"), 0)
+        for i, c in enumerate(centers[1:], 1):
+            at = at.when(_distance(c) == F.col("__d"), i)
+        return rows.withColumn("__k", at)
     far = F.array(*(_distance(c) for c in centers))
     rows = rows.withColumn("__far", far).withColumn("__d", F.array_min("__far"))
     return rows.withColumn("__k", (F.array_position("__far", F.col("__d")) - 1).cast("int")).drop("__far")
@@ -56,7 +69,7 @@ def _seeds(rows: DataFrame, k: int, seed: int, p: int) -> np.ndarray:
     picked = np.array([tuple(first[0])])
     for turn in range(1, PASSES + 1):
         near = _nearest(rows, picked)
-        cost = near.agg(F.sum("__d").alias("c")).first()["c"]
+        cost = near.agg(F.sum(F.col("__d") * F.col("w")).alias("c")).first()["c"]
         if not cost:
             break
         asked = OVERSAMPLE * k
@@ -66,8 +79,8 @@ def _seeds(rows: DataFrame, k: int, seed: int, p: int) -> np.ndarray:
             picked = np.concatenate((picked, np.array([tuple(r)[:p] for r in new])))
     picked = np.unique(picked, axis=0)
     weight = np.zeros(len(picked))
-    for r in _nearest(rows, picked).groupBy("__k").count().collect():
-        weight[r["__k"]] = r["count"]
+    for r in _nearest(rows, picked).groupBy("__k").agg(F.sum("w").alias("n")).collect():
+        weight[r["__k"]] = r["n"]
     rng = np.random.default_rng(seed)
     chosen = [int(weight.argmax())]
     while len(chosen) < min(k, len(picked)):
@@ -86,7 +99,7 @@ def _seeds(rows: DataFrame, k: int, seed: int, p: int) -> np.ndarray:
 def _lloyd(rows: DataFrame, centers: np.ndarray, steps: int) -> np.ndarray:
     p = centers.shape[1]
     for _ in range(steps):
-        sums = _nearest(rows, centers).groupBy("__k").agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(p))).collect()  # a row a centre
+        sums = _nearest(rows, centers).groupBy("__k").agg(*(over(F.sum(F.col(f"x{i}") * F.col("w")), F.sum("w")).alias(f"m{i}") for i in range(p))).collect()  # a row a centre
         moved = centers.copy()
         for r in sums:
             moved[r["__k"]] = [r[f"m{i}"] for i in range(p)]
@@ -102,7 +115,7 @@ def _silhouette(rows: DataFrame, centers: np.ndarray) -> tuple[float, float, dic
     p = centers.shape[1]
     near = _nearest(rows, centers)
     square = sum((F.col(f"x{i}") * F.col(f"x{i}") for i in range(p)), F.lit(0.0))
-    sums = {r["__k"]: r for r in near.groupBy("__k").agg(F.count("*").alias("n"), F.sum(square).alias("q"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(p)), F.sum("__d").alias("d")).collect()}
+    sums = {r["__k"]: r for r in near.groupBy("__k").agg(F.sum("w").alias("n"), F.sum(square * F.col("w")).alias("q"), *(F.sum(F.col(f"x{i}") * F.col("w")).alias(f"s{i}") for i in range(p)), F.sum(F.col("__d") * F.col("w")).alias("d")).collect()}
     if len(sums) < 2:
         return 0.0, sum(r["d"] for r in sums.values()), {k: r["n"] for k, r in sums.items()}
 
@@ -120,7 +133,7 @@ def _silhouette(rows: DataFrame, centers: np.ndarray) -> tuple[float, float, dic
             a = mean_square(r, True)
             score = F.coalesce(over(b - a, F.greatest(a, b)), F.lit(0.0))
         terms.append(F.when(F.col("__k") == k, score))
-    s = near.agg(F.avg(F.coalesce(*terms)).alias("s")).first()["s"]
+    s = near.agg((F.sum(F.coalesce(*terms) * F.col("w")) / F.sum("w")).alias("s")).first()["s"]
     return float(s), float(sum(r["d"] for r in sums.values())), {k: r["n"] for k, r in sums.items()}
 
 
@@ -135,9 +148,10 @@ def kmeans(df: DataFrame, columns: list[str], k: int | None = None, k_max: int =
     """
     if k is not None and not 1 <= k <= MAX_K or k_max > MAX_K:
         raise ValueError(f"k is between 1 and {MAX_K}")
-    rows, center, scale, n = _scaled(df, columns, standardize, [])
-    rows = rows.persist()
+    rows, center, scale, n = _scaled(df, columns, standardize)
+    kept = rows.persist()
     try:
+        rows = kept.coalesce(kept.count() // TASK_ROWS + 1)  # a pass is short: no more tasks than rows call for
         found = None
         for kk in [k] if k else range(2, min(k_max, n - 1) + 1):
             centers = _lloyd(rows, _seeds(rows, kk, seed, len(columns)), steps)
@@ -145,7 +159,7 @@ def kmeans(df: DataFrame, columns: list[str], k: int | None = None, k_max: int =
             if found is None or score > found[0] + 1e-12:
                 found = (score, inertia, sizes, centers)
     finally:
-        rows.unpersist()
+        kept.unpersist()
     score, inertia, sizes, centers = found
     placed = sorted((tuple((centers[j] * scale + center).tolist()), m) for j, m in sizes.items())
     out = [(len(placed), score, inertia, i, m, *c) for i, (c, m) in enumerate(placed)]

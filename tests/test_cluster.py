@@ -60,3 +60,25 @@ def test_few_and_equal_rows(spark):
         cluster.kmeans(same.limit(2), ["a", "b"])
     with pytest.raises(ValueError):
         cluster.kmeans(same, ["a", "b"], 1000)
+
+
+def test_equal_rows_are_one_with_a_weight(spark):
+    """Passes go over distinct rows: many copies are no more work, and change a result only as their number does."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(150, 2)).round(1)
+    times = rng.integers(1, 9, 150)
+    df = spark.createDataFrame([tuple(map(float, r)) for r, t in zip(x, times, strict=True) for _ in range(t)], "a double, b double")
+    rows, *_, n = cluster._scaled(df, ["a", "b"], True)
+    assert n == times.sum() and rows.count() == len(np.unique(x, axis=0)) and rows.agg({"w": "sum"}).first()[0] == n
+    got = cluster.kmeans(df, ["a", "b"], 3, standardize=False).collect()
+    every, centers = np.repeat(x, times, axis=0), np.array([[r["a"], r["b"]] for r in got])
+    d = ((every[:, None] - centers) ** 2).sum(2)
+    assert np.bincount(d.argmin(1)).tolist() == [r["n"] for r in got] and got[0]["inertia"] == pytest.approx(d.min(1).sum())
+    pairs = ((every[:, None] - every) ** 2).sum(2)
+    label = d.argmin(1)
+    s = []
+    for i, k in enumerate(label):
+        a = pairs[i, label == k].sum() / ((label == k).sum() - 1)
+        b = min(pairs[i, label == j].mean() for j in range(3) if j != k)
+        s.append((b - a) / max(a, b))
+    assert got[0]["silhouette"] == pytest.approx(np.mean(s))

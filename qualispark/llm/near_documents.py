@@ -5,8 +5,9 @@ breaks are spaces); tokens, order, prefixes and blocks are those of the line
 join. No pair is lost: two similar documents share a token in their prefixes,
 and the group of the first such token counts their whole overlap.
 
-64-bit fingerprints cannot give this: at similarity 0.8 they differ in about
-ten bits, which no grid of a few cells reaches.
+64-bit fingerprints alone cannot give this: at similarity 0.8 they differ in
+about ten bits, which no grid of a few cells reaches. ``representatives`` groups
+by both: what operator 1's fingerprints link at two bits, and all similar pairs.
 
 Only links that join two parts of a group leave it, so a family of near copies
 leaves one link a member. A token of more than ``BLOCK`` documents is first
@@ -27,25 +28,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qualispark.llm import line_dedup as lines
+from qualispark.llm import simhash
 from qualispark.llm.common import arrow_map, fresh, raw_texts, written
 from qualispark.llm.simhash import components
 
 
 #: Documents of a block; a group has two blocks at most.
 BLOCK = 512
+#: Words of a shingle of the fingerprints.
+PRINT_SHINGLE = 3
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """All columns but text, and cls: a name for the words of each text (of no words: one name)."""
+def _classes(docs: DataFrame, prints: bool = False) -> DataFrame:
+    """All columns but text, and cls: a name for the words of each text (of no words: one name); fingerprints if asked for."""
     kept = [c for c in docs.columns if c != "text"]
 
     def rows(batches):
         for b in batches:
             raw = [b" ".join(t.lower().split()) for t in raw_texts(b.column("text"))]
-            yield {c: b.column(c) for c in kept} | {"cls": pa.array(lines.classes(raw))}
+            out = {c: b.column(c) for c in kept} | {"cls": pa.array(lines.classes(raw))}
+            if prints:
+                found = np.array([simhash._fingerprint(t, PRINT_SHINGLE) for t in raw], np.uint64)
+                out["fingerprint"] = pa.array(found.view(np.int64))
+            yield out
 
     schema = ", ".join(f"{c} {kind}" for c, kind in docs.dtypes if c != "text")
-    return arrow_map(docs, rows, f"{schema}, cls long")
+    return arrow_map(docs, rows, f"{schema}, cls long" + (", fingerprint long" if prints else ""))
+
+
+def _print_links(marked: DataFrame) -> DataFrame:
+    """a, b: each class and the least class of its component of fingerprints, by operator 1's grid."""
+    own = marked.select("cls", "fingerprint").distinct()
+    rooted = components(simhash.links(own.select("fingerprint").distinct()))
+    named = own.join(rooted, F.col("fingerprint") == F.col("node"), "left").select("cls", F.coalesce("root", "fingerprint").alias("group"))
+    least = named.groupBy("group").agg(F.min("cls").alias("b"))
+    return named.join(least, "group").filter("cls <> b").select(F.col("cls").alias("a"), "b")
 
 
 def _tokenised(own: DataFrame, sketch, columns: list[str], made) -> DataFrame:
@@ -231,6 +248,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, all columns kept: the first by id (nulls last), hash of the text, hash of the row.
 
+    A group is connected by fingerprints at two bits or less (operator 1) and by similarity.
     Groups are of texts, not of ids: null ids and ids that name several texts
     lose no text. Texts without words are one group; rows equal in all columns
     are one row. Columns that cannot be hashed (maps) decide no tie, so of rows
@@ -243,10 +261,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         {text: F.xxhash64(F.lit(0), F.col(f"`{text_col}`")), row: F.xxhash64(F.lit(1), F.struct(*plain))}
     )
     own = keyed.select(known.alias("doc_id"), F.col(text).alias("text_hash"), F.col(row).alias("row_hash"), F.col(f"`{text_col}`").alias("text"))
-    marked = written(_classes(own), "classes")
+    marked = written(_classes(own, prints=True), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash", "row_hash")
     firsts = marked.groupBy("cls").agg(F.min(order).alias("first"))
-    rooted = components(links(docs, id_col, text_col))
+    rooted = components(_print_links(marked).unionByName(links(docs, id_col, text_col)))
     named = firsts.join(rooted, F.col("cls") == F.col("node"), "left").select("first", F.coalesce("root", "cls").alias("root"))
     kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.text_hash").alias(text_hash), F.col("first.row_hash").alias(row_hash))
     on = (F.col(text) == F.col(text_hash)) & (F.col(row) == F.col(row_hash))

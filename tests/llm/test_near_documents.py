@@ -106,3 +106,12 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert got.columns == odd_docs.columns
     assert sorted(r["doc_id"] for r in got.collect()) == [-7, 1, 3, 4, 5, 6]
     assert corpus_pipeline.near_duplicates(spark, no_docs, None).count() == 0
+
+
+def test_fingerprints_group_what_similarity_does_not(spark):
+    """Operator 1's fingerprints count repeated shingles: two texts that mostly say one thing are one group."""
+    block = " ".join(f"b{i}" for i in range(21))
+    texts = [f"{block} " * 40 + " ".join(f"{tail}{i}" for i in range(30)) for tail in "pq"]
+    texts.append(" ".join(f"z{i}" for i in range(200)))
+    assert len(set(roots(texts))) == 3
+    assert sorted(r[0] for r in kept(spark, [(i, t, "en") for i, t in enumerate(texts)])) == [0, 2]

@@ -26,7 +26,7 @@ from qualispark.llm.common import arrow_map, fresh, raw_texts
 
 WINDOW = 10
 #: Words of one shard; a longer document is cut into pieces that overlap.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 250_000
 #: Bytes of benchmark text in one block of phrases; further blocks are further passes.
 BLOCK_BYTES = 32 << 20
 SAMPLE = 32

@@ -13,7 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from qualispark.llm import common, packing, queries, sstable
+from qualispark.llm import common, packing, queries, sstable, tokens
+from qualispark.llm.piece_table import PieceTable, keys_of, padded
 from qualispark.llm.tokens import Encoder, encoder, splitting
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -230,3 +231,39 @@ def test_lookup_reads_one_block():
     shard = sstable.Shard(Counting(data))
     Counting.read_bytes = 0
     assert len(shard.get(sstable.key_of(1234))) == 1 and Counting.read_bytes < 2 * sstable.BLOCK_BYTES < len(data) / 20
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abZéÀß09'sdt.,&\x00\x01\x1b\x7f\n\r\t  ×漢"), max_size=60), max_size=8))
+def test_cuts_by_bytes(texts):
+    for path in (WORD, BYTE):
+        encode = cuts.get(path) or cuts.setdefault(path, Encoder(path))
+        assert [np.frombuffer(x, "<u4").tolist() + [9] for x in encode.each(texts)] == [whole(path, t, 9) for t in texts]
+
+
+def test_known_pieces_are_looked_up_in_arrays(monkeypatch):
+    """Python's work goes with new pieces, not with all pieces; full tables and long pieces are kept, too."""
+    monkeypatch.setitem(tokens.CACHE, "spaces", (200, 1 << 20))
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in (*rng.integers(1, 12, 300), 40, 70)]
+    texts = [" ".join(rng.choice(words, 3000)) for _ in range(4)] + ["Ünd " * 5 + "x" * 20_000]
+    encode, asked = Encoder(BYTE), []
+    found, learn = encode.young.find, encode._learn
+    encode._learn = lambda pieces, keys: asked.append(len(pieces)) or learn(pieces, keys)
+    for text in texts * 2:
+        assert np.frombuffer(encode(text), "<u4").tolist() + [9] == whole(BYTE, text, 9)
+    assert 300 < sum(asked) < 3000 and encode.young.find != found
+
+
+def test_piece_table_grows():
+    table, words = PieceTable(4), [b"%d" % i for i in range(5000)]
+    joined = b"".join(words)
+    lengths = np.array([len(w) for w in words])
+    keys = keys_of(padded(joined), np.cumsum(lengths) - lengths, lengths)
+    counts = np.arange(5000) % 3
+    places = table.store(np.repeat(np.arange(5000), counts), counts)
+    table.add(keys[:2500], places[:2500])
+    assert (table.find(keys)[2500:] == 0).all()
+    table.add(keys[2500:], places[2500:])
+    assert (table.find(keys) == places).all() and 2 * table.n <= len(table.rows)
+    assert table.runs(places[::-1]).tolist() == np.repeat(np.arange(5000), counts)[::-1].tolist()

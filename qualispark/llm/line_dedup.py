@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +40,13 @@ SHINGLE = 5
 SIMILARITY = (4, 5)
 SKETCH_BITS = 16
 BLOCK = 2048
+#: Members of a token that are compared with those of other tokens at once.
+SHORT_RUN = 8
 #: Bytes of text that are tokenised at a time.
 CHUNK = 1 << 20
 
+#: What else than one space stands between words.
+_GAPS = (b"  ", b"\t", b"\r", b"\v", b"\f")
 _HASH_BITS = np.uint64((1 << 52) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _POSITION = "struct<known:boolean,doc_id:bigint,dhash:bigint,line_no:int>"
@@ -87,8 +92,11 @@ def line_words(texts: list[bytes]) -> tuple[list[int], list[int], list[bytes]]:
     """Text number, line number and words (A-Z lower-cased, joined by a space) of non-blank lines."""
     doc, number, raw = [], [], []
     for d, text in enumerate(texts):
-        for n, line in enumerate(text.lower().split(b"\n")):
-            w = b" ".join(line.split())
+        low = text.lower()
+        uneven = any(gap in low for gap in _GAPS)
+        for n, line in enumerate(low.split(b"\n")):
+            # most lines are their words with one space between
+            w = b" ".join(line.split()) if uneven and any(gap in line for gap in _GAPS) else line.strip(b" ")
             if w:
                 doc.append(d)
                 number.append(n)
@@ -166,7 +174,7 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _batches(batches, chars: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Slices of bounded text (one row at least)."""
     for b in batches:
-        sizes = np.cumsum([len(x) if x is not None else 0 for x in b.column("text").cast(pa.binary()).to_pylist()])
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy().astype(np.int64))
         begin = 0
         while begin < b.num_rows:
             end = int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + chars, "right"))
@@ -252,6 +260,24 @@ def _postings(own: DataFrame, sketch) -> DataFrame:
     return arrow_map(own, rows, "token long, cls long, size int, place int")
 
 
+def _may_link(size: np.ndarray, place: np.ndarray, size2: np.ndarray, place2: np.ndarray) -> np.ndarray:
+    """Do enough tokens follow in both lines, if theirs at these places is the first in common?"""
+    n, d = SIMILARITY
+    least = -(-n * (size + size2) // (n + d))  # more than the smaller size if the sizes are too far apart
+    return (size - place >= least) & (size2 - place2 >= least)
+
+
+def _partnered(size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which members of a token have another that they may be linked to; of many, which have one of like size."""
+    if len(size) <= 256:
+        fit = _may_link(size[:, None], place[:, None], size, place)
+        np.fill_diagonal(fit, False)
+        return np.flatnonzero(fit.any(axis=1))
+    n, d = SIMILARITY
+    near = np.flatnonzero(size[1:] * n <= size[:-1] * d)  # sizes ascend: the next in size is the best partner
+    return np.unique(np.concatenate((near, near + 1)))
+
+
 class _Runs:
     """Classes under each token of two or more, from a stream sorted by token, size and class."""
 
@@ -276,25 +302,39 @@ class _Runs:
         if self.block:
             self._emit(None, self.block, self.held)
         elif self.held.shape[1] > 1:
-            size, (n, d) = self.held[1], SIMILARITY
-            near = np.flatnonzero(size[1:] * n <= size[:-1] * d)  # sizes ascend: the next in size is the best partner
-            held = self.held[:, np.unique(np.concatenate((near, near + 1)))]
-            if held.shape[1]:
-                self._emit(xxhash.xxh64_intdigest(held[0].tobytes()) >> 1, 0, held)
+            self._whole(self.held[:, _partnered(self.held[1], self.held[2])])
         self.held, self.block = np.zeros((3, 0), np.int64), 0
 
+    def _whole(self, held: np.ndarray, token: int | None = None) -> None:
+        if held.shape[1]:
+            self.rows.append((xxhash.xxh64_intdigest(held[0].tobytes()) >> 1, 0, held, self.token if token is None else token))
+
     def add(self, token: np.ndarray, cls: np.ndarray, size: np.ndarray, place: np.ndarray) -> None:
-        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        ends = np.concatenate((starts[1:], [len(token)]))
         fresh = np.concatenate(([True], (cls[1:] != cls[:-1]) | (token[1:] != token[:-1])))
-        several = np.add.reduceat(fresh.astype(np.int64), starts) > 1
-        several[0] = several[-1] = True  # these may go on in another batch
-        every = np.stack((cls, size, place))
-        for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+        token, every = token[fresh], np.stack((cls, size, place))[:, fresh]
+        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        ends = np.append(starts[1:], len(token))
+        n = ends - starts
+        ending = np.zeros(len(starts), bool)
+        ending[0] = ending[-1] = True  # these may go on in another batch
+        most = min(SHORT_RUN, self.most)
+        alone = ending | (n > most)
+        for a, b in zip(starts[alone].tolist(), ends[alone].tolist(), strict=True):
             if token[a] != self.token:
                 self.close()
                 self.token = int(token[a])
-            self._extend(every[:, a:b][:, fresh[a:b]])
+            self._extend(every[:, a:b])
+        short = np.repeat(~alone & (n > 1), n)
+        token, every = token[short], every[:, short]
+        keep = np.zeros(len(token), bool)
+        for step in range(1, SHORT_RUN):  # all short runs at once
+            fit = (token[step:] == token[:-step]) & _may_link(every[1, step:], every[2, step:], every[1, :-step], every[2, :-step])
+            keep[step:] |= fit
+            keep[:-step] |= fit
+        token, every = token[keep], every[:, keep]
+        cuts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True]))).tolist() if len(token) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            self._whole(every[:, a:b], int(token[a]))
 
     def take(self) -> dict:
         rows, self.rows = self.rows, []
@@ -374,30 +414,40 @@ def _groups(batches) -> Iterator[list[list[tuple]]]:
         yield ready
 
 
-def _linked(members: list[tuple], sets: list[frozenset], heads: list[dict]) -> Iterator[tuple[int, int]]:
+def _linked(members: list[tuple], lists: list[list[int]], sets: dict[bytes, frozenset]) -> Iterator[tuple[int, int]]:
     """Pairs that the group owns: similar, and with its token as the first in common.
 
-    ``heads`` have the place of each prefix token.
+    ``lists`` have each member's tokens in order, ``sets`` those of the lines that were compared.
     """
     one, two, _, _, here, _, _ = members[0]
     n, d = SIMILARITY
-    order = sorted(range(len(members)), key=lambda i: len(sets[i]))
-    rest = [len(s) - h[here] for s, h in zip(sets, heads, strict=True)]  # tokens from the group's on
+    order = sorted(range(len(members)), key=lambda i: len(lists[i]))
+    places = [x.index(here) for x in lists]
+    rest = [len(x) - p for x, p in zip(lists, places, strict=True)]  # tokens from the group's on
+    before = [frozenset(x[:p]) for x, p in zip(lists, places, strict=True)]
+    words: dict[int, frozenset] = {}
     for x, i in enumerate(order):
-        a, left = sets[i], rest[i]
-        longest = len(a) * d // n
-        for j in order[x + 1 :]:
-            b = sets[j]
-            if len(b) > longest:
+        size, left = len(lists[i]), rest[i]
+        longest = size * d // n
+        for y in range(x + 1, len(order)):
+            j = order[y]
+            if len(lists[j]) > longest:
                 break
             if one != two and members[i][2] == members[j][2]:
                 continue  # left to the block's group with itself
-            least = needed(len(a), len(b))
+            least = needed(size, len(lists[j]))
             if left < least or rest[j] < least:
                 continue  # too few tokens follow the first in common
-            if len(a & b) >= least and min(heads[i].keys() & heads[j].keys(), default=None) == here:
-                v, w = _words(members[i][5]), _words(members[j][5])
-                if len(v & w) >= needed(len(v), len(w)):
+            if not before[i].isdisjoint(before[j]):
+                continue  # another token is the first in common
+            for k in (i, j):
+                if members[k][5] not in sets:
+                    sets[members[k][5]] = frozenset(lists[k])
+            if len(sets[members[i][5]] & sets[members[j][5]]) >= least:
+                for k in (i, j):
+                    if k not in words:
+                        words[k] = _words(members[k][5])
+                if len(words[i] & words[j]) >= needed(len(words[i]), len(words[j])):
                     yield i, j
 
 
@@ -410,15 +460,13 @@ def _verified(groups: DataFrame, sketch) -> DataFrame:
             raw = list(dict.fromkeys(m[5] for g in ready for m in g))
             token, size = ordered(raw, rarity)
             tokens, ends = token.tolist(), np.cumsum(size).tolist()
-            sets, heads = {}, {}
-            for w, n, end in zip(raw, size.tolist(), ends, strict=True):
-                sets[w] = frozenset(tokens[end - n : end])
-                heads[w] = {t: k for k, t in enumerate(tokens[end - n : end - n + prefix(n)])}
+            lists = {w: tokens[end - n : end] for w, n, end in zip(raw, size.tolist(), ends, strict=True)}
+            sets: dict[bytes, frozenset] = {}
             out: dict[str, list] = {"cls": [], "n_links": [], "linked": []}
             for g in ready:
                 links, earliest = [0] * len(g), [None] * len(g)
                 places = [tuple(v or 0 for v in m[6].values()) for m in g]
-                for i, j in _linked(g, [sets[m[5]] for m in g], [heads[m[5]] for m in g]):
+                for i, j in _linked(g, [lists[m[5]] for m in g], sets):
                     for u, v in ((i, j), (j, i)):
                         links[u] += 1
                         if earliest[u] is None or places[v] < places[earliest[u]]:

@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import pytest
 import xxhash
 
 from qualispark.llm import line_dedup
@@ -84,3 +86,38 @@ def test_cleaned_keeps_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, cls string")
     got = {r["doc_id"]: tuple(r) for r in line_dedup.cleaned(docs).collect()}
     assert got == {1: rows[0], 3: rows[2], 4: (4, "\nmy own", 7, "k")}
+
+
+@pytest.mark.parametrize(("most", "batch"), [(2048, 1000), (2048, 7), (5, 50), (2, 1000)])
+def test_runs_keep_what_may_link(most, batch):
+    """A pair that may link under its token stays, one in which too few tokens follow it goes; by any batches."""
+    rng = np.random.default_rng(5)
+    rows = sorted(
+        {(t, int(s), c): int(rng.integers(0, line_dedup.prefix(int(s)))) for t in range(40) for c in range(int(rng.integers(1, 14))) for s in [10 + 3 * c]}.items()
+    )
+    rows = [(*k, p) for k, p in rows for _ in range(1 + (k[2] == 3))]  # a class that two batches sent
+    token, size, cls, place = (np.array(c) for c in zip(*rows, strict=True))
+    found = line_dedup._Runs(most)
+    for begin in range(0, len(rows), batch):
+        found.add(*(c[begin : begin + batch] for c in (token, cls, size, place)))
+    found.close()
+    got = {}
+    for gid, _, held, t in found.rows:
+        got.setdefault(t, []).extend((gid is None, *m) for m in held.T.tolist())
+    by_token = {}
+    for t, s, c, p in rows:
+        by_token.setdefault(t, {})[c] = (s, p)
+    dropped = 0
+    for t, members in by_token.items():
+        fit = lambda a, b: min(a[0] - a[1], b[0] - b[1]) >= line_dedup.needed(a[0], b[0])
+        want = sorted((c, *m) for c, m in members.items() if len(members) > most or any(o != c and fit(m, x) for o, x in members.items()))
+        assert sorted(m[1:] for m in map(tuple, got.get(t, []))) == want
+        assert {m[0] for m in got.get(t, [])} <= {len(members) > most}
+        dropped += len(members) - len(want)
+    assert dropped or most == 2
+
+
+def test_words_of_uneven_lines():
+    texts = [b"A b\nc  d\n \n\te\x0bf \n g\r\n\x0c\n", b"", b" x y ", b"a\x1cb\xc2\xa0 c\nd", b"a b\n a b", b"\n  \n"]
+    want = [(d, n, b" ".join(x.split())) for d, t in enumerate(texts) for n, x in enumerate(t.lower().split(b"\n")) if x.split()]
+    assert list(zip(*line_dedup.line_words(texts), strict=True)) == want

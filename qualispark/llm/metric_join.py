@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from qualispark.llm import line_dedup as lines
 from qualispark.llm.common import arrow_map, raw_texts, written
-from qualispark.llm.near_documents import _parities, _width
+from qualispark.llm.near_documents import _parities, _width, texts_of
 from qualispark.llm.simhash import components
 
 #: Documents of a region that one task joins.
@@ -264,14 +264,7 @@ class _Join:
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """cls, made: the whole sets of the points that ``wanted`` names."""
-
-        def rows(batches):
-            for b in batches:
-                raw = [_words(t) for t in raw_texts(b.column("text"))]
-                yield {"cls": pa.array(lines.classes(raw)), "text": pa.array(raw, pa.binary()).cast(pa.string())}
-
-        named = arrow_map(self.own, rows, "cls long, text string")
-        return self.made(named.join(wanted.select("cls").distinct(), "cls", "left_semi").select("text"), packed).select("cls", "made")
+        return self.made(texts_of(self.own, wanted), packed).select("cls", "made")
 
     def grouped(self, members: DataFrame, more: DataFrame) -> DataFrame:
         return members.join(more, "cls").repartition(*_KEY).sortWithinPartitions(*_KEY, "guest")

@@ -81,6 +81,33 @@ def _tokenised(own: DataFrame, sketch, columns: list[str], made) -> DataFrame:
     return arrow_map(own, rows, "cls long, size int, made binary").groupBy("cls").agg(F.first(F.struct("size", "made")).alias("x")).select("cls", *columns)
 
 
+def named_texts(own: DataFrame) -> DataFrame:
+    """cls, text: the words of each text joined by a space, of a class once a batch."""
+
+    def rows(batches):
+        for b in batches:
+            raw = list(dict.fromkeys(b" ".join(t.lower().split()) for t in raw_texts(b.column("text"))))
+            yield {"cls": pa.array(lines.classes(raw)), "text": pa.array(raw, pa.binary()).cast(pa.string())}
+
+    return arrow_map(own.select("text"), rows, "cls long, text string")
+
+
+def texts_of(own: DataFrame, classes: DataFrame) -> DataFrame:
+    """text: the texts of the classes named, once each.
+
+    They are dealt by class before anything tokenises them: where the names are
+    broadcast, two Python maps would be in one stage, and an executor would keep
+    two workers a core from then on, each as large as its largest task.
+    """
+    found = named_texts(own).join(classes.select("cls").distinct(), "cls", "left_semi")
+    return found.groupBy("cls").agg(F.first("text").alias("text")).select("text")
+
+
+def _tokens_of(own: DataFrame, classes: DataFrame, sketch) -> DataFrame:
+    """cls, made: all tokens of the classes named."""
+    return _tokenised(texts_of(own, classes), sketch, ["x.made"], np.ndarray.tobytes)
+
+
 def _width(size: int) -> int:
     """Bits of the parity map of a set: twice its size or more, a power of two."""
     return 1 << max(9, (2 * size - 1).bit_length())
@@ -207,11 +234,6 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def grouped(members: DataFrame, more: DataFrame) -> DataFrame:
         return members.join(more, "cls").repartition(*key).sortWithinPartitions(*key)
 
-    def tokens_of(classes: DataFrame) -> DataFrame:
-        """cls, made: all tokens of the classes named."""
-        texts = _classes(own.select("text", F.col("text").alias("words"))).join(classes.select("cls").distinct(), "cls", "left_semi")
-        return _tokenised(texts.select(F.col("words").alias("text")), sketch, ["x.made"], np.ndarray.tobytes)
-
     def star(batches):
         found = list(_star(batches))
         yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
@@ -236,12 +258,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spokes = spokes.select(F.col("pivot").alias("gid"), *deal, F.lit(0).alias("block"), "cls")
     hubs = spokes.select("gid", "one", "two").distinct().select("*", F.lit(-1).alias("block"), F.col("gid").alias("cls"))
     wheel = written(spokes.unionByName(hubs), "stars")
-    stars = written(arrow_map(grouped(wheel, tokens_of(wheel)), star, "a long, b long"), "links")
+    stars = written(arrow_map(grouped(wheel, _tokens_of(own, wheel, sketch)), star, "a long, b long"), "links")
     members = lines.small_groups(found).unionByName(_crossing(large, components(stars)))
     maps = _tokenised(own.select("text"), sketch, ["x.size", "x.made"], _parities)
     found = arrow_map(grouped(members, maps), possible, "gid long, one int, two int, block int, cls long, token long")
     found = written(found, "possible")
-    rest = arrow_map(grouped(found, tokens_of(found)), joined, "a long, b long")
+    rest = arrow_map(grouped(found, _tokens_of(own, found, sketch)), joined, "a long, b long")
     return stars.unionByName(rest)
 
 

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from qualispark.llm.common import arrow_map, discard, raw_texts, written
 
+#: Edges of a graph whose components one task finds; a larger graph goes by rounds.
+FOREST = 1 << 17
 SEGMENT_BITS = 2
 BLOCKS = 8
 MAX_BITS = 2
@@ -145,12 +147,29 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     )
 
 
+def _forest(batches):
+    """node, root of all edges of a small graph: larger roots hook to smaller ones beside them until none are left."""
+    ends = [np.stack([c.to_numpy() for c in b.columns]) for b in batches if b.num_rows]
+    if ends:
+        nodes, at = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+        a, b = at.reshape(2, -1)
+        root = np.arange(len(nodes))
+        while (root[a] != root[b]).any():
+            np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+            while (root[root] != root).any():
+                root = root[root]
+        moved = root != np.arange(len(nodes))
+        yield {"node": nodes[moved], "root": nodes[root[moved]]}
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node of each connected component of (a, b).
+    """node, root: the smallest node of each connected component of (a, b), for nodes that aren't it.
 
     Alternating large-star and small-star rounds; each round is a grouped
     minimum and a join, written to the shared folder. No node is in a task with
-    more than its own neighbours, and nothing is collected but one count.
+    more than its own neighbours, and nothing is collected but one count. A
+    graph of at most ``FOREST`` edges (two megabytes) is one task's work instead:
+    there a round's fixed cost is all that its dozen stages would spend.
     """
     current = written(edges.select("a", "b").distinct(), "edges")
     lows: list[DataFrame] = []
@@ -174,6 +193,8 @@ def components(edges: DataFrame) -> DataFrame:
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
     before = signature(current)
+    if before[0] <= FOREST:
+        return written(arrow_map(current.coalesce(1), _forest, "node long, root long"), "forest")
     while before[0]:
         following = written(star(star(current, True), False), "edges")
         for table in (current, *lows):

@@ -66,18 +66,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """A table in the warehouse in buckets by ``key``: joins on it move only the other side."""
+def bucketed(df: DataFrame, key: str, *parts: str) -> DataFrame:
+    """A table in the warehouse in buckets by ``key``: joins on it move only the other side. It is partitioned by ``parts``."""
     spark = df.sparkSession
     name = f"scratch_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with _shuffles_end(spark):
-        df.write.format("parquet").bucketBy(n, key).saveAsTable(name)
+        df.write.format("parquet").partitionBy(*parts).bucketBy(n, key).saveAsTable(name)
     out = spark.table(name)
     out._scratch_table = name
     return out
 
 
+def emptied(df: DataFrame, part: str) -> None:
+    """Remove the rows of one partition of a table made by ``bucketed``; ``part`` is its SQL, like ``kind = 1``."""
+    spark = df.sparkSession
+    column = part.split("=")[0].strip()
+    rest = ", ".join(f"CAST(NULL AS {kind}) AS `{c}`" for c, kind in df.dtypes if c != column)
+    spark.sql(f"INSERT OVERWRITE TABLE {df._scratch_table} PARTITION ({part}) SELECT {rest} WHERE false")
+    spark.catalog.refreshTable(df._scratch_table)
+
+
 def dropped(df: DataFrame) -> None:
     """Drop a table made by ``bucketed`` that nothing reads any more."""
     df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._scratch_table}")

@@ -4,6 +4,8 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+
 from qualispark.llm import suffix_tree as st
 
 
@@ -81,3 +83,46 @@ def test_odd_rows(spark, odd_docs, no_docs):
     check(odd_docs)
     check(odd_docs.filter("doc_id is null"))
     assert st.score(no_docs).count() == 0
+
+
+def test_requests_are_short(spark, sf, monkeypatch):
+    """A key of an n-gram is as long as the numbers of its context and word, not as a hash."""
+    rounds, answers = [], st._answers
+
+    def seen(requests, *rest):
+        rounds.append([st._unpack(r["asked"]) for r in requests.select("asked").collect()])
+        return answers(requests, *rest)
+
+    monkeypatch.setattr(st, "_answers", seen)
+    st.score(spark.read.parquet(f"{sf}/documents.parquet").repartition(3), chunk_bytes=20_000)
+    assert len(rounds) > 3
+    for d, asked in enumerate(rounds[1:], 1):
+        for name, most in (("gap", 20), ("cgap", 8)):
+            gaps = np.concatenate([a[name] for a in asked])
+            assert not len(gaps) or np.log2(gaps.astype(float) + 1).mean() < most, (d, name)
+
+
+def test_contexts_of_one_chunk_and_of_several(spark):
+    """Words, pairs and triples seen often in one document alone, in all, and in two of them."""
+    rows = []
+    for i in range(1, 25):
+        own = " ".join(f"own{i} pair{i} {'left' if j % 2 else 'right'} w{j % 3}" for j in range(20))
+        two = " ".join(f"two{i // 2} half{i // 2} {'up' if j % 2 else 'down'}" for j in range(12))
+        rows.append((i, " ".join([own, two, *(f"all x y {'one' if j % 2 else 'two'}" for j in range(9))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for size in (100, 5000, 1 << 20):
+        _, sizes = check(docs, chunk_bytes=size)
+        assert all(sizes[n] for n in (1, 2))
+
+
+def test_names_tell_pairs_apart():
+    context, word = np.divmod(np.arange(1 << 14), 1 << 7)
+    for widths, bits in (((7, 7), 8), ((7, 7), 20), ((30, 34), 9), ((40, 40), 9)):
+        names = st._name(context, word, widths, bits)
+        assert len(np.unique(names)) == len(names)
+        width = max(sum(widths), bits) if sum(widths) < 64 else 64
+        order, slices = np.sort(names), np.sort(names) >> np.uint64(64 - bits)
+        for s in np.unique(slices):
+            own = order[slices == s]
+            back = (np.cumsum(st._gaps(own, bits, width), dtype=np.uint64) << np.uint64(64 - width)) + (s << np.uint64(64 - bits))
+            assert (back == own).all()

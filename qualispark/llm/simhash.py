@@ -128,12 +128,15 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     once, at its first shared cell and only when verified. Both sides read one
     exchange by cell, which adaptive execution may split where a cell is hot.
     Keys that two cells share by chance cost comparisons and change no result.
+    A merge join is asked for: Spark's size of ``keyed`` does not count the 28
+    rows that a fingerprint becomes, and some 300,000 would pass for a table to
+    broadcast.
     """
     counts = segment_counts(F.col("fingerprint"))
     keyed = prints.select(F.col("fingerprint").alias("x"), F.explode(_cells(counts)).alias("c")).select(
         "x", F.col("c.key").alias("cell"), F.col("c.out").alias("out")
     )
-    a, b = keyed.alias("a"), keyed.alias("b")
+    a, b = keyed.hint("merge").alias("a"), keyed.hint("merge").alias("b")
     ca, cb = segment_counts(F.col("a.x")), segment_counts(F.col("b.x"))
     near = (
         (F.col("a.x") < F.col("b.x"))

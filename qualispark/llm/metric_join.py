@@ -379,7 +379,8 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
         members = members.unionByName(small) if members else small
         regions = regions.filter(F.col("n") > REGION)
         if regions.isEmpty():
-            return stars.unionByName(work.joined(members, sets))
+            # Spark's size of blocks does not count how often their points are in them: they are never to be broadcast
+            return stars.unionByName(work.joined(members if level == 1 else members.hint("merge"), sets))
         salted = [F.min(F.when(F.col("root") != F.col("top"), F.struct(F.xxhash64(F.lit(level * PIVOTS + k), "cls").alias("h"), "cls"))) for k in range(PIVOTS - 1)]
         on_top = F.min(F.when(F.col("root") == F.col("top"), F.struct(F.xxhash64(F.lit(level), "cls").alias("h"), "cls")))
         chosen = regions.groupBy("region").agg(*(x.alias(f"x{k}") for k, x in enumerate([on_top, *salted])))
